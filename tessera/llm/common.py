@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from tessera.session import ship
 
@@ -51,6 +54,26 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def derive(df: DataFrame, keep: list[str], new: str, make: Callable[[list], dict]) -> DataFrame:
+    """The columns of keep, untouched, and those of the schema new that make() gives for a batch of texts.
+
+    make takes the texts and returns lists or arrays by name; a new column replaces one of its name in keep.
+    """
+    added = T.StructType.fromDDL(new)
+    names = [f.name for f in added.fields]
+    schema = T.StructType([f for f in df.select(*keep).schema.fields if f.name not in names] + added.fields)
+    own = [c for c in keep if c not in names]
+    types = pa.schema(to_arrow_schema(added))
+    source = df.select(*own, F.col("text").alias("__text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in batches:
+            got = make(x.column(len(own)).to_pylist())
+            yield pa.RecordBatch.from_arrays([*x.columns[: len(own)], *(pa.array(got[f.name], f.type) for f in types)], [*own, *names])
+
+    return source.mapInArrow(run, schema)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """The finaliser of splitmix64, on uint64 arrays."""
     x = x ^ (x >> np.uint64(30))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import licenses, toxicity
+from . import chat, licenses, secrets, toxicity
 from .common import table
 
 
@@ -14,14 +14,23 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(table(spark, sf_dir, "documents"))
+
+
+def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").union(chat.planted(spark))
+    return chat.digests(chat.conversations_as_text(chat.chain(rows)))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op4_license_scan, op9_toxicity]
+    own = [op4_license_scan, op6_secret_scan, op8_chat_format, op9_toxicity]
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_license_scan": licenses.oracle()}
+    return {"op4_license_scan": licenses.oracle(), "op8_chat_format": chat.ORACLE}

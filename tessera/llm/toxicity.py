@@ -21,9 +21,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from . import common
+from .common import derive
 
 BUCKETS = 1 << 20
 RANK = 8
@@ -33,6 +33,7 @@ SAMPLE_TOXIC, SAMPLE_CLEAN = 4000, 8000
 EPOCHS, BATCH, RATE, PENALTY = 6, 128, 0.05, 1e-3
 CALIBRATION = 6  # every sixth sampled row is kept from the fit, to turn the machine's sums into probabilities
 THRESHOLD = 0.7
+SCORE = "__toxic_score"
 _APART = np.zeros(256, bool)
 _APART[:0x30] = _APART[0x3A:0x41] = _APART[0x5B:0x61] = _APART[0x7B:0x80] = True
 
@@ -156,25 +157,18 @@ def learn(docs: DataFrame, labels: DataFrame) -> Machine:
     return fit([np.frombuffer(t, "<i4") for t in got.terms], got.is_toxic.to_numpy() > 0) if len(got) else nothing_learned()
 
 
-def scored(docs: DataFrame, machine: Machine) -> DataFrame:
-    """All columns of docs and toxic_score, in [0, 1]."""
+def scored(docs: DataFrame, machine: Machine, keep: list[str]) -> DataFrame:
+    """The columns of keep and SCORE, in [0, 1]."""
     model = docs.sparkSession.sparkContext.broadcast(machine)
-    schema = T.StructType([*docs.schema.fields, T.StructField("toxic_score", T.DoubleType())])
-
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for x in batches:
-            x["toxic_score"] = model.value.score(features(x["text"].tolist()))
-            yield x
-
-    return docs.mapInPandas(score, schema)
+    return derive(docs, keep, f"{SCORE} double", lambda texts: {SCORE: model.value.score(features(texts))})
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, held_out, score, predicted), a row for each row of docs."""
-    s = scored(docs.select("doc_id", "text"), learn(docs, labels))
-    return s.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("toxic_score").alias("score"), (F.col("toxic_score") >= THRESHOLD).cast("int").alias("predicted"))
+    s = scored(docs, learn(docs, labels), ["doc_id"])
+    return s.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col(SCORE).alias("score"), (F.col(SCORE) >= THRESHOLD).cast("int").alias("predicted"))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that the machine does not reject, with their columns as they were."""
-    return scored(docs, learn(docs, labels)).where(F.col("toxic_score") < THRESHOLD).drop("toxic_score")
+    return scored(docs, learn(docs, labels), docs.columns).where(F.col(SCORE) < THRESHOLD).select(*docs.columns)
