@@ -5,11 +5,16 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import chat, licenses, secrets, toxicity
+from . import ann, chat, licenses, secrets, toxicity
 from .common import table
 
 
+def op3_ann_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
@@ -28,7 +33,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op4_license_scan, op6_secret_scan, op8_chat_format, op9_toxicity]
+    own = [op3_ann_search, op4_license_scan, op6_secret_scan, op8_chat_format, op9_toxicity]
     return {f.__name__: f for f in own}
 
 
