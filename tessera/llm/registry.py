@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, licenses, secrets, toxicity
+from . import ann, chat, licenses, order, packing, secrets, toxicity
 from .common import table
 
 
@@ -19,10 +19,18 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def op5_best_fit_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
 
+def op7_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order.training_order(table(spark, sf_dir, "documents"))
+
+
 def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").union(chat.planted(spark))
     return chat.digests(chat.conversations_as_text(chat.chain(rows)))
@@ -33,7 +41,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op3_ann_search, op4_license_scan, op6_secret_scan, op8_chat_format, op9_toxicity]
+    own = [op3_ann_search, op4_license_scan, op5_best_fit_pack, op6_secret_scan, op7_training_order, op8_chat_format, op9_toxicity]
     return {f.__name__: f for f in own}
 
 
