@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, licenses, order, packing, secrets, toxicity
+from . import ann, chat, jaccard_join, licenses, order, packing, secrets, toxicity
 from .common import table
 
 
@@ -40,8 +40,12 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.link(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op3_ann_search, op4_license_scan, op5_best_fit_pack, op6_secret_scan, op7_training_order, op8_chat_format, op9_toxicity]
+    own = [op3_ann_search, op4_license_scan, op5_best_fit_pack, op6_secret_scan, op7_training_order, op8_chat_format, op9_toxicity, op10_ngram_jaccard]
     return {f.__name__: f for f in own}
 
 
