@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -22,6 +22,7 @@ BUFFER_BYTES = 1 << 20
 SHINGLE_WORDS = 5
 #: Two sets link when 100 * intersection >= 75 * union.
 JACCARD_NUM, JACCARD_DEN = 75, 100
+NEED_BITS = 1 << 26
 
 
 def tuned(spark: SparkSession) -> SparkSession:
@@ -93,6 +94,8 @@ _BASE = 0x9E3779B97F4A7C15 | 1
 _BASE_INV = pow(_BASE, -1, 1 << 64)
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
+_STOP = np.zeros(256, np.int64)
+_STOP[[0x21, 0x2E, 0x3F]] = 1
 _powers: dict[int, np.ndarray] = {}
 
 
@@ -110,9 +113,9 @@ def _power(base: int, n: int) -> np.ndarray:
 def word_hashes(texts: list[str | None], space: np.ndarray = _SPACE, prefixes: tuple[int, ...] = ()) -> tuple:
     """64-bit hashes of all words (A-Z lower-cased) of the texts in order; space marks the bytes between words.
 
-    By default words are `[^\\x20\\x09-\\x0D]+`. Returns (hash per word, last byte per word, offsets of the
-    words of each text, one more than texts), and for each length of prefixes the hash of so many leading
-    bytes of every word, 0 where the word is not longer.
+    By default words are `[^\\x20\\x09-\\x0D]+`. Returns (hash per word, whether a sentence or line ends there: 1 and
+    2, offsets of the words of each text, one more than texts), and for each length of prefixes the hash of so
+    many leading bytes of every word, 0 where the word is not longer.
     """
     raw = [b"" if t is None else t.encode("utf-8", "surrogatepass").lower() for t in texts]
     buf = np.frombuffer(b" ".join(raw) + b" ", np.uint8)
@@ -128,7 +131,8 @@ def word_hashes(texts: list[str | None], space: np.ndarray = _SPACE, prefixes: t
     h = mix((total[end] - total[start]) * back)
     offsets = np.concatenate(([0], np.searchsorted(start, ends_at))).astype(np.int64)
     heads = [np.where(end - start > k, mix((total[np.minimum(start + k, len(buf))] - total[start]) * back + np.uint64(k)), np.uint64(0)) for k in prefixes]
-    return h, buf[end - 1] if len(end) else np.zeros(0, np.uint8), offsets, *heads
+    stops = _STOP[buf[end - 1]] | (buf[end] == 10) * 2 if len(end) else np.zeros(0, np.int64)
+    return h, stops, offsets, *heads
 
 
 def shingle_all(h: np.ndarray) -> np.ndarray:
@@ -184,6 +188,42 @@ def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
+def sieve(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows (doc_id, text) of docs whose doc_id may be one of ids: all that are, and few others.
+
+    Ids are marked in a bitmap of NEED_BITS, a fixed size, which is broadcast; so texts that are not asked for are not
+    shuffled. An exact join has to follow.
+    """
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(NEED_BITS))
+    rows = ids.select(F.bitmap_bucket_number(place).alias("k"), F.bitmap_bit_position(place).alias("p")).groupBy("k").agg(F.bitmap_construct_agg("p").alias("bits")).collect()
+    flags = np.zeros((NEED_BITS // 32768 + 2, 4096), np.uint8)
+    for r in rows:
+        flags[r["k"]] = np.frombuffer(r["bits"], np.uint8)
+    need = docs.sparkSession.sparkContext.broadcast(flags)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in batches:
+            k, p = x.column("k").to_numpy(), x.column("p").to_numpy()
+            some = np.flatnonzero(need.value[k, p >> 3] >> (p & 7).astype(np.uint8) & 1)
+            yield x.take(pa.array(some)).select(["doc_id", "text"])
+
+    own = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return own.select("doc_id", "text", F.bitmap_bucket_number(place).alias("k"), F.bitmap_bit_position(place).alias("p")).mapInArrow(keep, "doc_id long, text string")
+
+
+def sized(na: Column, nb: Column) -> Column:
+    """Whether sets of these sizes can link."""
+    return (na * JACCARD_DEN >= nb * JACCARD_NUM) & (nb * JACCARD_DEN >= na * JACCARD_NUM)
+
+
+def linked(pairs: DataFrame, parts: DataFrame) -> DataFrame:
+    """(a, b) of pairs (a, na, b, nb) whose sets link. parts: (fp, f, part), the fragments of each set; overlaps are counted by fragment and summed by pair."""
+    left = pairs.join(parts.select(F.col("fp").alias("a"), "f", F.col("part").alias("pa")), "a")
+    both = left.join(parts.select(F.col("fp").alias("b"), "f", F.col("part").alias("pb")), ["b", "f"])
+    overlap = both.select("a", "b", "na", "nb", F.size(F.array_intersect("pa", "pb")).cast("long").alias("o")).groupBy("a", "b", "na", "nb").agg(F.sum("o").alias("o"))
+    return overlap.where(F.col("o") * JACCARD_DEN >= (F.col("na") + F.col("nb") - F.col("o")) * JACCARD_NUM).select("a", "b")
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) for every end of an edge; component: the smallest node reachable.
 

@@ -29,13 +29,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .common import JACCARD_DEN, JACCARD_NUM, connected_components, derive, materialize, mix, signed
+from .common import JACCARD_DEN, JACCARD_NUM, connected_components, derive, linked, materialize, mix, sieve, signed, sized
 
 ORDER_BITS = 22
 ORDER_BUCKETS = 1 << ORDER_BITS
 FRAGMENTS = 8
 SKETCH_BLOCK = 1 << 16
-NEED_BITS = 1 << 26  # of the bitmap that spares most texts from being cut up again
 
 
 class Order:
@@ -108,31 +107,16 @@ def prefix_length(n: int) -> int:
     return n - -(-n * JACCARD_NUM // JACCARD_DEN) + 1
 
 
-def sized(na: Column, nb: Column) -> Column:
-    return (na * JACCARD_DEN >= nb * JACCARD_NUM) & (nb * JACCARD_DEN >= na * JACCARD_NUM)
-
-
 def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, order) -> DataFrame:
-    """(a, b) of pairs (a, na, b, nb) that link: overlaps by fragment, summed by pair."""
+    """(a, b) of pairs (a, na, b, nb) that link, verified on their texts."""
     pairs = materialize(pairs, "pairs")
     need = pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct()
     ids = materialize(need.join(reps.select("fp", "doc_id"), "fp"), "needed")
-    # A bitmap of fixed size over hashed ids: texts that no pair needs are not cut up. What passes by chance is dropped by the join.
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(NEED_BITS))
-    words = ids.select(F.bitmap_bucket_number(place).alias("k"), F.bitmap_bit_position(place).alias("p")).groupBy("k").agg(F.bitmap_construct_agg("p").alias("bits")).collect()
-    flags = np.zeros((NEED_BITS // 32768 + 2, 4096), np.uint8)
-    for r in words:
-        flags[r["k"]] = np.frombuffer(r["bits"], np.uint8)
-    need_map = docs.sparkSession.sparkContext.broadcast(flags)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
-            k, p = x.column("k").to_numpy(), x.column("p").to_numpy()
-            some = np.flatnonzero(need_map.value[k, p >> 3] >> (p & 7).astype(np.uint8) & 1)
-            ids = x.column("doc_id").take(pa.array(some)).to_pylist()
-            texts = x.column("text").take(pa.array(some)).to_pylist()
             rows = ([], [], [], [])
-            for i, s in zip(ids, common.shingle_sets(texts)):
+            for i, s in zip(x.column(0).to_pylist(), common.shingle_sets(x.column(1).to_pylist())):
                 if len(s):
                     s = order.value.rename(s)
                     fp = print_of(s)
@@ -142,14 +126,8 @@ def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, order) -> DataF
                                 c.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.int64()), pa.array(rows[2], pa.int32()), pa.array(rows[3], pa.list_(pa.int64()))], ["doc_id", "fp", "f", "part"])
 
-    own = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("h", F.pmod(F.xxhash64("doc_id"), F.lit(NEED_BITS)))
-    own = own.select("doc_id", "text", F.bitmap_bucket_number("h").alias("k"), F.bitmap_bit_position("h").alias("p"))
-    parts = own.mapInArrow(cut, "doc_id long, fp long, f int, part array<long>").join(ids, ["doc_id", "fp"], "left_semi").dropDuplicates(["fp", "f"]).select("fp", "f", "part")
-    parts = materialize(parts, "fragments")
-    left = pairs.join(parts.select(F.col("fp").alias("a"), "f", F.col("part").alias("pa")), "a")
-    both = left.join(parts.select(F.col("fp").alias("b"), "f", F.col("part").alias("pb")), ["b", "f"])
-    overlap = both.select("a", "b", "na", "nb", F.size(F.array_intersect("pa", "pb")).cast("long").alias("o")).groupBy("a", "b", "na", "nb").agg(F.sum("o").alias("o"))
-    return overlap.where(F.col("o") * JACCARD_DEN >= (F.col("na") + F.col("nb") - F.col("o")) * JACCARD_NUM).select("a", "b")
+    parts = sieve(docs, ids).mapInArrow(cut, "doc_id long, fp long, f int, part array<long>").join(ids, ["doc_id", "fp"], "left_semi").dropDuplicates(["fp", "f"]).select("fp", "f", "part")
+    return linked(pairs, materialize(parts, "fragments"))
 
 
 def link(docs: DataFrame) -> DataFrame:

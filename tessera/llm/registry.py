@@ -7,10 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, jaccard_join, licenses, order, packing, secrets, toxicity
+from . import ann, chat, decontaminate, jaccard_join, licenses, order, packing, paragraphs, secrets, toxicity
 from .common import table
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paragraphs.repeated(table(spark, sf_dir, "documents"))
+
+
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op3_ann_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
@@ -45,7 +53,7 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op3_ann_search, op4_license_scan, op5_best_fit_pack, op6_secret_scan, op7_training_order, op8_chat_format, op9_toxicity, op10_ngram_jaccard]
+    own = [op1_substring_dedup, op2_decontaminate, op3_ann_search, op4_license_scan, op5_best_fit_pack, op6_secret_scan, op7_training_order, op8_chat_format, op9_toxicity, op10_ngram_jaccard]
     return {f.__name__: f for f in own}
 
 
