@@ -72,14 +72,20 @@ def best_paths(messages: DataFrame) -> DataFrame:
     known = m.select("c", F.col("node").alias("parent"), F.lit(True).alias("known"))
     now = m.join(known, ["c", "parent"], "left").select("c", "node", F.when(F.col("known"), F.col("parent")).alias("up"), F.col("score").alias("total"), F.lit(1).cast("long").alias("depth"))
     leaves = m.join(m.select("c", F.col("parent").alias("node")).where("node is not null").distinct(), ["c", "node"], "left_anti").select("c", "node")
-    jumps = []
+    jumps, done = [], None
     while True:
         now = materialize(now, "jumps")
-        jumps.append(now.select("c", "node", "up").where("up is not null"))
+        at_root = now.where("up is null").select("c", "node", "total", "depth")
+        done = at_root if done is None else done.union(at_root)
+        going = now.where("up is not null")
+        jumps.append(going.select("c", "node", "up"))
         if jumps[-1].isEmpty():
             break
-        far = now.select("c", F.col("node").alias("up"), F.col("up").alias("up2"), F.col("total").alias("total2"), F.col("depth").alias("depth2"))
-        now = now.join(far, ["c", "up"], "left").select("c", "node", F.col("up2").alias("up"), (F.col("total") + F.coalesce("total2", F.lit(0.0))).alias("total"), (F.col("depth") + F.coalesce("depth2", F.lit(0))).alias("depth"))
+        # Only nodes still on their way are joined; where one's pointer leads, the sums up to the root or as far as known stand.
+        far = going.select("c", "node", "up", "total", "depth").union(done.select("c", "node", F.lit(None).cast("long").alias("up"), "total", "depth"))
+        far = far.select("c", F.col("node").alias("up"), F.col("up").alias("up2"), F.col("total").alias("total2"), F.col("depth").alias("depth2"))
+        now = going.join(far, ["c", "up"]).select("c", "node", F.col("up2").alias("up"), (F.col("total") + F.col("total2")).alias("total"), (F.col("depth") + F.col("depth2")).alias("depth"))
+    now = done
     best = leaves.join(now, ["c", "node"]).groupBy("c").agg(F.min(F.struct((-F.col("total")).alias("t"), (-F.col("depth")).alias("d"), "node")).alias("b"))
     path = best.select("c", F.col("b.node").alias("node"), F.lit(0).cast("long").alias("place"))
     for k in reversed(range(len(jumps) - 1)):
