@@ -16,9 +16,9 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from tessera.session import ship
 
 #: Rows in an Arrow batch: whole texts travel in them, so fewer than Spark's default.
-ARROW_ROWS = 1000
+ARROW_ROWS = 500
 #: Texts are hashed in buffers of about this many bytes.
-BUFFER_BYTES = 1 << 20
+BUFFER_BYTES = 1 << 18
 SHINGLE_WORDS = 5
 #: Two sets link when 100 * intersection >= 75 * union.
 JACCARD_NUM, JACCARD_DEN = 75, 100
@@ -103,7 +103,7 @@ def _power(base: int, n: int) -> np.ndarray:
     """base**0 .. base**(n-1) modulo 2**64."""
     have = _powers.get(base)
     if have is None or len(have) < n:
-        size = 1 << max(20, (n - 1).bit_length())
+        size = 1 << max(19, (n - 1).bit_length())
         out = np.full(size, base, np.uint64)
         out[0] = 1
         have = _powers[base] = np.multiply.accumulate(out)
@@ -188,27 +188,42 @@ def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
-def sieve(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows (doc_id, text) of docs whose doc_id may be one of ids: all that are, and few others.
-
-    Ids are marked in a bitmap of NEED_BITS, a fixed size, which is broadcast; so texts that are not asked for are not
-    shuffled. An exact join has to follow.
-    """
+def marked(ids: DataFrame) -> np.ndarray:
+    """A bitmap of NEED_BITS, a fixed size, with the places of hashed ids (a column doc_id) set."""
     place = F.pmod(F.xxhash64("doc_id"), F.lit(NEED_BITS))
     rows = ids.select(F.bitmap_bucket_number(place).alias("k"), F.bitmap_bit_position(place).alias("p")).groupBy("k").agg(F.bitmap_construct_agg("p").alias("bits")).collect()
     flags = np.zeros((NEED_BITS // 32768 + 2, 4096), np.uint8)
     for r in rows:
         flags[r["k"]] = np.frombuffer(r["bits"], np.uint8)
-    need = docs.sparkSession.sparkContext.broadcast(flags)
+    return flags
+
+
+def placed(df: DataFrame) -> DataFrame:
+    """df with the columns __k and __p: where its doc_id is in such a bitmap."""
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(NEED_BITS))
+    return df.withColumns({"__k": F.bitmap_bucket_number(place), "__p": F.bitmap_bit_position(place)})
+
+
+def chosen(x: pa.RecordBatch, flags: np.ndarray) -> pa.RecordBatch:
+    """The rows of a placed() batch that a bitmap marks."""
+    k, p = x.column("__k").to_numpy(), x.column("__p").to_numpy()
+    return x.take(pa.array(np.flatnonzero(flags[k, p >> 3] >> (p & 7).astype(np.uint8) & 1)))
+
+
+def sieve(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows (doc_id, text) of docs whose doc_id may be one of ids: all that are, and few others.
+
+    Only a bitmap of fixed size is broadcast, so texts that are not asked for are neither shuffled nor cut up. What passes
+    by chance has to be told apart by what follows.
+    """
+    need = docs.sparkSession.sparkContext.broadcast(marked(ids))
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
-            k, p = x.column("k").to_numpy(), x.column("p").to_numpy()
-            some = np.flatnonzero(need.value[k, p >> 3] >> (p & 7).astype(np.uint8) & 1)
-            yield x.take(pa.array(some)).select(["doc_id", "text"])
+            yield chosen(x, need.value).select(["doc_id", "text"])
 
     own = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return own.select("doc_id", "text", F.bitmap_bucket_number(place).alias("k"), F.bitmap_bit_position(place).alias("p")).mapInArrow(keep, "doc_id long, text string")
+    return placed(own).mapInArrow(keep, "doc_id long, text string")
 
 
 def sized(na: Column, nb: Column) -> Column:
@@ -216,11 +231,18 @@ def sized(na: Column, nb: Column) -> Column:
     return (na * JACCARD_DEN >= nb * JACCARD_NUM) & (nb * JACCARD_DEN >= na * JACCARD_NUM)
 
 
-def linked(pairs: DataFrame, parts: DataFrame) -> DataFrame:
-    """(a, b) of pairs (a, na, b, nb) whose sets link. parts: (fp, f, part), the fragments of each set; overlaps are counted by fragment and summed by pair."""
-    left = pairs.join(parts.select(F.col("fp").alias("a"), "f", F.col("part").alias("pa")), "a")
-    both = left.join(parts.select(F.col("fp").alias("b"), "f", F.col("part").alias("pb")), ["b", "f"])
-    overlap = both.select("a", "b", "na", "nb", F.size(F.array_intersect("pa", "pb")).cast("long").alias("o")).groupBy("a", "b", "na", "nb").agg(F.sum("o").alias("o"))
+def linked(pairs: DataFrame, parts: DataFrame, fragments: int) -> DataFrame:
+    """(a, b) of pairs (a, na, b, nb) whose sets link. parts: (fp, f, part), the fragments of each set, which may repeat;
+    overlaps are counted by fragment and summed by pair.
+
+    Both joins use one exchange of the parts, by set and fragment.
+    """
+    one = parts.repartition("fp", "f").dropDuplicates(["fp", "f"])
+    asked = pairs.withColumn("f", F.explode(F.array(*map(F.lit, range(fragments)))))
+    x, y = one.alias("x"), one.alias("y")
+    left = asked.join(x, (asked.a == F.col("x.fp")) & (asked.f == F.col("x.f"))).select("a", "na", "b", "nb", asked.f.alias("g"), F.col("x.part").alias("pa"))
+    both = left.join(y, (left.b == F.col("y.fp")) & (left.g == F.col("y.f")))
+    overlap = both.select("a", "b", "na", "nb", F.size(F.array_intersect("pa", "y.part")).cast("long").alias("o")).groupBy("a", "b", "na", "nb").agg(F.sum("o").alias("o"))
     return overlap.where(F.col("o") * JACCARD_DEN >= (F.col("na") + F.col("nb") - F.col("o")) * JACCARD_NUM).select("a", "b")
 
 

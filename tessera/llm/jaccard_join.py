@@ -8,11 +8,11 @@ nothing). Two link when 100 * intersection >= 75 * union. The join is exact; onl
    counts cut the order into FRAGMENTS.
 2. Classes. Documents with equal sets are one class; what follows is between classes.
 3. Stars. If two sets link, their prefixes in the order (n - ceil(0.75 n) + 1 shingles) share a shingle. Each posting
-   names a hub, the class with the smallest priority; each class is verified against the hub that it shares most
-   with. Verified links give components.
-4. Rest. Postings with several components left give the pairs of classes between them; those that the prefixes' overlap
-   and the lengths still allow are verified. So a group of thousands of near copies is not expanded into its pairs, and
-   no pair between components is missed.
+   names a hub, the class whose prefix is commonest; each class is verified against the hub that it shares most with.
+   Verified links give components.
+4. Rest. Postings with several components left give the pairs of classes between them; those that the places in the order
+   and the sizes still allow are verified. So a group of thousands of near copies is not expanded into its pairs, and no
+   pair between components is missed.
 5. Verifying: the sets are cut into their fragments, the overlap is counted for each fragment apart, and summed.
 
 Nulls: a null text is empty; a row with a null doc_id links with nothing and has a null component. Rows that repeat a
@@ -29,12 +29,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .common import JACCARD_DEN, JACCARD_NUM, connected_components, derive, linked, materialize, mix, sieve, signed, sized
+from .common import JACCARD_DEN, JACCARD_NUM, chosen, connected_components, derive, linked, materialize, mix, placed, sieve, signed, sized
 
 ORDER_BITS = 22
 ORDER_BUCKETS = 1 << ORDER_BITS
 FRAGMENTS = 8
 SKETCH_BLOCK = 1 << 16
+TWICE_BITS, TWICE_BLOCKS = 1 << 27, 64
+SENT = 1 << 20  # places sent at a time
 
 
 class Order:
@@ -67,7 +69,7 @@ def count_order(docs: DataFrame) -> Order:
                 h, _, at = common.word_hashes(texts[lo:hi])[:3]
                 every = common.shingle_all(h)
                 # Those that begin in one text and end in another are counted too; they only shift the order a little.
-                total += np.bincount((every & np.uint64(ORDER_BUCKETS - 1)).astype(np.int64), minlength=ORDER_BUCKETS).astype(np.uint32)
+                np.add.at(total, (every & np.uint64(ORDER_BUCKETS - 1)).astype(np.int64), np.uint32(1))
         yield from blocks(total, range(0, ORDER_BUCKETS, SKETCH_BLOCK))
 
     def blocks(total: np.ndarray, starts) -> Iterator[pa.RecordBatch]:
@@ -109,25 +111,69 @@ def prefix_length(n: int) -> int:
 
 def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, order) -> DataFrame:
     """(a, b) of pairs (a, na, b, nb) that link, verified on their texts."""
-    pairs = materialize(pairs, "pairs")
-    need = pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct()
-    ids = materialize(need.join(reps.select("fp", "doc_id"), "fp"), "needed")
+    need = pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct().join(reps.select("fp", "doc_id"), "fp")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
-            rows = ([], [], [], [])
-            for i, s in zip(x.column(0).to_pylist(), common.shingle_sets(x.column(1).to_pylist())):
+            rows = ([], [], [])
+            for s in common.shingle_sets(x.column(1).to_pylist()):
                 if len(s):
                     s = order.value.rename(s)
                     fp = print_of(s)
                     for f, part in enumerate(order.value.fragments(s)):
                         if len(part):
-                            for c, v in zip(rows, (i, fp, f, signed(part))):
+                            for c, v in zip(rows, (fp, f, signed(part))):
                                 c.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.int64()), pa.array(rows[2], pa.int32()), pa.array(rows[3], pa.list_(pa.int64()))], ["doc_id", "fp", "f", "part"])
+            yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.int32()), pa.array(rows[2], pa.list_(pa.int64()))], ["fp", "f", "part"])
 
-    parts = sieve(docs, ids).mapInArrow(cut, "doc_id long, fp long, f int, part array<long>").join(ids, ["doc_id", "fp"], "left_semi").dropDuplicates(["fp", "f"]).select("fp", "f", "part")
-    return linked(pairs, materialize(parts, "fragments"))
+    return linked(pairs, sieve(docs, need).mapInArrow(cut, "fp long, f int, part array<long>"), FRAGMENTS)
+
+
+def shared_places(prefixes: DataFrame, reps_map) -> np.ndarray:
+    """A bitmap of fixed size: where a prefix shingle's hashed place is taken twice or more. A shingle alone in its place
+    has no partner, so its posting need not travel. Places are sent as 32-bit numbers, sorted by blocks."""
+    size = TWICE_BITS // TWICE_BLOCKS
+
+    def sent(own: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        for k, part in _blocks(np.sort(place_of(np.concatenate(own))), size):
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([part.astype("<u4").tobytes()], pa.binary())], ["block", "places"])
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, n = [np.zeros(0, np.uint64)], 0
+        for x in batches:
+            own.append(chosen(x, reps_map.value).column("prefix").flatten().to_numpy().view(np.uint64))
+            n += len(own[-1])
+            if n > SENT:
+                yield from sent(own)
+                own, n = own[:1], 0
+        yield from sent(own)
+
+    def twice(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[int, np.ndarray] = {}
+        for x in batches:
+            for k, b in zip(x.column(0).to_pylist(), x.column(1)):
+                at = np.frombuffer(b.as_buffer(), "<u4") - np.uint32(k * size)
+                count = seen.setdefault(k, np.zeros(size, np.uint8))
+                u, n = np.unique(at, return_counts=True)
+                count[u] = np.minimum(2, count[u] + np.minimum(n, 2))
+        for k, count in seen.items():
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([np.packbits(count > 1, bitorder="little").tobytes()], pa.binary())], ["block", "bits"])
+
+    got = placed(prefixes.select("doc_id", "prefix")).mapInArrow(places, "block int, places binary").repartition(16, "block").mapInArrow(twice, "block int, bits binary").toLocalIterator()
+    out = np.zeros((TWICE_BLOCKS, size // 8), np.uint8)
+    for r in got:
+        out[r["block"]] = np.frombuffer(r["bits"], np.uint8)
+    return out.ravel()
+
+
+def _blocks(at: np.ndarray, size: int) -> Iterator[tuple[int, np.ndarray]]:
+    edges = np.searchsorted(at, np.arange(TWICE_BLOCKS + 1, dtype=np.int64) * size)
+    for k in np.flatnonzero(np.diff(edges)):
+        yield int(k), at[edges[k] : edges[k + 1]]
+
+
+def place_of(tokens: np.ndarray) -> np.ndarray:
+    return (mix(tokens) & np.uint64(TWICE_BITS - 1)).astype(np.int64)
 
 
 def link(docs: DataFrame) -> DataFrame:
@@ -146,27 +192,49 @@ def link(docs: DataFrame) -> DataFrame:
 
     sets = materialize(derive(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), ["doc_id"], "n long, fp long, prefix array<long>", make), "sets")
     known = sets.where("doc_id is not null and fp is not null")
-    reps = materialize(known.groupBy("fp", "n").agg(F.min("doc_id").alias("doc_id"), F.min_by("prefix", "doc_id").alias("prefix")), "classes")
+    reps = materialize(known.groupBy("fp", "n").agg(F.min("doc_id").alias("doc_id")), "classes")
+
+    # Postings of one document of each class (some more may pass the bitmap: the same posting again), of shingles that may have a partner.
+    reps_map = docs.sparkSession.sparkContext.broadcast(common.marked(reps))
+    twice = docs.sparkSession.sparkContext.broadcast(shared_places(known, reps_map))
 
-    # Stars. A posting's hub is the class with the smallest print in it.
-    posts = reps.select("fp", "n", F.explode("prefix").alias("token"))
-    hubs = posts.groupBy("token").agg(F.min(F.struct("fp", "n")).alias("hub"), F.max("fp").alias("last")).where("hub.fp < last").select("token", F.col("hub.fp").alias("b"), F.col("hub.n").alias("nb"))
-    shared = materialize(posts.join(hubs, "token"), "postings")  # postings of two classes or more
+    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in batches:
+            x = chosen(x, reps_map.value)
+            prefix = x.column("prefix")
+            tokens, edges = prefix.flatten().to_numpy().view(np.uint64), prefix.offsets.to_numpy().astype(np.int64)
+            edges = edges - edges[0]
+            size = np.diff(edges)
+            of = np.repeat(np.arange(len(size)), size)
+            # How rare a class's prefix is: the shingle at a quarter of it. Of near copies, the one with the fewest words of its own ranks highest.
+            common_ = (tokens[edges[:-1] + size // 4] >> np.uint64(1)).view(np.int64) if len(size) else np.zeros(0, np.int64)
+            at = place_of(tokens)
+            keep = np.flatnonzero(twice.value[at >> 3] >> (at & 7).astype(np.uint8) & 1)
+            of = of[keep]
+            take = pa.array(of)
+            yield pa.RecordBatch.from_arrays([pa.array(signed(tokens[keep])), x.column("fp").take(take), x.column("n").take(take), pa.array((keep - edges[of]).astype(np.int32)), pa.array(common_[of])], ["token", "fp", "n", "pos", "q"])
+
+    posts = placed(known).mapInArrow(post, "token long, fp long, n long, pos int, q long").repartition("token").dropDuplicates(["token", "fp"])
+    hubs = posts.groupBy("token").agg(F.max(F.struct("q", "fp", "n")).alias("hub"), F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("lo < hi").select("token", F.col("hub.fp").alias("b"), F.col("hub.n").alias("nb"))
+    shared = materialize(posts.drop("q").join(hubs, "token"), "postings")  # postings of two classes or more
+
+    # Stars. A posting's hub is its class with the commonest prefix; a class is verified against the hub that it shares most with.
     stars = shared.where((F.col("fp") != F.col("b")) & sized(F.col("n"), F.col("nb"))).groupBy("fp", "n", "b", "nb").agg(F.count("*").alias("c"))
     best = stars.groupBy("fp", "n").agg(F.max(F.struct("c", "b", "nb")).alias("s")).select(F.col("fp").alias("a"), F.col("n").alias("na"), F.col("s.b").alias("b"), F.col("s.nb").alias("nb"), "s.c")
     # A star pair need not be complete: those with too little in common for a link by far are left to the next step.
-    best = best.where(F.col("c") * 10 >= F.least("na", "nb")).drop("c")
+    best = materialize(best.where(F.col("c") * 10 >= F.least("na", "nb")).drop("c"), "pairs")
     first = materialize(verified(best, reps, docs, order), "stars")
     groups = materialize(connected_components(first), "groups")
 
-    # The rest: postings in which several components meet.
-    own = shared.select("token", "fp", "n").join(groups.withColumnRenamed("node", "fp"), "fp", "left").select("token", "fp", "n", F.coalesce("component", "fp").alias("g"))
+    # The rest: postings in which several components meet. If two sets link, their first common shingle stands early enough in both to leave
+    # room for the least overlap of their sizes.
+    own = shared.select("token", "fp", "n", "pos").join(groups.withColumnRenamed("node", "fp"), "fp", "left").select("token", "fp", "n", "pos", F.coalesce("component", "fp").alias("g")).repartition("token")
     mixed = own.groupBy("token").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo < hi").select("token")
     own = own.join(mixed, "token", "left_semi")
-    a, b = own.select("token", F.col("fp").alias("a"), F.col("n").alias("na"), F.col("g").alias("ga")), own.select("token", F.col("fp").alias("b"), F.col("n").alias("nb"), F.col("g").alias("gb"))
-    met = a.join(b, "token").where((F.col("a") < F.col("b")) & (F.col("ga") != F.col("gb")) & sized(F.col("na"), F.col("nb")))
-    rest = lambda n: F.ceil(n * JACCARD_NUM / JACCARD_DEN) - 1  # noqa: E731  what lies behind a prefix
-    more = met.groupBy("a", "na", "b", "nb").agg(F.count("*").alias("c")).where(F.col("c") + F.greatest(rest(F.col("na")), rest(F.col("nb"))) >= least_overlap(F.col("na"), F.col("nb"))).drop("c")
+    x, y = own.alias("x"), own.alias("y")
+    least = least_overlap(F.col("x.n"), F.col("y.n"))
+    met = x.join(y, F.col("x.token") == F.col("y.token")).where((F.col("x.fp") < F.col("y.fp")) & (F.col("x.g") != F.col("y.g")) & sized(F.col("x.n"), F.col("y.n")) & (F.col("x.pos") <= F.col("x.n") - least) & (F.col("y.pos") <= F.col("y.n") - least))
+    more = materialize(met.select(F.col("x.fp").alias("a"), F.col("x.n").alias("na"), F.col("y.fp").alias("b"), F.col("y.n").alias("nb")).distinct(), "pairs")
     links = first.union(verified(more, reps, docs, order))
     nodes = connected_components(links)
     label = reps.select("fp", "doc_id").join(nodes.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.col("doc_id").alias("class_id"), F.coalesce("component", "fp").alias("component"))
