@@ -104,3 +104,22 @@ def stub_endpoints(entities: DataFrame, contribs: DataFrame) -> DataFrame:
     """Ends of edges that no entity stands for."""
     ends = contribs.select(F.explode(F.array("source_id", "target_id")).alias("entity_id")).distinct()
     return ends.join(entities.select("entity_id"), "entity_id", "left_anti")
+
+
+def merged_entities(old: DataFrame, facts: DataFrame) -> DataFrame:
+    """old (entity_id, frequency, file_paths, chunk_ids) with facts (entity_id, file_path, chunk_id) merged in: each fact counts once more,
+    files and chunks are appended where they are missing."""
+    new = facts.groupBy("entity_id").agg(F.count("*").alias("k"), F.array_sort(F.collect_set("file_path")).alias("f"), F.array_sort(F.collect_set("chunk_id")).alias("c"))
+    none = lambda c: F.coalesce(c, F.array().cast(old.schema["file_paths" if c == "f" or c == "file_paths" else "chunk_ids"].dataType))
+    out = old.join(new, "entity_id", "full_outer")
+    return out.select("entity_id", (F.coalesce("frequency", F.lit(0)) + F.coalesce("k", F.lit(0))).alias("frequency"), F.array_union(none("file_paths"), none("f")).alias("file_paths"), F.array_union(none("chunk_ids"), none("c")).alias("chunk_ids"))
+
+
+def listed(communities: DataFrame, limit: int) -> DataFrame:
+    """The first communities by level and id: sorted, then limited."""
+    return communities.orderBy("level", "community_id").limit(limit)
+
+
+def entity_map(facts: DataFrame) -> DataFrame:
+    """Membership without repeats: (community_id, entity_id, build_id)."""
+    return facts.dropDuplicates(["community_id", "entity_id", "build_id"])
