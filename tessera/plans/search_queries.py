@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import scalars
-from tessera.operators import search
+from tessera.operators import search, sync
 from tessera.sources import catalog
 from tessera.sources.catalog import sql
 
@@ -113,10 +113,8 @@ def f3_within(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("select a.s as a, b.s as b from (select distinct '/corpus/' || source as s from documents) a, (select distinct '/corpus/' || source || '/en' as s from documents) b where starts_with(b.s, a.s || '/')")
 def f4_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # Both sides are the few distinct roots.
-    a = catalog.table(spark, sf_dir, "documents").select(F.concat(F.lit("/corpus/"), F.col("source")).alias("a")).distinct()
-    b = a.select(F.concat(F.col("a"), F.lit("/en")).alias("b"))
-    return a.join(F.broadcast(b), scalars.overlaps("a", "b"))
+    a = catalog.table(spark, sf_dir, "documents").select(F.concat(F.lit("/corpus/"), F.col("source")).alias("path")).distinct()
+    return sync.lock_conflicts(a.union(a.select(F.concat(F.col("path"), F.lit("/en")))))
 
 
 @query(sql("facts", "entities") + "select name, type from entities where contains(name_lower, 'er 1') order by name_lower, entity_id limit 25")
