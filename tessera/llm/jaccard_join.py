@@ -35,7 +35,8 @@ ORDER_BITS = 22
 ORDER_BUCKETS = 1 << ORDER_BITS
 FRAGMENTS = 8
 SKETCH_BLOCK = 1 << 16
-TWICE_BITS, TWICE_BLOCKS = 1 << 27, 64
+#: Places for each prefix shingle, and the most places: a bitmap of at most 128 MB. Beyond it more postings than need be travel.
+TWICE_PLACES, MAX_TWICE_BITS, TWICE_BLOCKS = 8, 1 << 30, 64
 SENT = 1 << 20  # places sent at a time
 
 
@@ -130,12 +131,14 @@ def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, order) -> DataF
 
 
 def shared_places(prefixes: DataFrame, reps_map) -> np.ndarray:
-    """A bitmap of fixed size: where a prefix shingle's hashed place is taken twice or more. A shingle alone in its place
+    """A bitmap of bounded size: where a prefix shingle's hashed place is taken twice or more. A shingle alone in its place
     has no partner, so its posting need not travel. Places are sent as 32-bit numbers, sorted by blocks."""
-    size = TWICE_BITS // TWICE_BLOCKS
+    n = prefixes.agg(F.coalesce(F.sum(F.size("prefix")), F.lit(0)).alias("n")).first()["n"]
+    bits = min(MAX_TWICE_BITS, max(1 << 16, 1 << (TWICE_PLACES * n).bit_length()))
+    size = bits // TWICE_BLOCKS
 
     def sent(own: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        for k, part in _blocks(np.sort(place_of(np.concatenate(own))), size):
+        for k, part in _blocks(np.sort(place_of(np.concatenate(own), bits)), size):
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([part.astype("<u4").tobytes()], pa.binary())], ["block", "places"])
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,8 +175,8 @@ def _blocks(at: np.ndarray, size: int) -> Iterator[tuple[int, np.ndarray]]:
         yield int(k), at[edges[k] : edges[k + 1]]
 
 
-def place_of(tokens: np.ndarray) -> np.ndarray:
-    return (mix(tokens) & np.uint64(TWICE_BITS - 1)).astype(np.int64)
+def place_of(tokens: np.ndarray, bits: int) -> np.ndarray:
+    return (mix(tokens) & np.uint64(bits - 1)).astype(np.int64)
 
 
 def link(docs: DataFrame) -> DataFrame:
@@ -208,7 +211,7 @@ def link(docs: DataFrame) -> DataFrame:
             of = np.repeat(np.arange(len(size)), size)
             # How rare a class's prefix is: the shingle at a quarter of it. Of near copies, the one with the fewest words of its own ranks highest.
             common_ = (tokens[edges[:-1] + size // 4] >> np.uint64(1)).view(np.int64) if len(size) else np.zeros(0, np.int64)
-            at = place_of(tokens)
+            at = place_of(tokens, 8 * len(twice.value))
             keep = np.flatnonzero(twice.value[at >> 3] >> (at & 7).astype(np.uint8) & 1)
             of = of[keep]
             take = pa.array(of)
