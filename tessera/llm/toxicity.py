@@ -30,7 +30,7 @@ RANK = 8
 PREFIXES = (4, 6)
 MIN_DF = 20
 SAMPLE_TOXIC, SAMPLE_CLEAN = 4000, 8000
-EPOCHS, BATCH, RATE, PENALTY = 6, 128, 0.05, 1e-3
+EPOCHS, BATCH, RATE, PENALTY = 10, 128, 0.08, 6e-3
 CALIBRATION = 6  # every sixth sampled row is kept from the fit, to turn the machine's sums into probabilities
 THRESHOLD = 0.7
 SCORE = "__toxic_score"
