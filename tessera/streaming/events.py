@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -43,14 +43,10 @@ def debounced_table(events: DataFrame, quiet: float = QUIET_S, max_age: float =
 
     Pauses part a root's events into bursts by window functions; only a burst, which must be read in order for the age rule, is one group.
     """
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("root_id").orderBy("ts", "path")
     e = events.select("root_id", "path", F.col("ts").cast("timestamp").cast("double").alias("t"))
-    wt = Window.partitionBy("root_id").orderBy("t", "path")
-    new = F.coalesce((F.col("t") - F.lag("t").over(wt) >= quiet).cast("int"), F.lit(0))
-    e = e.withColumn("new", new).withColumn("burst", F.sum("new").over(wt)).drop("new")
-    del w
+    w = Window.partitionBy("root_id").orderBy("t", "path")
+    new = F.coalesce((F.col("t") - F.lag("t").over(w) >= quiet).cast("int"), F.lit(0))
+    e = e.withColumn("new", new).withColumn("burst", F.sum("new").over(w)).drop("new")
 
     def run(x: pd.DataFrame) -> pd.DataFrame:
         x = x.sort_values(["t", "path"])
