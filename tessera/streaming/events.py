@@ -54,7 +54,11 @@ def debounced_table(events: DataFrame, quiet: float = QUIET_S, max_age: float =
         g = x.groupby("part")
         return pd.DataFrame({"root_id": g.root_id.first(), "burst": g.burst.first(), "part": g.part.first(), "first_ts": g.t.min(), "last_ts": g.t.max(), "n_events": g.t.size(), "paths": g.path.agg(lambda p: sorted(set(p)))})
 
-    return e.groupBy("root_id", "burst").applyInPandas(run, "root_id string, burst long, part int, first_ts double, last_ts double, n_events long, paths array<string>")
+    # Only bursts that last max_age can be parted; all others, nearly all, are batches as they are.
+    bursts = e.groupBy("root_id", "burst").agg(F.lit(0).alias("part"), F.min("t").alias("first_ts"), F.max("t").alias("last_ts"), F.count("*").alias("n_events"), F.array_sort(F.collect_set("path")).alias("paths"))
+    lasting = F.col("last_ts") - F.col("first_ts") >= max_age
+    parted = e.join(bursts.where(lasting).select("root_id", "burst"), ["root_id", "burst"], "left_semi").groupBy("root_id", "burst").applyInPandas(run, "root_id string, burst long, part int, first_ts double, last_ts double, n_events long, paths array<string>")
+    return bursts.where(~lasting).unionByName(parted)
 
 
 def debounced_stream(events: DataFrame, quiet: float = QUIET_S, max_age: float = MAX_AGE_S) -> DataFrame:

@@ -266,6 +266,13 @@ def test_debounce_rule(times, want):
     assert events.split_batches(times) == want
 
 
+def test_debounced_table_parts_lasting_bursts(spark):
+    times = [0.0, 1.0, 5.0] + [100.0 + i for i in range(13)]
+    e = spark.createDataFrame([("/r", f"/r/f{i}", t) for i, t in enumerate(times)], "root_id string, path string, s double").withColumn("ts", F.timestamp_seconds("s"))
+    got = sorted((r.first_ts, r.n_events) for r in events.debounced_table(e).collect())
+    assert got == [(0.0, 2), (5.0, 1), (100.0, 10), (110.0, 3)]
+
+
 def test_moves_and_apply(spark):
     e = spark.createDataFrame([("/r", "/r/tmp", "created", None), ("/r", "/r/tmp", "moved", "/r/x"), ("/r", "/r/tmp", "deleted", None)], "root_id string, path string, kind string, moved_to string").withColumn("ts", F.lit("2024-01-01").cast("timestamp"))
     f = events.file_events(e)
