@@ -42,10 +42,11 @@ def neighbours(edge_table: DataFrame, seeds: DataFrame, depth: int, edge_types:
     Only the frontier is expanded; what was seen is taken out by an anti-join, and lineage is cut at each step.
     """
     e = edge_table if edge_types is None else edge_table.where(F.col("edge_type").isin(edge_types))
-    both = e.select(F.col("source_id").alias("a"), F.col("target_id").alias("b")).union(e.select("target_id", "source_id")).where("a <> b").distinct()
+    both = e.select(F.col("source_id").alias("a"), F.col("target_id").alias("b")).union(e.select("target_id", "source_id")).where("a <> b")
     spark = edge_table.sparkSession
     seen = frontier = seeds.select("entity_id").distinct().withColumn("hops", F.lit(0))
     cut = (lambda d: d.checkpoint()) if spark.sparkContext._jsc.sc().getCheckpointDir().isDefined() else (lambda d: d)
+    both = cut(both) if depth > 1 else both  # read at every step, so made once
     for k in range(1, depth + 1):
         step = frontier.join(both, frontier.entity_id == both.a).select(F.col("b").alias("entity_id")).distinct()
         frontier = cut(step.join(seen, "entity_id", "left_anti").withColumn("hops", F.lit(k)))
