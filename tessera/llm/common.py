@@ -110,6 +110,21 @@ def _power(base: int, n: int) -> np.ndarray:
     return have[:n]
 
 
+def word_spans(raw: list[bytes], space: np.ndarray = _SPACE) -> tuple:
+    """(bytes of all texts, start and end of each word, offsets of each text's words, sums of hashed bytes, what brings a sum back to its start)."""
+    buf = np.frombuffer(b" ".join(raw) + b" ", np.uint8)
+    ends_at = np.cumsum(np.fromiter((len(r) + 1 for r in raw), np.int64, len(raw)))
+    apart = space[buf]
+    edge = np.flatnonzero(apart[1:] != apart[:-1]) + 1
+    if not apart[0]:
+        edge = np.concatenate(([0], edge))
+    start, end = edge[0::2], edge[1::2]
+    total = np.zeros(len(buf) + 1, np.uint64)
+    np.cumsum(_BYTE[buf] * _power(_BASE, len(buf)), out=total[1:])
+    offsets = np.concatenate(([0], np.searchsorted(start, ends_at))).astype(np.int64)
+    return buf, start, end, offsets, total, _power(_BASE_INV, len(buf))[start]
+
+
 def word_hashes(texts: list[str | None], space: np.ndarray = _SPACE, prefixes: tuple[int, ...] = ()) -> tuple:
     """64-bit hashes of all words (A-Z lower-cased) of the texts in order; space marks the bytes between words.
 
@@ -117,19 +132,8 @@ def word_hashes(texts: list[str | None], space: np.ndarray = _SPACE, prefixes: t
     2, offsets of the words of each text, one more than texts), and for each length of prefixes the hash of so
     many leading bytes of every word, 0 where the word is not longer.
     """
-    raw = [b"" if t is None else t.encode("utf-8", "surrogatepass").lower() for t in texts]
-    buf = np.frombuffer(b" ".join(raw) + b" ", np.uint8)
-    ends_at = np.cumsum(np.fromiter((len(r) + 1 for r in raw), np.int64, len(raw)))
-    space = space[buf]
-    edge = np.flatnonzero(space[1:] != space[:-1]) + 1
-    if not space[0]:
-        edge = np.concatenate(([0], edge))
-    start, end = edge[0::2], edge[1::2]
-    total = np.zeros(len(buf) + 1, np.uint64)
-    np.cumsum(_BYTE[buf] * _power(_BASE, len(buf)), out=total[1:])
-    back = _power(_BASE_INV, len(buf))[start]
+    buf, start, end, offsets, total, back = word_spans([b"" if t is None else t.encode("utf-8", "surrogatepass").lower() for t in texts], space)
     h = mix((total[end] - total[start]) * back)
-    offsets = np.concatenate(([0], np.searchsorted(start, ends_at))).astype(np.int64)
     heads = [np.where(end - start > k, mix((total[np.minimum(start + k, len(buf))] - total[start]) * back + np.uint64(k)), np.uint64(0)) for k in prefixes]
     stops = _STOP[buf[end - 1]] | (buf[end] == 10) * 2 if len(end) else np.zeros(0, np.int64)
     return h, stops, offsets, *heads
@@ -210,20 +214,22 @@ def chosen(x: pa.RecordBatch, flags: np.ndarray) -> pa.RecordBatch:
     return x.take(pa.array(np.flatnonzero(flags[k, p >> 3] >> (p & 7).astype(np.uint8) & 1)))
 
 
-def sieve(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows (doc_id, text) of docs whose doc_id may be one of ids: all that are, and few others.
+def sieve(docs: DataFrame, ids: DataFrame, make: Callable[[list, list], pa.RecordBatch], schema: str) -> DataFrame:
+    """make(doc_ids, texts) for the rows of docs whose doc_id may be one of ids: all that are, and few others.
 
     Only a bitmap of fixed size is broadcast, so texts that are not asked for are neither shuffled nor cut up. What passes
     by chance has to be told apart by what follows.
     """
     need = docs.sparkSession.sparkContext.broadcast(marked(ids))
 
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
-            yield chosen(x, need.value).select(["doc_id", "text"])
+            own = chosen(x, need.value)
+            if own.num_rows:
+                yield make(own.column("doc_id").to_pylist(), own.column("text").to_pylist())
 
     own = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return placed(own).mapInArrow(keep, "doc_id long, text string")
+    return placed(own).mapInArrow(run, schema)
 
 
 def sized(na: Column, nb: Column) -> Column:

@@ -44,10 +44,10 @@ class Order:
     """The global order: a one-to-one renaming of shingle hashes whose numbers are in that order, and the pivots."""
 
     def __init__(self, counts: np.ndarray):
-        by = np.lexsort((np.arange(len(counts)), counts))
+        by = np.argsort(counts, kind="stable")  # ties in order of the buckets
         self.rank = np.empty(len(counts), np.uint32)
         self.rank[by] = np.arange(len(counts), dtype=np.uint32)
-        mass = np.cumsum(counts[by])
+        mass = np.cumsum(counts[by], dtype=np.int64)
         at = np.searchsorted(mass, mass[-1] * np.arange(1, FRAGMENTS) / FRAGMENTS) if mass[-1] else np.arange(1, FRAGMENTS)
         self.pivots = at.astype(np.uint64) << np.uint64(64 - ORDER_BITS)
 
@@ -86,12 +86,12 @@ def count_order(docs: DataFrame) -> Order:
                 own = np.frombuffer(c.as_buffer(), np.uint8).reshape(4, -1).T.copy().view(np.uint32).ravel()
                 total[k] = total[k] + own if k in total else own.astype(np.int64)
         for k, v in total.items():
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([v.tobytes()], pa.binary())], ["block", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([np.minimum(v, 0xFFFFFFFF).astype(np.uint32).tobytes()], pa.binary())], ["block", "counts"])
 
     parts = docs.select("text").mapInArrow(count, "block int, counts binary").repartition(16, "block").mapInArrow(add, "block int, counts binary")
-    counts = np.zeros(ORDER_BUCKETS, np.int64)
-    for r in parts.collect():
-        counts[r["block"] * SKETCH_BLOCK : (r["block"] + 1) * SKETCH_BLOCK] = np.frombuffer(r["counts"], np.int64)
+    counts = np.zeros(ORDER_BUCKETS, np.uint32)
+    for r in parts.toLocalIterator():
+        counts[r["block"] * SKETCH_BLOCK : (r["block"] + 1) * SKETCH_BLOCK] = np.frombuffer(r["counts"], np.uint32)
     return Order(counts)
 
 
@@ -114,20 +114,19 @@ def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, order) -> DataF
     """(a, b) of pairs (a, na, b, nb) that link, verified on their texts."""
     need = pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct().join(reps.select("fp", "doc_id"), "fp")
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for x in batches:
-            rows = ([], [], [])
-            for s in common.shingle_sets(x.column(1).to_pylist()):
-                if len(s):
-                    s = order.value.rename(s)
-                    fp = print_of(s)
-                    for f, part in enumerate(order.value.fragments(s)):
-                        if len(part):
-                            for c, v in zip(rows, (fp, f, signed(part))):
-                                c.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.int32()), pa.array(rows[2], pa.list_(pa.int64()))], ["fp", "f", "part"])
-
-    return linked(pairs, sieve(docs, need).mapInArrow(cut, "fp long, f int, part array<long>"), FRAGMENTS)
+    def cut(ids: list[int], texts: list[str]) -> pa.RecordBatch:
+        rows = ([], [], [])
+        for s in common.shingle_sets(texts):
+            if len(s):
+                s = order.value.rename(s)
+                fp = print_of(s)
+                for f, part in enumerate(order.value.fragments(s)):
+                    if len(part):
+                        for c, v in zip(rows, (fp, f, signed(part))):
+                            c.append(v)
+        return pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.int32()), pa.array(rows[2], pa.list_(pa.int64()))], ["fp", "f", "part"])
+
+    return linked(pairs, sieve(docs, need, cut, "fp long, f int, part array<long>"), FRAGMENTS)
 
 
 def shared_places(prefixes: DataFrame, reps_map) -> np.ndarray:
