@@ -1,16 +1,18 @@
 """Operator 7: token ids in training order, as fixed-stride binary shards.
 
-Documents become token ids with an end id, cut into sequences of at most LENGTH. Sequences are numbered densely, in the
-order of the scan's partitions; a keyed Feistel permutation with cycle-walking turns a number into a global slot, so any
-worker finds any slot without a shuffle of an order. Rows go to the partition of their slot's shard, are sorted there and
-written as records of one stride by Spark's own writer: record i of shard k is slot k * SHARD + i, at byte i * stride,
-so training reads shards from front to back and resumes at any slot by one multiplication.
+Documents become token ids with an end id, cut into sequences of at most LENGTH. Every document has room in a range of
+numbers for as many sequences as its bytes could give; the ranges follow the scan's partitions, whose rooms are counted
+first, so a text is tokenised once. A keyed Feistel permutation with cycle-walking of that range gives every sequence its
+place in a global order, without a shuffle of an order. Records go, in compressed blocks, to the partition of their range
+of places, are put in order there and written with one stride by Spark's own writer. Numbers that no sequence has taken
+leave no gap: record i of shard k is at byte i * stride, and its global slot is i plus the records of the shards before,
+which their sizes tell. Training reads shards from front to back and resumes at any slot by one multiplication.
 
 A record: doc_id (8 bytes, signed), sequence within the document (4), tokens (2), ids (2 each, PAD beyond the end), a line
 feed; numbers are little-endian. The ids of the vocabulary named must be below PAD.
 
-The scan is read twice, first to count. A partition that does not hold what it held at first fails the job rather than
-leave a hole. Input that is not a plain scan is to be written first.
+The scan is read twice. A partition that does not have the room that it had at first fails the job; input that is not a
+plain scan is to be written first.
 
 Nulls: a null text is empty and becomes the end id alone; a null doc_id is written as NO_ID and read back as null.
 Rows that repeat are written each for itself. Empty tables write no shard.
@@ -23,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,7 +34,9 @@ from .common import mix, new_path
 from .tokens import encoder, word_bpe_path
 
 LENGTH, PAD, END_ID = 256, 0xFFFF, 0
-SHARD = 16_384
+SHARD = 16_384  # records of a shard, about
+GROWTH = 3  # a byte of a text gives at most so many ids: normal forms have up to three times the bytes
+DEALT = 16 << 20  # bytes of records that are dealt to shards at a time
 ROUNDS = 6
 NO_ID = -(1 << 63)
 
@@ -56,66 +61,109 @@ def permuted(x: np.ndarray, n: int, key: int) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def _sequences(ids: bytes, length: int) -> int:
-    return -(-(len(ids) // 2 + 1) // length)
+def _sequences(n_ids: int, length: int) -> int:
+    """Sequences of so many ids and the end id."""
+    return -(-(n_ids + 1) // length)
 
 
-def write_shards(docs: DataFrame, to: str, key: int, path: str | None = None, length: int = LENGTH, shard: int = SHARD) -> int:
-    """Writes all sequences of docs under `to`; returns their number."""
+def write_shards(docs: DataFrame, to: str, key: int, path: str | None = None, length: int = LENGTH, shard: int = SHARD) -> None:
+    """Writes all sequences of docs under `to`."""
     spark = docs.sparkSession
     path = path or word_bpe_path()
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = sum(_sequences(ids, length) for x in batches for ids in encoder(path, 2).encode(x.column(1).to_pylist()))
-        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([n], pa.int64())], ["part", "n"])
-
-    # Two numbers for each partition of the scan.
-    counts = sorted((r["part"], r["n"]) for r in rows.mapInArrow(count, "part int, n long").collect())
+    room = F.ceil((GROWTH * F.coalesce(F.octet_length("text"), F.lit(0)) + 1) / length)
+    # A number for each partition of the scan.
     total, first = 0, {}
-    for part, n in counts:
-        first[part] = (total, n)
-        total += n
+    for r in sorted(rows.select(F.spark_partition_id().alias("part"), room.alias("room")).groupBy("part").agg(F.sum("room").alias("room")).collect()):
+        first[r["part"]] = total, r["room"]
+        total += r["room"]
     if not total:
-        return 0
-    begin = spark.sparkContext.broadcast(first)
+        return
     kind = record(length)
+    n_shards = -(-total // (8 * shard))  # about an eighth of the room is taken
+    begin = spark.sparkContext.broadcast(first)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, n = begin.value[TaskContext.get().partitionId()]
-        end = at + n
+        """Texts' records with their places, by shard, compressed for about DEALT bytes at a time."""
+        zip_ = zstandard.ZstdCompressor(level=3)
+        at, limit = begin.value.get(TaskContext.get().partitionId(), (0, 0))
+        limit += at
+
+        def sent(held: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+            place, out = np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
+            turn = np.argsort(place)
+            place, out = place[turn], out[turn]
+            to_shard = place * n_shards // total if total * n_shards < 1 << 62 else (place / (total / n_shards)).astype(np.int64)
+            edges = np.concatenate([[0], np.flatnonzero(np.diff(to_shard)) + 1, [len(place)]])
+            own = [zip_.compress(place[a:b].astype("<i8").tobytes() + out[a:b].tobytes()) for a, b in zip(edges[:-1], edges[1:])]
+            yield pa.RecordBatch.from_arrays([pa.array(to_shard[edges[:-1]].astype(np.int32)), pa.array(np.diff(edges), pa.int64()), pa.array(own, pa.binary())], ["shard", "n", "block"])
+
+        held, size = [], 0
         for x in batches:
-            ids = encoder(path, 2).encode(x.column(1).to_pylist())
-            n_own = np.array([_sequences(i, length) for i in ids], np.int64)
+            texts = x.column(1).to_pylist()
+            if not texts:
+                continue
+            ids = encoder(path, 2).encode(texts)
+            rooms = np.array([_sequences(GROWTH * len((t or "").encode("utf-8", "surrogatepass")), length) for t in texts], np.int64)
+            n_own = np.array([_sequences(len(i), length) for i in ids], np.int64)
             of = np.repeat(np.arange(len(ids)), n_own)
-            seq = np.arange(len(of)) - np.repeat(np.cumsum(n_own) - n_own, n_own)
             out = np.zeros(len(of), kind)
-            out["doc_id"] = x.column(0).fill_null(NO_ID).to_numpy()[of] if len(of) else 0
-            out["seq"], out["ids"], out["feed"] = seq, PAD, 10
+            out["doc_id"] = x.column(0).fill_null(NO_ID).to_numpy()[of]
+            out["seq"], out["feed"] = np.arange(len(of)) - np.repeat(np.cumsum(n_own) - n_own, n_own), 10
             k = 0
-            for own in ids:
-                t = np.frombuffer(own + END_ID.to_bytes(2, "little"), "<u2")
-                for a in range(0, len(t), length):
-                    part = t[a : a + length]
-                    out["ids"][k, : len(part)] = part
-                    out["n"][k] = len(part)
-                    k += 1
-            slots = permuted(np.arange(at, at + len(of)), total, key)
-            at += len(of)
-            raw = out.tobytes()
-            yield pa.RecordBatch.from_arrays([pa.array(slots), pa.array([raw[i : i + kind.itemsize - 1] for i in range(0, len(raw), kind.itemsize)], pa.binary())], ["slot", "record"])
-        if at != end:
+            for own, m in zip(ids, n_own):
+                t = np.full(m * length, PAD, "<u2")
+                t[: len(own)], t[len(own)] = own, END_ID
+                out["ids"][k : k + m] = t.reshape(m, length)
+                out["n"][k : k + m] = length
+                out["n"][k + m - 1] = len(own) + 1 - (m - 1) * length
+                k += m
+            held.append((permuted(at + (np.cumsum(rooms) - rooms)[of] + out["seq"], total, key), out))
+            at += int(rooms.sum())
+            if at > limit:
+                break
+            size += out.nbytes
+            if size > DEALT:
+                yield from sent(held)
+                held, size = [], 0
+        if at != limit:
             raise RuntimeError("a partition of the scan changed between the two readings; write the table first")
+        if held:
+            yield from sent(held)
 
-    dealt = rows.mapInArrow(deal, "slot long, record binary").repartitionById(-(-total // shard), (F.col("slot") / shard).cast("int"))
+    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """One shard's records in order of their slots."""
+        unzip, slots, out = zstandard.ZstdDecompressor(), [], []
+        for x in batches:
+            for n, block in zip(x.column("n").to_pylist(), x.column("block").to_pylist()):
+                raw = unzip.decompress(block)
+                slots.append(np.frombuffer(raw[: 8 * n], "<i8"))
+                out.append(np.frombuffer(raw[8 * n :], kind))
+        if out:
+            r = np.concatenate(out)[np.argsort(np.concatenate(slots))]
+            for a in range(0, len(r), 2048):
+                raw = r[a : a + 2048].tobytes()
+                yield pa.RecordBatch.from_arrays([pa.array([raw[i : i + kind.itemsize - 1] for i in range(0, len(raw), kind.itemsize)], pa.binary())], ["record"])
+
+    dealt = rows.mapInArrow(deal, "shard int, n long, block binary").repartitionById(n_shards, F.col("shard"))
     # The writer puts the bytes of strings as they are and a line feed after each, so records keep their stride.
-    dealt.sortWithinPartitions("slot").select(F.col("record").cast("string").alias("value")).write.option("compression", "none").text(to)
-    return total
+    dealt.mapInArrow(put, "record binary").select(F.col("record").cast("string").alias("value")).write.option("compression", "none").text(to)
+
+
+def shard_bases(spark: SparkSession, path: str, length: int = LENGTH) -> dict[int, int]:
+    """The global slot of each shard's first record: a number for each file, from the files' sizes alone."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
+    out, at = {}, 0
+    for r in sorted(files.select(F.regexp_extract("path", r"part-(\d+)", 1).cast("int").alias("shard"), "length").collect()):
+        out[r["shard"]] = at
+        at += r["length"] // record(length).itemsize
+    return out
 
 
-def read_shards(spark: SparkSession, path: str, length: int = LENGTH, shard: int = SHARD) -> DataFrame:
+def read_shards(spark: SparkSession, path: str, length: int = LENGTH) -> DataFrame:
     """What the shards hold: (slot, shard, byte_offset, doc_id, seq, n_tokens, ids_crc32, ids)."""
     kind = record(length)
+    bases = spark.sparkContext.broadcast(shard_bases(spark, path, length))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
@@ -124,11 +172,14 @@ def read_shards(spark: SparkSession, path: str, length: int = LENGTH, shard: int
                 raw = content.as_buffer()
                 if len(raw) % kind.itemsize:
                     raise RuntimeError(f"shard {k} is cut short")
-                r = np.frombuffer(raw, kind)
-                n = r["n"].astype(np.int64)
-                ids = [i[:m].tobytes() for i, m in zip(r["ids"], n)]
-                doc = pa.array(r["doc_id"], pa.int64(), mask=r["doc_id"] == NO_ID)
-                yield pa.RecordBatch.from_arrays([pa.array(k * shard + np.arange(len(r))), pa.array(np.full(len(r), k, np.int32)), pa.array(np.arange(len(r)) * kind.itemsize), doc, pa.array(r["seq"].astype(np.int64)), pa.array(n), pa.array([zlib.crc32(i) for i in ids], pa.int64()), pa.array(ids, pa.binary())], ["slot", "shard", "byte_offset", "doc_id", "seq", "n_tokens", "ids_crc32", "ids"])
+                every = np.frombuffer(raw, kind)
+                for a in range(0, len(every), 4096):
+                    r = every[a : a + 4096]
+                    n = r["n"].astype(np.int64)
+                    ids = [i[: 2 * m] for i, m in zip(map(bytes, np.ascontiguousarray(r["ids"]).view("u1")), n.tolist())]
+                    at = a + np.arange(len(r))
+                    doc = pa.array(r["doc_id"].copy(), pa.int64(), mask=r["doc_id"] == NO_ID)
+                    yield pa.RecordBatch.from_arrays([pa.array(bases.value[k] + at), pa.array(np.full(len(r), k, np.int32)), pa.array(at * kind.itemsize), doc, pa.array(r["seq"].astype(np.int64)), pa.array(n), pa.array(list(map(zlib.crc32, ids)), pa.int64()), pa.array(ids, pa.binary())], ["slot", "shard", "byte_offset", "doc_id", "seq", "n_tokens", "ids_crc32", "ids"])
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
     return files.select(F.regexp_extract("path", r"part-(\d+)", 1).alias("k"), "content").mapInArrow(run, "slot long, shard int, byte_offset long, doc_id long, seq long, n_tokens long, ids_crc32 long, ids binary")
@@ -138,6 +189,7 @@ def training_order(docs: DataFrame, key: int = 20_240_601) -> DataFrame:
     """Writes docs in training order in the shared folder and returns what is read back, without the ids."""
     spark = docs.sparkSession
     to = new_path(spark, "shards")
-    if not write_shards(docs, to, key):
+    write_shards(docs, to, key)
+    if docs.isEmpty():
         return spark.createDataFrame([], "slot long, shard int, byte_offset long, doc_id long, seq long, n_tokens long, ids_crc32 long")
     return read_shards(spark, to).drop("ids")

@@ -35,7 +35,7 @@ def pieces(docs: DataFrame, path: str, size: int = SIZE) -> DataFrame:
         for x in batches:
             rows, piece, start, length, crc = [], [], [], [], []
             for i, ids in enumerate(encoder(path, 4).encode(x.column(1).to_pylist())):
-                ids += END_ID.to_bytes(4, "little")
+                ids = ids.tobytes() + END_ID.to_bytes(4, "little")
                 for k, at in enumerate(range(0, len(ids), 4 * size)):
                     part = ids[at : at + 4 * size]
                     rows.append(i)
