@@ -7,9 +7,12 @@ stops is cut alike everywhere). A paragraph's set holds its distinct five-word s
 
 Paragraphs with equal sets are one class, found by a print of the set. Lines that are not equal are banded: BANDS bands
 of BAND_ROWS minimum hashes find pairs of similarity 0.75 with probability 1 - (1 - 0.75^2)^6 = 0.993. Every class of a
-band is paired with the band's hub alone, never all with all; the pairs are verified by their exact Jaccard similarity, and
-what links is clustered by components. Of a cluster the occurrence with the smallest (doc_id, first word) is kept; the
-others are removals. Only clusters over two documents or more count.
+band is first paired with the band's hub; the pairs are verified by their exact Jaccard similarity, and what links gives
+components. Then the pairs of a band that still lie in different components are compared too, so that no pair between
+components is missed: first by sketches of SKETCH_BITS parities, which differ in no more bits than the sets in shingles and
+so drop no pair that links, and what passes by exact similarity. Of a cluster the
+occurrence with the smallest (doc_id, first word) is kept; the others are removals. Only clusters over two documents or
+more count.
 
 Nulls: null texts and those with fewer than MIN_WORDS words have no paragraphs; rows with a null doc_id are ignored. Rows
 that repeat a doc_id are one document. Empty tables give no rows.
@@ -25,12 +28,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .common import connected_components, linked, materialize, mix, sieve, signed, sized
+from .common import JACCARD_DEN, JACCARD_NUM, connected_components, linked, materialize, mix, sieve, signed, sized
 
 MIN_WORDS, MAX_WORDS = 30, 96
 BANDS, BAND_ROWS = 6, 2
 _TURNS = (mix(np.arange(1, BANDS * BAND_ROWS + 1, dtype=np.uint64)) | np.uint64(1)).tolist()
-UNITS = "doc_id long, is_line boolean, first_word int, n_words int, n int, fp long, bands array<long>"
+#: Classes of a band that one task pairs with all others of it; a band of more is dealt to several, SALTS at most.
+SALTED, SALTS = 128, 256
+SKETCH_BITS = 256
+SKETCH = [f"s{k}" for k in range(SKETCH_BITS // 64)]
+UNITS = "doc_id long, is_line boolean, first_word int, n_words int, n int, fp long, bands array<long>, sketch array<long>"
 
 
 def paragraphs(h: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
@@ -55,6 +62,12 @@ def set_of(every: np.ndarray, a: int, b: int) -> np.ndarray:
     return common.distinct(every[a : b - common.SHINGLE_WORDS + 1])
 
 
+def sketch_of(shingles: np.ndarray) -> np.ndarray:
+    """For each of SKETCH_BITS places, whether an odd number of the shingles falls there."""
+    odd = np.bincount((shingles % np.uint64(SKETCH_BITS)).astype(np.int64), minlength=SKETCH_BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for x in batches:
         ids, texts = x.column(0).to_pylist(), x.column(1).to_pylist()
@@ -74,18 +87,23 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 # Equal runs of shingles have equal sums; sets are compared by these, which also tell repeats within a paragraph.
                 fp = mix((total[e] - total[s]) ^ (e - s).astype(np.uint64))
                 k = lines
+                n = (e - s).astype(np.int32)  # of lines, their distinct shingles
                 bands: list = [None] * len(a)
+                sketches: list = [None] * len(a)
                 if k:
+                    own = [common.distinct(every[c:d]) for c, d in zip(s[:k], e[:k])]
+                    n[:k] = [len(x) for x in own]
+                    sketches[:k] = map(sketch_of, own)
                     # Lines follow one another: the minimum over each is one reduction.
                     cut = np.stack([s[:k], e[:k]], 1).ravel()
                     cut = cut[:-1] if cut[-1] >= len(every) else cut
                     low = np.stack([np.minimum.reduceat(every * np.uint64(t), cut)[::2] for t in _TURNS], 1)
                     keys = mix(low[:, 0::BAND_ROWS] + mix(low[:, 1::BAND_ROWS]) + np.arange(BANDS, dtype=np.uint64))
                     bands[:k] = list(signed(keys))
-                out.append((np.full(len(a), i, np.int64), np.arange(len(a)) < k, a.astype(np.int32), (b - a).astype(np.int32), (e - s).astype(np.int32), signed(fp), bands))
+                out.append((np.full(len(a), i, np.int64), np.arange(len(a)) < k, a.astype(np.int32), (b - a).astype(np.int32), n, signed(fp), bands, sketches))
         if out:
             c = [np.concatenate([o[j] for o in out]) for j in range(6)]
-            yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.int64()), pa.array(c[1]), pa.array(c[2], pa.int32()), pa.array(c[3], pa.int32()), pa.array(c[4], pa.int32()), pa.array(c[5], pa.int64()), pa.array([b for o in out for b in o[6]], pa.list_(pa.int64()))], ["doc_id", "is_line", "first_word", "n_words", "n", "fp", "bands"])
+            yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.int64()), pa.array(c[1]), pa.array(c[2], pa.int32()), pa.array(c[3], pa.int32()), pa.array(c[4], pa.int32()), pa.array(c[5], pa.int64()), pa.array([b for o in out for b in o[6]], pa.list_(pa.int64())), pa.array([b for o in out for b in o[7]], pa.list_(pa.int64()))], ["doc_id", "is_line", "first_word", "n_words", "n", "fp", "bands", "sketch"])
 
 
 def _line_sets(ids: list[int], texts: list[str | None]) -> pa.RecordBatch:
@@ -105,6 +123,29 @@ def _line_sets(ids: list[int], texts: list[str | None]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.list_(pa.int64()))], ["fp", "part"])
 
 
+def verified(pairs: DataFrame, lines: DataFrame, docs: DataFrame) -> DataFrame:
+    """(a, b) of pairs (a, na, b, nb) of lines that link, verified on their texts."""
+    ids = materialize(pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct().join(lines.select("fp", "doc_id"), "fp"), "needed")
+    sets = sieve(docs, ids, _line_sets, "fp long, part array<long>").join(ids.select("fp"), "fp", "left_semi").dropDuplicates(["fp"])
+    sets = materialize(sets.select("fp", F.lit(0).alias("f"), "part"), "sets")
+    return linked(pairs, sets, 1)
+
+
+def between(bands: DataFrame, lines: DataFrame, groups: DataFrame) -> DataFrame:
+    """(a, na, b, nb): pairs of a band (fp, n, band) in different components (node, component) whose sizes and sketches allow a link. Large bands are dealt to several tasks."""
+    own = bands.join(groups.withColumnRenamed("node", "fp"), "fp", "left").select("band", "fp", "n", F.coalesce("component", "fp").alias("g"))
+    own = materialize(own, "bands")
+    mixed = own.groupBy("band").agg(F.min("g").alias("lo"), F.max("g").alias("hi"), F.count("*").alias("c")).where("lo < hi").select("band", F.least(F.lit(SALTS), F.expr(f"c div {SALTED} + 1")).cast("int").alias("salts"))
+    own = own.join(mixed, "band").join(lines.select("fp", *(F.col("sketch")[k].alias(c) for k, c in enumerate(SKETCH))), "fp")
+    own = materialize(own, "mixed")
+    x = own.withColumn("salt", F.pmod(F.xxhash64("fp"), F.col("salts")).cast("int")).alias("x")
+    y = own.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).alias("y")
+    apart = sum((F.bit_count(F.col(f"x.{c}").bitwiseXOR(F.col(f"y.{c}"))) for c in SKETCH), F.lit(0))
+    alike = apart * (JACCARD_DEN + JACCARD_NUM) <= (F.col("x.n") + F.col("y.n")) * (JACCARD_DEN - JACCARD_NUM)
+    met = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.salt") == F.col("y.salt"))).where((F.col("x.fp") < F.col("y.fp")) & (F.col("x.g") != F.col("y.g")) & sized(F.col("x.n"), F.col("y.n")) & alike)
+    return met.select(F.col("x.fp").alias("a"), F.col("x.n").alias("na"), F.col("y.fp").alias("b"), F.col("y.n").alias("nb")).distinct()
+
+
 def repeated(docs: DataFrame) -> DataFrame:
     """(doc_id, is_line, first_word, n_words, cluster_id, n_occurrences, kept): paragraphs that occur in two documents or more.
 
@@ -118,18 +159,14 @@ def repeated(docs: DataFrame) -> DataFrame:
     twice = classes.where("first.doc_id < last").select("fp", "first", "n_occurrences", F.lit(True).alias("shared"))
 
     # Lines that are not equal but share a band with its hub.
-    lines = units.where("is_line").groupBy("fp", "n").agg(F.min("doc_id").alias("doc_id"), F.min_by("bands", "doc_id").alias("bands"))
+    lines = units.where("is_line").groupBy("fp", "n").agg(F.min("doc_id").alias("doc_id"), F.min_by("bands", "doc_id").alias("bands"), F.min_by("sketch", "doc_id").alias("sketch"))
     lines = materialize(lines, "lines")
     bands = lines.select("fp", "n", F.explode("bands").alias("band"))
     hubs = bands.groupBy("band").agg(F.min(F.struct("fp", "n")).alias("hub"), F.max("fp").alias("last")).where("hub.fp < last").select("band", F.col("hub.fp").alias("b"), F.col("hub.n").alias("nb"))
-    near = bands.join(hubs, "band").where((F.col("fp") != F.col("b")) & sized(F.col("n"), F.col("nb"))).select(F.col("fp").alias("a"), "b").distinct()
-    near = materialize(near, "pairs")
-    ids = materialize(near.select(F.col("a").alias("fp")).union(near.select("b")).distinct().join(lines.select("fp", "doc_id"), "fp"), "needed")
-    sets = sieve(docs, ids, _line_sets, "fp long, part array<long>").join(ids.select("fp"), "fp", "left_semi").dropDuplicates(["fp"])
-    sets = materialize(sets.select("fp", F.lit(0).alias("f"), "part"), "sets")
-    size = sets.select("fp", F.size("part").cast("long").alias("m"))
-    pairs = near.join(size.select(F.col("fp").alias("a"), F.col("m").alias("na")), "a").join(size.select(F.col("fp").alias("b"), F.col("m").alias("nb")), "b")
-    links = linked(pairs, sets, 1)
+    near = bands.join(hubs, "band").where((F.col("fp") != F.col("b")) & sized(F.col("n"), F.col("nb"))).select(F.col("fp").alias("a"), F.col("n").alias("na"), "b", "nb").distinct()
+    stars = materialize(verified(materialize(near, "pairs"), lines, docs), "stars")
+    more = materialize(between(bands, lines, connected_components(stars)), "pairs")
+    links = stars.union(verified(more, lines, docs))
     groups = materialize(connected_components(links), "groups").withColumnRenamed("node", "fp")
 
     alone = classes.join(groups.select("fp"), "fp", "left_semi").where("first.doc_id = last").select("fp", "first", "n_occurrences", F.lit(False).alias("shared"))

@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -146,6 +147,26 @@ def test_paragraphs_find_shared_passages(spark):
     assert paragraphs.removals(docs_of(spark, texts)).count() == sum(not g.kept for g in got)
 
 
+def test_paragraphs_link_every_pair_of_a_band(spark):
+    """Lines of one template meet in bands whose hub is another family; repeats within a line do not count for its size."""
+    r = random.Random(11)
+    template = prose(r, 30)
+    texts = []
+    for k in range(120):
+        line = f"{template} {prose(r, 20)}"
+        texts += [line, edited(r, line, 1)]
+    short = prose(r, 31)
+    texts += [short, f"{short} {short}"]
+    rows = next(paragraphs._units(iter([pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], ["doc_id", "text"])])))
+    bands = {i: set(b) for i, line, b in zip(*(rows.column(c).to_pylist() for c in ("doc_id", "is_line", "bands"))) if line}
+    sets = [shingles_of(t) for t in texts]
+    pairs = [(i, i + 1) for i in range(0, len(texts), 2) if bands[i] & bands[i + 1] and 4 * len(sets[i] & sets[i + 1]) >= 3 * len(sets[i] | sets[i + 1])]
+    assert len(pairs) > 100 and pairs[-1] == (240, 241)
+    cluster = {g.doc_id: g.cluster_id for g in paragraphs.repeated(docs_of(spark, texts)).where("is_line").collect()}
+    lost = [p for p in pairs if cluster.get(p[0]) is None or cluster[p[0]] != cluster.get(p[1])]
+    assert lost == []
+
+
 def distance_to_part(p, t):
     prev = [0] * (len(t) + 1)
     for i, a in enumerate(p):
