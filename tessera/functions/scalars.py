@@ -16,7 +16,6 @@ SECRET_RULES = {
     "aws_access_key_id": r"\bAKIA[0-9A-Z]{16}\b",
     "generic_secret_assignment": r"""(?i)\b(api[_-]?key|secret|token|password|passwd|credential)\b\s*[:=]\s*['"]?[^\s'"]{8,}""",
 }
-SECRET_SCAN_CHARS = 200_000
 
 
 def _c(x: Column | str) -> Column:
@@ -57,9 +56,9 @@ def entity_text(name: Column | str, description: Column | str) -> Column:
     return F.concat(_c(name), F.lit(": "), F.when(F.trim(d) == "", F.lit("(no description)")).otherwise(F.substring(d, 1, 256)))
 
 
-def secret_rules(text: Column | str) -> Column:
-    """The names of the content rules that match in the first 200,000 characters."""
-    t = F.substring(_c(text), 1, SECRET_SCAN_CHARS)
+def secret_rules(text: Column | str, max_chars: int | None = None) -> Column:
+    """The names of the content rules that match in the text, or in its first max_chars characters."""
+    t = _c(text) if max_chars is None else F.substring(_c(text), 1, max_chars)
     return F.array_compact(F.array(*(F.when(t.rlike(rule), F.lit(name)) for name, rule in SECRET_RULES.items())))
 
 

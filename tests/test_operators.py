@@ -45,6 +45,12 @@ def test_content_rule_names_no_value(spark):
     assert [x.r for x in r[:2]] == [["generic_secret_assignment"], []]
 
 
+def test_content_rules_see_the_whole_text(spark):
+    d = spark.createDataFrame([("x " * 100_001 + "secret = 'abcdefgh1'",)], "t string")
+    assert d.select(scalars.secret_rules("t").alias("r")).first().r == ["generic_secret_assignment"]
+    assert d.select(scalars.secret_rules("t", 200_000).alias("r")).first().r == []
+
+
 @pytest.mark.parametrize("path,out", [("/r/build/x.o", True), ("/r/a.log", True), ("/r/src/a.py", False), ("/r/other/foo", False), ("/r/sub/foo", True), ("/r/sub/deep/foo", True)])
 def test_ignore_files(spark, path, out):
     files = {"/r": "build/\n*.log\n", "/r/sub": "foo\n"}
