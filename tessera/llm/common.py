@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import gc
+import re
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,19 +18,24 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from tessera.session import ship
 
-#: Rows in an Arrow batch: whole texts travel in them, so fewer than Spark's default.
-ARROW_ROWS = 500
+#: Rows and bytes in an Arrow batch, whichever is reached first: whole texts travel in them.
+ARROW_ROWS, ARROW_BYTES = 500, 16 << 20
 #: Texts are hashed in buffers of about this many bytes.
 BUFFER_BYTES = 1 << 18
 SHINGLE_WORDS = 5
 #: Two sets link when 100 * intersection >= 75 * union.
 JACCARD_NUM, JACCARD_DEN = 75, 100
-NEED_BITS = 1 << 26
+#: Pairs with one set that a task takes; a set in more is dealt to several tasks.
+HOT_PAIRS, MOST_SALTS = 256, 4096
+FEW_HUBS = 200_000  # so many rows of two numbers may be broadcast
+#: Places in a bitmap of ids: so many for each id, within these bounds (128 MB at most).
+NEED_PLACES, LEAST_NEED_BITS, MOST_NEED_BITS = 16, 1 << 16, 1 << 30
 
 
 def tuned(spark: SparkSession) -> SparkSession:
     """The package on the executors, and Arrow batches small enough for whole texts."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
     return ship(spark)
 
 
@@ -35,10 +43,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return tuned(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def arrow_map(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """df.mapInArrow(run, schema), with the package shipped and batches bounded."""
+    tuned(df.sparkSession)
+    return df.mapInArrow(run, schema)
+
+
+def fresh(names: Iterable[str], base: str) -> str:
+    """base, or base with underscores before it, so that it is none of names."""
+    taken = {n.lower() for n in names}
+    while base.lower() in taken:
+        base = "_" + base
+    return base
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as the cluster names it; a local one only where none is set."""
+    """The folder that driver and executors share, as the cluster names it; a local one only where none is set and all runs in one process."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and the executors share")
         where = tempfile.mkdtemp(prefix="tessera-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where
@@ -52,7 +76,24 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write once in the shared folder and read back: cuts lineage, survives lost executors."""
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written_at = path
+    return out
+
+
+def forget(*tables: DataFrame, clean: bool = True) -> None:
+    """Delete tables of materialize() from which everything has been made that will be.
+
+    Shuffle files and broadcasts of finished steps stay on the executors' disks until the driver collects its garbage, so that
+    is asked for too: long operators would else hold all of their shuffles at once, and the driver's heap only grows.
+    """
+    for t in tables:
+        sc = t.sparkSession.sparkContext
+        path = sc._jvm.org.apache.hadoop.fs.Path(t.written_at)
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+    if clean and tables:
+        gc.collect()
+        sc._jvm.System.gc()
 
 
 def derive(df: DataFrame, keep: list[str], new: str, make: Callable[[list], dict]) -> DataFrame:
@@ -62,17 +103,27 @@ def derive(df: DataFrame, keep: list[str], new: str, make: Callable[[list], dict
     """
     added = T.StructType.fromDDL(new)
     names = [f.name for f in added.fields]
-    schema = T.StructType([f for f in df.select(*keep).schema.fields if f.name not in names] + added.fields)
+    schema = T.StructType([f for f in df.select(*map(quoted, keep)).schema.fields if f.name not in names] + added.fields)
     own = [c for c in keep if c not in names]
     types = pa.schema(to_arrow_schema(added))
-    source = df.select(*own, F.col("text").alias("__text"))
+    source = df.select(*map(quoted, own), F.col("text").alias(fresh(own, "given_text")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
             got = make(x.column(len(own)).to_pylist())
             yield pa.RecordBatch.from_arrays([*x.columns[: len(own)], *(pa.array(got[f.name], f.type) for f in types)], [*own, *names])
 
-    return source.mapInArrow(run, schema)
+    return arrow_map(source, run, schema)
+
+
+def quoted(name: str) -> Column:
+    """A column by its name, whatever is in it."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def share_of(column: Column, share: float) -> Column:
+    """Whether a hash of column is among the smallest `share` of all hashes: a sample that is the same in every run."""
+    return F.pmod(F.xxhash64(column, F.lit(77)), F.lit(1 << 40)) < F.lit(int(min(1.0, share) * (1 << 40)))
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -192,35 +243,41 @@ def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
-def marked(ids: DataFrame) -> np.ndarray:
-    """A bitmap of NEED_BITS, a fixed size, with the places of hashed ids (a column doc_id) set."""
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(NEED_BITS))
-    rows = ids.select(F.bitmap_bucket_number(place).alias("k"), F.bitmap_bit_position(place).alias("p")).groupBy("k").agg(F.bitmap_construct_agg("p").alias("bits")).collect()
-    flags = np.zeros((NEED_BITS // 32768 + 2, 4096), np.uint8)
-    for r in rows:
+def need_bits(n: int) -> int:
+    """The size of a bitmap for n ids. Beyond MOST_NEED_BITS / NEED_PLACES ids it fills up, and more passes than need be."""
+    return min(MOST_NEED_BITS, max(LEAST_NEED_BITS, 1 << (NEED_PLACES * n).bit_length()))
+
+
+def marked(ids: DataFrame, bits: int) -> np.ndarray:
+    """A bitmap with the places of hashed ids (a column doc_id) set."""
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(bits))
+    rows = ids.select(F.bitmap_bucket_number(place).alias("k"), F.bitmap_bit_position(place).alias("p")).groupBy("k").agg(F.bitmap_construct_agg("p").alias("bits"))
+    flags = np.zeros((bits // 32768 + 2, 4096), np.uint8)
+    for r in rows.toLocalIterator():
         flags[r["k"]] = np.frombuffer(r["bits"], np.uint8)
     return flags
 
 
-def placed(df: DataFrame) -> DataFrame:
-    """df with the columns __k and __p: where its doc_id is in such a bitmap."""
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(NEED_BITS))
-    return df.withColumns({"__k": F.bitmap_bucket_number(place), "__p": F.bitmap_bit_position(place)})
+def placed(df: DataFrame, bits: int) -> DataFrame:
+    """df with the columns at_bucket and at_bit: where its doc_id is in such a bitmap."""
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(bits))
+    return df.withColumns({"at_bucket": F.bitmap_bucket_number(place), "at_bit": F.bitmap_bit_position(place)})
 
 
 def chosen(x: pa.RecordBatch, flags: np.ndarray) -> pa.RecordBatch:
     """The rows of a placed() batch that a bitmap marks."""
-    k, p = x.column("__k").to_numpy(), x.column("__p").to_numpy()
+    k, p = x.column("at_bucket").to_numpy(), x.column("at_bit").to_numpy()
     return x.take(pa.array(np.flatnonzero(flags[k, p >> 3] >> (p & 7).astype(np.uint8) & 1)))
 
 
-def sieve(docs: DataFrame, ids: DataFrame, make: Callable[[list, list], pa.RecordBatch], schema: str) -> DataFrame:
-    """make(doc_ids, texts) for the rows of docs whose doc_id may be one of ids: all that are, and few others.
+def sieve(docs: DataFrame, ids: DataFrame, make: Callable[[list, list], pa.RecordBatch], schema: str) -> tuple[DataFrame, Broadcast]:
+    """make(doc_ids, texts) for the rows of docs whose doc_id may be one of ids (a written table): all that are, and few others.
 
-    Only a bitmap of fixed size is broadcast, so texts that are not asked for are neither shuffled nor cut up. What passes
-    by chance has to be told apart by what follows.
+    Only a bitmap of bounded size is broadcast, so texts that are not asked for are neither shuffled nor cut up. What passes
+    by chance has to be told apart by what follows. The broadcast is returned too, to be destroyed once the rows are written.
     """
-    need = docs.sparkSession.sparkContext.broadcast(marked(ids))
+    bits = need_bits(ids.count())
+    need = docs.sparkSession.sparkContext.broadcast(marked(ids, bits))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
@@ -229,7 +286,7 @@ def sieve(docs: DataFrame, ids: DataFrame, make: Callable[[list, list], pa.Recor
                 yield make(own.column("doc_id").to_pylist(), own.column("text").to_pylist())
 
     own = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return placed(own).mapInArrow(run, schema)
+    return arrow_map(placed(own, bits), run, schema), need
 
 
 def sized(na: Column, nb: Column) -> Column:
@@ -238,30 +295,42 @@ def sized(na: Column, nb: Column) -> Column:
 
 
 def linked(pairs: DataFrame, parts: DataFrame, fragments: int) -> DataFrame:
-    """(a, b) of pairs (a, na, b, nb) whose sets link. parts: (fp, f, part), the fragments of each set, which may repeat;
-    overlaps are counted by fragment and summed by pair.
+    """(a, b) of pairs (a, na, b, nb), a written table, whose sets link. parts: (fp, f, part), the fragments of each set, which
+    may repeat; overlaps are counted by fragment and summed by pair.
 
-    Both joins use one exchange of the parts, by set and fragment.
+    Both joins use one exchange of the parts, by set and fragment. A set that is the b of many pairs, as hubs are, would
+    bring all of those to one task: such pairs are dealt over salts, and the fragments of these few sets copied to each.
     """
     one = parts.repartition("fp", "f").dropDuplicates(["fp", "f"])
-    asked = pairs.withColumn("f", F.explode(F.array(*map(F.lit, range(fragments)))))
+    hot = pairs.groupBy("b").agg(F.count("*").alias("c")).where(F.col("c") > HOT_PAIRS).select("b", F.least(F.lit(MOST_SALTS), F.expr(f"c div {HOT_PAIRS} + 1")).cast("int").alias("salts"))
+    hot = materialize(hot, "hot")
+    n_hot = hot.count()
+    few = F.broadcast(hot) if n_hot <= FEW_HUBS else hot
     x, y = one.alias("x"), one.alias("y")
-    left = asked.join(x, (asked.a == F.col("x.fp")) & (asked.f == F.col("x.f"))).select("a", "na", "b", "nb", asked.f.alias("g"), F.col("x.part").alias("pa"))
-    both = left.join(y, (left.b == F.col("y.fp")) & (left.g == F.col("y.f")))
-    overlap = both.select("a", "b", "na", "nb", F.size(F.array_intersect("pa", "y.part")).cast("long").alias("o")).groupBy("a", "b", "na", "nb").agg(F.sum("o").alias("o"))
+
+    def first_side(own: DataFrame) -> DataFrame:
+        asked = own.withColumn("g", F.explode(F.array(*map(F.lit, range(fragments)))))
+        return asked.join(x, (asked.a == F.col("x.fp")) & (asked.g == F.col("x.f"))).drop("fp", "f").withColumnRenamed("part", "pa")
+
+    left = first_side(pairs.join(few, "b", "left_anti") if n_hot else pairs)
+    both = left.join(y, (left.b == F.col("y.fp")) & (left.g == F.col("y.f"))).select("a", "na", "b", "nb", "pa", "part")
+    if n_hot:
+        dealt = first_side(pairs.join(few, "b").withColumn("salt", F.pmod(F.xxhash64("a"), F.col("salts")).cast("int")).drop("salts"))
+        copies = one.join(few.withColumnRenamed("b", "fp"), "fp").select(F.col("fp").alias("b"), F.col("f").alias("g"), "part", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+        both = both.union(dealt.join(copies, ["b", "g", "salt"]).select("a", "na", "b", "nb", "pa", "part"))
+    overlap = both.select("a", "b", "na", "nb", F.size(F.array_intersect("pa", "part")).cast("long").alias("o")).groupBy("a", "b", "na", "nb").agg(F.sum("o").alias("o"))
     return overlap.where(F.col("o") * JACCARD_DEN >= (F.col("na") + F.col("nb") - F.col("o")) * JACCARD_NUM).select("a", "b")
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """(node, component) for every end of an edge; component: the smallest node reachable.
+    """(node, component) for every end of an edge; component: the smallest node reachable. A written table.
 
     Large-star and small-star rounds: each node links to the smallest of its neighbours, until nothing changes.
     No node's neighbours are gathered: every step is a minimum by key and a join. Each round is written in the
-    shared folder. Null ends and self-links are ignored; empty input gives no rows.
+    shared folder, and the one before it deleted. Null ends and self-links are ignored; empty input gives no rows.
     """
     e = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v").distinct()
-    e = materialize(e, "links")
-    nodes = e.select(F.col("u").alias("node")).union(e.select("v")).distinct()
+    first = e = materialize(e, "links")
     state = None
     while True:
         # Large star: the larger neighbours of a node go to the smallest node of its neighbourhood.
@@ -272,9 +341,15 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         least = down.groupBy("u").agg(F.min("v").alias("m"))
         small = down.join(least, "u").select(F.explode(F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x")).select("x.*").where("u <> v").distinct()
-        e = materialize(small, "links")
+        before, e = e, materialize(small, "links")
+        if before is not first:
+            forget(before, clean=False)
         now = tuple(e.agg(F.count("*"), F.sum(F.hash("u", "v").cast("long")), F.bit_xor(F.xxhash64("u", "v"))).first())
         if now == state:
             break
         state = now
-    return nodes.join(e.select(F.col("u").alias("node"), "v"), "node", "left").groupBy("node").agg(F.min(F.coalesce("v", "node")).alias("component"))
+    nodes = first.select(F.col("u").alias("node")).union(first.select("v")).distinct()
+    out = nodes.join(e.select(F.col("u").alias("node"), "v"), "node", "left").groupBy("node").agg(F.min(F.coalesce("v", "node")).alias("component"))
+    out = materialize(out, "components")
+    forget(first, e)
+    return out

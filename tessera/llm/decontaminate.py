@@ -15,12 +15,13 @@ repeat an id are each sought, and the smallest distance is reported.
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import derive
+from .common import derive, fresh, quoted
 
 ERROR_RATE = 0.05
 BLOCK_CHARS = 4_000_000
@@ -119,28 +120,37 @@ def item_blocks(benchmark: DataFrame):
             yield rows
 
 
-def _hits(docs: DataFrame, items: list[tuple[int, str]], keep: list[str]) -> DataFrame:
-    given = docs.sparkSession.sparkContext.broadcast(items)
-    made: list[Finder] = []
+_finders: dict[str, Finder] = {}
+
+
+def finder(key: str, items: list[tuple[int, str]]) -> Finder:
+    """The worker's automaton of a block of items, made once and not for every task; only the last one is kept."""
+    if key not in _finders:
+        _finders.clear()
+        _finders[key] = Finder(items)
+    return _finders[key]
+
+
+def _hits(docs: DataFrame, items: list[tuple[int, str]], keep: list[str], name: str) -> DataFrame:
+    block = docs.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, items))
 
     def make(texts: list[str | None]) -> dict:
-        if not made:
-            made.append(Finder(given.value))
-        return {"__hits": [[{"item_id": i, "distance": d, "end": e} for i, d, e in made[0].find(normal(t))] for t in texts]}
+        own = finder(*block.value)
+        return {name: [[{"item_id": i, "distance": d, "end": e} for i, d, e in own.find(normal(t))] for t in texts]}
 
-    return derive(docs, keep, "__hits array<struct<item_id:long,distance:int,end:long>>", make)
+    return derive(docs, keep, f"{name} array<struct<item_id:long,distance:int,end:long>>", make)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, distance, end_char): the items found in each document; end_char in its normalised text."""
-    found = [_hits(docs, items, ["doc_id"]).select("doc_id", F.explode("__hits").alias("h")).select("doc_id", "h.item_id", "h.distance", F.col("h.end").alias("end_char")) for items in item_blocks(benchmark)]
+    found = [_hits(docs, items, ["doc_id"], "hits").select("doc_id", F.explode("hits").alias("h")).select("doc_id", "h.item_id", "h.distance", F.col("h.end").alias("end_char")) for items in item_blocks(benchmark)]
     empty = docs.sparkSession.createDataFrame([], f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, item_id long, distance int, end_char long")
     return reduce(DataFrame.union, found) if found else empty
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without those in which an item is found."""
-    out = docs
+    out, name = docs, fresh(docs.columns, "hits")
     for items in item_blocks(benchmark):
-        out = _hits(out, items, out.columns).where(F.size("__hits") == 0).select(*docs.columns)
+        out = _hits(out, items, out.columns, name).where(F.size(name) == 0).select(*map(quoted, docs.columns))
     return out

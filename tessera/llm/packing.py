@@ -21,11 +21,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import arrow_map, materialize
 from .tokens import encoder, word_bpe_path
 
 SIZE, END_ID = 2048, 0
-BLOCK = 20_000  # pieces of one length that are ranked together
+BLOCK = 2000  # pieces of one length that are ranked together
 
 
 def pieces(docs: DataFrame, path: str, size: int = SIZE) -> DataFrame:
@@ -46,7 +46,7 @@ def pieces(docs: DataFrame, path: str, size: int = SIZE) -> DataFrame:
             yield pa.RecordBatch.from_arrays([x.column(0).take(pa.array(rows, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
     d = docs.select("doc_id", "text")
-    return d.mapInArrow(run, f"doc_id {d.schema['doc_id'].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long")
+    return arrow_map(d, run, f"doc_id {d.schema['doc_id'].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long")
 
 
 def fullest(room: int, left: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -135,4 +135,4 @@ def pack(docs: DataFrame, path: str | None = None, size: int = SIZE) -> DataFram
                 sequence[at], offset[at] = t[j, 1] + rank[at] - t[j, 0], t[j, 2]
             yield pa.RecordBatch.from_arrays([*x.columns[:-1], pa.array(sequence), pa.array(offset)], [*x.schema.names[:-1], "sequence_id", "offset"])
 
-    return ranked.mapInArrow(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in own.schema) + ", sequence_id long, offset long")
+    return arrow_map(ranked, run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in own.schema) + ", sequence_id long, offset long")

@@ -1,44 +1,57 @@
 """Operator 6: secret scans by rules and a linear-chain conditional random field.
 
 The base rules (assign, access, hex) are matched on whole texts. The field tags tokens as B, I or O (secret begin,
-inside, outside). Tokens are runs of letters, digits and `+/_-`; only tokens of MIN_TOKEN or more characters with a
-digit may be B or I, so every other token is O for certain and parts the chain: Viterbi over the stretches between
-is Viterbi over the whole text. Features are the token's shape, the neighbouring words and marks, and the file.
-
-It is fitted here, on at most SAMPLE_HITS documents with a base rule's mark and SAMPLE_PLAIN others, those with the
-smallest hashes; a token is secret there where a base span covers it. Scanning is a map, without a shuffle.
+inside, outside) and finds what the rules miss: secrets that are spoken of ("the passphrase is ..."), that come after
+other words or none, or that have other shapes. Tokens are runs of letters, digits and `+/_-`. Candidates, which alone may
+be B or I, are tokens of MIN_TOKEN or more characters with a digit or with a capital after a small letter, and those of
+MIN_CUED or more soon after a cue such as a word for passwords. Every other token is O for certain and parts the chain:
+Viterbi over the stretches between is Viterbi over the whole text. Features are the token's shape, the neighbouring words
+and marks, and the file.
+
+It is fitted here, on at most SAMPLE_STRETCHES stretches of candidates, with the texts around them, from about SAMPLE_DOCS
+documents with the smallest hashes. Tokens that a base rule covers are secret there, all others are not; as the rules alone
+would teach nothing but themselves, GENERATED sentences with made-up secrets of other kinds, and as many with numbers,
+names and words that look like secrets but are none, are set into sampled contexts, and in every round of the fit a share
+of the tokens has its context or its shape hidden, so that either must do. Scanning is a map, without a shuffle.
 
 Nulls: a null text counts as empty; a null doc_id stays. Rows that repeat give repeated rows; other columns are ignored
 by scan() and kept by redact(). Spans are in code points, end exclusive; a span of the field never overlaps a base span.
+Without any sampled row the field is fitted on the generated sentences alone.
 """
 
 from __future__ import annotations
 
 import hashlib
 import math
+import random
 import re
+import string
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import derive
+from .common import arrow_map, derive, share_of
 
 KINDS = ("assign", "access", "hex", "crf")
 KEYWORDS = ("password", "passwd", "secret", "token", "api_key", "apikey")
 ASSIGN = re.compile(r"""(?ai)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")  # what is left of [0-9a-f]+ at 24 characters or more
-MARKS = r"(?i)(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]|AKIA[A-Z0-9]{16}|[0-9a-f]{24}"
-MIN_TOKEN = 8
-SAMPLE_HITS, SAMPLE_PLAIN = 2000, 1000
+MIN_TOKEN, MIN_CUED, CUE_REACH = 8, 6, 48
+CUES = ("password", "passwd", "passphrase", "passcode", "pwd", "secret", "token", "credential", "api key", "api_key", "apikey", "access key", "private key", "bearer", "login")
+SAMPLE_DOCS, SAMPLE_STRETCHES, GENERATED = 4000, 6000, 3000
 BUCKETS = 1 << 14
-EPOCHS, RATE, PENALTY = 6, 0.3, 1e-4
+EPOCHS, RATE, PENALTY, HIDDEN = 6, 0.3, 1e-4, 0.25
 O, B, I = 0, 1, 2  # noqa: E741
 _DIGITS = re.compile(r"[0-9]+")
+_HUMP = re.compile(r"[a-z][A-Z]")
+_CUE = re.compile("|".join(map(re.escape, CUES)))
+_TOKEN = re.compile(r"[A-Za-z0-9+/_-]+")
+_TOKEN_OR_WORD = re.compile(r"[+/_-]|\w")
 _BODY = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-")
 _WORD = re.compile(r"[^\W_]+")
 REDACTED = "[REDACTED]"
@@ -58,55 +71,76 @@ def base_spans(text: str) -> list[Span]:
 
 
 def candidates(text: str) -> list[tuple[int, int]]:
-    """The tokens that may be secret: found from their digits, so prose costs one scan for digits."""
-    out, end = [], 0
-    for m in _DIGITS.finditer(text):
-        if m.start() < end:
-            continue
-        a, b = m.start(), m.end()
-        while a > end and text[a - 1] in _BODY:
-            a -= 1
-        while b < len(text) and text[b] in _BODY:
-            b += 1
-        end = b
-        if b - a >= MIN_TOKEN:
-            out.append((a, b))
-    return out
+    """The tokens that may be secret, in order; found from their digits, capitals and cues, so prose costs a few scans."""
+    found: set[tuple[int, int]] = set()
+    for mark in (_DIGITS, _HUMP):
+        end = 0
+        for m in mark.finditer(text):
+            if m.start() < end:
+                continue
+            a, b = m.start(), m.end()
+            while a > end and text[a - 1] in _BODY:
+                a -= 1
+            while b < len(text) and text[b] in _BODY:
+                b += 1
+            end = b
+            if b - a >= MIN_TOKEN:
+                found.add((a, b))
+    low = text.lower()
+    if len(low) == len(text) and any(c in low for c in CUES):
+        for m in _CUE.finditer(low):
+            for t in _TOKEN.finditer(text, m.end(), m.end() + CUE_REACH):
+                a, b = t.span()
+                if a == m.end():  # the rest of the cue's own word
+                    continue
+                while b < len(text) and text[b] in _BODY:
+                    b += 1
+                if b - a >= MIN_CUED:
+                    found.add((a, b))
+    return sorted(found)
 
 
 def stretches(text: str, tokens: list[tuple[int, int]]) -> list[list[tuple[int, int]]]:
     """Candidates with no other token between them: the parts of the chain that are to be decoded."""
     out: list[list[tuple[int, int]]] = []
     for t in tokens:
-        if out and not any(c in _BODY or c.isalnum() for c in text[out[-1][-1][1] : t[0]][:200]) and t[0] - out[-1][-1][1] < 200:
+        if out and not _TOKEN_OR_WORD.search(text, out[-1][-1][1], t[0]):
             out[-1].append(t)
         else:
             out.append([t])
     return out
 
 
-def observed(text: str, a: int, b: int, n_tokens: int, low_file: bool) -> list[int]:
-    """Hashed features of a token: its shape, its neighbours, its file."""
+def observed(text: str, a: int, b: int, n_tokens: int, low_file: bool) -> tuple[list[int], list[int]]:
+    """Hashed features of a token: those of its shape and its file, and those of its neighbours."""
     t = text[a:b]
     n = b - a
     digits = sum(c.isdigit() for c in t)
     upper = sum(c.isupper() for c in t)
     counts = [t.count(c) / n for c in set(t)]
     entropy = -sum(p * math.log2(p) for p in counts)
-    before, after = text[max(0, a - 40) : a], text[b : b + 20]
-    words = _WORD.findall(before)
+    shape = re.sub("[a-z]", "a", re.sub("[A-Z]", "A", re.sub("[0-9]", "0", t)))
+    turns = sum(x != y for x, y in zip(shape[:-1], shape[1:]))
+    before, after = text[max(0, a - 60) : a], text[b : b + 24]
+    words = [w.lower() for w in _WORD.findall(before)]
     gap = re.sub(r"\s+", " ", re.split(r"[^\W_]", before)[-1][-4:])
     nxt = _WORD.search(after)
-    feats = [
-        "bias", f"len{min(n, 48) // 4}", f"hex{all(c in '0123456789abcdef' for c in t)}", f"num{digits == n}", f"dig{10 * digits // n}", f"up{10 * upper // n}",
-        f"ent{int(entropy * 2)}", f"mark{any(c in '+/_-' for c in t)}", f"akia{t.startswith('AKIA')}", f"head{re.sub('[a-z]', 'a', re.sub('[A-Z]', 'A', re.sub('[0-9]', '0', t[:4])))}",
-        f"gap{gap}", f"key{bool(words) and words[-1].lower() in KEYWORDS}", f"prev{words[-1].lower() if words else ''}", f"prev2{words[-2].lower() if len(words) > 1 else ''}",
-        f"next{nxt[0].lower() if nxt else ''}", f"many{min(n_tokens, 8)}", f"file{low_file}", f"eq{'=' in gap or ':' in gap}",
+    cue = max((before.lower().rfind(c) + len(c) for c in CUES if c in before.lower()), default=0)
+    near = len(_WORD.findall(before[cue:])) if cue else 9
+    own = [
+        f"len{min(n, 48) // 4}", f"hex{all(c in '0123456789abcdef' for c in t)}", f"num{digits == n}", f"dig{10 * digits // n}", f"up{10 * upper // n}",
+        f"ent{int(entropy * 2)}", f"turns{10 * turns // n}", f"mark{sum(c in '+/_-' for c in t)}", f"akia{t.startswith('AKIA')}", f"head{shape[:4]}", f"tail{shape[-3:]}", f"start{t[:3].lower()}",
+        f"runs{len(re.findall('[a-z]{4,}', t))}", f"many{min(n_tokens, 8)}", f"file{low_file}", f"lenent{min(n, 48) // 8}:{int(entropy)}", f"lendig{min(n, 48) // 8}:{5 * digits // n}:{5 * upper // n}",
     ]
-    return [zlib.crc32(f.encode()) % BUCKETS for f in feats]
+    beside = [
+        f"gap{gap}", f"key{bool(words) and words[-1] in KEYWORDS}", f"prev{words[-1] if words else ''}", f"prev2{words[-2] if len(words) > 1 else ''}", f"prev3{words[-3] if len(words) > 2 else ''}",
+        f"next{nxt[0].lower() if nxt else ''}", f"cue{min(near, 5)}", f"eq{'=' in gap or ':' in gap}", f"cueshape{min(near, 4)}:{10 * turns // n}:{digits > 0}", f"after{after[:1]}",
+    ]
+    number = lambda feats: [zlib.crc32(f.encode("utf-8", "surrogatepass")) % BUCKETS for f in feats]
+    return number(["bias", *own]), number(beside)
 
 
-def sequences(text: str) -> list[tuple[list[tuple[int, int]], list[list[int]]]]:
+def sequences(text: str) -> list[tuple[list[tuple[int, int]], list[tuple[list[int], list[int]]]]]:
     tokens = candidates(text)
     if not tokens:
         return []
@@ -125,6 +159,9 @@ class Field:
     def scores(self, feats: list[list[int]]) -> np.ndarray:
         return np.array([self.weights[f].sum(0) for f in feats])
 
+    def tags(self, feats: list[tuple[list[int], list[int]]]) -> list[int]:
+        return self.viterbi([own + beside for own, beside in feats])
+
     def viterbi(self, feats: list[list[int]]) -> list[int]:
         e = self.scores(feats)
         best, back = self.moves[O] + e[0], []
@@ -158,23 +195,78 @@ class Field:
             self.moves += rate * d
 
 
+def made_up(r: random.Random) -> str:
+    """A secret of a kind that the base rules do not know by itself."""
+    pick = lambda chars, lo, hi: "".join(r.choice(chars) for _ in range(r.randrange(lo, hi)))
+    mixed, letters = string.ascii_letters + string.digits, string.ascii_letters
+    word = lambda: r.choice(["river", "stone", "cloud", "maple", "tiger", "orange", "silver", "winter", "dragon", "market"])
+    kinds = [
+        lambda: pick(mixed, 8, 24),
+        lambda: pick(letters, 10, 18),
+        lambda: f"{word().capitalize()}{r.choice('-_')}{word()}{r.choice('-_')}{r.randrange(10, 9999)}",
+        lambda: f"{word()}{word().capitalize()}{r.randrange(10, 999)}",
+        lambda: pick(mixed + "+/", 28, 56),
+        lambda: pick("0123456789ABCDEF", 24, 48),
+        lambda: f"{pick(letters, 2, 6).lower()}_{pick(letters, 3, 5).lower()}_{pick(mixed, 16, 36)}",
+        lambda: f"{pick(letters, 3, 6).lower()}{r.choice('-_')}{pick(mixed, 18, 40)}",
+        lambda: f"eyJ{pick(mixed + '_-', 24, 48)}",
+    ]
+    return r.choice(kinds)()
+
+
+def sentence(r: random.Random, secret: bool) -> str:
+    """A made-up sentence: with a secret, marked off by two NUL characters, or with something that only looks like one."""
+    cue = r.choice(["password", "passphrase", "passcode", "pwd", "login", "credential", "access key", "api key", "token", "secret", "private key"])
+    n = lambda k: "".join(r.choice(string.digits) for _ in range(k))
+    if secret:
+        s = f"\0{made_up(r)}\0"
+        return r.choice([f"the {cue} is {s}", f"{cue} {s}", f"use {s} as the {cue}", f"my {cue} was {s} until today", f"Authorization Bearer {s}", f"pwd={s}", f"{cue}: {s}", f"postgres://user:{s}@host/db", f"key {s}", f"login with {s}", f"{s}", f"export {s}", f"header {s} sent"])
+    words = ["required", "incorrect", "forgotten", "protected", "invalid", "changed yesterday", "important", "necessary", "different", "something personal"]
+    name = "".join(x.capitalize() for x in r.sample(["get", "user", "name", "value", "list", "order", "item", "load", "page", "text"], 3))
+    return r.choice([
+        f"the {cue} is {r.choice(words)}", f"a {cue} {r.choice(words)} for everyone", f"forgot your {cue} yesterday", f"call {n(10)} now", f"order INV-{n(8)} shipped", f"version {n(1)}.{n(2)}-beta{n(2)} released",
+        f"visit 192.168.{n(2)}.{n(2)}/index{n(2)}/page", f"on 20{n(2)}-{n(2)}-{n(2)}T{n(2)} at noon", f"isbn 978-{n(1)}-{n(2)}-{n(6)}-{n(1)}", f"the {name} function", f"{name[0].lower()}{name[1:]} returns", f"item/{n(9)}/view",
+        f"room {n(4)}-{n(4)} is free", f"phone +{n(2)}-{n(3)}-{n(7)}", f"model {r.choice('ABX')}{n(3)}-{n(4)}-{r.choice('ABX')}", f"id_{n(8)} of the row", f"file_{name.lower()}_{n(4)} saved", f"word{n(6)} and term{n(5)}",
+    ])
+
+
+def planted(r: random.Random, context: str, secret: bool) -> tuple[str, list[tuple[int, int]]]:
+    """A context with a made-up sentence between two of its words, and the spans that are secret."""
+    words = context.split(" ")
+    k = r.randrange(len(words) + 1)
+    text = " ".join([*words[:k], sentence(r, secret), *words[k:]])
+    cuts = [m.start() for m in re.finditer("\0", text)]
+    spans = [(a - 2 * i, b - 2 * i - 1) for i, (a, b) in enumerate(zip(cuts[::2], cuts[1::2]))]
+    return text.replace("\0", ""), spans
+
+
+def golden(text: str, more: list[tuple[int, int]]) -> Iterator[tuple[list, list[int]]]:
+    """The features and the tags of a text's stretches: secret is what a base rule covers, and the spans given."""
+    spans = [s[:2] for s in base_spans(text)] + more
+    for tokens, feats in sequences(text):
+        tags, last = [], None
+        for a, b in tokens:
+            own = next((s for s in spans if s[0] < b and a < s[1]), None)
+            tags.append(O if own is None else I if own == last else B)
+            last = own
+        yield feats, tags
+
+
 def fit(texts: list[str], seed: int = 5) -> Field:
-    """Texts tag themselves by the base rules."""
-    rows = []
-    for text in texts:
-        spans = base_spans(text)
-        for tokens, feats in sequences(text):
-            gold, last = [], None
-            for a, b in tokens:
-                own = next((s for s in spans if s[0] < b and a < s[1]), None)
-                gold.append(O if own is None else I if own == last else B)
-                last = own
-            rows.append((feats, gold))
+    """Texts tag themselves by the base rules; made-up sentences in their words add what the rules do not see."""
+    r = random.Random(seed)
+    texts = [t.replace("\0", " ") for t in texts]
+    rows = [x for t in texts for x in golden(t, [])]
+    for k in range(GENERATED):
+        context = r.choice(texts)[:400] if texts and r.random() < 0.9 else ""
+        rows += golden(*planted(r, context, k % 2 == 0))
     field = Field()
     rng = np.random.default_rng(seed)
     for k in range(EPOCHS):
         for i in rng.permutation(len(rows)):
-            field.step(*rows[i], RATE / (1 + k))
+            feats, tags = rows[i]
+            hide = rng.random()
+            field.step([own[:1] + beside if hide < HIDDEN else own if hide < 2 * HIDDEN else own + beside for own, beside in feats], tags, RATE / (1 + k))
     return field
 
 
@@ -182,7 +274,7 @@ def all_spans(text: str, field: Field) -> list[Span]:
     base = base_spans(text)
     more: list[Span] = []
     for tokens, feats in sequences(text):
-        for (a, b), tag in zip(tokens, field.viterbi(feats)):
+        for (a, b), tag in zip(tokens, field.tags(feats)):
             if tag == B:
                 more.append((a, b, 3))
             elif tag == I:
@@ -198,19 +290,34 @@ def all_spans(text: str, field: Field) -> list[Span]:
     return sorted(base + out, key=lambda s: (s[0], s[2]))
 
 
+def measured(field: Field, contexts: list[str], n: int = 1000, seed: int = 99) -> tuple[float, float]:
+    """Precision and recall of the field alone, by tokens, on n made-up sentences in contexts that it was not fitted on; base spans do not count."""
+    r = random.Random(seed)
+    right = found = there = 0
+    for k in range(n):
+        text, spans = planted(r, r.choice(contexts) if contexts else "", k % 2 == 0)
+        base = base_spans(text)
+        own = {(a, b) for a, b in spans if not any(s[0] < b and a < s[1] for s in base)}
+        got = {s[:2] for s in all_spans(text, field) if s[2] == 3}
+        right += sum(any(a < y and x < b for x, y in own) for a, b in got)
+        there += len(own)
+        found += len(got)
+    return right / max(1, found), right / max(1, there)
+
+
 def learn(docs: DataFrame) -> Field:
-    """Fits on the bounded sample, which alone is collected; whole corpora only pass a regular expression."""
-    t = docs.select("text", F.xxhash64("text").alias("h"), F.col("text").rlike(MARKS).alias("hit")).where("text is not null")
-    hits = t.where("hit").orderBy("h").limit(SAMPLE_HITS)
-    plain = t.where("not hit").orderBy("h").limit(SAMPLE_PLAIN)
+    """Fits on the bounded sample, which alone is collected: the texts around candidate tokens of a share of the documents."""
+    n = docs.count()
+    sample = docs.where("text is not null").select("text", F.xxhash64("doc_id", "text").alias("h")).where(share_of(F.col("h"), SAMPLE_DOCS / max(1, n)))
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # Only the neighbourhoods of candidate tokens are learned from, so only those travel.
         for x in batches:
-            yield pd.DataFrame({"h": x.h, "part": ["\n\n".join(text[max(0, s[0][0] - 60) : s[-1][1] + 40] for s in stretches(text, candidates(text))[:64]) for text in x["text"]]})
+            parts = [text[max(0, s[0][0] - 60) : s[-1][1] + 40] for text in x.column(0).to_pylist() for s in stretches(text, candidates(text))]
+            yield pa.RecordBatch.from_arrays([pa.array(parts, pa.string())], ["part"])
 
-    got = hits.union(plain).mapInPandas(cut, "h long, part string").toArrow().to_pandas()
-    return fit(sorted(set(got.part)))
+    got = arrow_map(sample.select("text"), cut, "part string").orderBy(F.xxhash64("part"), "part").limit(SAMPLE_STRETCHES).collect()
+    return fit(sorted({r["part"] for r in got}))
 
 
 def joined(spans: list[Span]) -> str:

@@ -5,7 +5,8 @@ words share what is learned). A factorization machine of second order (Rendle, 2
 RANK numbers for each feature; the products of the vectors score pairs of features, such as an insult with a group.
 
 Fitting takes at most SAMPLE_TOXIC and SAMPLE_CLEAN labelled rows, those with the smallest hashes of their ids, whose
-crc32(doc_id as text) mod 3 is not 1. Their features are collected in the driver, the one bounded gathering here.
+crc32(doc_id as text) mod 3 is not 1. Labels are counted first, so that only about as many as are wanted leave the
+partitions. The sample's features are collected in the driver, the one bounded gathering here.
 Scoring is a map over the documents, without a shuffle, and takes nothing but the text.
 
 Nulls: a null or empty text has no features and gets the machine's bias; a null doc_id is scored, is not held out and
@@ -23,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .common import derive
+from .common import derive, fresh, quoted, tuned
 
 BUCKETS = 1 << 20
 RANK = 8
@@ -33,7 +34,6 @@ SAMPLE_TOXIC, SAMPLE_CLEAN = 4000, 8000
 EPOCHS, BATCH, RATE, PENALTY = 10, 128, 0.08, 6e-3
 CALIBRATION = 6  # every sixth sampled row is kept from the fit, to turn the machine's sums into probabilities
 THRESHOLD = 0.7
-SCORE = "__toxic_score"
 _APART = np.zeros(256, bool)
 _APART[:0x30] = _APART[0x3A:0x41] = _APART[0x5B:0x61] = _APART[0x7B:0x80] = True
 
@@ -82,7 +82,6 @@ class Machine:
         return self
 
 
-
 def nothing_learned() -> Machine:
     return Machine(np.full(BUCKETS, -1, np.int32), -30.0, np.zeros(0, np.float32), np.zeros((0, RANK), np.float32))
 
@@ -144,8 +143,15 @@ def held_out(doc_id: Column) -> Column:
 def learn(docs: DataFrame, labels: DataFrame) -> Machine:
     """Fits on the bounded sample; the features are made on the executors."""
     known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("is_toxic")).where(~held_out(F.col("doc_id")))
-    by_hash = [F.xxhash64("doc_id"), F.col("doc_id")]
-    sample = known.where("is_toxic = 1").orderBy(*by_hash).limit(SAMPLE_TOXIC).union(known.where("is_toxic = 0").orderBy(*by_hash).limit(SAMPLE_CLEAN))
+    there = {r["is_toxic"]: r["n"] for r in known.groupBy("is_toxic").agg(F.count("*").alias("n")).collect()}
+
+    def smallest(kind: int, n: int) -> DataFrame:
+        """The n rows of a class with the smallest hashes; a share that surely holds them is cut off before they are sorted."""
+        own = known.where(F.col("is_toxic") == kind).withColumn("h", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)))
+        share = (n + 6 * n**0.5 + 50) / max(1, there.get(kind, 0))
+        return (own.where(F.col("h") < int(share * (1 << 40))) if share < 1 else own).orderBy("h", "doc_id").limit(n).drop("h")
+
+    sample = smallest(1, SAMPLE_TOXIC).union(smallest(0, SAMPLE_CLEAN))
     # At most SAMPLE_TOXIC + SAMPLE_CLEAN pairs of numbers, so the sample may be broadcast.
     rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
 
@@ -153,22 +159,24 @@ def learn(docs: DataFrame, labels: DataFrame) -> Machine:
         for x in batches:
             yield pd.DataFrame({"doc_id": x.doc_id, "is_toxic": x.is_toxic, "terms": [s.astype("<i4").tobytes() for s in features(x.text.tolist())]})
 
+    tuned(docs.sparkSession)
     got = rows.mapInPandas(make, "doc_id long, is_toxic int, terms binary").toArrow().to_pandas().sort_values(["doc_id", "terms"]).drop_duplicates("doc_id")
     return fit([np.frombuffer(t, "<i4") for t in got.terms], got.is_toxic.to_numpy() > 0) if len(got) else nothing_learned()
 
 
-def scored(docs: DataFrame, machine: Machine, keep: list[str]) -> DataFrame:
-    """The columns of keep and SCORE, in [0, 1]."""
+def scored(docs: DataFrame, machine: Machine, keep: list[str], name: str) -> DataFrame:
+    """The columns of keep and the score, in [0, 1], as a column of the name given, which keep must not have."""
     model = docs.sparkSession.sparkContext.broadcast(machine)
-    return derive(docs, keep, f"{SCORE} double", lambda texts: {SCORE: model.value.score(features(texts))})
+    return derive(docs, keep, f"{name} double", lambda texts: {name: model.value.score(features(texts))})
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, held_out, score, predicted), a row for each row of docs."""
-    s = scored(docs, learn(docs, labels), ["doc_id"])
-    return s.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col(SCORE).alias("score"), (F.col(SCORE) >= THRESHOLD).cast("int").alias("predicted"))
+    s = scored(docs, learn(docs, labels), ["doc_id"], "score")
+    return s.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that the machine does not reject, with their columns as they were."""
-    return scored(docs, learn(docs, labels), docs.columns).where(F.col(SCORE) < THRESHOLD).select(*docs.columns)
+    name = fresh(docs.columns, "toxic_score")
+    return scored(docs, learn(docs, labels), docs.columns, name).where(F.col(name) < THRESHOLD).select(*map(quoted, docs.columns))
