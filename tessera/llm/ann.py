@@ -8,14 +8,17 @@ rank the rows of a cell, and the best RERANK of a block are ranked again by the
 Cells are dealt in blocks of at most BLOCK rows and their queries in blocks of about QUERY_BLOCK, each pair of blocks a
 group of its own, so a cell or a vector with a third of all rows spreads over many tasks.
 
-Vectors that are null, zero, of another length than most, or with null or non-finite components take no part, and rows
-with a null id neither. Rows that repeat an id count once (the largest vector, compared as an array). A query's own id is
-never its neighbour. Ties go to the smaller id. Empty tables give no rows.
+Vectors that are null, zero, or with null or non-finite components take no part, and rows with a null id neither. Every
+other vector does: it is scaled by a power of two first, which changes no cosine, so that neither its square nor that of
+its parts overflows. Vectors of another length have an index of their own, and a query is compared with those of its
+length. Rows that repeat an id count once (the largest vector, compared as an array). A query's own id is never its
+neighbour. Ties go to the smaller id. Empty tables give no rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -23,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, mix
+from .common import arrow_map, materialize, mix
 
 SAMPLE = 20_000
 ROWS_PER_CELL, MIN_CELLS, MAX_CELLS = 400, 8, 4096
@@ -95,36 +98,42 @@ def unit(raw: list[bytes]) -> np.ndarray:
 
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """(vec_id, v): ids and vectors as 64-bit floats, packed, of the rows that take part."""
+    """(vec_id, d, v): ids, and vectors scaled and packed as d 64-bit floats, of the rows that take part."""
     x = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("a")).where("vec_id is not null and a is not null")
-    sizes = x.groupBy(F.size("a").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).first()
-    one = x.where(F.size("a") == (sizes["d"] if sizes else 0)).groupBy("vec_id").agg(F.max("a").alias("a"))
+    one = x.groupBy("vec_id").agg(F.max("a").alias("a"))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, v = [], []
+            ids, d, v = [], [], []
             for i, a in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                if None not in a:
+                if a and None not in a:
                     y = np.array(a, np.float64)
-                    with np.errstate(over="ignore"):
-                        n = np.linalg.norm(y)
-                    if np.isfinite(n) and n > 0:
+                    most = np.abs(y).max()
+                    if np.isfinite(most) and most > 0:
                         ids.append(i)
-                        v.append(y.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(v, pa.binary())], ["vec_id", "v"])
+                        d.append(len(y))
+                        v.append(np.ldexp(y, -int(np.frexp(most)[1])).tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(d, pa.int32()), pa.array(v, pa.binary())], ["vec_id", "d", "v"])
 
-    return one.mapInArrow(pack, "vec_id long, v binary")
+    return arrow_map(one, pack, "vec_id long, d int, v binary")
 
 
 def search(vectors: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found for each row for which is_query (a Column over vec_id) holds."""
-    spark = vectors.sparkSession
     own = materialize(usable(vectors, id_col, vector_col), "vectors")
-    n_rows = own.count()
-    schema = "query_id long, rank int, vec_id long, score double"
-    if not n_rows:
-        return spark.createDataFrame([], schema)
-    sample = own.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).toArrow()
+    sizes = {r["d"]: r["n"] for r in own.groupBy("d").agg(F.count("*").alias("n")).collect()}
+    found = [_search(own.where(F.col("d") == d).select("vec_id", "v"), n, is_query, k) for d, n in sorted(sizes.items())]
+    empty = vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    return reduce(DataFrame.union, found) if found else empty
+
+
+def _search(own: DataFrame, n_rows: int, is_query, k: int) -> DataFrame:
+    """search() among n_rows vectors (vec_id, v) of one length."""
+    spark = own.sparkSession
+    # A share that surely holds the sample is cut off before it is sorted, so tasks send about SAMPLE rows in all.
+    share = (SAMPLE + 6 * SAMPLE**0.5) / n_rows
+    likely = own.where(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 40)) < int(share * (1 << 40))) if share < 1 else own
+    sample = likely.orderBy(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 40)), "vec_id").limit(SAMPLE).toArrow()
     index = Index(unit(sample.column("v").to_pylist()), n_rows)
     first = spark.sparkContext.broadcast(index)
 
@@ -134,7 +143,7 @@ def search(vectors: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vec
                 cell, code = first.value.encode(unit(b.column(1).to_pylist()))
                 yield pa.RecordBatch.from_arrays([pa.array(cell, pa.int32()), b.column(0), pa.array([c.tobytes() for c in code], pa.binary()), b.column(1)], ["cell", "vec_id", "code", "v"])
 
-    indexed = materialize(own.mapInArrow(encode, "cell int, vec_id long, code binary, v binary"), "index")
+    indexed = materialize(arrow_map(own, encode, "cell int, vec_id long, code binary, v binary"), "index")
     # A row for each cell, so at most MAX_CELLS.
     for r in indexed.groupBy("cell").count().collect():
         index.rows[r["cell"]] = r["count"]
@@ -147,7 +156,7 @@ def search(vectors: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vec
                 at = np.repeat(np.arange(b.num_rows), [len(c) for c in cells])
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(cells), pa.int32()), b.column(0).take(pa.array(at)), b.column(1).take(pa.array(at))], ["cell", "query_id", "q"])
 
-    probes = materialize(own.where(is_query).mapInArrow(probe, "cell int, query_id long, q binary"), "probes")
+    probes = materialize(arrow_map(own.where(is_query), probe, "cell int, query_id long, q binary"), "probes")
     for r in probes.groupBy("cell").count().collect():
         index.queries[r["cell"]] = r["count"]
     third = spark.sparkContext.broadcast(index)
@@ -172,8 +181,8 @@ def search(vectors: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vec
 
         return deal
 
-    blocks = indexed.mapInArrow(dealt("vec_id", True), "cell int, vec_id long, code binary, v binary, rb int, qb int").groupBy("cell", "rb", "qb")
-    asked = probes.mapInArrow(dealt("query_id", False), "cell int, query_id long, q binary, rb int, qb int").groupBy("cell", "rb", "qb")
+    blocks = arrow_map(indexed, dealt("vec_id", True), "cell int, vec_id long, code binary, v binary, rb int, qb int").groupBy("cell", "rb", "qb")
+    asked = arrow_map(probes, dealt("query_id", False), "cell int, query_id long, q binary, rb int, qb int").groupBy("cell", "rb", "qb")
 
     def rank(qs: pd.DataFrame, xs: pd.DataFrame) -> pd.DataFrame:
         if not len(qs) or not len(xs):
@@ -217,10 +226,11 @@ def search(vectors: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vec
 
 def brute_force(vectors: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding") -> pd.DataFrame:
     """What search() approximates, in one process: for tests and for measuring recall on small tables."""
-    own = usable(vectors, id_col, vector_col).toArrow().to_pandas().sort_values("vec_id")
+    every = usable(vectors, id_col, vector_col).toArrow().to_pandas().sort_values("vec_id")
     asked = set(usable(vectors, id_col, vector_col).where(is_query).select("vec_id").toPandas().vec_id)
-    out, ids = [], own.vec_id.to_numpy()
-    if len(own):
+    out = []
+    for _, own in every.groupby("d"):
+        ids = own.vec_id.to_numpy()
         x = np.frombuffer(b"".join(own.v), np.float64).reshape(len(own), -1)
         n = np.linalg.norm(x, axis=1)
         for i in np.flatnonzero(np.isin(ids, list(asked))):
