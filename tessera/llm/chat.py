@@ -7,8 +7,10 @@ conversation the same pointers, taken downwards, list the nodes of its path. Eac
 conversation: turns are marked, control strings within texts are escaped so that they can be read back exactly, and the
 assistant's texts are the spans of the loss mask.
 
-Nulls: a null text or role is empty; rows with a null conv_id form one conversation of that id; a node whose parent is
-missing is a root. Rows of a conversation table that repeat a turn follow one another, by role and text.
+Nulls: a null text or role is empty; rows with a null conv_id form one conversation of that id; a row with a null node takes
+no part; a node whose parent is missing is a root. Where replies form a cycle, its smallest node counts as a root, so
+every node has a path. Of rows that repeat a node, the one counts that is first by parent (null first), score (largest
+first), role and text. Rows of a conversation table that repeat a turn follow one another, by role and text.
 """
 
 from __future__ import annotations
@@ -18,10 +20,10 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import arrow_map, materialize
 
 #: The template's own marks; none can occur in an escaped text, as that holds no "<", "[" or "|".
 BEGIN, MIDDLE, END = "<|turn|>", "<|says|>", "<|end|>\n"
@@ -65,51 +67,84 @@ def chain(conversations: DataFrame) -> DataFrame:
     return ids.select("conv_id", "node", F.when(F.col("node") > 1, F.col("node") - 1).alias("parent"), "role", "text", F.lit(0.0).alias("score"))
 
 
-def best_paths(messages: DataFrame) -> DataFrame:
-    """(conv_id, node, place): the nodes of the best root-to-leaf path of each conversation, places from the leaf."""
-    m = messages.select(F.coalesce(F.col("conv_id").cast("string"), F.lit("")).alias("c"), "node", "parent", F.coalesce("score", F.lit(0.0)).cast("double").alias("score"))
-    m = materialize(m, "nodes")
+def _key(conv_id: Column) -> Column:
+    """A conversation's key as text: null and the empty text are two."""
+    return F.coalesce(F.concat(F.lit("="), conv_id.cast("string")), F.lit("null"))
+
+
+def _order() -> Column:
+    """What decides between rows of one node."""
+    return F.struct(F.col("parent"), (-F.coalesce(F.col("score"), F.lit(0.0)).cast("double")).alias("minus_score"))
+
+
+def _jumps(m: DataFrame) -> tuple[list[DataFrame], DataFrame, DataFrame]:
+    """Pointers of 1, 2, 4, ... steps up, (c, node, total, depth) of all nodes that come to a root, and what is still going after more steps than there are nodes.
+
+    m: (c, node, parent, score), a node once. Each row still going has low, the smallest node on the steps that it has taken.
+    """
+    most = m.groupBy("c").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
     known = m.select("c", F.col("node").alias("parent"), F.lit(True).alias("known"))
-    now = m.join(known, ["c", "parent"], "left").select("c", "node", F.when(F.col("known"), F.col("parent")).alias("up"), F.col("score").alias("total"), F.lit(1).cast("long").alias("depth"))
-    leaves = m.join(m.select("c", F.col("parent").alias("node")).where("node is not null").distinct(), ["c", "node"], "left_anti").select("c", "node")
+    now = m.join(known, ["c", "parent"], "left").select("c", "node", F.when(F.col("known"), F.col("parent")).alias("up"), F.col("score").alias("total"), F.lit(1).cast("long").alias("depth"), F.col("node").alias("low"))
     jumps, done = [], None
-    while True:
+    for _ in range(most.bit_length() + 1):
         now = materialize(now, "jumps")
         at_root = now.where("up is null").select("c", "node", "total", "depth")
         done = at_root if done is None else done.union(at_root)
         going = now.where("up is not null")
         jumps.append(going.select("c", "node", "up"))
-        if jumps[-1].isEmpty():
+        if going.isEmpty():
             break
         # Only nodes still on their way are joined; where one's pointer leads, the sums up to the root or as far as known stand.
-        far = going.select("c", "node", "up", "total", "depth").union(done.select("c", "node", F.lit(None).cast("long").alias("up"), "total", "depth"))
-        far = far.select("c", F.col("node").alias("up"), F.col("up").alias("up2"), F.col("total").alias("total2"), F.col("depth").alias("depth2"))
-        now = going.join(far, ["c", "up"]).select("c", "node", F.col("up2").alias("up"), (F.col("total") + F.col("total2")).alias("total"), (F.col("depth") + F.col("depth2")).alias("depth"))
-    now = done
-    best = leaves.join(now, ["c", "node"]).groupBy("c").agg(F.min(F.struct((-F.col("total")).alias("t"), (-F.col("depth")).alias("d"), "node")).alias("b"))
-    path = best.select("c", F.col("b.node").alias("node"), F.lit(0).cast("long").alias("place"))
+        none = F.lit(None).cast("long")
+        far = going.select("c", "node", "up", "total", "depth", "low").union(done.select("c", "node", none, "total", "depth", "node"))
+        far = far.select("c", F.col("node").alias("up"), F.col("up").alias("up2"), F.col("total").alias("total2"), F.col("depth").alias("depth2"), F.col("low").alias("low2"))
+        now = going.join(far, ["c", "up"]).select("c", "node", F.col("up2").alias("up"), (F.col("total") + F.col("total2")).alias("total"), (F.col("depth") + F.col("depth2")).alias("depth"), F.least("low", "low2").alias("low"))
+    return jumps, done, going.select("c", "node", "up", "low")
+
+
+def best_paths(messages: DataFrame, branches: int = 1) -> DataFrame:
+    """(c, node, branch, place): the nodes of the best root-to-leaf paths of each conversation, branches counted from 1, places from the leaf.
+
+    Every pointer step doubles, so the rounds are the logarithm of the largest conversation at most, and cycles end too.
+    """
+    m = messages.where("node is not null").select(_key(F.col("conv_id")).alias("c"), F.col("node").cast("long").alias("node"), F.col("parent").cast("long").alias("parent"), "score")
+    m = m.groupBy("c", "node").agg(F.min(_order()).alias("o")).select("c", "node", "o.parent", (-F.col("o.minus_score")).alias("score"))
+    m = materialize(m, "nodes")
+    jumps, now, lost = _jumps(m)
+    if not lost.isEmpty():
+        # After more steps than nodes, pointers stand on cycles. A cycle's smallest node becomes a root.
+        roots = lost.join(lost.select("c", F.col("up").alias("node")).distinct(), ["c", "node"]).where("low = node").select("c", "node", F.lit(True).alias("is_root"))
+        m = materialize(m.join(roots, ["c", "node"], "left").select("c", "node", F.when(F.col("is_root").isNull(), F.col("parent")).alias("parent"), "score"), "nodes")
+        jumps, now, _ = _jumps(m)
+    leaves = m.join(m.select("c", F.col("parent").alias("node")).where("node is not null").distinct(), ["c", "node"], "left_anti").select("c", "node")
+    w = Window.partitionBy("c").orderBy(F.desc("total"), F.desc("depth"), "node")
+    best = leaves.join(now, ["c", "node"]).withColumn("branch", F.row_number().over(w)).where(F.col("branch") <= branches)
+    path = best.select("c", "node", "branch", F.lit(0).cast("long").alias("place"))
     for k in reversed(range(len(jumps) - 1)):
-        higher = path.join(jumps[k], ["c", "node"]).select("c", F.col("up").alias("node"), (F.col("place") + (1 << k)).alias("place"))
+        higher = path.join(jumps[k], ["c", "node"]).select("c", F.col("up").alias("node"), "branch", (F.col("place") + (1 << k)).alias("place"))
         path = path.union(higher)
         if k % 3 == 0:
             path = materialize(path, "paths")
     return path
 
 
-def conversations_as_text(messages: DataFrame) -> DataFrame:
-    """(conv_id, formatted, loss): the best path of each conversation; loss: an array of (start, end) code points."""
-    path = best_paths(messages).withColumnRenamed("node", "n")
-    own = messages.withColumn("c", F.coalesce(F.col("conv_id").cast("string"), F.lit("")))
-    turns = own.join(path, (own.c == path.c) & (own.node == path.n)).select("conv_id", F.struct((-F.col("place")).alias("o"), "role", "text").alias("t"))
-    grouped = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
+def conversations_as_text(messages: DataFrame, branches: int = 1) -> DataFrame:
+    """(conv_id, branch, formatted, loss): the best paths of each conversation; loss: an array of (start, end) code points."""
+    path = best_paths(messages, branches).withColumnRenamed("node", "n")
+    own = messages.select("conv_id", "role", "text", _key(F.col("conv_id")).alias("c_key"), _order().alias("c_order"), F.col("node").cast("long").alias("c_node"))
+    turn = F.struct((-F.col("place")).alias("o"), F.col("c_order").alias("d"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).alias("t")
+    turns = own.join(path, (F.col("c_key") == path.c) & (F.col("c_node") == path.n)).select("conv_id", "branch", turn)
+    grouped = turns.groupBy("conv_id", "branch").agg(F.sort_array(F.collect_list("t")).alias("turns"))
+    # Of rows that repeat a node, the first.
+    grouped = grouped.select("conv_id", "branch", F.filter("turns", lambda t, i: (i == 0) | (t["o"] != F.get("turns", F.greatest(i - 1, F.lit(0)))["o"])).alias("turns"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
-            done = [formatted([(t["role"], t["text"]) for t in own]) for own in x.column(1).to_pylist()]
+            done = [formatted([(t["role"], t["text"]) for t in own]) for own in x.column(2).to_pylist()]
             loss = pa.array([[{"start": a, "end": b} for a, b in d[1]] for d in done], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))
-            yield pa.RecordBatch.from_arrays([x.column(0), pa.array([d[0] for d in done], pa.string()), loss], ["conv_id", "formatted", "loss"])
+            yield pa.RecordBatch.from_arrays([x.column(0), x.column(1), pa.array([d[0] for d in done], pa.string()), loss], ["conv_id", "branch", "formatted", "loss"])
 
-    return grouped.mapInArrow(run, f"conv_id {messages.schema['conv_id'].dataType.simpleString()}, formatted string, loss array<struct<start:long,end:long>>")
+    return arrow_map(grouped, run, f"conv_id {messages.schema['conv_id'].dataType.simpleString()}, branch int, formatted string, loss array<struct<start:long,end:long>>")
 
 
 def digests(texts: DataFrame) -> DataFrame:
@@ -117,7 +152,7 @@ def digests(texts: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
-            texts, masks = x.column(1).to_pylist(), x.column(2).to_pylist()
+            texts, masks = x.column("formatted").to_pylist(), x.column("loss").to_pylist()
             turns = [parsed(t) for t in texts]
             loss = ["".join(unescape(t[s["start"] : s["end"]]) for s in m) for t, m in zip(texts, masks)]
             sha = lambda s: hashlib.sha256(s.encode("utf-8", "surrogatepass")).hexdigest()
@@ -125,7 +160,7 @@ def digests(texts: DataFrame) -> DataFrame:
             kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
             yield pa.RecordBatch.from_arrays([x.column(0), *(pa.array(v, k) for v, k in zip(out, kinds))], ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
 
-    return texts.mapInArrow(run, f"conv_id {texts.schema['conv_id'].dataType.simpleString()}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return arrow_map(texts, run, f"conv_id {texts.schema['conv_id'].dataType.simpleString()}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
 def planted(spark) -> DataFrame:
