@@ -1,18 +1,25 @@
 """Operator 7: token ids in training order, as fixed-stride binary shards.
 
 Documents become token ids with an end id, cut into sequences of at most LENGTH. Every document has room in a range of
-numbers for as many sequences as its bytes could give; the ranges follow the scan's partitions, whose rooms are counted
-first, so a text is tokenised once. A keyed Feistel permutation with cycle-walking of that range gives every sequence its
-place in a global order, without a shuffle of an order. Records go, in compressed blocks, to the partition of their range
-of places, are put in order there and written with one stride by Spark's own writer. Numbers that no sequence has taken
-leave no gap: record i of shard k is at byte i * stride, and its global slot is i plus the records of the shards before,
-which their sizes tell. Training reads shards from front to back and resumes at any slot by one multiplication.
+numbers for as many sequences as its bytes could give: each partition of the scan has a range as large as the fullest
+partition needs, which is counted first, so a text is tokenised once and two numbers are all that the driver holds. A keyed
+Feistel permutation with cycle-walking of all these numbers gives every sequence its place in a global order, without a
+shuffle of an order. Records go, in compressed blocks, to the shard of their range of places, where Spark sorts the blocks
+by smaller ranges; the records of one such range at a time are put in order and written with one stride by Spark's own
+writer. Places that no sequence has taken leave no gap: the permuted places are closed up, so a record's slot is the rank of
+its place among those taken. Record i of shard k is at byte i * stride, and its slot is i plus the records of the shards
+before, which their sizes tell. Training reads shards from front to back, and read_from() resumes at any slot: the sizes
+name the shard, and one multiplication the byte; shards before it are not opened.
+
+Shards hold about SHARD_BYTES, so 100 TB of texts give some 45,000; smaller inputs give FEWEST shards for each core, but
+none of less than LEAST_BYTES. Writing holds one block of a shard at a time; read_shards() and read_from() hold a whole
+shard in a task, as Spark's reader of binary files does.
 
 A record: doc_id (8 bytes, signed), sequence within the document (4), tokens (2), ids (2 each, PAD beyond the end), a line
 feed; numbers are little-endian. The ids of the vocabulary named must be below PAD.
 
-The scan is read twice. A partition that does not have the room that it had at first fails the job; input that is not a
-plain scan is to be written first.
+The scan is read twice. A partition that needs more than the fullest did at first fails the job; input that is not a plain
+scan is to be written first.
 
 Nulls: a null text is empty and becomes the end id alone; a null doc_id is written as NO_ID and read back as null.
 Rows that repeat are written each for itself. Empty tables write no shard.
@@ -30,11 +37,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import mix, new_path
+from .common import arrow_map, mix, new_path
 from .tokens import encoder, word_bpe_path
 
 LENGTH, PAD, END_ID = 256, 0xFFFF, 0
-SHARD = 16_384  # records of a shard, about
+SHARD_BYTES, LEAST_BYTES, FEWEST = 1 << 30, 8 << 20, 16
+BLOCK = 8192  # records that are put in order at a time, about
 GROWTH = 3  # a byte of a text gives at most so many ids: normal forms have up to three times the bytes
 DEALT = 16 << 20  # bytes of records that are dealt to shards at a time
 ROUNDS = 6
@@ -66,37 +74,40 @@ def _sequences(n_ids: int, length: int) -> int:
     return -(-(n_ids + 1) // length)
 
 
-def write_shards(docs: DataFrame, to: str, key: int, path: str | None = None, length: int = LENGTH, shard: int = SHARD) -> None:
+def write_shards(docs: DataFrame, to: str, key: int, path: str | None = None, length: int = LENGTH, shard_bytes: int | None = None) -> None:
     """Writes all sequences of docs under `to`."""
     spark = docs.sparkSession
     path = path or word_bpe_path()
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     room = F.ceil((GROWTH * F.coalesce(F.octet_length("text"), F.lit(0)) + 1) / length)
-    # A number for each partition of the scan.
-    total, first = 0, {}
-    for r in sorted(rows.select(F.spark_partition_id().alias("part"), room.alias("room")).groupBy("part").agg(F.sum("room").alias("room")).collect()):
-        first[r["part"]] = total, r["room"]
-        total += r["room"]
-    if not total:
+    by_part = rows.select(F.spark_partition_id().alias("part"), room.alias("room")).groupBy("part").agg(F.sum("room").alias("room"))
+    one = by_part.agg(F.max("room").alias("most"), (F.max("part") + 1).alias("parts"), F.sum("room").alias("taken")).first()
+    if not one.most:
         return
+    most, total = one.most, one.most * one.parts
     kind = record(length)
-    n_shards = -(-total // (8 * shard))  # about an eighth of the room is taken
-    begin = spark.sparkContext.broadcast(first)
+    about = one.taken // 8  # records: about an eighth of the room is taken
+    if shard_bytes is None:
+        fewest = FEWEST * spark.sparkContext.defaultParallelism
+        shard_bytes = max(LEAST_BYTES, min(SHARD_BYTES, about * kind.itemsize // fewest))
+    n_shards = max(1, about * kind.itemsize // shard_bytes)
+    n_blocks = n_shards * max(1, about // (BLOCK * n_shards))  # as many in each shard
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Texts' records with their places, by shard, compressed for about DEALT bytes at a time."""
         zip_ = zstandard.ZstdCompressor(level=3)
-        at, limit = begin.value.get(TaskContext.get().partitionId(), (0, 0))
-        limit += at
+        at = TaskContext.get().partitionId() * most
+        limit = at + most
 
         def sent(held: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
             place, out = np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
             turn = np.argsort(place)
             place, out = place[turn], out[turn]
-            to_shard = place * n_shards // total if total * n_shards < 1 << 62 else (place / (total / n_shards)).astype(np.int64)
-            edges = np.concatenate([[0], np.flatnonzero(np.diff(to_shard)) + 1, [len(place)]])
+            to_block = place * n_blocks // total if total * n_blocks < 1 << 62 else np.minimum(n_blocks - 1, (place / (total / n_blocks)).astype(np.int64))
+            edges = np.concatenate([[0], np.flatnonzero(np.diff(to_block)) + 1, [len(place)]])
             own = [zip_.compress(place[a:b].astype("<i8").tobytes() + out[a:b].tobytes()) for a, b in zip(edges[:-1], edges[1:])]
-            yield pa.RecordBatch.from_arrays([pa.array(to_shard[edges[:-1]].astype(np.int32)), pa.array(np.diff(edges), pa.int64()), pa.array(own, pa.binary())], ["shard", "n", "block"])
+            part = to_block[edges[:-1]]
+            yield pa.RecordBatch.from_arrays([pa.array((part // (n_blocks // n_shards)).astype(np.int32)), pa.array(part), pa.array(np.diff(edges), pa.int64()), pa.array(own, pa.binary())], ["shard", "part", "n", "block"])
 
         held, size = [], 0
         for x in batches:
@@ -121,68 +132,95 @@ def write_shards(docs: DataFrame, to: str, key: int, path: str | None = None, le
             held.append((permuted(at + (np.cumsum(rooms) - rooms)[of] + out["seq"], total, key), out))
             at += int(rooms.sum())
             if at > limit:
-                break
+                raise RuntimeError("a partition of the scan needs more room than at the first reading; write the table first")
             size += out.nbytes
             if size > DEALT:
                 yield from sent(held)
                 held, size = [], 0
-        if at != limit:
-            raise RuntimeError("a partition of the scan changed between the two readings; write the table first")
         if held:
             yield from sent(held)
 
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """One shard's records in order of their slots."""
-        unzip, slots, out = zstandard.ZstdDecompressor(), [], []
+        """A shard's records in order of their slots; blocks of one part follow one another."""
+        unzip, slots, out, now = zstandard.ZstdDecompressor(), [], [], None
+
+        def records() -> Iterator[pa.RecordBatch]:
+            r = np.concatenate(out)[np.argsort(np.concatenate(slots))]
+            for a in range(0, len(r), 2048):
+                raw = r[a : a + 2048].tobytes()
+                yield pa.RecordBatch.from_arrays([pa.array([raw[i : i + kind.itemsize - 1] for i in range(0, len(raw), kind.itemsize)], pa.binary())], ["record"])
+
         for x in batches:
-            for n, block in zip(x.column("n").to_pylist(), x.column("block").to_pylist()):
+            for part, n, block in zip(x.column("part").to_pylist(), x.column("n").to_pylist(), x.column("block").to_pylist()):
+                if part != now and out:
+                    yield from records()
+                    slots, out = [], []
+                now = part
                 raw = unzip.decompress(block)
                 slots.append(np.frombuffer(raw[: 8 * n], "<i8"))
                 out.append(np.frombuffer(raw[8 * n :], kind))
         if out:
-            r = np.concatenate(out)[np.argsort(np.concatenate(slots))]
-            for a in range(0, len(r), 2048):
-                raw = r[a : a + 2048].tobytes()
-                yield pa.RecordBatch.from_arrays([pa.array([raw[i : i + kind.itemsize - 1] for i in range(0, len(raw), kind.itemsize)], pa.binary())], ["record"])
+            yield from records()
 
-    dealt = rows.mapInArrow(deal, "shard int, n long, block binary").repartitionById(n_shards, F.col("shard"))
+    dealt = arrow_map(rows, deal, "shard int, part long, n long, block binary").repartitionById(n_shards, F.col("shard")).sortWithinPartitions("part")
     # The writer puts the bytes of strings as they are and a line feed after each, so records keep their stride.
-    dealt.mapInArrow(put, "record binary").select(F.col("record").cast("string").alias("value")).write.option("compression", "none").text(to)
+    arrow_map(dealt, put, "record binary").select(F.col("record").cast("string").alias("value")).write.option("compression", "none").text(to)
 
 
-def shard_bases(spark: SparkSession, path: str, length: int = LENGTH) -> dict[int, int]:
-    """The global slot of each shard's first record: a number for each file, from the files' sizes alone."""
+def shard_bases(spark: SparkSession, path: str, length: int = LENGTH) -> dict[int, tuple[int, int]]:
+    """The global slot of each shard's first record and its number of records, from the files' sizes alone: a row a shard."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
     out, at = {}, 0
     for r in sorted(files.select(F.regexp_extract("path", r"part-(\d+)", 1).cast("int").alias("shard"), "length").collect()):
-        out[r["shard"]] = at
-        at += r["length"] // record(length).itemsize
+        out[r["shard"]] = at, r["length"] // record(length).itemsize
+        at += out[r["shard"]][1]
     return out
 
 
+READ = "slot long, shard int, byte_offset long, doc_id long, seq long, n_tokens long, ids_crc32 long, ids binary"
+
+
+def rows_of(raw: memoryview | bytes, base: int, shard: int, first: int, length: int) -> Iterator[pa.RecordBatch]:
+    """READ rows of a shard's bytes from its record `first` on; base is the slot of the shard's first record."""
+    kind = record(length)
+    if len(raw) % kind.itemsize:
+        raise RuntimeError(f"shard {shard} is cut short")
+    every = np.frombuffer(raw, kind)
+    for a in range(0, len(every), 4096):
+        r = every[a : a + 4096]
+        n = r["n"].astype(np.int64)
+        ids = [i[: 2 * m] for i, m in zip(map(bytes, np.ascontiguousarray(r["ids"]).view("u1")), n.tolist())]
+        at = first + a + np.arange(len(r))
+        doc = pa.array(r["doc_id"].copy(), pa.int64(), mask=r["doc_id"] == NO_ID)
+        yield pa.RecordBatch.from_arrays([pa.array(base + at), pa.array(np.full(len(r), shard, np.int32)), pa.array(at * kind.itemsize), doc, pa.array(r["seq"].astype(np.int64)), pa.array(n), pa.array(list(map(zlib.crc32, ids)), pa.int64()), pa.array(ids, pa.binary())], ["slot", "shard", "byte_offset", "doc_id", "seq", "n_tokens", "ids_crc32", "ids"])
+
+
 def read_shards(spark: SparkSession, path: str, length: int = LENGTH) -> DataFrame:
     """What the shards hold: (slot, shard, byte_offset, doc_id, seq, n_tokens, ids_crc32, ids)."""
-    kind = record(length)
-    bases = spark.sparkContext.broadcast(shard_bases(spark, path, length))
+    return read_from(spark, path, 0, length)
+
+
+def read_from(spark: SparkSession, path: str, slot: int, length: int = LENGTH) -> DataFrame:
+    """read_shards() from a slot on, as training does that goes on after a stop: shards before it are not read."""
+    bases = shard_bases(spark, path, length)
+    later = {k: v for k, v in bases.items() if v[0] + v[1] > slot}
+    if not later:
+        return spark.createDataFrame([], READ)
+    given = spark.sparkContext.broadcast(later)
+    size = record(length).itemsize
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
             for name, content in zip(x.column(0), x.column(1)):
                 k = int(name.as_py())
-                raw = content.as_buffer()
-                if len(raw) % kind.itemsize:
-                    raise RuntimeError(f"shard {k} is cut short")
-                every = np.frombuffer(raw, kind)
-                for a in range(0, len(every), 4096):
-                    r = every[a : a + 4096]
-                    n = r["n"].astype(np.int64)
-                    ids = [i[: 2 * m] for i, m in zip(map(bytes, np.ascontiguousarray(r["ids"]).view("u1")), n.tolist())]
-                    at = a + np.arange(len(r))
-                    doc = pa.array(r["doc_id"].copy(), pa.int64(), mask=r["doc_id"] == NO_ID)
-                    yield pa.RecordBatch.from_arrays([pa.array(bases.value[k] + at), pa.array(np.full(len(r), k, np.int32)), pa.array(at * kind.itemsize), doc, pa.array(r["seq"].astype(np.int64)), pa.array(n), pa.array(list(map(zlib.crc32, ids)), pa.int64()), pa.array(ids, pa.binary())], ["slot", "shard", "byte_offset", "doc_id", "seq", "n_tokens", "ids_crc32", "ids"])
-
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
-    return files.select(F.regexp_extract("path", r"part-(\d+)", 1).alias("k"), "content").mapInArrow(run, "slot long, shard int, byte_offset long, doc_id long, seq long, n_tokens long, ids_crc32 long, ids binary")
+                base = given.value[k][0]
+                skip = max(0, slot - base)
+                yield from rows_of(memoryview(content.as_buffer())[skip * size :], base, k, skip, length)
+
+    # Shards are numbered in order, so a range of names is a range of slots.
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).where(F.regexp_extract("path", r"part-(\d+)", 1).cast("int") >= min(later))
+    files = files.where(F.col("length") > 0)
+    return arrow_map(files.select(F.regexp_extract("path", r"part-(\d+)", 1).alias("k"), "content"), run, READ)
 
 
 def training_order(docs: DataFrame, key: int = 20_240_601) -> DataFrame:
