@@ -1,21 +1,24 @@
 """Operator 1: substring dedup by paragraph MinHash banding.
 
-Paragraphs of a document, in words: its lines of MIN_WORDS words or more, and, as shared passages begin and end anywhere,
-windows from every sentence's start to the first sentence's end MIN_WORDS or more words on (a window ends after
-MAX_WORDS at the latest; besides stops and line ends, one word in 64 by its hash ends a sentence, so that text without
-stops is cut alike everywhere). A paragraph's set holds its distinct five-word shingles.
-
-Paragraphs with equal sets are one class, found by a print of the set. Lines that are not equal are banded: BANDS bands
-of BAND_ROWS minimum hashes find pairs of similarity 0.75 with probability 1 - (1 - 0.75^2)^6 = 0.993. Every class of a
-band is first paired with the band's hub; the pairs are verified by their exact Jaccard similarity, and what links gives
-components. Then the pairs of a band that still lie in different components are compared too, so that no pair between
-components is missed: first by sketches of SKETCH_BITS parities, which differ in no more bits than the sets in shingles and
-so drop no pair that links, and what passes by exact similarity. Of a cluster the
-occurrence with the smallest (doc_id, first word) is kept; the others are removals. Only clusters over two documents or
-more count.
+Paragraphs of a document, in words: its lines of MIN_WORDS words or more; runs of shorter lines, joined until they have as
+many; and, of lines longer than MAX_WORDS, the parts between such sentence ends as a hash of their last word picks, one in
+PART_ENDS, so that equal passages are cut alike. A paragraph's set holds its distinct five-word shingles. Paragraphs with
+equal sets are one class, found by a print of the set. The others are banded: BANDS bands of BAND_ROWS minimum hashes find
+pairs of similarity 0.75 with probability 1 - (1 - 0.75^2)^6 = 0.993. Every class of a band is first paired with the band's
+hub; the pairs are verified by their exact Jaccard similarity, and what links gives components. Then the pairs of a band
+that still lie in different components are compared too, so that no pair that shares a band is missed: first by sketches of
+SKETCH_BITS parities, which differ in no more bits than the sets in shingles and so drop no pair that links, and what
+passes by exact similarity.
+
+As shared passages begin and end anywhere, there are windows of WINDOW words as well, which count as equal or not. Of every
+REACH successive starts the one with the smallest hash has a window, so a passage of WINDOW + REACH - 1 = 51 words or more
+that stands in two documents has a window in common at least, wherever it begins.
+
+Of a cluster the occurrence with the smallest (doc_id, first word) is kept; the others are removals. Only clusters over two
+documents or more count.
 
 Nulls: null texts and those with fewer than MIN_WORDS words have no paragraphs; rows with a null doc_id are ignored. Rows
-that repeat a doc_id are one document. Empty tables give no rows.
+that repeat a doc_id are one document. Ties of hashes go to the later start. Empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -28,40 +31,75 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .common import JACCARD_DEN, JACCARD_NUM, connected_components, linked, materialize, mix, sieve, signed, sized
+from .common import JACCARD_DEN, JACCARD_NUM, arrow_map, connected_components, forget, linked, materialize, mix, sieve, signed, sized
 
-MIN_WORDS, MAX_WORDS = 30, 96
+MIN_WORDS, MAX_WORDS, PART_ENDS = 30, 96, 4
+WINDOW, REACH = 34, 18
 BANDS, BAND_ROWS = 6, 2
 _TURNS = (mix(np.arange(1, BANDS * BAND_ROWS + 1, dtype=np.uint64)) | np.uint64(1)).tolist()
 #: Classes of a band that one task pairs with all others of it; a band of more is dealt to several, SALTS at most.
 SALTED, SALTS = 128, 256
 SKETCH_BITS = 256
 SKETCH = [f"s{k}" for k in range(SKETCH_BITS // 64)]
-UNITS = "doc_id long, is_line boolean, first_word int, n_words int, n int, fp long, bands array<long>, sketch array<long>"
+UNITS = "doc_id long, is_paragraph boolean, first_word int, n_words int, n int, fp long, bands array<long>, sketch array<long>"
 
 
-def paragraphs(h: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
-    """First words and ends (exclusive) of a text's lines, then of its windows; and how many are lines."""
+def paragraphs(h: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First words and ends (exclusive) of a text's paragraphs."""
     n = len(h)
-    line_ends = np.flatnonzero(stops & 2) + 1
-    line_ends = np.concatenate([line_ends, [n]]) if not len(line_ends) or line_ends[-1] < n else line_ends
-    line_starts = np.concatenate([[0], line_ends[:-1]])
-    long = line_ends - line_starts >= MIN_WORDS
-    line_starts, line_ends = line_starts[long], line_ends[long]
-    ends = np.flatnonzero((stops > 0) | (h & np.uint64(63) == 0)) + 1
+    ends = np.flatnonzero(stops & 2) + 1
     ends = np.concatenate([ends, [n]]) if not len(ends) or ends[-1] < n else ends
     starts = np.concatenate([[0], ends[:-1]])
-    to = np.searchsorted(ends, starts + MIN_WORDS)
-    some = to < len(ends)
-    starts = starts[some]
-    stop = np.minimum(ends[to[some]], starts + MAX_WORDS)
-    return np.concatenate([line_starts, starts]), np.concatenate([line_ends, stop]), len(line_starts)
+    size = ends - starts
+    found = [np.stack([starts, ends])[:, size >= MIN_WORDS]]
+    # Runs of short lines.
+    first, joined = -1, []
+    for a, b, k in zip(starts.tolist(), ends.tolist(), size.tolist()):
+        if k >= MIN_WORDS:
+            first = -1
+        else:
+            first = a if first < 0 else first
+            if b - first >= MIN_WORDS:
+                joined.append((first, b))
+                first = -1
+    if joined:
+        found.append(np.array(joined).T)
+    # Parts of long lines.
+    if (size > MAX_WORDS).any():
+        last = mix(h[(ends_of := np.flatnonzero(stops > 0) + 1) - 1] + np.uint64(7))
+        picked = ends_of[last % np.uint64(PART_ENDS) == 0]
+        for a, b in zip(starts[size > MAX_WORDS].tolist(), ends[size > MAX_WORDS].tolist()):
+            cut = np.concatenate([[a], picked[(picked > a) & (picked < b)], [b]])
+            part = np.stack([cut[:-1], cut[1:]])
+            found.append(part[:, (part[1] - part[0] >= MIN_WORDS) & (part[1] - part[0] < b - a)])
+    return tuple(np.concatenate(found, 1))
+
+
+def windows(every: np.ndarray, n: int) -> np.ndarray:
+    """First words of the windows of a text of n words: of each REACH successive starts the one with the smallest hash."""
+    starts = n - WINDOW + 1
+    if starts < 1:
+        return np.zeros(0, np.int64)
+    g = mix(every[:starts] + np.uint64(0x5851F42D4C957F2D))[::-1]
+    reach = min(REACH, starts)
+    best = np.lib.stride_tricks.sliding_window_view(g, reach).argmin(1) + np.arange(starts - reach + 1)
+    return np.unique(starts - 1 - best)
 
 
 def set_of(every: np.ndarray, a: int, b: int) -> np.ndarray:
+    """The distinct shingles of words a to b."""
     return common.distinct(every[a : b - common.SHINGLE_WORDS + 1])
 
 
+def mixed(every: np.ndarray) -> np.ndarray:
+    return mix(every ^ np.uint64(0x2545F4914F6CDD1D))
+
+
+def print_of(shingles: np.ndarray) -> np.uint64:
+    """A print of distinct shingles; that of a window without repeats is the same sum."""
+    return mix(mixed(shingles).sum(dtype=np.uint64, keepdims=True) ^ np.uint64(len(shingles)))[0]
+
+
 def sketch_of(shingles: np.ndarray) -> np.ndarray:
     """For each of SKETCH_BITS places, whether an odd number of the shingles falls there."""
     odd = np.bincount((shingles % np.uint64(SKETCH_BITS)).astype(np.int64), minlength=SKETCH_BITS) & 1
@@ -75,60 +113,60 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lo, hi in common.buffers(texts):
             h, stops, at = common.word_hashes(texts[lo:hi])[:3]
             every = common.shingle_all(h)
-            mixed = mix(every ^ np.uint64(0x2545F4914F6CDD1D))
-            total = np.concatenate([[np.uint64(0)], np.cumsum(mixed)])
+            total = np.concatenate([[np.uint64(0)], np.cumsum(mixed(every))])
+            padded = np.append(every, np.uint64(0))
             for i, p, q in zip(ids[lo:hi], at[:-1], at[1:]):
                 if q - p < MIN_WORDS:
                     continue
-                a, b, lines = paragraphs(h[p:q], stops[p:q])
-                if not len(a):
-                    continue
-                s, e = a + p, b + p - common.SHINGLE_WORDS + 1  # shingles s .. e - 1
-                # Equal runs of shingles have equal sums; sets are compared by these, which also tell repeats within a paragraph.
+                a, b = paragraphs(h[p:q], stops[p:q])
+                k = len(a)
+                w = windows(every[p:], q - p)
+                s, e = np.concatenate([a, w]) + p, np.concatenate([b, w + WINDOW]) + p - common.SHINGLE_WORDS + 1  # shingles s .. e - 1
                 fp = mix((total[e] - total[s]) ^ (e - s).astype(np.uint64))
-                k = lines
-                n = (e - s).astype(np.int32)  # of lines, their distinct shingles
-                bands: list = [None] * len(a)
-                sketches: list = [None] * len(a)
+                n = (e - s).astype(np.int32)
+                bands: list = [None] * len(s)
+                sketches: list = [None] * len(s)
                 if k:
                     own = [common.distinct(every[c:d]) for c, d in zip(s[:k], e[:k])]
                     n[:k] = [len(x) for x in own]
+                    fp[:k] = [print_of(x) for x in own]
                     sketches[:k] = map(sketch_of, own)
-                    # Lines follow one another: the minimum over each is one reduction.
+                    # The minimum over each paragraph is every second one of a reduction by its edges.
                     cut = np.stack([s[:k], e[:k]], 1).ravel()
-                    cut = cut[:-1] if cut[-1] >= len(every) else cut
-                    low = np.stack([np.minimum.reduceat(every * np.uint64(t), cut)[::2] for t in _TURNS], 1)
+                    low = np.stack([np.minimum.reduceat(padded * np.uint64(t), cut)[::2] for t in _TURNS], 1)
                     keys = mix(low[:, 0::BAND_ROWS] + mix(low[:, 1::BAND_ROWS]) + np.arange(BANDS, dtype=np.uint64))
                     bands[:k] = list(signed(keys))
-                out.append((np.full(len(a), i, np.int64), np.arange(len(a)) < k, a.astype(np.int32), (b - a).astype(np.int32), n, signed(fp), bands, sketches))
+                out.append((np.full(len(s), i, np.int64), np.arange(len(s)) < k, (s - p).astype(np.int32), (e - s + common.SHINGLE_WORDS - 1).astype(np.int32), n, signed(fp), bands, sketches))
         if out:
             c = [np.concatenate([o[j] for o in out]) for j in range(6)]
-            yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.int64()), pa.array(c[1]), pa.array(c[2], pa.int32()), pa.array(c[3], pa.int32()), pa.array(c[4], pa.int32()), pa.array(c[5], pa.int64()), pa.array([b for o in out for b in o[6]], pa.list_(pa.int64())), pa.array([b for o in out for b in o[7]], pa.list_(pa.int64()))], ["doc_id", "is_line", "first_word", "n_words", "n", "fp", "bands", "sketch"])
+            yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.int64()), pa.array(c[1]), pa.array(c[2], pa.int32()), pa.array(c[3], pa.int32()), pa.array(c[4], pa.int32()), pa.array(c[5], pa.int64()), pa.array([b for o in out for b in o[6]], pa.list_(pa.int64())), pa.array([b for o in out for b in o[7]], pa.list_(pa.int64()))], ["doc_id", "is_paragraph", "first_word", "n_words", "n", "fp", "bands", "sketch"])
 
 
-def _line_sets(ids: list[int], texts: list[str | None]) -> pa.RecordBatch:
+def _sets(ids: list[int], texts: list[str | None]) -> pa.RecordBatch:
+    """The sets of the paragraphs of texts, by their prints."""
     rows: tuple[list, list] = ([], [])
     for lo, hi in common.buffers(texts):
         h, stops, at = common.word_hashes(texts[lo:hi])[:3]
         every = common.shingle_all(h)
-        mixed = mix(every ^ np.uint64(0x2545F4914F6CDD1D))
-        total = np.concatenate([[np.uint64(0)], np.cumsum(mixed)])
         for p, q in zip(at[:-1], at[1:]):
             if q - p >= MIN_WORDS:
-                a, b, lines = paragraphs(h[p:q], stops[p:q])
-                for s, e in zip(a[:lines] + p, b[:lines] + p):
-                    f = e - common.SHINGLE_WORDS + 1
-                    rows[0].append(int(signed(mix((total[f : f + 1] - total[s : s + 1]) ^ np.uint64(f - s)))[0]))
-                    rows[1].append(signed(set_of(every, s, e)))
+                for s, e in zip(*paragraphs(h[p:q], stops[p:q])):
+                    own = set_of(every, s + p, e + p)
+                    rows[0].append(int(print_of(own).view(np.int64)))
+                    rows[1].append(signed(own))
     return pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.list_(pa.int64()))], ["fp", "part"])
 
 
 def verified(pairs: DataFrame, lines: DataFrame, docs: DataFrame) -> DataFrame:
-    """(a, b) of pairs (a, na, b, nb) of lines that link, verified on their texts."""
+    """(a, b) of pairs (a, na, b, nb) of paragraphs, a written table, that link, verified on their texts; a written table."""
     ids = materialize(pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct().join(lines.select("fp", "doc_id"), "fp"), "needed")
-    sets = sieve(docs, ids, _line_sets, "fp long, part array<long>").join(ids.select("fp"), "fp", "left_semi").dropDuplicates(["fp"])
+    rows, asked = sieve(docs, ids, _sets, "fp long, part array<long>")
+    sets = rows.join(ids.select("fp"), "fp", "left_semi").dropDuplicates(["fp"])
     sets = materialize(sets.select("fp", F.lit(0).alias("f"), "part"), "sets")
-    return linked(pairs, sets, 1)
+    asked.destroy()
+    out = materialize(linked(pairs, sets, 1), "linked")
+    forget(ids, sets)
+    return out
 
 
 def between(bands: DataFrame, lines: DataFrame, groups: DataFrame) -> DataFrame:
@@ -147,27 +185,31 @@ def between(bands: DataFrame, lines: DataFrame, groups: DataFrame) -> DataFrame:
 
 
 def repeated(docs: DataFrame) -> DataFrame:
-    """(doc_id, is_line, first_word, n_words, cluster_id, n_occurrences, kept): paragraphs that occur in two documents or more.
+    """(doc_id, is_paragraph, first_word, n_words, cluster_id, n_occurrences, kept): paragraphs that occur in two documents or more.
 
     cluster_id is the print of one of the cluster's classes; n_occurrences counts the paragraph's own class, which is 1
     where it is linked by similarity alone.
     """
     own = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    units = materialize(own.mapInArrow(_units, UNITS), "units")
-    place = F.struct("doc_id", "first_word", "is_line")
+    units = materialize(arrow_map(own, _units, UNITS), "units")
+    place = F.struct("doc_id", "first_word", "is_paragraph")
     classes = units.groupBy("fp").agg(F.min(place).alias("first"), F.max("doc_id").alias("last"), F.max("n").alias("n"), F.count("*").alias("n_occurrences"))
     twice = classes.where("first.doc_id < last").select("fp", "first", "n_occurrences", F.lit(True).alias("shared"))
 
-    # Lines that are not equal but share a band with its hub.
-    lines = units.where("is_line").groupBy("fp", "n").agg(F.min("doc_id").alias("doc_id"), F.min_by("bands", "doc_id").alias("bands"), F.min_by("sketch", "doc_id").alias("sketch"))
+    # Paragraphs that are not equal but share a band with its hub.
+    lines = units.where("is_paragraph").groupBy("fp", "n").agg(F.min("doc_id").alias("doc_id"), F.min_by("bands", "doc_id").alias("bands"), F.min_by("sketch", "doc_id").alias("sketch"))
     lines = materialize(lines, "lines")
     bands = lines.select("fp", "n", F.explode("bands").alias("band"))
     hubs = bands.groupBy("band").agg(F.min(F.struct("fp", "n")).alias("hub"), F.max("fp").alias("last")).where("hub.fp < last").select("band", F.col("hub.fp").alias("b"), F.col("hub.n").alias("nb"))
     near = bands.join(hubs, "band").where((F.col("fp") != F.col("b")) & sized(F.col("n"), F.col("nb"))).select(F.col("fp").alias("a"), F.col("n").alias("na"), "b", "nb").distinct()
-    stars = materialize(verified(materialize(near, "pairs"), lines, docs), "stars")
-    more = materialize(between(bands, lines, connected_components(stars)), "pairs")
-    links = stars.union(verified(more, lines, docs))
-    groups = materialize(connected_components(links), "groups").withColumnRenamed("node", "fp")
+    near = materialize(near, "pairs")
+    stars = verified(near, lines, docs)
+    groups = connected_components(stars)
+    more = materialize(between(bands, lines, groups), "pairs")
+    forget(near, groups)
+    links = verified(more, lines, docs)
+    groups = connected_components(stars.union(links)).withColumnRenamed("node", "fp")
+    forget(stars, links, more, lines)
 
     alone = classes.join(groups.select("fp"), "fp", "left_semi").where("first.doc_id = last").select("fp", "first", "n_occurrences", F.lit(False).alias("shared"))
     member = twice.union(alone)
@@ -176,7 +218,7 @@ def repeated(docs: DataFrame) -> DataFrame:
     clusters = clusters.where("shared or keeper.doc_id < last").select("cluster_id", "keeper")
     member = member.join(clusters, "cluster_id")
     found = units.join(member.select("fp", "cluster_id", "n_occurrences", "keeper"), "fp")
-    return found.select("doc_id", "is_line", "first_word", "n_words", "cluster_id", "n_occurrences", (place == F.col("keeper")).alias("kept"))
+    return found.select("doc_id", "is_paragraph", "first_word", "n_words", "cluster_id", "n_occurrences", (place == F.col("keeper")).alias("kept"))
 
 
 def removals(docs: DataFrame) -> DataFrame:
