@@ -1,13 +1,13 @@
-"""Communities: detection, ids, reports and their publication.
+"""Communities: detection, ids, reports.
 
-Connected parts of a graph are found first, by joins. A part of at most MAX_PART nodes is split by greedy modularity, one
-part in a task; larger parts by label propagation, which is another algorithm and is named as such in `method`.
+Detection raises modularity by moves in rounds (Blondel and others, 2008), all of it joins and aggregations: every node moves to
+the neighbouring community that gains most, until none does; then communities become the nodes of a smaller graph, and so
+on. Each round of contraction is a level, and levels are nested. One method serves graphs of any size, and no graph, part or
+neighbourhood is gathered in one task. It runs for each root by itself, on all roots at once.
 """
 
 from __future__ import annotations
 
-import heapq
-from collections import defaultdict
 from typing import Protocol
 
 import pandas as pd
@@ -15,8 +15,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.identity import community_id, singleton_community_id
+from tessera.session import cut, ship
 
-MAX_PART, ROUNDS = 5000, 8
+#: Rounds of moves of a level, and levels. Moves that are left when rounds end are made in the next level's graph or not at all.
+ROUNDS, LEVELS = 12, 8
 
 
 class Reporter(Protocol):
@@ -25,96 +27,91 @@ class Reporter(Protocol):
     def report(self, names: list[str], files: list[str], edge_count: int) -> tuple[str, str, list[str]]: ...
 
 
-def greedy_modularity(nodes: list[str], pairs: list[tuple[str, str]]) -> list[list[str]]:
-    """Clauset, Newman and Moore (2004): the two groups whose union raises modularity most are joined, ties to the smallest names, while any does."""
-    m = len(pairs)
-    if not m:
-        return [[n] for n in sorted(nodes)]
-    group = {n: [n] for n in nodes}
-    share: dict[str, float] = defaultdict(float)
-    near: dict[str, dict[str, float]] = {n: defaultdict(float) for n in nodes}
-    for a, b in pairs:
-        share[a] += 0.5 / m
-        share[b] += 0.5 / m
-        near[a][b] += 1 / m
-        near[b][a] += 1 / m
-    gain = lambda a, b: near[a][b] - 2 * share[a] * share[b]
-    heap = [(-gain(a, b), a, b) for a in near for b in near[a] if a < b]
-    heapq.heapify(heap)
-    while heap:
-        g, a, b = heapq.heappop(heap)
-        if a not in group or b not in group or b not in near[a] or abs(-g - gain(a, b)) > 1e-12:
-            continue
-        if -g <= 1e-12:
+def _moved(nodes: DataFrame, links: DataFrame) -> tuple[DataFrame, int]:
+    """(node, group, k, total) after rounds of moves, and how many moves there were.
+
+    nodes: (node, k, total), k the sum of a node's weights, total that of its root; links: (a, b, w), each in both directions, no loops.
+    In a round only the nodes of one half, dealt anew by a hash, may move, so neighbours rarely swap places for ever.
+    """
+    now = cut(nodes.withColumn("group", F.col("node")))
+    moves, quiet = 0, 0
+    for r in range(ROUNDS):
+        size = now.groupBy("group").agg(F.sum("k").alias("size"))
+        seen = links.join(now.select(F.col("node").alias("b"), "group"), "b").select(F.col("a").alias("node"), "group", "w")
+        seen = seen.union(now.select("node", "group", F.lit(0.0))).groupBy("node", "group").agg(F.sum("w").alias("w"))
+        own = now.select("node", F.col("group").alias("own"), "k", "total")
+        # What a node's links to a community are worth beyond what they would be by chance.
+        rest = F.col("size") - F.when(F.col("group") == F.col("own"), F.col("k")).otherwise(0.0)
+        worth = seen.join(size, "group").join(own, "node").withColumn("worth", F.round(F.col("w") - F.col("k") * rest / F.col("total"), 9))
+        best = worth.groupBy("node", "own", "k", "total").agg(F.min(F.struct((-F.col("worth")).alias("minus"), "group")).alias("best"), F.max(F.when(F.col("group") == F.col("own"), F.col("worth"))).alias("stay"))
+        may = F.pmod(F.xxhash64("node", F.lit(r // 2)), F.lit(2)) == r % 2
+        goes = may & (-F.col("best.minus") > F.col("stay"))
+        now = cut(best.select("node", F.when(goes, F.col("best.group")).otherwise(F.col("own")).alias("group"), "k", "total", goes.alias("moved")))
+        n = now.where("moved").count()
+        now, moves, quiet = now.drop("moved"), moves + n, 0 if n else quiet + 1
+        if quiet == 2:  # neither half has a move left
             break
-        group[a] += group.pop(b)
-        share[a] += share.pop(b)
-        for c, w in near.pop(b).items():
-            near[c].pop(b, None)
-            if c != a:
-                near[a][c] += w
-                near[c][a] = near[a][c]
-        for c in near[a]:
-            heapq.heappush(heap, (-gain(a, c), *sorted((a, c))))
-    return sorted(sorted(g) for g in group.values())
-
-
-def parts(nodes: DataFrame, pairs: DataFrame, cut=lambda d: d) -> DataFrame:
-    """(node, part): the smallest node that can be reached, by rounds of minima over neighbours and over labels."""
-    both = pairs.select("a", "b").union(pairs.select("b", "a"))
-    now = cut(nodes.select("node", F.col("node").alias("part")))
-    while True:
-        low = both.join(now, both.b == now.node).groupBy("a").agg(F.min("part").alias("low"))
-        new = now.join(low, now.node == low.a, "left").select("node", F.least("part", F.coalesce("low", "part")).alias("part"), F.col("part").alias("old"))
-        # Shortcut: a label's own label is at least as small.
-        step = new.alias("x").join(new.select(F.col("node").alias("n2"), F.col("part").alias("p2")).alias("y"), F.col("x.part") == F.col("y.n2"), "left")
-        step = cut(step.select("x.node", F.least("x.part", F.coalesce("y.p2", "x.part")).alias("part"), (F.least("x.part", F.coalesce("y.p2", "x.part")) < F.col("x.old")).alias("moved")))
-        now = step.select("node", "part")
-        if not step.where("moved").limit(1).count():
-            return now
-
-
-def detect(entities: DataFrame, pairs: DataFrame, cut=lambda d: d, max_part: int = MAX_PART) -> DataFrame:
-    """(root_id, entity_id, group, method). entities: (root_id, entity_id); pairs: (a, b), undirected, without loops."""
-    nodes = entities.select(F.col("entity_id").alias("node"), "root_id")
-    labelled = parts(nodes, pairs, cut)
-    size = labelled.groupBy("part").agg(F.count("*").alias("n"))
-    own = labelled.join(size, "part")
-    small = own.where(F.col("n") <= max_part)
-    e = pairs.join(small.select(F.col("node").alias("a"), "part"), "a").select("part", "a", "b")
-    rows = small.select("part", F.col("node").alias("a"), F.lit(None).cast("string").alias("b")).union(e)
-
-    def split(x: pd.DataFrame) -> pd.DataFrame:
-        linked = x[x.b.notna()]
-        groups = greedy_modularity(x.a[x.b.isna()].tolist(), sorted(zip(linked.a, linked.b)))
-        return pd.DataFrame([(n, g[0], "greedy_modularity") for g in groups for n in g], columns=["node", "group", "method"])
-
-    out = rows.groupBy("part").applyInPandas(split, "node string, group string, method string")
-    large = own.where(F.col("n") > max_part).select("node")
-    if not large.isEmpty():
-        out = out.union(propagated(large, pairs.join(large.withColumnRenamed("node", "a"), "a", "left_semi"), cut))
-    return out.join(nodes, "node").select("root_id", F.col("node").alias("entity_id"), "group", "method")
-
-
-def propagated(nodes: DataFrame, pairs: DataFrame, cut=lambda d: d) -> DataFrame:
-    """Label propagation: the commonest label of the neighbours and the node, ties to the smaller; ROUNDS rounds."""
-    both = pairs.select("a", "b").union(pairs.select("b", "a")).union(nodes.select("node", "node"))
-    now = nodes.select("node", F.col("node").alias("group"))
-    for _ in range(ROUNDS):
-        votes = both.join(now, both.b == now.node).groupBy("a", "group").agg(F.count("*").alias("n"))
-        now = cut(votes.groupBy("a").agg(F.min(F.struct((-F.col("n")).alias("n"), "group")).alias("x")).select(F.col("a").alias("node"), "x.group"))
-    return now.withColumn("method", F.lit("label_propagation"))
-
-
-def communities(groups: DataFrame, level: int = 0) -> DataFrame:
-    """(root_id, community_id, level, entity_ids) from detect(), in canonical order of ids."""
-    c = groups.groupBy("root_id", "group").agg(F.array_sort(F.collect_list("entity_id")).alias("entity_ids"))
-    return c.select("root_id", community_id("root_id", "entity_ids").alias("community_id"), F.lit(level).alias("level"), "entity_ids")
+    return now, moves
+
+
+def detect(entities: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(root_id, entity_id, level, group). entities: (root_id, entity_id); pairs: (a, b), undirected, each once, without loops.
+
+    Level 0 is the coarsest; a group of a level lies within one of the level before. An entity without pairs is a group by itself, at level 0
+    alone, as are all where there are no pairs.
+    """
+    both = pairs.select("a", "b").union(pairs.select("b", "a")).withColumn("w", F.lit(1.0))
+    degree = both.groupBy(F.col("a").alias("node")).agg(F.sum("w").alias("k"))
+    linked = entities.select("root_id", F.col("entity_id").alias("node")).join(degree, "node")
+    totals = linked.groupBy("root_id").agg(F.sum("k").alias("total"))
+    nodes = cut(linked.join(totals, "root_id").select("node", "k", "total"))
+    links = cut(both)
+    every: list[DataFrame] = []
+    left = nodes.count()
+    member = nodes.select("node", F.col("node").alias("at"))
+    for _ in range(LEVELS):
+        now, moves = _moved(nodes, links)
+        if not moves:
+            break
+        before, left = left, now.select("group").distinct().count()
+        if left == before:  # names were exchanged, nothing was joined
+            break
+        member = cut(member.join(now.select(F.col("node").alias("at"), "group"), "at").select("node", F.col("group").alias("at")))
+        every.append(member)
+        to = now.select("node", "group")
+        between = links.join(to.select(F.col("node").alias("a"), F.col("group").alias("x")), "a").join(to.select(F.col("node").alias("b"), F.col("group").alias("y")), "b")
+        links = cut(between.where("x <> y").groupBy(F.col("x").alias("a"), F.col("y").alias("b")).agg(F.sum("w").alias("w")))
+        nodes = cut(now.groupBy(F.col("group").alias("node")).agg(F.sum("k").alias("k"), F.max("total").alias("total")))
+    alone = entities if not every else entities.join(member.select(F.col("node").alias("entity_id")), "entity_id", "left_anti")
+    out = alone.select("root_id", "entity_id", F.lit(0).alias("level"), F.col("entity_id").alias("group"))
+    for level, m in enumerate(reversed(every)):
+        out = out.union(m.join(entities.select("root_id", F.col("entity_id").alias("node")), "node").select("root_id", F.col("node"), F.lit(level), "at"))
+    return out
+
+
+def modularity(groups: DataFrame, pairs: DataFrame) -> float:
+    """The modularity of one level of detect() over pairs."""
+    n = pairs.count()
+    g = groups.select("entity_id", "group")
+    within = pairs.join(g.select(F.col("entity_id").alias("a"), F.col("group").alias("x")), "a").join(g.select(F.col("entity_id").alias("b"), F.col("group").alias("y")), "b").where("x = y").count()
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("entity_id")).join(g, "entity_id").groupBy("group").agg(F.count("*").alias("d"))
+    by_chance = ends.agg(F.sum(F.pow(F.col("d") / (2.0 * n), 2))).first()[0] or 0.0
+    return within / n - by_chance if n else 0.0
+
+
+def communities(groups: DataFrame) -> DataFrame:
+    """(root_id, community_id, level, parent_id, entity_ids) from detect(), ids over the sorted members. The parent of a community is that of
+    the level before in which its members lie."""
+    c = groups.groupBy("root_id", "level", "group").agg(F.array_sort(F.collect_list("entity_id")).alias("entity_ids"))
+    c = c.select("root_id", community_id("root_id", "entity_ids").alias("community_id"), "level", "group", "entity_ids")
+    above = groups.join(c.select("level", "group", F.col("community_id").alias("parent_id")), ["level", "group"]).select("entity_id", (F.col("level") + 1).alias("level"), "parent_id")
+    one = c.select("root_id", "community_id", "level", "entity_ids", F.col("entity_ids")[0].alias("entity_id")).join(above, ["entity_id", "level"], "left")
+    return one.select("root_id", "community_id", "level", "parent_id", "entity_ids")
 
 
 def singletons(entities: DataFrame) -> DataFrame:
     """One community for each entity: what a graph without edges has."""
-    return entities.select("root_id", singleton_community_id("root_id", "entity_id").alias("community_id"), F.lit(0).alias("level"), F.array("entity_id").alias("entity_ids"))
+    return entities.select("root_id", singleton_community_id("root_id", "entity_id").alias("community_id"), F.lit(0).alias("level"), F.lit(None).cast("string").alias("parent_id"), F.array("entity_id").alias("entity_ids"))
 
 
 def extractive_reports(facts: DataFrame, least: int = 2) -> DataFrame:
@@ -134,4 +131,5 @@ def reports(facts: DataFrame, reporter: Reporter, least: int = 2) -> DataFrame:
             out = [reporter.report(list(a), list(b), int(c)) for a, b, c in zip(x.names, x.files, x.edge_count)]
             yield pd.DataFrame({"community_id": x.community_id, "title": [o[0][:200] for o in out], "summary": [o[1][:500] for o in out], "findings": [[f[:200] for f in o[2][:5]] for o in out]})
 
+    ship(facts.sparkSession)
     return facts.where(F.size("names") >= least).mapInPandas(write, "community_id string, title string, summary string, findings array<string>")
