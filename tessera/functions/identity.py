@@ -14,8 +14,13 @@ def chunk_id(path_key: Column | str, number: Column | str) -> Column:
     return F.md5(F.concat(_c(path_key), F.lit(":"), _c(number).cast("string")))
 
 
+def entity_key(name: Column | str, kind: Column | str, root_id: Column | str) -> Column:
+    """What an entity's id is the hash of: shorter than it, so aggregations go by keys and hash once what is left."""
+    return F.concat_ws("|", F.lower(_c(name)), F.lower(F.trim(F.coalesce(_c(kind), F.lit("")))), _c(root_id))
+
+
 def entity_id(name: Column | str, kind: Column | str, root_id: Column | str) -> Column:
-    return F.sha2(F.concat_ws("|", F.lower(_c(name)), F.lower(F.trim(F.coalesce(_c(kind), F.lit("")))), _c(root_id)), 256)
+    return F.sha2(entity_key(name, kind, root_id), 256)
 
 
 def edge_id(source: Column | str, target: Column | str, kind: Column | str, root_id: Column | str) -> Column:

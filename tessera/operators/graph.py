@@ -2,31 +2,55 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.identity import edge_id, entity_id
+from tessera.functions.identity import edge_id, entity_id, entity_key
+from tessera.session import cut
+
+
+def _by_keys(facts: DataFrame) -> DataFrame:
+    """The last fact of each file and edge, edges by the keys of their ends: nothing is hashed before rows are fewer."""
+    f = facts.withColumns({"source_key": entity_key("source", "source_type", "root_id"), "target_key": entity_key("target", "target_type", "root_id")})
+    last = F.max_by(F.struct("weight", "description"), F.struct("ordinal", "weight"))
+    return f.groupBy("root_id", "file_path", "source_key", "target_key", "edge_type").agg(last.alias("x")).select("root_id", "file_path", "source_key", "target_key", "edge_type", "x.weight", "x.description")
+
+
+def _hashed(keyed: DataFrame) -> DataFrame:
+    """keyed with edge_id, source_id and target_id."""
+    out = keyed.withColumns({"source_id": F.sha2("source_key", 256), "target_id": F.sha2("target_key", 256)})
+    return out.withColumn("edge_id", edge_id("source_id", "target_id", "edge_type", "root_id"))
 
 
 def contributions(facts: DataFrame) -> DataFrame:
     """facts (root_id, file_path, ordinal, source, source_type, target, target_type, edge_type, weight, description) as edge
     contributions: one for each edge and file, the last of the file by ordinal."""
-    f = facts.withColumn("source_id", entity_id("source", "source_type", "root_id")).withColumn("target_id", entity_id("target", "target_type", "root_id"))
-    f = f.withColumn("edge_id", edge_id("source_id", "target_id", "edge_type", "root_id"))
-    last = F.max_by(F.struct("weight", "description"), F.struct("ordinal", "weight"))
-    return f.groupBy("root_id", "file_path", "edge_id", "source_id", "target_id", "edge_type").agg(last.alias("x")).select("root_id", "file_path", "edge_id", "source_id", "target_id", "edge_type", "x.weight", "x.description")
+    return _hashed(_by_keys(facts)).select("root_id", "file_path", "edge_id", "source_id", "target_id", "edge_type", "weight", "description")
 
 
-def edges(contribs: DataFrame) -> DataFrame:
-    """Edges as sums of their contributions; descriptions in order of their files."""
+def _summed() -> tuple[Column, Column]:
+    """Weights summed; descriptions in order of their files."""
     text = F.array_join(F.transform(F.sort_array(F.collect_list(F.when(F.col("description") != "", F.struct("file_path", "description")))), lambda x: x["description"]), " | ")
-    return contribs.groupBy("root_id", "edge_id", "source_id", "target_id", "edge_type").agg(F.sum("weight").alias("weight"), text.alias("description"))
+    return F.sum("weight").alias("weight"), text.alias("description")
+
+
+def edges(contribs: DataFrame) -> DataFrame:
+    """Edges as sums of their stored contributions."""
+    return contribs.groupBy("root_id", "edge_id", "source_id", "target_id", "edge_type").agg(*_summed())
+
+
+def edges_of(facts: DataFrame) -> DataFrame:
+    """edges(contributions(facts)), with the keys of the ends: ids are made once for each edge."""
+    return _hashed(_by_keys(facts).groupBy("root_id", "source_key", "target_key", "edge_type").agg(*_summed()))
 
 
 def degrees(entities: DataFrame, edge_table: DataFrame) -> DataFrame:
     """entities (entity_id, ...) with their degree: the edges that touch them, a loop once."""
-    ends = edge_table.select(F.explode(F.array_distinct(F.array("source_id", "target_id"))).alias("entity_id"))
-    return entities.join(ends.groupBy("entity_id").agg(F.count("*").alias("degree")), "entity_id", "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
+    keyed = "source_key" in edge_table.columns
+    two = ("source_key", "target_key") if keyed else ("source_id", "target_id")
+    ends = edge_table.select(F.explode(F.array_distinct(F.array(*two))).alias("entity_id")).groupBy("entity_id").agg(F.count("*").alias("degree"))
+    ends = ends.withColumn("entity_id", F.sha2("entity_id", 256)) if keyed else ends
+    return entities.join(ends, "entity_id", "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
 
 
 def callers(entities: DataFrame, edge_table: DataFrame, name: str) -> DataFrame:
@@ -43,9 +67,7 @@ def neighbours(edge_table: DataFrame, seeds: DataFrame, depth: int, edge_types:
     """
     e = edge_table if edge_types is None else edge_table.where(F.col("edge_type").isin(edge_types))
     both = e.select(F.col("source_id").alias("a"), F.col("target_id").alias("b")).union(e.select("target_id", "source_id")).where("a <> b")
-    spark = edge_table.sparkSession
     seen = frontier = seeds.select("entity_id").distinct().withColumn("hops", F.lit(0))
-    cut = (lambda d: d.checkpoint()) if spark.sparkContext._jsc.sc().getCheckpointDir().isDefined() else (lambda d: d)
     both = cut(both) if depth > 1 else both  # read at every step, so made once
     for k in range(1, depth + 1):
         step = frontier.join(both, frontier.entity_id == both.a).select(F.col("b").alias("entity_id")).distinct()
@@ -56,9 +78,15 @@ def neighbours(edge_table: DataFrame, seeds: DataFrame, depth: int, edge_types:
 
 def undirected(edge_table: DataFrame) -> DataFrame:
     """(a, b, weight, description): both directions summed, loops dropped."""
-    e = edge_table.where("source_id <> target_id").select(F.least("source_id", "target_id").alias("a"), F.greatest("source_id", "target_id").alias("b"), "weight", "edge_id", F.coalesce("description", F.lit("")).alias("description"))
+    keyed = "source_key" in edge_table.columns
+    source, target = ("source_key", "target_key") if keyed else ("source_id", "target_id")
+    e = edge_table.where(F.col(source) != F.col(target)).select(F.least(source, target).alias("a"), F.greatest(source, target).alias("b"), "weight", "edge_id", F.coalesce("description", F.lit("")).alias("description"))
     text = F.array_join(F.transform(F.sort_array(F.collect_list(F.when(F.col("description") != "", F.struct("edge_id", "description")))), lambda x: x["description"]), "; ")
-    return e.groupBy("a", "b").agg(F.sum("weight").alias("weight"), text.alias("description"))
+    out = e.groupBy("a", "b").agg(F.sum("weight").alias("weight"), text.alias("description"))
+    if not keyed:
+        return out
+    ids = out.withColumns({"a": F.sha2("a", 256), "b": F.sha2("b", 256)})
+    return ids.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "weight", "description")
 
 
 def internal_edges(edge_table: DataFrame, members: DataFrame) -> DataFrame:
@@ -85,6 +113,18 @@ def top_edges(entities: DataFrame, edge_table: DataFrame, members: DataFrame, k:
     return e.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
 
 
+def hierarchy(levels: list[DataFrame]) -> DataFrame | None:
+    """(level, community_id, entity_id, parent_id) of levels (community_id, entity_id), coarsest first: each community's parent is the one
+    of the level above that holds all of its members. None if any has none: such levels are no hierarchy."""
+    out = levels[0].select(F.lit(0).alias("level"), "community_id", "entity_id", F.lit(None).cast("string").alias("parent_id"))
+    for k, (above, own) in enumerate(zip(levels[:-1], levels[1:]), 1):
+        linked = own.join(parents(own, above), "community_id", "left")
+        if not linked.where("parent_id is null").isEmpty():
+            return None
+        out = out.union(linked.select(F.lit(k), "community_id", "entity_id", "parent_id"))
+    return out
+
+
 def parents(children: DataFrame, candidates: DataFrame) -> DataFrame:
     """(community_id, parent_id): the one candidate that holds all of a child's members; children with none or several are left out.
 
@@ -101,10 +141,12 @@ def member_files(entities: DataFrame, members: DataFrame) -> DataFrame:
     return own.groupBy("community_id").agg(F.array_sort(F.collect_set("f")).alias("file_ids"))
 
 
-def stub_endpoints(entities: DataFrame, contribs: DataFrame) -> DataFrame:
-    """Ends of edges that no entity stands for."""
-    ends = contribs.select(F.explode(F.array("source_id", "target_id")).alias("entity_id")).distinct()
-    return ends.join(entities.select("entity_id"), "entity_id", "left_anti")
+def stub_endpoints(entities: DataFrame, facts: DataFrame) -> DataFrame:
+    """(root_id, entity_id, name, type) of the ends of facts that no entity stands for; the first name in order where they differ in letters' case."""
+    ends = F.array(F.struct(F.col("source").alias("name"), F.col("source_type").alias("type")), F.struct(F.col("target").alias("name"), F.col("target_type").alias("type")))
+    each = facts.select("root_id", F.explode(ends).alias("e")).select("root_id", "e.name", "e.type", entity_id("e.name", "e.type", "root_id").alias("entity_id"))
+    once = each.groupBy("root_id", "entity_id").agg(F.min(F.struct("name", "type")).alias("e")).select("root_id", "entity_id", "e.name", "e.type")
+    return once.join(entities.select("entity_id"), "entity_id", "left_anti").select("root_id", "entity_id", "name", "type")
 
 
 def merged_entities(old: DataFrame, facts: DataFrame) -> DataFrame:
