@@ -98,6 +98,11 @@ def iso_utc(epoch_seconds: Column | str) -> Column:
     return F.date_format(F.timestamp_seconds(_c(epoch_seconds)), "yyyy-MM-dd'T'HH:mm:ss'Z'")
 
 
+def iso_time(text: Column | str) -> Column:
+    """A time from ISO 8601 text, with Z, an offset or none, which is UTC; null for anything else."""
+    return F.try_to_timestamp(F.regexp_replace(F.trim(_c(text)), "[zZ]$", "+00:00"))
+
+
 def since_days(text: str) -> int:
     """Days of "30d"; anything else is refused."""
     found = re.fullmatch(r"(\d+)d", text.strip().lower())
@@ -124,8 +129,12 @@ def report_fields(text: Column | str) -> Column:
 
 
 def joined_parts(parts: Column | str) -> Column:
-    """The texts of content parts (type, text), one line each."""
-    return F.array_join(F.transform(F.filter(_c(parts), lambda p: p["type"] == "text"), lambda p: p["text"]), "\n")
+    """The text of a message's content in JSON: a string as it is, of a list its parts of the type text, one line each; else empty."""
+    c = F.trim(_c(parts))
+    text = F.from_json(F.concat(F.lit('{"x":'), c, F.lit("}")), "x string")["x"]
+    own = F.from_json(c, "array<struct<type:string,text:string>>")
+    lines = F.array_join(F.transform(F.filter(own, lambda p: (p["type"] == "text") & (p["text"] != "")), lambda p: p["text"]), "\n")
+    return F.coalesce(F.when(F.startswith(c, F.lit('"')), text).when(F.startswith(c, F.lit("[")), lines), F.lit(""))
 
 
 def cosine(a: Column | str, b: Column | str) -> Column:

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.scalars import blended, collapsed, cosine, dotted, within
+from tessera.session import ship
 
 #: Queries whose vectors fit this many bytes are broadcast; larger sets go in blocks.
 MAX_QUERY_BYTES = 64 << 20
@@ -46,20 +50,56 @@ def nearest(points: DataFrame, query: list[float], k: int, ties: str, vector: st
 
 
 def nearest_batch(points: DataFrame, queries: DataFrame, k: int, id_col: str, query_id: str, vector: str = "embedding") -> DataFrame:
-    """Exact top k for each query (query_id, q): (query_id, rank, id, score).
+    """Exact top k for each query (query_id, q): (query_id, rank, id, score); 0 where either vector has no length.
 
-    Queries go to all points in blocks of a checked size; the window's row limit is applied in each task before its shuffle.
+    Queries go to all points in blocks of a checked size, as one matrix; each task keeps the k best of its points for each query, and
+    those are ranked. Vectors of another length than the query's, or with null components, take no part.
     """
     size = queries.agg(F.coalesce(F.sum(F.size("q") * 8 + 16), F.lit(0)).alias("b")).first()["b"]
     n = max(1, -(-size // MAX_QUERY_BYTES))
-    w = Window.partitionBy(query_id).orderBy(F.desc("score"), id_col)
+    own = points.select(F.col(id_col).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")).where("v is not null")
+    spark = ship(points.sparkSession)
 
     def block(b: int) -> DataFrame:
-        own = queries if n == 1 else queries.where(F.pmod(F.xxhash64(query_id), F.lit(n)) == b)
-        s = points.where(F.col(vector).isNotNull()).join(F.broadcast(own.select(query_id, "q")), F.lit(True)).select(query_id, id_col, cosine(vector, "q").alias("score"))
-        return s.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-
-    return reduce(DataFrame.union, (block(b) for b in range(n))).select(query_id, "rank", id_col, "score")
+        asked = queries if n == 1 else queries.where(F.pmod(F.xxhash64(query_id), F.lit(n)) == b)
+        rows = asked.select(F.col(query_id).cast("long").alias("i"), F.col("q").cast("array<double>").alias("q")).where("q is not null").collect()
+        given = spark.sparkContext.broadcast(unit_blocks([(r.i, r.q) for r in rows]))
+        return own.mapInArrow(lambda batches: best_of(batches, given.value, k), "query_id long, id long, score double")
+
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+    ranked = reduce(DataFrame.union, (block(b) for b in range(n))).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return ranked.select(F.col("query_id").alias(query_id), "rank", F.col("id").alias(id_col), "score")
+
+
+def unit_blocks(vectors: list[tuple[int, list[float | None]]]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """(ids, matrix of vectors of length one) by their number of components."""
+    by: dict[int, list] = {}
+    for i, v in vectors:
+        if None not in v:
+            by.setdefault(len(v), []).append((i, v))
+    out = {}
+    for d, rows in by.items():
+        x = np.array([v for _, v in rows], np.float64).reshape(len(rows), d)
+        length = np.linalg.norm(x, axis=1, keepdims=True)
+        out[d] = np.array([i for i, _ in rows], np.int64), x / np.where(length == 0, 1, length)
+    return out
+
+
+def best_of(batches: Iterator[pa.RecordBatch], queries: dict[int, tuple[np.ndarray, np.ndarray]], k: int) -> Iterator[pa.RecordBatch]:
+    """The k best of a task's points (id, v) for each query: a matrix product for each batch, beside the best so far."""
+    best = {d: (np.zeros((len(q[0]), 0), np.int64), np.zeros((len(q[0]), 0))) for d, q in queries.items()}
+    for x in batches:
+        for d, (ids, unit) in unit_blocks(list(zip(x.column(0).to_pylist(), x.column(1).to_pylist()))).items():
+            if d in queries:
+                # Products of single rows, summed alike whatever else is in the batch, so equal vectors tie.
+                scores = np.einsum("qd,pd->qp", queries[d][1], unit)
+                old_ids, old = best[d]
+                every, score = np.concatenate([old_ids, np.broadcast_to(ids, scores.shape)], 1), np.concatenate([old, scores], 1)
+                turn = np.lexsort((every, -score), axis=1)[:, :k]
+                best[d] = np.take_along_axis(every, turn, 1), np.take_along_axis(score, turn, 1)
+    for d, (ids, score) in best.items():
+        if ids.size:
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(queries[d][0], ids.shape[1])), pa.array(ids.ravel()), pa.array(score.ravel())], ["query_id", "id", "score"])
 
 
 def entities_like(entities: DataFrame, text: str, limit: int) -> DataFrame:
@@ -79,8 +119,8 @@ def reranked(hits: DataFrame, query_entities: list[str], alpha: float) -> DataFr
 def grouped_by_file(hits: DataFrame, limit: int, per_file: int = 5, file: str = "path_key", order: str = "chunk_id") -> DataFrame:
     """(file, score, chunks): a file's score is its best hit's; at most per_file chunks each; the best files."""
     w = Window.partitionBy(file).orderBy(F.desc("score"), order)
-    kept = hits.withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= per_file)
-    chunk = F.struct(F.col("__n").alias("place"), F.col(order), F.col("score"))
+    kept = hits.withColumn("place", F.row_number().over(w)).where(F.col("place") <= per_file)
+    chunk = F.struct("place", F.col(order), F.col("score"))
     return kept.groupBy(file).agg(F.max("score").alias("score"), F.sort_array(F.collect_list(chunk)).alias("chunks")).orderBy(F.desc("score"), file).limit(limit)
 
 
@@ -116,9 +156,22 @@ def envelope(**channels: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, each).withColumn("rank", F.row_number().over(w))
 
 
+def summary_context(points: DataFrame, path: str, chunks: int = 3, chars: int = 4000) -> DataFrame:
+    """(context): what a file is summarised from: its first chunks, cut to so many characters."""
+    own = points.where(F.col("path_key") == path).orderBy("chunk_id").limit(chunks)
+    return own.agg(F.substring(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("chunk_id", "chunk_text"))), lambda c: c["chunk_text"]), "\n\n"), 1, chars).alias("context"))
+
+
 def answer_context(files: DataFrame, chunks: DataFrame, per_file: int = 2, file: str = "path_key") -> DataFrame:
     """The context string for a language model: the best chunks of the files, in order of score."""
     w = Window.partitionBy(file).orderBy(F.desc("score"), "chunk_id")
-    top = chunks.join(files.select(file), file, "left_semi").withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= per_file)
+    top = chunks.join(files.select(file), file, "left_semi").withColumn("place", F.row_number().over(w)).where(F.col("place") <= per_file)
     part = F.struct((-F.col("score")).alias("o"), F.col(file), F.col("chunk_id"), F.concat(F.lit("File: "), F.col(file), F.lit("\n"), F.col("chunk_text")).alias("t"))
     return top.agg(F.array_join(F.transform(F.sort_array(F.collect_list(part)), lambda x: x["t"]), "\n\n").alias("context"))
+
+
+def existence(table: DataFrame, key: str, asked: DataFrame) -> DataFrame:
+    """(any_there, all_there) of the distinct ids asked for; nothing asked for is all there."""
+    ids = asked.select(key).distinct()
+    there = table.select(key).distinct().withColumn("there", F.lit(1))
+    return ids.join(there, key, "left").agg((F.count("there") > 0).alias("any_there"), (F.count("there") == F.count("*")).alias("all_there"))

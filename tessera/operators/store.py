@@ -1,23 +1,20 @@
-"""Tables kept as immutable generations: a new folder for each publication, and one small pointer that is swapped at once.
+"""Tables kept as plain Parquet generations, and the updates of them as expressions.
 
-Readers pin the generation that the pointer names; writers never change files in place. An update is "what is not touched,
-and the new rows". The pointer holds the state that optimistic writers compare before they swap.
+A publication writes each table anew in a folder of its own; then one row of a small Parquet table of commits names them all,
+so readers see all of them or none. Nothing is changed in place: an update is "what is not touched, and the new rows".
 """
 
 from __future__ import annotations
 
 import json
-import os
-import time
 import uuid
 from dataclasses import dataclass
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-MAX_ATTEMPTS, LEASE_S = 5, 300.0
-PARK_S, MAX_PARK_S = 24 * 3600.0, 30 * 24 * 3600.0
+from tessera.functions.scalars import file_name, suffix
 
 
 # Updates as expressions over tables.
@@ -38,8 +35,8 @@ def without_document(points: DataFrame, path: str) -> DataFrame:
 
 def without_surplus(points: DataFrame, counts: DataFrame) -> DataFrame:
     """Chunks of re-read documents beyond their new number. counts: (path_key, n)."""
-    out = points.join(counts.select("path_key", F.col("n").alias("__n")), "path_key", "left")
-    return out.where(F.col("__n").isNull() | (F.col("chunk_id") < F.col("__n"))).select(*points.columns)
+    out = points.join(counts.select("path_key", F.col("n").alias("new_n")), "path_key", "left")
+    return out.where(F.col("new_n").isNull() | (F.col("chunk_id") < F.col("new_n"))).select(*points.columns)
 
 
 def remapped(table: DataFrame, roots: DataFrame) -> DataFrame:
@@ -61,8 +58,8 @@ def bounded(table: DataFrame, n: int, order: str) -> tuple[DataFrame, bool]:
 
 def backfilled(points: DataFrame, names: DataFrame) -> DataFrame:
     """points with entity_names set where names (point_id, entity_names) has them."""
-    n = names.select("point_id", F.col("entity_names").alias("__names"))
-    return points.join(n, "point_id", "left").withColumn("entity_names", F.coalesce("__names", "entity_names")).select(*points.columns)
+    n = names.select("point_id", F.col("entity_names").alias("new_names"))
+    return points.join(n, "point_id", "left").withColumn("entity_names", F.coalesce("new_names", "entity_names")).select(*points.columns)
 
 
 def replaced_file(contribs: DataFrame, new: DataFrame) -> DataFrame:
@@ -74,10 +71,34 @@ def without_file(contribs: DataFrame, root_id: str, path: str) -> DataFrame:
     return without(contribs, (F.col("root_id") == root_id) & (F.col("file_path") == path))
 
 
-def orphaned(entities: DataFrame, edges: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Entities that no edge and no chunk mentions any more, whose vectors are to go."""
-    used = edges.select(F.explode(F.array("source_id", "target_id")).alias("entity_id")).union(chunks.select("entity_id"))
-    return entities.join(used.distinct(), "entity_id", "left_anti")
+def file_record(points: DataFrame) -> DataFrame:
+    """What points of any payload version say of their file. Fields that a version lacks, or has blank, are taken from those that it has."""
+    have = set(points.columns)
+
+    def filled(*names: str) -> Column:
+        return F.coalesce(*(F.when(F.col(n).cast("string") != "", F.col(n).cast("string")) for n in names if n in have), F.lit(None).cast("string"))
+
+    path = filled("path_key", "file_path")
+    version = F.coalesce(F.col("metadata_version").cast("int"), F.lit(1)) if "metadata_version" in have else F.lit(1)
+    plain = [filled(n).alias(n) for n in ("relative_path", "root_path", "root_id", "file_type", "file_hash", "file_size", "mtime_ns", "chunk_count")]
+    return points.select(
+        path.alias("file_path"), path.alias("path_key"), F.coalesce(filled("file_name"), file_name(path)).alias("file_name"), F.coalesce(filled("display_path"), path).alias("display_path"),
+        F.coalesce(filled("extension"), suffix(path)).alias("extension"), filled("modified_time", "indexed_at", "indexed_time").alias("last_updated"), version.alias("metadata_version"), (version < 2).alias("legacy_metadata"), *plain,
+    )
+
+
+CORE_FIELDS = ("file_path", "file_name", "chunk_id", "chunk_text", "start_char", "end_char")
+
+
+def other_fields(points: DataFrame) -> DataFrame:
+    """points with the fields of the core and, as metadata, a struct of all others."""
+    rest = [c for c in points.columns if c not in CORE_FIELDS]
+    return points.select(*(c for c in points.columns if c in CORE_FIELDS), F.struct(*rest).alias("metadata"))
+
+
+def kept_build(rows: DataFrame, build: object) -> DataFrame:
+    """Rows of the committed build alone: what other builds have left goes."""
+    return rows.where(F.col("build_id") == F.lit(build))
 
 
 def payload(points: DataFrame) -> DataFrame:
@@ -92,122 +113,79 @@ def payload(points: DataFrame) -> DataFrame:
     )
 
 
-# Generations and their pointer.
+# Generations and their commits.
 class Conflict(RuntimeError):
     """Another writer has published since the state that was read."""
 
 
+COMMIT = "version long, state string"
+
+
 @dataclass
 class Store:
-    """Generations of named tables of one root under a folder that driver and executors share."""
+    """Generations of named tables under a folder that driver and executors share, by any path that Spark writes.
+
+    The commit with the largest version counts; of two writers that publish the same version at once, the one whose commit file comes
+    first by name. A writer reads its commit back, and learns so whether it was taken.
+    """
 
     spark: SparkSession
     folder: str
 
-    def __post_init__(self) -> None:
-        Path(self.folder).mkdir(parents=True, exist_ok=True)
-
-    @property
-    def _pointer(self) -> Path:
-        return Path(self.folder) / "_CURRENT.json"
+    def _commits(self) -> DataFrame:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/_commits")
+        there = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+        return self.spark.read.schema(COMMIT).parquet(f"{self.folder}/_commits") if there else self.spark.createDataFrame([], COMMIT)
 
     def state(self) -> dict:
-        return json.loads(self._pointer.read_text()) if self._pointer.exists() else {"version": 0, "tables": {}}
-
-    def _swap(self, expected: int, new: dict) -> dict:
-        """Compare and swap: a lock file that only one writer can create guards the moment between reading and replacing."""
-        lock = Path(self.folder) / "_LOCK"
-        for _ in range(200):
-            try:
-                os.close(os.open(lock, os.O_CREAT | os.O_EXCL))
-                break
-            except FileExistsError:
-                if time.time() - lock.stat().st_mtime > 30:  # its writer has died
-                    lock.unlink(missing_ok=True)
-                time.sleep(0.02)
-        else:
-            raise Conflict("the pointer is locked")
-        try:
-            if self.state()["version"] != expected:
-                raise Conflict(f"version {self.state()['version']}, not {expected}")
-            new = new | {"version": expected + 1}
-            draft = self._pointer.with_suffix(f".{uuid.uuid4().hex}")
-            draft.write_text(json.dumps(new))
-            os.replace(draft, self._pointer)
-            return new
-        finally:
-            lock.unlink(missing_ok=True)
+        last = self._commits().orderBy(F.desc("version"), "state").limit(1).first()
+        return json.loads(last.state) if last else {"version": 0, "tables": {}, "graph_version": 0}
+
+    def commit(self, expected: int, new: dict) -> dict:
+        """Names a new state, if no other writer has since version `expected`."""
+        if self.state()["version"] != expected:
+            raise Conflict(f"version {self.state()['version']}, not {expected}")
+        new = new | {"version": expected + 1, "commit": uuid.uuid4().hex}
+        self.spark.createDataFrame([(new["version"], json.dumps(new, sort_keys=True))], COMMIT).coalesce(1).write.mode("append").parquet(f"{self.folder}/_commits")
+        first = self._commits().where(F.col("version") == new["version"]).orderBy("state").first()
+        if json.loads(first.state)["commit"] != new["commit"]:
+            raise Conflict(f"version {new['version']} is another writer's")
+        return new
 
     def read(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(self.state()["tables"][name])
+        own = self.state()["tables"][name]
+        return self.spark.read.schema(StructType.fromJson(own["schema"])).parquet(own["path"])
 
     def has(self, name: str) -> bool:
         return name in self.state()["tables"]
 
-    def publish(self, expected: int | None = None, partition_by: list[str] | None = None, **tables: DataFrame) -> dict:
-        """Writes new generations of the tables, then names them all by one swap; what was there before stays readable."""
+    def publish(self, expected: int | None = None, dirty: bool = False, committed: tuple[str, int] | None = None, **tables: DataFrame) -> dict:
+        """Writes new generations of the tables, then names them all by one commit. With dirty the graph is marked as changed by the same
+        commit; committed names a build and the version of the graph that it was made from."""
         now = self.state()
-        expected = now["version"] if expected is None else expected
         paths = {}
         for name, df in tables.items():
-            paths[name] = f"{self.folder}/{name}/generation={uuid.uuid4().hex}"
-            own = [c for c in partition_by or [] if c in df.columns]
-            (df.write.partitionBy(*own) if own else df.write).parquet(paths[name])
-        return self._swap(expected, now | {"tables": now["tables"] | paths})
+            path = f"{self.folder}/{name}/generation={uuid.uuid4().hex}"
+            (df.write.partitionBy("root_id") if "root_id" in df.columns and len(df.columns) > 1 else df.write).parquet(path)
+            paths[name] = {"path": path, "schema": json.loads(df.schema.json())}
+        new = now | {"tables": now["tables"] | paths}
+        if dirty:
+            new |= {"graph_version": now.get("graph_version", 0) + 1, "committed_build_id": None}
+        if committed:
+            new |= {"committed_build_id": committed[0], "communities_version": committed[1]}
+        return self.commit(now["version"] if expected is None else expected, new)
 
     def reset(self, *names: str) -> dict:
         now = self.state()
-        return self._swap(now["version"], now | {"tables": {k: v for k, v in now["tables"].items() if k not in names}})
-
-    # Builds: one claim at a time, by lease; parked after repeated failures.
-    def claim(self, build: str, at: float | None = None) -> str | None:
-        """A token, or None while another claim's lease runs or the build is parked."""
-        at = time.time() if at is None else at
-        now = self.state()
-        b = now.get("builds", {}).get(build, {"attempts": 0, "parks": 0})
-        if b.get("parked_until", 0) > at or b.get("token") and b.get("lease_until", 0) > at:
-            return None
-        token = uuid.uuid4().hex
-        try:
-            self._swap(now["version"], now | {"builds": now.get("builds", {}) | {build: b | {"token": token, "lease_until": at + LEASE_S}}})
-        except Conflict:
-            return None
-        return token
-
-    def _finish(self, build: str, token: str, change) -> bool:
-        now = self.state()
-        b = now.get("builds", {}).get(build, {})
-        if b.get("token") != token:
-            return False
-        self._swap(now["version"], now | {"builds": now["builds"] | {build: change(b) | {"token": None}}})
-        return True
-
-    def complete(self, build: str, token: str) -> bool:
-        return self._finish(build, token, lambda b: {"attempts": 0, "parks": 0, "committed": token})
-
-    def fail(self, build: str, token: str, at: float | None = None) -> bool:
-        at = time.time() if at is None else at
-
-        def change(b: dict) -> dict:
-            n = b["attempts"] + 1
-            if n < MAX_ATTEMPTS:
-                return b | {"attempts": n}
-            return b | {"attempts": 0, "parks": b["parks"] + 1, "parked_until": at + min(PARK_S * 2 ** b["parks"], MAX_PARK_S)}
-
-        return self._finish(build, token, change)
-
-    def mark_dirty(self) -> dict:
-        now = self.state()
-        return self._swap(now["version"], now | {"graph_version": now.get("graph_version", 0) + 1, "committed_build_id": None})
+        return self.commit(now["version"], now | {"tables": {k: v for k, v in now["tables"].items() if k not in names}})
 
     def commit_communities(self, build_id: str, graph_version: int, **tables: DataFrame) -> bool:
-        """Publishes a build if the graph is still the one it was made from and no build of it is committed."""
+        """Publishes a build, tables and name in one commit, if the graph is still the one that it was made from and no build of it is committed."""
         now = self.state()
         if now.get("graph_version", 0) != graph_version or now.get("committed_build_id") is not None:
             return False
         try:
-            state = self.publish(now["version"], **tables)
-            self._swap(state["version"], state | {"communities_version": graph_version, "committed_build_id": build_id})
+            self.publish(now["version"], committed=(build_id, graph_version), **tables)
         except Conflict:
             return False
         return True
@@ -219,15 +197,3 @@ class Store:
 
 def dirty(graph_version: Column, communities_version: Column, build: Column) -> Column:
     return ~graph_version.eqNullSafe(communities_version) | build.isNull()
-
-
-def read_registry(spark: SparkSession, path: str) -> DataFrame:
-    """(root_id, db_name) of a tab-separated registry."""
-    return spark.read.csv(path, sep="\t", schema="root_id string, db_name string", quote="")
-
-
-def write_registry(rows: list[tuple[str, str]], path: str) -> None:
-    """The registry is a small driver-side file: written beside its place and moved there at once."""
-    draft = Path(f"{path}.{uuid.uuid4().hex}")
-    draft.write_text("".join(f"{a}\t{b}\n" for a, b in rows))
-    os.replace(draft, path)

@@ -8,23 +8,27 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.scalars import keywords, secret_rules, within
+from tessera.operators.store import remapped
 from tessera.sources.policy import Policy
 
 
 # Listing.
 def listing(points: DataFrame) -> DataFrame:
-    """(path_key, chunk_count, last_updated, metadata_versions): a row a file, versions with their counts."""
-    by_version = points.groupBy("path_key", "metadata_version").agg(F.count("*").alias("n"), F.max("modified_time").alias("t"))
-    return by_version.groupBy("path_key").agg(F.sum("n").alias("chunk_count"), F.max("t").alias("last_updated"), F.map_from_entries(F.sort_array(F.collect_list(F.struct("metadata_version", "n")))).alias("metadata_versions"))
+    """(path_key, chunk_count, last_updated, metadata_versions, first_chunk): a row a file, versions with their counts, and the smallest chunk id."""
+    by_version = points.groupBy("path_key", "metadata_version").agg(F.count("*").alias("n"), F.max("modified_time").alias("t"), F.min("chunk_id").alias("c"))
+    return by_version.groupBy("path_key").agg(F.sum("n").alias("chunk_count"), F.max("t").alias("last_updated"), F.map_from_entries(F.sort_array(F.collect_list(F.struct("metadata_version", "n")))).alias("metadata_versions"), F.min("c").alias("first_chunk"))
 
 
 def page(rows: DataFrame, order: list[Column], skip: int, limit: int) -> DataFrame:
     return rows.orderBy(*order).offset(skip).limit(limit)
 
 
-def metadata_summary(points: DataFrame) -> DataFrame:
-    """(metadata_version, chunks, files)."""
-    return points.groupBy("metadata_version").agg(F.count("*").alias("chunks"), F.count_distinct("path_key").alias("files"))
+def metadata_summary(points: DataFrame, sample: int = 20) -> DataFrame:
+    """(metadata_version, chunks, files, is_legacy, sample): of each version its counts, whether it is older than 2, and its first paths."""
+    by_file = points.groupBy("metadata_version", "path_key").agg(F.count("*").alias("n"))
+    place = F.row_number().over(Window.partitionBy("metadata_version").orderBy("path_key"))
+    each = by_file.withColumn("place", place).groupBy("metadata_version")
+    return each.agg(F.sum("n").alias("chunks"), F.count("*").alias("files"), F.array_sort(F.collect_list(F.when(F.col("place") <= sample, F.col("path_key")))).alias("sample")).withColumn("is_legacy", F.col("metadata_version") < 2)
 
 
 def clear_preview(points: DataFrame, folder: str) -> DataFrame:
@@ -81,6 +85,11 @@ def valid_calls(calls: DataFrame) -> DataFrame:
     return calls.where(F.col("outcome").isin(*OUTCOMES))
 
 
+def record_calls(calls: DataFrame, path: str) -> None:
+    """Appends the valid ones of calls (timestamp, tool_name, session_id, root_path, outcome) to a Parquet table, by day."""
+    valid_calls(calls).withColumn("day", F.to_date("timestamp")).write.mode("append").partitionBy("day").parquet(path)
+
+
 def outcome_metrics(calls: DataFrame, since: Column | None = None, tool: str | None = None) -> DataFrame:
     """(tool_name, success, zero_result, error, total, success_rate)."""
     c = valid_calls(calls)
@@ -109,6 +118,15 @@ def reconciled(registry: DataFrame, decisions: DataFrame) -> DataFrame:
     return out.where(~F.coalesce(F.col("serving_state") == "purged", F.lit(False))).select(F.when(F.col("serving_state") == "remapped", F.col("destination")).otherwise(F.col("root_id")).alias("root_id")).distinct()
 
 
+def reconcile(registry: DataFrame, decisions: DataFrame, points: DataFrame, contribs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(registry, points, contributions, counts) after decisions (root_id, serving_state, destination): rows of remapped roots go to their
+    destinations, those of purged ones go, all others stay as they are."""
+    moved = decisions.where("serving_state = 'remapped'").select(F.col("root_id").alias("source"), "destination")
+    purged = decisions.where("serving_state = 'purged'").select("root_id")
+    kept = lambda t: remapped(t.join(purged, "root_id", "left_anti"), moved)
+    return reconciled(registry, decisions), kept(points), kept(contribs), reconcile_counts(decisions)
+
+
 def unclassified(registry: DataFrame, decisions: DataFrame) -> DataFrame:
     return registry.join(decisions, "root_id", "left_anti")
 
@@ -153,12 +171,21 @@ def latest_comments(comments: DataFrame) -> DataFrame:
 
 
 def hunk_lines(lines: DataFrame) -> DataFrame:
-    """(path, first, last) of the new side of a diff's hunks. lines: (n, line); the file is that of the last +++ line above."""
-    t = lines.select("n", F.when(F.startswith("line", F.lit("+++ b/")), F.substring("line", 7, 10_000)).alias("file"), "line")
-    t = t.withColumn("path", F.last("file", ignorenulls=True).over(Window.orderBy("n")))
+    """(diff_id, path, first, last) of the new side of diffs' hunks. lines: (diff_id, n, line); the file is that of the last +++ line above."""
+    t = lines.select("diff_id", "n", F.regexp_extract("line", r"^\+\+\+ b/(.*)$", 1).alias("file"), "line")
+    above = F.last(F.when(F.col("file") != "", F.col("file")), ignorenulls=True).over(Window.partitionBy("diff_id").orderBy("n"))
     m = lambda g: F.regexp_extract("line", r"^@@ -\d+(?:,\d+)? \+(\d+)(?:,(\d+))? @@", g)
-    h = t.where(F.startswith("line", F.lit("@@ "))).select("path", m(1).try_cast("int").alias("first"), F.coalesce(m(2).try_cast("int"), F.lit(1)).alias("k"))
-    return h.where("k > 0").select("path", "first", (F.col("first") + F.col("k") - 1).alias("last"))
+    h = t.withColumn("path", above).where(F.startswith("line", F.lit("@@ "))).select("diff_id", "path", m(1).try_cast("int").alias("first"), F.coalesce(m(2).try_cast("int"), F.lit(1)).alias("k"))
+    return h.where("k > 0").select("diff_id", "path", "first", (F.col("first") + F.col("k") - 1).alias("last"))
+
+
+def comment_drafts(findings: DataFrame) -> DataFrame:
+    """(finding_id, path, line, body) of findings (finding_id, path, line, severity, title, description, fix): severity and title, then what
+    is given of the description and the fix, with blank lines between."""
+    blank = lambda c: F.when(F.trim(c) != "", F.trim(c))
+    head = F.concat(F.lit("["), F.coalesce("severity", F.lit("UNSPECIFIED")), F.lit("] "), F.coalesce("title", F.lit("Review finding")))
+    body = F.concat_ws("\n\n", head, blank(F.col("description")), F.when(F.col("fix") != "", F.concat(F.lit("Suggested fix: "), F.col("fix"))))
+    return findings.select("finding_id", "path", "line", F.trim(body).alias("body"))
 
 
 def summary_lines(rows: DataFrame, category: str, label: str, cap: int = 50) -> DataFrame:
@@ -172,7 +199,3 @@ def history_page(prompts: DataFrame, contains: str | None, end: int, size: int)
     """The page of prompts that ends at place `end` from the newest; newest first."""
     p = prompts if contains is None else prompts.where(F.contains(F.lower("text"), F.lit(contains.lower())))
     return p.orderBy(F.desc("at"), F.desc("prompt_id")).offset(max(end - size, 0)).limit(size)
-
-
-def filtered(rows: DataFrame, *tests: Column) -> DataFrame:
-    return reduce(DataFrame.where, tests, rows)

@@ -1,25 +1,33 @@
 """The engine's surface: index, sync, search in three channels, communities, audits, and clearing, over one store.
 
-Methods build DataFrames over the pinned generation and publish new ones; results are DataFrames of bounded size or small
-dictionaries of counts.
+Methods build DataFrames over the generation that the last commit names and publish new ones; results are DataFrames of bounded
+size or small dictionaries of counts.
 """
 
 from __future__ import annotations
 
 import uuid
 from dataclasses import dataclass, field
+from typing import Protocol
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.identity import chunk_id
-from tessera.functions.scalars import entity_text, within
+from tessera.functions.scalars import split_long_lines, within
 from tessera.operators import chunk, community, extract, graph, search, store, sync
-from tessera.session import ship
+from tessera.session import cut, ship
 from tessera.sources import scan
 from tessera.sources.policy import Policy
 
-TARGET_ENTITIES, TARGET_SHARE = 20, 0.3
+TARGET_ENTITIES, TARGET_SHARE, TOP_REPORTS = 20, 0.3, 3
+POINTS, CONTRIBS, MENTIONS, VECTORS = "points", "contribs", "mentions", "entity_vectors"
+
+
+class Answerer(Protocol):
+    """Writes an answer to a query from a context."""
+
+    def answer(self, query: str, context: str) -> str: ...
 
 
 @dataclass
@@ -27,11 +35,16 @@ class Engine:
     spark: SparkSession
     folder: str
     embedder: extract.Embedder = field(default_factory=extract.HashEmbedder)
+    extractor: extract.Extractor | None = None
+    summarizer: extract.Summarizer | None = None
     reporter: community.Reporter | None = None
+    answerer: Answerer | None = None
     policy: Policy = field(default_factory=Policy)
     size: int = chunk.SIZE
     overlap: int = chunk.OVERLAP
     alpha: float = 0.0
+    gleanings: int = 0
+    active_roots: list[str] | None = None  # if given, only these are searched
 
     def __post_init__(self) -> None:
         self.store = store.Store(ship(self.spark), self.folder)
@@ -39,164 +52,245 @@ class Engine:
     def _vector(self, text: str) -> list[float]:
         return self.embedder.embed([text[:1800]])[0]
 
-    def _cut(self, d: DataFrame) -> DataFrame:
-        return d.checkpoint() if self.spark.sparkContext._jsc.sc().getCheckpointDir().isDefined() else d
+    def _active(self, table: DataFrame, root: str | None = None) -> DataFrame:
+        t = table if root is None else table.where(F.col("root_id") == root)
+        return t if self.active_roots is None else t.where(F.col("root_id").isin(self.active_roots))
 
     # Indexing.
-    def preview(self, root: str, recursive: bool = True, ignore_files: dict[str, str] | None = None) -> DataFrame:
+    def preview(self, root: str, recursive: bool = True, use_ignore_files: bool = True) -> DataFrame:
         """(action, reason_codes, files) of what indexing would do. Policies see paths relative to the root."""
-        plan = self._plan(root, recursive, ignore_files)
-        return plan.groupBy("action", "reason_codes").agg(F.count("*").alias("files"))
-
-    def _plan(self, root: str, recursive: bool, ignore_files: dict[str, str] | None) -> DataFrame:
-        found = scan.files(self.spark, root, recursive).withColumn("full", F.col("path"))
-        found = found.withColumn("path", F.substring("full", len(root.rstrip("/")) + 1, 1_000_000))
-        return scan.scan_plan(found, self.policy, {k[len(root.rstrip("/")) :] or "/": v for k, v in (ignore_files or {}).items()})
-
-    def _points(self, files: DataFrame, root: str) -> DataFrame:
-        t = scan.texts(files.select(F.col("full").alias("path"), "content", "size", "modified"))
-        formatted = F.when(F.col("file_type") == "json", scalar_json("text")).otherwise(F.col("text"))
-        c = chunk.chunked(t.withColumn("text", formatted), ["path", "file_type", "extension", "file_hash", "modified_time"], self.size, self.overlap)
+        return self._plan(root, recursive, use_ignore_files).groupBy("action", "reason_codes").agg(F.count("*").alias("files"))
+
+    def _plan(self, root: str, recursive: bool, use_ignore_files: bool, changed_from: str | None = None, only: str | None = None, max_files: int | None = None, max_dirs: int | None = None) -> DataFrame:
+        base = len(root.rstrip("/")) + 1
+        ignore = scan.ignore_files(root, scan.files(self.spark, root, recursive)) if use_ignore_files else {}
+        found = scan.files(self.spark, only or root, recursive, changed_from).withColumn("full", F.col("path"))
+        found = found.withColumn("path", F.expr(f"substring(full, {base})"))
+        return scan.scan_plan(found, self.policy, {k[base - 1 :] or "/": v for k, v in ignore.items()}, max_files, max_dirs)
+
+    def _points(self, texts: DataFrame, root: str) -> DataFrame:
+        formatted = F.when(F.col("file_type") == "json", split_long_lines("text", ",{[")).when(F.col("file_type") == "html", split_long_lines("text", ">")).otherwise(F.col("text"))
+        c = chunk.chunked(texts.withColumn("text", formatted), ["path", "file_type", "extension", "file_hash", "modified_time"], self.size, self.overlap)
         p = c.select(F.col("path").alias("path_key"), F.lit(root).alias("root_id"), "file_type", "extension", "file_hash", "modified_time", "chunk_id", "chunk_text", "start_char", "end_char")
         more = p.select("path_key", "chunk_id", "file_hash", "modified_time", chunk_id("path_key", "chunk_id").alias("point_id"))
         return extract.embedded(store.payload(p), self.embedder, "chunk_text").join(more, ["path_key", "chunk_id"])
 
-    def _contribs(self, files: DataFrame, root: str) -> DataFrame:
-        code = extract.code_entities(scan.texts(files.select(F.col("full").alias("path"), "content", "size", "modified")))
-        rel = code.where("edge_type <> ''")
-        kind = F.when(F.col("edge_type") == "imports", "module").when(F.col("edge_type") == "inherits", "class").otherwise("function")
-        source = F.when(F.col("kind") == "module", F.col("path")).otherwise(F.col("name"))
-        return graph.contributions(rel.select(F.lit(root).alias("root_id"), F.col("path").alias("file_path"), F.col("line").cast("long").alias("ordinal"), source.alias("source"), F.col("kind").alias("source_type"), F.col("target"), kind.alias("target_type"), "edge_type", F.lit(1.0).alias("weight"), F.lit("").alias("description"))).withColumn("source_name", F.lit(None).cast("string"))
-
-    def index(self, root: str, recursive: bool = True, force: bool = False, dry_run: bool = False, ignore_files: dict[str, str] | None = None) -> dict:
-        """Indexes what is new or changed under root (everything, if forced), removes what is gone, and marks the graph dirty."""
-        plan = self._plan(root, recursive, ignore_files).where("action = 'index'")
-        disk = plan.select(F.col("full").alias("path_key"), F.date_format("modified", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("mtime"), F.md5("content").alias("file_hash"))
-        known = None
-        if self.store.has("points"):
-            known = self.store.read("points").where(F.col("root_id") == root).select("path_key", F.col("modified_time").alias("mtime"), "file_hash").distinct()
-        old = known if known is not None else disk.limit(0)
-        complete = self._plan(root, recursive, ignore_files).where("limit_hit").isEmpty()
-        changes = self._cut(sync.diff(disk, old, recursive, complete))
+    def _graph(self, texts: DataFrame, points: DataFrame, root: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """(contributions, mentions, entity vectors) of files: of their code's structure, and of what a model names, if there is one."""
+        code = extract.code_entities(texts).withColumn("root_id", F.lit(root))
+        if self.extractor:
+            own = points.select("root_id", F.col("path_key").alias("file_path"), "chunk_id", "chunk_text")
+            entities, facts, _ = extract.extracted_files(own, self.extractor, code, self.summarizer, self.gleanings)
+        else:
+            entities, facts = extract.merged(extract.code_names(code), "file_path"), extract.code_facts(code)
+        mentions = cut(entities.drop("descriptions").withColumn("chunk_ids", F.col("chunk_ids").cast("array<int>")))
+        facts = cut(facts)
+        stubs = graph.stub_endpoints(mentions, facts).withColumn("description", F.lit(""))
+        every = mentions.groupBy("root_id", "entity_id").agg(F.min(F.struct("name", "type", "description")).alias("e")).select("root_id", "entity_id", "e.*").unionByName(stubs)
+        return graph.contributions(facts), mentions, extract.entity_vectors(every, self.embedder).where("embedding is not null")
+
+    def index(self, root: str, recursive: bool = True, force: bool = False, dry_run: bool = False, use_ignore_files: bool = True, only: str | None = None, max_files: int | None = None, max_dirs: int | None = None) -> dict:
+        """Indexes what is new or changed under root (everything, if forced), or in its part `only`, which may be one file; removes what is gone,
+        which is known only of a whole and recursive scan; and marks the graph dirty.
+
+        Files whose time has not moved are not opened. Of the others those with the hash that they had are given their new time, and are
+        neither cut nor embedded again.
+        """
+        plan = self._plan(root, recursive, use_ignore_files, None, only, max_files, max_dirs)
+        listed = plan.select(F.col("full").alias("path_key"), "modified", F.date_format("modified", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("mtime"), "action", "limit_hit")
+        listed = cut(listed)
+        complete = only is None and listed.where("limit_hit").isEmpty()
+        disk = listed.where("action = 'index'").select("path_key", "modified", "mtime")
+        known = self.spark.createDataFrame([], "path_key string, mtime string, file_hash string")
+        if self.store.has(POINTS):
+            known = self.store.read(POINTS).where(F.col("root_id") == root).groupBy("path_key").agg(F.max("modified_time").alias("mtime"), F.max("file_hash").alias("file_hash"))
+        moved = disk if force else disk.join(known.select("path_key", "mtime"), ["path_key", "mtime"], "left_anti")
+        since = moved.agg(F.date_format(F.min("modified"), "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("t")).first().t
+        hashes = self.spark.createDataFrame([], "path_key string, file_hash string")
+        opened = None
+        if since is not None:
+            opened = self._plan(root, recursive, use_ignore_files, since, only).withColumn("path_key", F.col("full")).join(moved.select("path_key"), "path_key", "left_semi")
+            hashes = opened.select("path_key", F.md5("content").alias("file_hash"))
+        changes = cut(sync.diff(disk.select("path_key", "mtime").join(hashes, "path_key", "left"), known, recursive, complete))
         counts = sync.sync_counts(changes).first().asDict()
         if dry_run:
             return counts
-        todo = changes if force else changes.where("state in ('new', 'changed', 'touched')")
-        files = plan.join(todo.where("state <> 'removed'").select(F.col("path_key").alias("full")), "full", "left_semi")
-        gone = changes.where("state = 'removed'").select("path_key").union(todo.select("path_key")).distinct()
-        points, contribs, nodes = self._points(files, root), self._contribs(files, root).drop("source_name"), self._entities(files, root)
-        if self.store.has("points"):
-            points = self.store.read("points").join(gone, "path_key", "left_anti").unionByName(points)
-            contribs = self.store.read("contribs").join(gone.withColumnRenamed("path_key", "file_path"), "file_path", "left_anti").unionByName(contribs)
-            nodes = self.store.read("mentions").join(gone.withColumnRenamed("path_key", "file_path"), "file_path", "left_anti").unionByName(nodes)
-        self.store.publish(points=points, contribs=contribs, mentions=nodes)
-        self.store.mark_dirty()
+        anew = changes.where("state <> 'removed'") if force else changes.where("state in ('new', 'changed')")
+        gone = anew.select("path_key").union(changes.where("state = 'removed'").select("path_key")).distinct()
+        touched = disk.select("path_key", F.col("mtime").alias("new_time")).join(changes.where("state = 'touched'").select("path_key"), "path_key", "left_semi")
+        if opened is None and gone.isEmpty():
+            return counts
+        files = (opened if opened is not None else plan.withColumn("path_key", F.col("full"))).join(anew.select("path_key"), "path_key", "left_semi")
+        texts = cut(scan.texts(files.select(F.col("full").alias("path"), "content", "size", "modified")))
+        points = cut(self._points(texts, root))
+        contribs, mentions, vectors = self._graph(texts, points, root)
+        self._replace(gone, points, contribs, mentions, vectors, touched)
         return counts
 
-    def _entities(self, files: DataFrame, root: str) -> DataFrame:
-        """Mentions of entities in files, ends of edges included."""
-        from tessera.functions.identity import entity_id
-
-        code = extract.code_entities(scan.texts(files.select(F.col("full").alias("path"), "content", "size", "modified")))
-        kind = F.when(F.col("edge_type") == "imports", "module").when(F.col("edge_type") == "inherits", "class").otherwise("function")
-        name = F.when(F.col("kind") == "module", F.col("path")).otherwise(F.col("name"))
-        both = code.select("path", F.explode(F.array_compact(F.array(F.struct(name.alias("name"), F.col("kind").alias("type")), F.when(F.col("edge_type") != "", F.struct(F.col("target").alias("name"), kind.alias("type")))))).alias("e"))
-        return both.select(F.lit(root).alias("root_id"), F.col("path").alias("file_path"), "e.name", "e.type").distinct().withColumn("entity_id", entity_id("name", "type", "root_id"))
+    def _replace(self, gone: DataFrame, points: DataFrame | None = None, contribs: DataFrame | None = None, mentions: DataFrame | None = None, vectors: DataFrame | None = None, touched: DataFrame | None = None) -> None:
+        """Publishes all tables without the rows of the files gone (path_key) and with the new rows, in one commit, the graph marked dirty by it.
+        Vectors of entities that no file mentions any more go."""
+        if self.store.has(POINTS):
+            old = self.store.read(POINTS).join(gone, "path_key", "left_anti")
+            if touched is not None:
+                old = old.join(touched, "path_key", "left").withColumn("modified_time", F.coalesce("new_time", "modified_time")).drop("new_time")
+            points = old if points is None else old.unionByName(points)
+            files = gone.withColumnRenamed("path_key", "file_path")
+            more = lambda name, new: self.store.read(name).join(files, "file_path", "left_anti") if new is None else self.store.read(name).join(files, "file_path", "left_anti").unionByName(new)
+            contribs, mentions = more(CONTRIBS, contribs), more(MENTIONS, mentions)
+            vectors = self.store.read(VECTORS) if vectors is None else store.upserted(self.store.read(VECTORS), vectors, ["root_id", "entity_id"])
+        used = mentions.select("root_id", "entity_id").union(contribs.select("root_id", F.explode(F.array("source_id", "target_id")).alias("entity_id"))).distinct()
+        self.store.publish(dirty=True, **{POINTS: points, CONTRIBS: contribs, MENTIONS: mentions, VECTORS: vectors.join(used, ["root_id", "entity_id"], "left_semi")})
+
+    def index_file(self, root: str, path: str, force: bool = False) -> dict:
+        return self.index(root, force=force, only=path)
+
+    def touched_folders(self, root: str, folders: list[str]) -> dict:
+        """Indexes what appeared or changed directly in folders, as a safety net for lost events; nothing is removed."""
+        total: dict[str, int] = {}
+        for f in sorted(set(folders)):
+            for k, n in self.index(root, recursive=False, only=f).items():
+                total[k] = total.get(k, 0) + n
+        return total
+
+    def remove_document(self, path: str) -> int:
+        """Takes out one file, in all tables; the number of its chunks."""
+        n = self.store.read(POINTS).where(F.col("path_key") == path).count()
+        if n:
+            self._replace(self.spark.createDataFrame([(path,)], "path_key string"))
+        return n
 
     def entities(self) -> DataFrame:
-        m = self.store.read("mentions")
-        g = m.groupBy("root_id", "entity_id").agg(F.min("name").alias("name"), F.min("type").alias("type"), F.array_sort(F.collect_set("file_path")).alias("file_paths"))
-        return g.withColumn("name_lower", F.lower("name")).withColumn("description", F.lit(""))
+        m = self.store.read(MENTIONS)
+        g = m.groupBy("root_id", "entity_id").agg(F.min(F.struct("name", "type")).alias("x"), F.max("description").alias("description"), F.array_sort(F.collect_set("file_path")).alias("file_paths"))
+        return g.select("root_id", "entity_id", "x.name", "x.type", "description", "file_paths", F.lower("x.name").alias("name_lower"))
 
     def edges(self) -> DataFrame:
-        return graph.edges(self.store.read("contribs"))
+        return graph.edges(self.store.read(CONTRIBS))
 
     def status(self, root: str) -> dict:
-        if not self.store.has("points"):
+        if not self.store.has(POINTS):
             return {"status": "not_found", "files": 0, "chunks": 0}
-        r = self.store.read("points").where(F.col("root_id") == root).agg(F.count_distinct("path_key").alias("files"), F.count("*").alias("chunks"), F.min("metadata_version").alias("v")).first()
+        r = self.store.read(POINTS).where(F.col("root_id") == root).agg(F.count_distinct("path_key").alias("files"), F.count("*").alias("chunks"), F.min("metadata_version").alias("v")).first()
         return {"status": "not_found" if not r.chunks else "legacy" if r.v < 3 else "indexed", "files": r.files, "chunks": r.chunks}
 
     # Search.
-    def search(self, query: str, limit: int = 10, min_score: float = 0.35, query_entities: list[str] | None = None, **where) -> DataFrame:
+    def search(self, query: str, limit: int = 10, min_score: float = 0.35, query_entities: list[str] | None = None, root: str | None = None, **where) -> DataFrame:
         """(rank, path_key, score, snippet): filters first, then exact scores, reranking, and at most five chunks of a file."""
-        p = search.where_metadata(self.store.read("points"), **where)
+        p = search.where_metadata(self._active(self.store.read(POINTS), root), **where)
         s = search.reranked(search.scored(p, self._vector(query)), query_entities or [], self.alpha).where(F.col("score") >= min_score)
         files = search.grouped_by_file(s, limit)
         best = files.select("path_key", F.col("chunks")[0]["chunk_id"].alias("chunk_id"))
         return search.snippets(s.join(F.broadcast(best), ["path_key", "chunk_id"]))
 
-    def search_entities(self, query: str, limit: int = 10, min_score: float = 0.35) -> DataFrame:
-        """Entities by meaning, or by a part of their name where nothing comes near."""
-        e = self.entities()
-        v = extract.embedded(e.withColumn("text", entity_text("name", "description")), self.embedder, "text")
+    def search_entities(self, query: str, limit: int = 10, min_score: float = 0.35, root: str | None = None) -> DataFrame:
+        """Entities by meaning, from their stored vectors, or by a part of their name where nothing comes near."""
+        v = self._active(self.store.read(VECTORS), root)
         near = search.nearest(v, self._vector(query), limit, "entity_id", min_score=min_score).select("entity_id", "name", "type", "score")
-        return near if not near.isEmpty() else search.entities_like(e, query, limit).select("entity_id", "name", "type", F.lit(0.0).alias("score"))
+        return near if not near.isEmpty() else search.entities_like(self._active(self.entities(), root), query, limit).select("entity_id", "name", "type", F.lit(0.0).alias("score"))
 
     def build_communities(self) -> bool:
-        """Detects communities of the current graph, writes their reports, and publishes both if the graph has not moved on."""
+        """Detects communities of the current graph, all levels, writes their reports, and publishes both if the graph has not moved on."""
         version = self.store.state().get("graph_version", 0)
-        e, g = self.entities(), self.edges()
-        groups = self._cut(community.detect(e.select("root_id", "entity_id"), graph.undirected(g).select("a", "b"), self._cut))
-        c = community.communities(groups)
-        members = c.select("community_id", F.explode("entity_ids").alias("entity_id"))
-        facts = graph.community_facts(e, g, members)
+        e, g = cut(self.entities()), cut(self.edges())
+        c = cut(community.communities(community.detect(e.select("root_id", "entity_id"), graph.undirected(g).select("a", "b"))))
+        members = c.select("root_id", "community_id", "level", F.explode("entity_ids").alias("entity_id"))
+        top = c.where("level = 0")
+        facts = graph.community_facts(e, g, members.where("level = 0").select("community_id", "entity_id"))
         r = community.reports(facts, self.reporter) if self.reporter else community.extractive_reports(facts).select("community_id", "title", "summary", "findings")
+        r = r.join(top.select("community_id", "root_id"), "community_id")
         r = extract.embedded(r.withColumn("text", F.concat_ws("\n", "title", "summary", F.array_join("findings", "\n"))), self.embedder, "text")
         return self.store.commit_communities(uuid.uuid4().hex, version, communities=c, members=members, reports=r)
 
-    def communities(self, limit: int = 50) -> DataFrame:
-        return graph.listed(self.store.read("communities"), limit)
-
-    def report(self, community: str) -> DataFrame:
-        return self.store.read("reports").where(F.col("community_id") == community).drop("embedding", "text")
-
-    def search_global(self, query: str, limit: int = 10) -> tuple[dict, DataFrame]:
-        """(state, results): reports of the communities of the nearest entities if those are few, else of all; chunks before any build."""
+    def readiness(self) -> str:
+        """not_indexed, rebuilding (no build, or one of an older graph) or ready."""
+        if not self.store.has(POINTS):
+            return "not_indexed"
+        return "rebuilding" if not self.store.has("reports") or self.store.is_dirty() else "ready"
+
+    def communities(self, limit: int = 50, root: str | None = None, level: int | None = None) -> tuple[dict, DataFrame | None]:
+        """The state, and the first communities by level and id; none before a build."""
+        if not self.store.has("communities"):
+            return {"mode": self.readiness()}, None
+        c = self._active(self.store.read("communities"), root)
+        return {"mode": self.readiness()}, graph.listed(c if level is None else c.where(F.col("level") == level), limit)
+
+    def report(self, community: str) -> tuple[dict, DataFrame | None]:
+        """The state, found or not, and a community's report."""
         if not self.store.has("reports"):
-            return {"mode": "rebuilding", "incomplete": False}, self.search(query, limit, 0.0).select(F.col("path_key").alias("key"), "score")
-        mode = "rebuilding" if self.store.is_dirty() else "ready"
-        r, members = self.store.read("reports"), self.store.read("members")
-        hits = self.search_entities(query, TARGET_ENTITIES)
-        chosen = search.targets(hits, members, r, TARGET_SHARE)
-        near = search.nearest(r.join(chosen, "community_id", "left_semi"), self._vector(query), limit, "community_id").select(F.col("community_id").alias("key"), "score")
+            return {"mode": self.readiness(), "found": False}, None
+        r = self.store.read("reports").where(F.col("community_id") == community).drop("embedding", "text")
+        return {"mode": self.readiness(), "found": not r.isEmpty()}, r
+
+    def search_global(self, query: str, limit: int = 10, root: str | None = None) -> tuple[dict, DataFrame]:
+        """(state, results): reports of the communities of the nearest entities if those are few, else of all; chunks before any build or
+        where there is no report. state: mode, incomplete, coverage, confidence, and synthesis, an answer from the best reports if there is a model."""
+        mode = self.readiness()
+        chunks = lambda: self.search(query, limit, 0.0, root=root).select(F.col("path_key").alias("key"), "score")
+        if mode == "not_indexed" or not self.store.has("reports"):
+            return {"mode": mode, "incomplete": False, "coverage": "rebuilding", "synthesis": ""}, chunks()
+        r, members = self._active(self.store.read("reports"), root), self._active(self.store.read("members"), root).where("level = 0")
+        chosen = search.targets(self.search_entities(query, TARGET_ENTITIES, root=root), members, r, TARGET_SHARE)
+        near = search.nearest(r.join(chosen, "community_id", "left_semi"), self._vector(query), limit, "community_id")
         if not near.isEmpty():
-            return {"mode": mode, "incomplete": True}, near
-        counts = members.select("community_id").distinct().join(r.select("community_id", F.lit(1).alias("r")), "community_id", "left").agg(F.count("*").alias("expected"), F.count("r").alias("covered")).first()
-        near = search.nearest(r, self._vector(query), limit, "community_id").select(F.col("community_id").alias("key"), "score")
-        return {"mode": mode, "incomplete": counts.covered < counts.expected or mode == "rebuilding"}, near
-
-    def search_root(self, query: str, limit: int = 10, min_score: float = 0.35) -> DataFrame:
-        """(channel, key, score, rank) of chunks, entities and communities."""
-        chunks = self.search(query, limit, min_score).select(F.col("path_key").alias("key"), "score")
-        entities = self.search_entities(query, limit, min_score).select(F.col("entity_id").alias("key"), "score")
-        return search.envelope(chunks=chunks, entities=entities, communities=self.search_global(query, limit)[1])
+            return {"mode": mode, "incomplete": True, "coverage": "targeted"} | self._said(query, near), near.select(F.col("community_id").alias("key"), "score")
+        counts = members.select("community_id").distinct().join(r.select("community_id", F.lit(1).alias("r")), "community_id", "left").agg(search.coverage(F.count("*"), F.count("r"), F.lit(mode == "rebuilding")).alias("c")).first()
+        near = search.nearest(r, self._vector(query), limit, "community_id")
+        if counts.c == "failed" or near.isEmpty():
+            return {"mode": mode, "incomplete": True, "coverage": counts.c, "synthesis": ""}, chunks()
+        return {"mode": mode, "incomplete": counts.c != "complete" or mode == "rebuilding", "coverage": counts.c} | self._said(query, near), near.select(F.col("community_id").alias("key"), "score")
+
+    def _said(self, query: str, near: DataFrame) -> dict:
+        """How sure the best of some reports is, and what a model says from the first of them."""
+        best = near.orderBy(F.desc("score"), "community_id").limit(TOP_REPORTS).select("title", "summary", "score").collect()
+        text = "\n\n".join(f"{b.title}\n{b.summary}" for b in best)
+        sure = "none" if not best else "high" if best[0].score >= 0.7 else "medium" if best[0].score >= 0.5 else "low"
+        return {"confidence": sure, "synthesis": self.answerer.answer(query, text) if self.answerer and best else ""}
+
+    def answer(self, query: str, limit: int = 5, root: str | None = None, per_file: int = 2) -> tuple[str, str]:
+        """(answer, context) from the best chunks of the best files; the answer is empty without a model."""
+        s = search.scored(self._active(self.store.read(POINTS), root), self._vector(query))
+        text = search.answer_context(search.grouped_by_file(s, limit).select("path_key"), s, per_file).first().context or ""
+        return self.answerer.answer(query, text) if self.answerer else "", text
+
+    def file_summary(self, path: str) -> tuple[str, str]:
+        """(summary, context) of one file; the summary is empty without a model."""
+        text = search.summary_context(self.store.read(POINTS), path).first().context or ""
+        return self.answerer.answer(f"Summarize {path}", text) if self.answerer and text else "", text
+
+    def search_root(self, root: str, query: str, limit: int = 10, min_score: float = 0.35) -> DataFrame:
+        """(channel, key, score, rank) of chunks, entities and communities of one root."""
+        chunks = self.search(query, limit, min_score, root=root).select(F.col("path_key").alias("key"), "score")
+        entities = self.search_entities(query, limit, min_score, root).select(F.col("entity_id").alias("key"), "score")
+        return search.envelope(chunks=chunks, entities=entities, communities=self.search_global(query, limit, root)[1])
 
     # Upkeep.
     def clear(self, path: str, confirm: bool = False, expected_files: int | None = None, expected_chunks: int | None = None) -> dict:
         """What lies under path, and, if confirmed with the counts that a preview gave, its removal."""
-        p = self.store.read("points")
+        p = self.store.read(POINTS)
         seen = sync.clear_preview(p, path).first().asDict()
         if not confirm:
             return seen | {"cleared": False}
         if (expected_files, expected_chunks) != (seen["files"], seen["chunks"]):
             raise ValueError(f"the counts have changed: {seen}")
-        keep = ~within(F.col("file_path"), F.lit(path))
-        self.store.publish(points=p.where(~within("path_key", F.lit(path))), contribs=self.store.read("contribs").where(keep), mentions=self.store.read("mentions").where(keep))
-        self.store.mark_dirty()
+        own = p.select("path_key").union(self.store.read(MENTIONS).select("file_path")).union(self.store.read(CONTRIBS).select("file_path"))
+        self._replace(own.where(within("path_key", F.lit(path))).distinct())
         return seen | {"cleared": True}
 
     def audit(self) -> DataFrame:
-        return sync.secret_audit(self.store.read("points"), self.policy)
+        return sync.secret_audit(self.store.read(POINTS), self.policy)
 
     def purge(self, path: str, confirm: bool = False) -> None:
-        self.store.publish(points=sync.purged(self.store.read("points"), path, confirm, self.policy))
+        """Takes out a file that the audit reports, from all tables."""
+        sync.purged(self.store.read(POINTS), path, confirm, self.policy)
+        self._replace(self.spark.createDataFrame([(path,)], "path_key string"))
+
+    def reconcile(self, registry: DataFrame, decisions: DataFrame) -> tuple[DataFrame, dict]:
+        """(the registry after decisions, counts by state), and the stored tables after them: remapped roots at their destinations, purged ones gone."""
+        left, points, contribs, counts = sync.reconcile(registry, decisions, self.store.read(POINTS), self.store.read(CONTRIBS))
+        _, mentions, vectors, _ = sync.reconcile(registry, decisions, self.store.read(MENTIONS), self.store.read(VECTORS))
+        self.store.publish(dirty=True, **{POINTS: points, CONTRIBS: contribs, MENTIONS: mentions, VECTORS: vectors})
+        return left, counts.first().asDict()
 
     def stats(self) -> dict:
         return {name: self.store.read(name).count() for name in self.store.state()["tables"]}
-
-
-def scalar_json(text: str):
-    from tessera.functions.scalars import split_long_lines
-
-    return split_long_lines(text, ",{[")

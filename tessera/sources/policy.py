@@ -14,24 +14,34 @@ from pyspark.sql import functions as F
 from tessera.functions.scalars import file_name, path_parts, suffix
 
 # The default lists.
-EXCLUDED_EXTENSIONS = (
-    ".png .jpg .jpeg .gif .ico .svg .webp .bmp .tiff .tif "
-    ".exe .dll .so .dylib .bin .o .a .pyc .pyo .class .pyd "
-    ".zip .tar .gz .tgz .bz2 .rar .7z .jar .war .ear "
-    ".mp3 .mp4 .wav .avi .mov .mkv .flac .ogg .webm .m4a .m4v "
-    ".woff .woff2 .ttf .eot .otf "
-    ".doc .docx .xls .xlsx .ppt .pptx "
-    ".sqlite .db .sqlite3 .mdb .lock .map .pdf"
-).split()
-EXCLUDED_FILENAMES = ".DS_Store Thumbs.db .gitkeep .npmrc .yarnrc .pypirc .netrc credentials.json".split()
-SECRET_FILENAMES = ".env .npmrc .pypirc .netrc credentials.json id_rsa id_ed25519".split()
-SECRET_PATTERNS = ".env.* *.pem *.key *.crt *.p12 *.pfx service-account*.json .aws .aws/* .ssh .ssh/* .kube .kube/*".split()
-SECRET_DIRECTORIES = ".ssh .aws .kube".split()
-EXCLUDED_DIRECTORIES = (
-    ".git node_modules __pycache__ .venv venv .env env dist build .idea .vscode .next .nuxt target bin obj coverage "
-    ".cache .pytest_cache .mypy_cache .ruff_cache .tox eggs *.egg-info .eggs vendor Pods .gradle .mvn out .output "
-    ".parcel-cache .turbo .aws .ssh .kube .claude .claude/worktrees graphify-out"
-).split()
+EXCLUDED_EXTENSIONS = [
+    ".png", ".jpg", ".jpeg", ".gif", ".ico", ".svg", ".webp", ".bmp", ".tiff", ".tif",
+    ".exe", ".dll", ".so", ".dylib", ".bin", ".o", ".a", ".pyc", ".pyo", ".class",
+    ".pyd", ".zip", ".tar", ".gz", ".tgz", ".bz2", ".rar", ".7z", ".jar", ".war",
+    ".ear", ".mp3", ".mp4", ".wav", ".avi", ".mov", ".mkv", ".flac", ".ogg", ".webm",
+    ".m4a", ".m4v", ".woff", ".woff2", ".ttf", ".eot", ".otf", ".doc", ".docx", ".xls",
+    ".xlsx", ".ppt", ".pptx", ".sqlite", ".db", ".sqlite3", ".mdb", ".lock", ".map", ".pdf",
+]
+EXCLUDED_FILENAMES = [
+    ".DS_Store", "Thumbs.db", ".gitkeep", ".npmrc", ".yarnrc", ".pypirc", ".netrc", "credentials.json",
+]
+SECRET_FILENAMES = [
+    ".env", ".npmrc", ".pypirc", ".netrc", "credentials.json", "id_rsa", "id_ed25519",
+]
+SECRET_PATTERNS = [
+    ".env.*", "*.pem", "*.key", "*.crt", "*.p12", "*.pfx", "service-account*.json", ".aws",
+    ".aws/*", ".ssh", ".ssh/*", ".kube", ".kube/*",
+]
+SECRET_DIRECTORIES = [
+    ".ssh", ".aws", ".kube",
+]
+EXCLUDED_DIRECTORIES = [
+    ".git", "node_modules", "__pycache__", ".venv", "venv", ".env", "env", "dist",
+    "build", ".idea", ".vscode", ".next", ".nuxt", "target", "bin", "obj",
+    "coverage", ".cache", ".pytest_cache", ".mypy_cache", ".ruff_cache", ".tox", "eggs", "*.egg-info",
+    ".eggs", "vendor", "Pods", ".gradle", ".mvn", "out", ".output", ".parcel-cache",
+    ".turbo", ".aws", ".ssh", ".kube", ".claude", ".claude/worktrees", "graphify-out",
+]
 
 
 def glob_regex(glob: str) -> str:
@@ -147,14 +157,70 @@ def ignored(path: Column, files: dict[str, str]) -> Column:
 
 
 # File types by extension; everything else is text.
-TYPES = {
-    "markdown": ".md .markdown", "pdf": ".pdf", "python": ".py .pyi .pyw", "javascript": ".js .mjs .cjs .jsx .vue .svelte",
-    "typescript": ".ts .mts .cts .tsx", "java": ".java .kt .kts .scala .groovy .gradle .sbt", "c": ".c .h", "cpp": ".cpp .cc .cxx .hpp .hh .hxx",
-    "go": ".go", "rust": ".rs", "ruby": ".rb", "php": ".php", "shell": ".sh .bash .zsh .fish .ps1 .psm1 .bat .cmd",
-    "json": ".json .jsonc .json5 .prettierrc .eslintrc", "yaml": ".yaml .yml", "xml": ".xml", "csv": ".csv", "sql": ".sql", "graphql": ".graphql .gql",
-    "html": ".html .htm .xhtml", "css": ".css .scss .sass .less",
-}
-TYPE_OF = {ext: kind for kind, all_ in TYPES.items() for ext in all_.split()}
+TYPE_OF = {
+    ".md": "markdown",
+    ".markdown": "markdown",
+    ".pdf": "pdf",
+    ".py": "python",
+    ".pyi": "python",
+    ".pyw": "python",
+    ".js": "javascript",
+    ".mjs": "javascript",
+    ".cjs": "javascript",
+    ".jsx": "javascript",
+    ".vue": "javascript",
+    ".svelte": "javascript",
+    ".ts": "typescript",
+    ".mts": "typescript",
+    ".cts": "typescript",
+    ".tsx": "typescript",
+    ".java": "java",
+    ".kt": "java",
+    ".kts": "java",
+    ".scala": "java",
+    ".groovy": "java",
+    ".gradle": "java",
+    ".sbt": "java",
+    ".c": "c",
+    ".h": "c",
+    ".cpp": "cpp",
+    ".cc": "cpp",
+    ".cxx": "cpp",
+    ".hpp": "cpp",
+    ".hh": "cpp",
+    ".hxx": "cpp",
+    ".go": "go",
+    ".rs": "rust",
+    ".rb": "ruby",
+    ".php": "php",
+    ".sh": "shell",
+    ".bash": "shell",
+    ".zsh": "shell",
+    ".fish": "shell",
+    ".ps1": "shell",
+    ".psm1": "shell",
+    ".bat": "shell",
+    ".cmd": "shell",
+    ".json": "json",
+    ".jsonc": "json",
+    ".json5": "json",
+    ".prettierrc": "json",
+    ".eslintrc": "json",
+    ".yaml": "yaml",
+    ".yml": "yaml",
+    ".xml": "xml",
+    ".csv": "csv",
+    ".sql": "sql",
+    ".graphql": "graphql",
+    ".gql": "graphql",
+    ".html": "html",
+    ".htm": "html",
+    ".xhtml": "html",
+    ".css": "css",
+    ".scss": "css",
+    ".sass": "css",
+    ".less": "css",
+}
 
 
 def file_type(path: Column | str) -> Column:

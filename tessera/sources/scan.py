@@ -9,27 +9,73 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.scalars import file_name, iso_utc, suffix
+from tessera.session import ship
 from tessera.sources.policy import Policy, file_type, ignored
 
-MAX_FILES, MAX_FILE_BYTES = 10_000, 50 << 20
+MAX_FILE_BYTES = 50 << 20
+#: Folders in which ignore files are looked for; their texts are carried in the plan.
+IGNORE_FOLDERS = 10_000
 
 
-def files(spark: SparkSession, root: str, recursive: bool = True) -> DataFrame:
-    """(path, size, modified, content) of every file; content is read only where it is used."""
+def files(spark: SparkSession, root: str, recursive: bool = True, changed_from: str | None = None) -> DataFrame:
+    """(path, size, modified, content) of every file; content is read only where it is used. changed_from, a UTC time, is pushed down to
+    the listing: older files are not opened."""
     read = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(root)
+    read = read if changed_from is None else read.where(F.col("modificationTime") >= F.lit(changed_from).cast("timestamp"))
     return read.select(F.regexp_replace("path", "^file:/*", "/").alias("path"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"), "content")
 
 
-def scan_plan(found: DataFrame, policy: Policy | None = None, ignore_files: dict[str, str] | None = None, max_files: int = MAX_FILES, max_bytes: int = MAX_FILE_BYTES) -> DataFrame:
-    """found (path, size, ...) with action, reason_codes and limit_hit: files beyond max_files, in order of their paths, are skipped."""
+def ignore_files(root: str, found: DataFrame) -> dict[str, str]:
+    """The texts of .gitignore in the folders of files() and in those above them up to root, and of .git/info/exclude in root, by the folder
+    that they hold for. Spark's readers leave out names with a leading dot, so these few files are asked for one by one."""
+    spark, base = found.sparkSession, root.rstrip("/")
+    rows = found.select(F.regexp_replace("path", "/[^/]*$", "").alias("d")).distinct().limit(IGNORE_FOLDERS + 1).collect()
+    if len(rows) > IGNORE_FOLDERS:
+        raise ValueError(f"more than {IGNORE_FOLDERS} folders: hand the ignore files' texts to scan_plan()")
+    folders = {base}
+    for r in rows:
+        parts = r.d.removeprefix(base).split("/")
+        folders |= {base + "/".join(parts[:k]) for k in range(1, len(parts) + 1)}
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+
+    def text(path: str) -> str:
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        fs = p.getFileSystem(conf)
+        if not fs.exists(p):
+            return ""
+        stream = fs.open(p)
+        try:
+            return jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+
+    out = {f or "/": text(f"{f}/.gitignore") for f in sorted(folders)}
+    out[base or "/"] += "\n" + text(f"{base}/.git/info/exclude")
+    return {f: t for f, t in out.items() if t.strip()}
+
+
+def scan_plan(found: DataFrame, policy: Policy | None = None, ignore: dict[str, str] | None = None, max_files: int | None = None, max_dirs: int | None = None, max_bytes: int = MAX_FILE_BYTES) -> DataFrame:
+    """found (path, size, ...) with action, reason_codes and limit_hit. All files take part unless a bound is asked for: then files beyond
+    max_files, and those of folders beyond max_dirs, in order of paths, are skipped and marked."""
     d = (policy or Policy()).decision("path")
-    more = F.array_compact(F.array(F.when(F.col("size") > max_bytes, F.lit("file_too_large")), F.when(ignored(F.col("path"), ignore_files or {}), F.lit("gitignored"))))
-    out = found.withColumn("reason_codes", F.concat(d["reason_codes"], more)).withColumn("secret_risk", d["secret_risk"])
-    indexable = out.where(F.size("reason_codes") == 0)
-    # The bound is a top-k: only max_files paths are kept by each task.
-    within = indexable.select("path").orderBy("path").limit(max_files).withColumn("within", F.lit(True))
-    out = out.join(within, "path", "left")
-    return out.withColumn("limit_hit", (F.size("reason_codes") == 0) & F.col("within").isNull()).withColumn("action", F.when(F.col("within"), F.lit("index")).otherwise(F.lit("skip"))).drop("within")
+    more = F.array_compact(F.array(F.when(F.col("size") > max_bytes, F.lit("file_too_large")), F.when(ignored(F.col("path"), ignore or {}), F.lit("gitignored"))))
+    out = found.withColumn("reason_codes", F.concat(d["reason_codes"], more)).withColumns({"secret_risk": d["secret_risk"], "limit_hit": F.lit(False)})
+    fits = F.size("reason_codes") == 0
+    folder = F.regexp_replace("path", "/[^/]*$", "")
+    # The bounds are top-k: only so many paths are kept by each task.
+    if max_dirs is not None:
+        first = out.where(fits).select(folder.alias("in_dir")).distinct().orderBy("in_dir").limit(max_dirs).withColumn("dir_fits", F.lit(True))
+        out = out.withColumn("in_dir", folder).join(first, "in_dir", "left").withColumn("limit_hit", fits & F.col("dir_fits").isNull()).drop("in_dir", "dir_fits")
+    if max_files is not None:
+        first = out.where(fits & ~F.col("limit_hit")).select("path").orderBy("path").limit(max_files).withColumn("file_fits", F.lit(True))
+        out = out.join(first, "path", "left").withColumn("limit_hit", F.col("limit_hit") | (fits & F.col("file_fits").isNull())).drop("file_fits")
+    return out.withColumn("action", F.when(fits & ~F.col("limit_hit"), F.lit("index")).otherwise(F.lit("skip")))
+
+
+def skip_counts(plan: DataFrame) -> DataFrame:
+    """(reason, files): how many files each reason keeps out; limit for those beyond a bound."""
+    why = F.when(F.col("limit_hit"), F.array(F.lit("limit"))).otherwise(F.col("reason_codes"))
+    return plan.where("action = 'skip'").select(F.explode(why).alias("reason")).groupBy("reason").agg(F.count("*").alias("files"))
 
 
 def texts(found: DataFrame) -> DataFrame:
@@ -46,5 +92,6 @@ def texts(found: DataFrame) -> DataFrame:
             yield pd.DataFrame({"path": x.path, "text": out, "file_hash": x.file_hash, "size": x["size"], "modified": x.modified})
 
     own = found.select("path", "content", F.md5("content").alias("file_hash"), "size", "modified")
+    ship(found.sparkSession)
     got = own.mapInPandas(decode, "path string, text string, file_hash string, size long, modified timestamp")
     return got.select("*", file_type("path").alias("file_type"), file_name("path").alias("file_name"), suffix("path").alias("extension"), iso_utc(F.col("modified").cast("double")).alias("modified_time"))

@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from tessera.session import ship
+
 QUIET_S, MAX_AGE_S = 2.0, 10.0
 
 
@@ -78,6 +80,7 @@ def debounced_stream(events: DataFrame, quiet: float = QUIET_S, max_age: float =
             state.update((first, last, paths))
             state.setTimeoutDuration(max(1, int(1000 * min(quiet, first + max_age - now))))
 
+    ship(events.sparkSession)
     return events.groupBy("root_id").applyInPandasWithState(run, "root_id string, first_ts double, last_ts double, paths array<string>", "first double, last double, paths array<string>", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
@@ -88,6 +91,17 @@ def apply_batch(changed: DataFrame, on_disk: DataFrame) -> DataFrame:
     return p.join(there, "path", "left").select("path", F.when(F.col("there"), "index").otherwise("remove").alias("action"))
 
 
+def touched_folders(changed: DataFrame) -> DataFrame:
+    """(root_id, folder) in which a batch's paths lie: what is looked at again, in case events were lost."""
+    return changed.select("root_id", F.explode("paths").alias("path")).select("root_id", F.regexp_replace("path", "/[^/]*$", "").alias("folder")).distinct()
+
+
+def event_source(spark: SparkSession, folder: str) -> DataFrame:
+    """A stream of file events from JSON lines that a watcher appends: (root_id, path, kind, moved_to, ts); kinds created, modified, deleted, moved."""
+    raw = spark.readStream.schema("root_id string, path string, kind string, moved_to string, ts timestamp").json(folder)
+    return file_events(raw.where(F.col("kind").isin("created", "modified", "deleted", "moved")))
+
+
 def start_watch(events: DataFrame, checkpoint: str, flush, **trigger):
     """Starts the stream: flush(batch, id) for each micro-batch of debounced changes. One query owns a checkpoint folder, so a
     second one on it fails until the first has ended."""
