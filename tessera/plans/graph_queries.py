@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import re
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import identity
-from tessera.operators import community, extract, graph, search
+from tessera.operators import chunk, community, extract, graph, search, store
 from tessera.sources import catalog
 from tessera.sources.catalog import SHOP, sql
 
@@ -29,7 +31,7 @@ _GM = sql("facts", "contribs", "edges", "entities", "members")
 
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.edges(catalog.contribs(spark, sf_dir))
+    return graph.edges_of(catalog.facts(spark, sf_dir))
 
 
 def people_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,9 +68,9 @@ def m8_contributions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.contribs(spark, sf_dir).groupBy("file_path").agg(F.count("*").alias("n"), F.sum("weight").alias("weight"))
 
 
-@query(_G + "select e.name from entities e where e.entity_id in (select source_id from edges where edge_type = 'calls' and target_id in (select entity_id from entities where name_lower = 'france'))")
+@query(_G + "select e.name from entities e where e.entity_id in (select source_id from edges where edge_type = 'calls' and target_id in (select entity_id from entities where name_lower = 'nation_3'))")
 def j1_callers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.callers(catalog.entities(spark, sf_dir), edges(spark, sf_dir), "FRANCE").select("name")
+    return graph.callers(catalog.entities(spark, sf_dir), edges(spark, sf_dir), "NATION_3").select("name")
 
 
 @query(_G + ", t as (select unnest(file_paths) as f from entities) select f as file_path, count(*) as n from t group by f")
@@ -139,9 +141,9 @@ def g1_bfs_d2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.select("entity_id", F.col("hops").cast("long").alias("hops"))
 
 
-@query(_G + _BFS.format(w="where edge_type = 'calls'", seed="FRANCE", more=_H2) + " select id as entity_id, 1::bigint as hops from h1 union all select id, 2 from h2")
+@query(_G + _BFS.format(w="where edge_type = 'calls'", seed="NATION_3", more=_H2) + " select id as entity_id, 1::bigint as hops from h1 union all select id, 2 from h2")
 def g1_bfs_typed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = graph.neighbours(edges(spark, sf_dir), _seed(spark, sf_dir, "FRANCE"), 2, ["calls"])
+    n = graph.neighbours(edges(spark, sf_dir), _seed(spark, sf_dir, "NATION_3"), 2, ["calls"])
     return n.select("entity_id", F.col("hops").cast("long").alias("hops"))
 
 
@@ -162,29 +164,133 @@ def g8_community_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select("name", identity.community_id(F.lit(SHOP), "ids").alias("id"))
 
 
-@query()
+@query("with m as (select a.n_regionkey, list(a.n_name order by a.n_name) as ms from nation a group by 1) select n_regionkey, sha256('" + SHOP + "|(' || list_aggregate(list_transform(ms, lambda x: chr(39) || x || chr(39)), 'string_agg', ', ') || case when len(ms) = 1 then ',' else '' end || ')') as community_id, ms as entity_ids from m")
 def g7_communities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Greedy modularity over nations linked by trade of more than a threshold; checked against a brute force in the tests."""
-    s = catalog.table(spark, sf_dir, "supplier").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("a"), F.concat(F.lit("n"), F.col("s_nationkey").cast("string")).alias("b"))
-    nodes = s.select("a").union(s.select("b")).distinct().select(F.lit(SHOP).alias("root_id"), F.col("a").alias("entity_id"))
-    cut = (lambda d: d.checkpoint()) if spark.sparkContext._jsc.sc().getCheckpointDir().isDefined() else (lambda d: d)
-    return community.communities(community.detect(nodes, s, cut))
+    """Nations linked to all others of their region and to no others: the communities of most modularity are the regions."""
+    n = catalog.table(spark, sf_dir, "nation")
+    other = n.select(F.col("n_name").alias("b"), "n_regionkey")
+    pairs = n.select(F.col("n_name").alias("a"), "n_regionkey").join(other, "n_regionkey").where("a < b").select("a", "b")
+    nodes = n.select(F.lit(SHOP).alias("root_id"), F.col("n_name").alias("entity_id"))
+    c = community.communities(community.detect(nodes, pairs)).where("level = 0").select("community_id", "entity_ids", F.col("entity_ids")[0].alias("n_name"))
+    return c.join(n.select("n_name", "n_regionkey"), "n_name").select("n_regionkey", "community_id", "entity_ids")
+
+
+@query(sql("members") + "select 1::int as level, 'n' || k as community_id, entity_id, 'r' || n_regionkey as parent_id from (select 'n' || p.k as c, p.k, sha256(name || '|' || type || '|/shop') as entity_id from people p) x join nation on n_nationkey = x.k union all select 0, community_id, entity_id, null from members0")
+def g6_hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two levels that nest: regions, and the nations within them."""
+    return graph.hierarchy([catalog.members(spark, sf_dir, 0), catalog.members(spark, sf_dir)]).select("level", "community_id", "entity_id", "parent_id")
+
+
+@query("select n_regionkey, n_nationkey % 2 as level, min(n_name) as first from nation group by all order by level, n_regionkey limit 6")
+def k7_list_communities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = catalog.table(spark, sf_dir, "nation").groupBy("n_regionkey", (F.col("n_nationkey") % 2).alias("level")).agg(F.min("n_name").alias("first")).withColumn("community_id", F.col("n_regionkey"))
+    return graph.listed(c, 6).select("n_regionkey", "level", "first")
+
+
+@query("with o as (select s_nationkey as k, count(*) as n, list_sort(list(s_suppkey)) as f from supplier group by 1), c as (select c_nationkey as k, count(*) as n, list_sort(list(distinct c_custkey % 50)) as f from customer group by 1) select coalesce(o.k, c.k) as k, coalesce(o.n, 0) + coalesce(c.n, 0) as frequency, list_sort(list_distinct(coalesce(o.f, []) || coalesce(c.f, []))) as chunk_ids from o full join c using (k)")
+def s28_merge_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entities of suppliers' nations, and the facts of customers merged into them."""
+    s = catalog.table(spark, sf_dir, "supplier").groupBy(F.col("s_nationkey").alias("entity_id")).agg(F.count("*").alias("frequency"), F.array_sort(F.collect_set(F.col("s_suppkey").cast("string"))).alias("file_paths"), F.array_sort(F.collect_set("s_suppkey")).alias("chunk_ids"))
+    c = catalog.table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("entity_id"), F.col("c_custkey").cast("string").alias("file_path"), (F.col("c_custkey") % 50).alias("chunk_id"))
+    return graph.merged_entities(s, c).select(F.col("entity_id").alias("k"), "frequency", F.array_sort("chunk_ids").alias("chunk_ids"))
+
+
+@query("select distinct l_partkey % 20 as entity_id, l_suppkey as community_id, l_linenumber % 2 as build_id from lineitem where l_linenumber % 2 = 0")
+def s29_membership(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Memberships without repeats, and without those of other builds."""
+    m = catalog.table(spark, sf_dir, "lineitem").select((F.col("l_partkey") % 20).alias("entity_id"), F.col("l_suppkey").alias("community_id"), (F.col("l_linenumber") % 2).alias("build_id"))
+    return store.kept_build(graph.entity_map(m), 0)
 
 
-@query(_PM + ", c as (select community_id, count(*) as n from members group by 1) select community_id, n, (n >= 2) as reported from c")
+@query("with v as (select n_name as entity_id, n_regionkey as r from nation) select entity_id, case when r = 1 then 'new' else 'old' end as embedding from v where r <> 2 and entity_id not like '%3' union all select 'extra', 'new'")
+def s25_entity_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored vectors after an upsert of one region's and a new one, a deletion of a root's and one by ids."""
+    n = catalog.table(spark, sf_dir, "nation").select(F.col("n_regionkey").cast("string").alias("root_id"), F.col("n_name").alias("entity_id"), F.lit("old").alias("embedding"))
+    new = n.where("root_id = '1'").withColumn("embedding", F.lit("new")).union(spark.createDataFrame([("9", "extra", "new")], "root_id string, entity_id string, embedding string"))
+    v = store.upserted(n, new, ["root_id", "entity_id"])
+    v = store.without(v, F.col("root_id") == "2")
+    return v.join(n.where("entity_id like '%3'").select("entity_id"), "entity_id", "left_anti").select("entity_id", "embedding")
+
+
+@query(_PM + ", c as (select k, list_sort(list(name)) as names, list_sort(list(distinct type)) as files from people group by k) select 'n' || k as community_id, left(array_to_string(names[1:3], ', ') || case when len(names) > 3 then ' and ' || (len(names) - 3) || ' more' else '' end, 200) as title, left(len(names) || ' entities in ' || len(files) || ' files, 7 relations', 500) as summary, list_transform(files[1:5], lambda f: left('Defined in ' || f, 200)) as findings, names as entity_names, files as file_paths, 7::int as edge_count, 'extractive' as generated_by from c where len(names) >= 2")
 def l10_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = catalog.members(spark, sf_dir)
-    f = m.groupBy("community_id").agg(F.collect_list("entity_id").alias("names")).select("community_id", "names", F.array().cast("array<string>").alias("files"), F.lit(0).alias("edge_count"))
-    r = community.extractive_reports(f).select("community_id", F.lit(True).alias("r"))
-    return m.groupBy("community_id").agg(F.count("*").alias("n")).join(r, "community_id", "left").select("community_id", "n", F.coalesce("r", F.lit(False)).alias("reported"))
+    """Extractive reports of the nations' people; those with one member have none."""
+    c = catalog.table(spark, sf_dir, "customer").select(F.concat(F.lit("customer "), F.col("c_custkey").cast("string")).alias("name"), F.lit("customer").alias("type"), F.col("c_nationkey").alias("k"))
+    s = catalog.table(spark, sf_dir, "supplier").select(F.concat(F.lit("supplier "), F.col("s_suppkey").cast("string")), F.lit("supplier"), "s_nationkey")
+    f = c.union(s).groupBy(F.concat(F.lit("n"), F.col("k").cast("string")).alias("community_id")).agg(F.array_sort(F.collect_list("name")).alias("names"), F.array_sort(F.collect_set("type")).alias("files"), F.lit(7).alias("edge_count"))
+    return community.extractive_reports(f)
+
+
+_ANSWER = """case p_partkey % 4
+when 0 then '("entity"<|>parse(x)<|>' || p_type || '<|>ends with (note)<|>' || p_size || ')##("entity"<|>short)##'
+when 1 then 'entity<|> ' || p_name || ' <|>' || p_type || '<|>"quoted"##garbage##'
+when 2 then chr(10) || '(""entity""<|>"' || p_name || '"<|>' || p_type || '<|>two' || chr(10) || 'lines<|>1,2) ##' || chr(10)
+else '("entity"<|>' || p_name || '<|>t<|>((d))<|>x)' end || '##("relationship"<|>a<|>b<|>c<|>many)##<|COMPLETE|>'"""
 
 
-@query("select p_partkey, p_name as name, p_type as type, p_brand as description, (p_size)::varchar as ordinals from part")
+@query("select p_partkey, case p_partkey % 4 when 0 then 'parse(x)' when 2 then '\"' || p_name || '\"' else p_name end as name, case when p_partkey % 4 = 3 then 't' else p_type end as type, case p_partkey % 4 when 0 then 'ends with (note)' when 1 then '\"quoted\"' when 2 then 'two' || chr(10) || 'lines' else '((d))' end as description, case p_partkey % 4 when 0 then p_size::varchar when 1 then null when 2 then '1,2' else 'x' end as ordinals from part")
 def l3_parse_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = catalog.table(spark, sf_dir, "part")
-    q, s = F.lit('("entity"<|>'), F.lit("<|>")
-    answer = F.concat(q, "p_name", s, "p_type", s, "p_brand", s, F.col("p_size").cast("string"), F.lit(')##("relationship"<|>a<|>b<|>c<|>x)##garbage##<|COMPLETE|>'))
-    return extract.entity_records(p.select("p_partkey", answer.alias("answer"))).select("p_partkey", "name", "type", "description", "ordinals")
+    """Records with parentheses and quotes in their fields, without outer parentheses, over lines, and malformed ones."""
+    p = catalog.table(spark, sf_dir, "part").withColumn("answer", F.expr(_ANSWER.replace("chr(10)", "'\\n'")))
+    return extract.entity_records(p.select("p_partkey", "answer")).select("p_partkey", "name", "type", "description", "ordinals")
+
+
+@query("select p_partkey, 'f(' || p_size || ')' as source, 'Lib' as target, 'uses (it)' as description, p_size + 0.5::double as weight, p_type as source_type, case when p_partkey % 2 = 0 then 'second' else '' end as target_type from part")
+def l3_relationships(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Relationships with the types of the entities of the same answer, the last of a name; weights that are no numbers are left out."""
+    lib = F.when(F.col("p_partkey") % 2 == 0, F.lit('("entity"<|>LIB<|>first<|>d)##("entity"<|>lib<|>second<|>d)##')).otherwise("")
+    size = F.col("p_size").cast("string")
+    answer = F.concat(F.lit('("entity"<|>F('), size, F.lit(")<|>"), "p_type", F.lit("<|>d<|>1)##"), lib, F.lit('("relationship"<|>f('), size, F.lit(")<|>Lib<|>uses (it)<|>"), size, F.lit('.5)##("relationship"<|>a<|>b<|>c<|>8x)##<|COMPLETE|>'))
+    return extract.relationship_records(catalog.table(spark, sf_dir, "part").select("p_partkey", answer.alias("answer")))
+
+
+class FirstWords:
+    """A stand-in for a model: of each chunk its first word is an entity, and the one before it is related to it."""
+
+    def chat(self, messages: list[dict[str, str]]) -> str:
+        words = [t.split()[0] for t in re.split(r"=== CHUNK \d+ ===\n", messages[1]["content"])[1:]]
+        named = [f'("entity"{extract.FIELD}{w}{extract.FIELD}word{extract.FIELD}d{k}{extract.FIELD}{k})' for k, w in enumerate(words, 1)]
+        linked = [f'("relationship"{extract.FIELD}{a}{extract.FIELD}{b}{extract.FIELD}next{extract.FIELD}1)' for a, b in zip(words[:-1], words[1:])]
+        return extract.RECORD.join([*named, *linked, extract.DONE])
+
+
+_TURNS = "t as (select conv_id, turn, text, row_number() over (partition by conv_id order by turn, role, text) - 1 as chunk_id, regexp_extract(text, '\\S+') as word from conversations where regexp_matches(text, '\\S'))"
+
+
+@query(f"with {_TURNS}, m as (select conv_id, lower(word) as key, list_sort(list(distinct chunk_id::int)) as chunk_ids, arg_min(word, chunk_id) as name from t where chunk_id < 100 group by all) select conv_id, name, 'word' as type, chunk_ids, len(chunk_ids)::bigint as frequency from m")
+def l8_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entities that a stand-in model names in batches of conversations' turns, mapped back to chunks and merged by file."""
+    entities, _, _ = extract.extracted_files(_turn_chunks(spark, sf_dir), FirstWords())
+    return entities.select(F.col("file_path").cast("long").alias("conv_id"), "name", "type", "chunk_ids", "frequency")
+
+
+def _turn_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = catalog.table(spark, sf_dir, "conversations").where(F.col("text").rlike(r"\S"))
+    place = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "role", "text")) - 1
+    return c.select(F.lit("/c").alias("root_id"), F.col("conv_id").cast("string").alias("file_path"), place.alias("chunk_id"), F.col("text").alias("chunk_text"))
+
+
+class NoSevens:
+    """A stand-in whose model fails on texts with a 7 before the colon."""
+
+    def embed(self, texts: list[str]) -> list[list[float]]:
+        if any("7:" in t for t in texts):
+            raise ValueError("7")
+        return [[float(len(t)), 1.0] for t in texts]
+
+
+@query("select count(*) as entities_total, count(*) filter (where p_partkey % 10 <> 7) as entities_embedded, count(*) filter (where p_partkey % 10 = 7) as entities_embed_failed from part")
+def l9_embedding_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A model that fails on some entities leaves those, and no others, without a vector."""
+    e = catalog.table(spark, sf_dir, "part").select(F.lit("/r").alias("root_id"), F.col("p_partkey").cast("string").alias("entity_id"), F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("name"), F.lit("part").alias("type"), F.col("p_type").alias("description"))
+    return extract.embedding_counts(extract.entity_vectors(e, NoSevens()))
+
+
+@query(_G + ", known as (select entity_id from entities where type <> 'part'), e as (select name, type, entity_id from entities where type = 'part') select name, type from e")
+def l9_stubs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ends of edges without an entity: here all parts."""
+    known = catalog.entities(spark, sf_dir).where("type <> 'part'")
+    return graph.stub_endpoints(known, catalog.facts(spark, sf_dir)).select("name", "type")
 
 
 @query("select p_partkey, case when p_size % 5 between 1 and 3 then [p_partkey * 10 + p_size % 5] else [p_partkey * 10 + 1, p_partkey * 10 + 2, p_partkey * 10 + 3] end as chunk_ids from part")
@@ -194,12 +300,11 @@ def l4_ordinals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("p_partkey", extract.ordinals_to_chunks((F.col("p_size") % 5).cast("string"), chunks).alias("chunk_ids"))
 
 
-@query("with e as (select distinct p_brand as name, p_size % 3 as c from part) select p_brand as name, (select count(*) from e where e.name = p.p_brand) as frequency, count(*) as mentions from part p group by p_brand")
+@query("with f as (select p_brand, p_type, min(p_partkey) as k from part group by all), d as (select p_brand, string_agg(p_type, '; ' order by k) as description from f group by 1) select p_brand as name, d.description, list_sort(list(distinct p_size % 3)) as chunk_ids, case when count(*) = 1 then 1 else count(distinct p_size % 3) end as frequency from part join d using (p_brand) group by p_brand, d.description")
 def a8_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = catalog.table(spark, sf_dir, "part")
-    m = p.select(F.lit(SHOP).alias("root_id"), F.col("p_brand").alias("name"), F.lit("brand").alias("type"), F.lit("").alias("description"), (F.col("p_size") % 3).alias("chunk_id"), F.col("p_partkey").alias("ordinal"))
-    n = m.groupBy("name").agg(F.count("*").alias("mentions"))
-    return extract.merged(m).select("name", "frequency").join(n, "name")
+    m = p.select(F.lit(SHOP).alias("root_id"), F.col("p_brand").alias("name"), F.lit("brand").alias("type"), F.col("p_type").alias("description"), (F.col("p_size") % 3).alias("chunk_id"), F.col("p_partkey").alias("ordinal"))
+    return extract.merged(m).select("name", "description", "chunk_ids", "frequency")
 
 
 @query("select doc_id, coalesce((select list_sort(list(distinct n_name)) from nation where n_nationkey % 7 = doc_id % 7 and n_regionkey < 2), []) as entity_names from documents")
@@ -209,18 +314,32 @@ def j16_annotate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.annotated(d, n).select("doc_id", "entity_names")
 
 
-@query("with d as (select source, list_sort(list(doc_id)) as ids, list(length(text) order by doc_id) as n from documents where doc_id < 400 group by source) select source, len(ids) as n_docs from d")
+@query("with d as (select doc_id, length(text) as t, greatest(ceil((length(text) - 128) / 384.0), 1)::bigint as n from documents where length(text) > 0), l as (select *, t - (n - 1) * 384 as last from d) select doc_id, list_transform(range(n), lambda k: case when k < n - 1 or k % 2 = 1 or k = 0 then k // 2 when last <= 476 then k // 2 - 1 else k // 2 end)::int[] as batches from l")
 def w5_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = catalog.table(spark, sf_dir, "documents").where("doc_id < 400").groupBy("source").agg(F.transform(F.sort_array(F.collect_list(F.struct("doc_id", "text"))), lambda x: x["text"]).alias("t"))
-    return d.select("source", F.size(extract.batched(F.col("t"), 4, 8000)).cast("long").alias("n_docs"))
+    """The batches of each document's chunks of 512 characters, of at most 4 chunks and 1500 characters: two to a batch, and the last one as a third where it fits."""
+    d = catalog.table(spark, sf_dir, "documents").where("length(text) > 0").select("doc_id", chunk.strided("text").alias("c"))
+    return d.select("doc_id", extract.batched(F.transform("c", lambda c: c["chunk_text"]), 4, 1500).alias("batches"))
+
+
+@query(f"with {_TURNS}, b as (select conv_id, chunk_id, (chunk_id // 4)::int as batch, '=== CHUNK ' || (chunk_id % 4 + 1) || ' ===' || chr(10) || text as part from t where chunk_id < 100) select conv_id, batch, string_agg(part, chr(10) || chr(10) order by chunk_id) as question from b group by all")
+def l5_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a model is asked about batches of four turns."""
+    b = extract.batches(_turn_chunks(spark, sf_dir), 4, 1_000_000)
+    return b.select(F.col("file_path").cast("long").alias("conv_id"), "batch", extract.question(F.col("texts")).alias("question"))
+
+
+class Lengths:
+    """A stand-in: the length of the text and its number of spaces."""
+
+    def embed(self, texts: list[str]) -> list[list[float]]:
+        return [[float(len(t)), float(t.count(" "))] for t in texts]
 
 
-@query("select count(distinct text) as n from documents")
+@query("select doc_id, length(t)::float as n, (length(t) - length(replace(t, ' ', '')))::float as spaces from (select doc_id, left(text, 1800) as t from documents)")
 def l2_embed_once(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each distinct text is embedded once: as many vectors as texts."""
-    d = catalog.table(spark, sf_dir, "documents").select("doc_id", "text")
-    e = extract.embedded(d, extract.HashEmbedder(), "text")
-    return e.where(F.size("embedding") == 64).agg(F.count_distinct("text").alias("n"))
+    """Every document's vector; equal texts are embedded once."""
+    e = extract.embedded(catalog.table(spark, sf_dir, "documents").select("doc_id", "text"), Lengths(), "text")
+    return e.select("doc_id", F.col("embedding")[0].alias("n"), F.col("embedding")[1].alias("spaces"))
 
 
 @query("select doc_id, md5('/corpus/' || doc_id || ':' || (doc_id % 3)) as id, sha256(text) as chunk_hash, md5(text) as file_hash from documents")

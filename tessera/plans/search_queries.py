@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -38,10 +40,11 @@ def k1_knn_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.nearest(v, first_vector(spark, sf_dir), 20, "vec_id").select("vec_id", F.round("score", 6).alias("score"))
 
 
-@query("with s as (select a.vec_id as query_id, b.vec_id, list_cosine_similarity(a.embedding::double[], b.embedding::double[]) as s from embeddings a, embeddings b where a.vec_id < 50), r as (select *, row_number() over (partition by query_id order by s desc, vec_id) as rank from s) select query_id, rank::int as rank, vec_id, round(s, 6) as score from r where rank <= 10")
+@query("with s as (select a.vec_id as query_id, b.vec_id, list_cosine_similarity(a.embedding::double[], b.embedding::double[]) as s from embeddings a, embeddings b where a.vec_id % 50 = 0), r as (select *, row_number() over (partition by query_id order by round(s, 12) desc, vec_id) as rank from s) select query_id, rank::int as rank, vec_id, round(s, 6) as score from r where rank <= 10")
 def k1_knn_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact top 10 of every row whose id is divisible by 50, against all rows."""
     v = catalog.table(spark, sf_dir, "embeddings")
-    q = v.where("vec_id < 50").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    q = v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
     return search.nearest_batch(v, q, 10, "vec_id", "query_id").withColumn("score", F.round("score", 6))
 
 
@@ -128,9 +131,13 @@ def f7_active_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.points(spark, sf_dir).join(active, "root_id", "left_semi").select("doc_id")
 
 
-@query("select count(*) > 0 as indexed, count(distinct doc_id) = 3 as all_exist from documents where doc_id in (1, 2, 3)")
+@query("with a as (select n_regionkey, n_nationkey * 40 as doc_id from nation), t as (select a.*, d.doc_id is not null as there from a left join (select distinct doc_id from documents) d using (doc_id)) select n_regionkey, bool_or(there) as any_there, bool_and(there) as all_there from t group by n_regionkey")
 def f8_exists(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return catalog.points(spark, sf_dir).where(F.col("doc_id").isin(1, 2, 3)).agg((F.count("*") > 0).alias("indexed"), (F.count_distinct("doc_id") == 3).alias("all_exist"))
+    """For the ids that each region asks for, whether any and whether all are there."""
+    d = catalog.table(spark, sf_dir, "documents").select("doc_id")
+    n = catalog.table(spark, sf_dir, "nation").select("n_regionkey", (F.col("n_nationkey").cast("long") * 40).alias("doc_id"))
+    each = [search.existence(d, "doc_id", n.where(F.col("n_regionkey") == k)).select(F.lit(k).cast("int").alias("n_regionkey"), "any_there", "all_there") for k in range(5)]
+    return reduce(DataFrame.union, each)
 
 
 @query("select doc_id, case when length(text) > 80 then rtrim(text[1:80]) || '…' else text end as short, left(text, 1800) as embed_input from documents")
@@ -138,9 +145,9 @@ def f11_truncate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.table(spark, sf_dir, "documents").select("doc_id", scalars.truncated("text", 80).alias("short"), scalars.embed_input("text").alias("embed_input"))
 
 
-@query("select doc_id, list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z0-9_]+'), lambda w: length(w) >= 4)).list_sort() as words from documents where lang = 'en'")
+@query("select doc_id, list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z0-9_]+'), lambda w: length(w) >= 4)).list_sort() as words from documents")
 def c4_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return catalog.table(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", F.array_sort(scalars.keywords("text")).alias("words"))
+    return catalog.table(spark, sf_dir, "documents").select("doc_id", F.array_sort(scalars.keywords("text")).alias("words"))
 
 
 @query("select doc_id, trim(regexp_replace(text, '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g')) as text from documents")
@@ -148,14 +155,20 @@ def c3_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.table(spark, sf_dir, "documents").select("doc_id", scalars.collapsed("text").alias("text"))
 
 
-@query("select distinct event_type as kind, case event_type when 'error' then 'e*ror' else event_type end as masked from events")
+_LOGGED = "event_type || ' Error, FAIL: ' || props || ' failed critical-exception EXCEPTION errors'"
+
+
+@query(f"select event_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace({_LOGGED}, '(?i)\\b(e)r(ror)\\b', '\\1*\\2', 'g'), '(?i)\\b(f)a(il)\\b', '\\1*\\2', 'g'), '(?i)\\b(e)x(ception)\\b', '\\1*\\2', 'g'), '(?i)\\b(c)r(itical)\\b', '\\1*\\2', 'g') as masked from events")
 def c1_mask_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return catalog.table(spark, sf_dir, "events").select(F.col("event_type").alias("kind"), scalars.mask_log_words("event_type").alias("masked")).distinct()
+    logged = F.concat("event_type", F.lit(" Error, FAIL: "), "props", F.lit(" failed critical-exception EXCEPTION errors"))
+    return catalog.table(spark, sf_dir, "events").select("event_id", scalars.mask_log_words(logged).alias("masked"))
 
 
-@query("select p_partkey, p_name || ': ' || case when trim(p_type) = '' then '(no description)' else left(p_type, 256) end as text from part")
+@query("with d as (select p_partkey, p_name, case p_partkey % 4 when 0 then null when 1 then ' ' || chr(10) when 2 then p_type || chr(10) || 'x' || chr(13) || 'y' else repeat(p_type || ' ', 40) end as t from part), e as (select *, translate(coalesce(t, ''), chr(13) || chr(10), '  ') as u from d) select p_partkey, p_name || ': ' || case when trim(u) = '' then '(no description)' else left(u, 256) end as text from e")
 def c5_entity_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return catalog.table(spark, sf_dir, "part").select("p_partkey", scalars.entity_text("p_name", "p_type").alias("text"))
+    k = F.col("p_partkey") % 4
+    description = F.when(k == 0, F.lit(None).cast("string")).when(k == 1, F.lit(" \n")).when(k == 2, F.concat("p_type", F.lit("\nx\ry"))).otherwise(F.repeat(F.concat("p_type", F.lit(" ")), F.lit(40)))
+    return catalog.table(spark, sf_dir, "part").select("p_partkey", scalars.entity_text("p_name", description).alias("text"))
 
 
 @query(sql("points") + "select doc_id, lower(extension) as suffix, doc_id || extension as name, len(string_split(path_key, '/')) - 1 as n_parts, path_key[length(root_id) + 2:] as relative from points")
@@ -176,9 +189,36 @@ def c12_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.join(b, "vec_id").agg(F.round(F.avg(scalars.cosine("embedding", "e2")), 6).alias("mean"), F.count("*").alias("n"))
 
 
-@query("select event_id, coalesce(try_cast(json_extract_string(props, '$.k') as bigint), -1) as k from events")
+@query("select event_id, case event_id % 4 when 0 then ['a', event_type] when 1 then [] when 2 then [] else ['1', 'x y'] end as items from events")
 def c17_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return catalog.table(spark, sf_dir, "events").select("event_id", F.coalesce(F.get_json_object("props", "$.k").try_cast("long"), F.lit(-1)).alias("k"))
+    """Arrays from JSON text; objects and what is no JSON give empty ones."""
+    k = F.col("event_id") % 4
+    text = F.when(k == 0, F.concat(F.lit('["a", "'), "event_type", F.lit('"]'))).when(k == 1, F.col("props")).when(k == 2, F.lit("no json [")).otherwise(F.lit('[1, "x y"]'))
+    return catalog.table(spark, sf_dir, "events").select("event_id", scalars.string_list(text).alias("items"))
+
+
+@query("select p_partkey, left(repeat(p_name || ' ', 30), 200) as title, left(repeat(p_type || ' ', 60), 500) as summary, list_transform(range(5), lambda i: left(i || repeat(p_brand, 40), 200)) as findings from part")
+def c18_report_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reports in fenced JSON, their fields cut to length: of seven findings five stay."""
+    found = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(6)), lambda i: F.concat(F.lit('"'), i.cast("string"), F.repeat("p_brand", F.lit(40)), F.lit('"'))), ", ")
+    text = F.concat(F.lit('```json\n{"title": "'), F.repeat(F.concat("p_name", F.lit(" ")), F.lit(30)), F.lit('", "summary": "'), F.repeat(F.concat("p_type", F.lit(" ")), F.lit(60)), F.lit('", "findings": ['), found, F.lit("]}\n```"))
+    return catalog.table(spark, sf_dir, "part").select("p_partkey", scalars.report_fields(text).alias("r")).select("p_partkey", "r.title", "r.summary", "r.findings")
+
+
+@query("select p_partkey, case p_partkey % 3 when 0 then 'one' || chr(10) || p_brand when 1 then p_name else '' end as text from part")
+def c22_content_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts of messages whose content is a list of parts, a string, or something else."""
+    k = F.col("p_partkey") % 3
+    parts = F.concat(F.lit('[{"type": "text", "text": "one"}, {"type": "image", "text": "no"}, {"type": "text"}, {"type": "text", "text": "'), "p_brand", F.lit('"}]'))
+    content = F.when(k == 0, parts).when(k == 1, F.concat(F.lit('"'), "p_name", F.lit('"'))).otherwise(F.lit('{"type": "text"}'))
+    return catalog.table(spark, sf_dir, "part").select("p_partkey", scalars.joined_parts(content).alias("text"))
+
+
+@query("select event_id, ts, case event_id % 3 when 2 then null else date_trunc('second', ts) end as parsed from events")
+def c11_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("event_id") % 3
+    text = F.when(k == 0, F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'")).when(k == 1, F.concat(F.date_format(F.col("ts") + F.expr("interval 2 hours"), "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+02:00"))).otherwise(F.lit("yesterday"))
+    return catalog.table(spark, sf_dir, "events").select("event_id", "ts", scalars.iso_time(text).cast("timestamp_ntz").alias("parsed"))
 
 
 @query("select vec_id, 'none' as confidence from embeddings where false union all select label::bigint, case when max(s) >= 0.7 then 'high' when max(s) >= 0.5 then 'medium' else 'low' end from (select label, list_cosine_similarity(embedding::double[], q) as s from embeddings, (select embedding::double[] as q from embeddings where vec_id = 0)) group by label")
@@ -202,8 +242,18 @@ def u6_envelope(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("score", F.round("score", 6))
 
 
-@query(_KNN + ", r as (select *, row_number() over (partition by root_id order by score desc, chunk_id, doc_id) as k from s where root_id in ('/corpus/src1', '/corpus/src2')) select root_id, count(*) filter (where k <= 2) as n from r group by root_id")
+@query(_KNN + ", r as (select *, row_number() over (partition by root_id order by score desc, chunk_id) as k from s where root_id in ('/corpus/src1', '/corpus/src2')) select string_agg('File: ' || root_id || chr(10) || chunk_text, chr(10) || chr(10) order by score desc, root_id, chunk_id) as context from r where k <= 2")
 def l12_answer_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = search.scored(catalog.points(spark, sf_dir, True), first_vector(spark, sf_dir)).where(F.col("root_id").isin("/corpus/src1", "/corpus/src2"))
-    w = Window.partitionBy("root_id").orderBy(F.desc("score"), "chunk_id", "doc_id")
-    return s.withColumn("k", F.row_number().over(w)).groupBy("root_id").agg(F.count_if(F.col("k") <= 2).alias("n"))
+    """The context for an answer: the two best chunks of each of two sources, best first."""
+    s = search.scored(catalog.points(spark, sf_dir, True), first_vector(spark, sf_dir))
+    files = spark.createDataFrame([("/corpus/src1",), ("/corpus/src2",)], "root_id string")
+    return search.answer_context(files, s, 2, "root_id")
+
+
+@query(sql("points") + "select string_agg(chunk_text, chr(10) || chr(10) order by chunk_id, doc_id)[1:4000] as context from (select chunk_text, chunk_id, doc_id from points where root_id = '/corpus/src1' and doc_id < 100 order by chunk_id, doc_id limit 3)")
+def l13_summary_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = catalog.points(spark, sf_dir).where("root_id = '/corpus/src1' and doc_id < 100")
+    one = p.select(F.lit("/f").alias("path_key"), (F.col("chunk_id") * 1_000_000 + F.col("doc_id")).alias("chunk_id"), "chunk_text")
+    return search.summary_context(one, "/f")
+
+

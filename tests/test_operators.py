@@ -1,7 +1,7 @@
 """Operators on small fixtures with known results."""
 
-import json
 import random
+import re
 
 import pandas as pd
 import pytest
@@ -68,7 +68,18 @@ def test_scan_and_decode(spark, tmp_path):
     texts = {r.file_name: r for r in scan.texts(found).collect()}
     assert texts["latin.txt"].text == "café" and texts["a.py"].file_type == "python"
     limited = scan.scan_plan(found, policy.Policy(excluded_directories=[]), max_files=1)
-    assert limited.where("limit_hit").count() == 1
+    assert limited.where("limit_hit").count() == 1 and {(r.reason, r.files) for r in scan.skip_counts(limited).collect()} >= {("limit", 1)}
+    (tmp_path / "z").mkdir()
+    (tmp_path / "z" / "c.py").write_text("x = 1\n")
+    (tmp_path / "z" / ".gitignore").write_text("c.*\n")
+    found = scan.files(spark, str(tmp_path))
+    one = scan.scan_plan(found, policy.Policy(excluded_directories=[]), max_dirs=1)
+    assert {r.path.rsplit("/", 1)[1] for r in one.where("limit_hit").collect()} == {"c.py"}
+    (tmp_path / ".git" / "info").mkdir(parents=True)
+    (tmp_path / ".git" / "info" / "exclude").write_text("nothing\n")
+    ignore = scan.ignore_files(str(tmp_path), found)
+    assert ignore == {str(tmp_path / "z"): "c.*\n", str(tmp_path): "\nnothing\n"}
+    assert {r.path.rsplit("/", 1)[1] for r in scan.scan_plan(found, policy.Policy(excluded_directories=[]), ignore).where("array_contains(reason_codes, 'gitignored')").collect()} == {"c.py"}
 
 
 @settings(max_examples=60, deadline=None)
@@ -81,6 +92,8 @@ def test_chunks_cover(text, kind, size, overlap):
     assert not words or set(words) == set(joined)
     if kind in ("text", "json"):
         assert all(len(c[0]) <= size for c in got)
+    for own, a, b in got:
+        assert re.sub(r"\s*\n\s*\n\s*", "\n\n", text[a:b]) == re.sub(r"\s*\n\s*\n\s*", "\n\n", own)
     assert all(c[0].strip() for c in got)
     if overlap == 0 and kind == "text":
         assert joined == words
@@ -137,37 +150,119 @@ def modularity(groups, pairs):
     return sum(of[a] == of[b] for a, b in pairs) / m - sum((sum(deg.get(n, 0) for n in g) / (2 * m)) ** 2 for g in groups)
 
 
-def test_greedy_modularity_never_leaves_a_gainful_union():
+def by_force(nodes, pairs):
+    """The most modularity of any grouping of a few nodes."""
+    def groupings(rest):
+        if not rest:
+            yield []
+            return
+        for g in groupings(rest[1:]):
+            yield [[rest[0]], *g]
+            for i in range(len(g)):
+                yield [*g[:i], [rest[0], *g[i]], *g[i + 1 :]]
+
+    return max(modularity(g, pairs) for g in groupings(nodes))
+
+
+def detected(spark, nodes, pairs):
+    e = spark.createDataFrame([(ROOT, n) for n in nodes], "root_id string, entity_id string")
+    out = community.detect(e, spark.createDataFrame(pairs, "a string, b string")).collect()
+    levels = {}
+    for r in out:
+        levels.setdefault(r.level, {}).setdefault(r.group, []).append(r.entity_id)
+    return levels
+
+
+def test_detection_against_brute_force(spark):
     r = random.Random(3)
-    for _ in range(20):
-        nodes = [f"n{i}" for i in range(12)]
-        pairs = sorted({tuple(sorted(r.sample(nodes, 2))) for _ in range(18)})
-        got = community.greedy_modularity(nodes, pairs)
-        assert sorted(n for g in got for n in g) == sorted(nodes)
-        base = modularity(got, pairs)
-        for i in range(len(got)):
-            for j in range(i):
-                joined = [g for k, g in enumerate(got) if k not in (i, j)] + [got[i] + got[j]]
-                assert modularity(joined, pairs) <= base + 1e-9
-    two = [("a", "b"), ("b", "c"), ("a", "c"), ("x", "y"), ("y", "z"), ("x", "z"), ("c", "x")]
-    assert community.greedy_modularity(list("abcxyz"), two) == [["a", "b", "c"], ["x", "y", "z"]]
-
-
-def test_detection_is_stable_and_covers(spark):
-    nodes = spark.createDataFrame([(ROOT, n) for n in "abcxyz!"], "root_id string, entity_id string")
-    pairs = spark.createDataFrame([("a", "b"), ("b", "c"), ("a", "c"), ("x", "y"), ("y", "z"), ("x", "z")], "a string, b string")
-    one = [sorted(r.entity_ids) for r in community.communities(community.detect(nodes, pairs)).collect()]
-    two = [sorted(r.entity_ids) for r in community.communities(community.detect(nodes.orderBy(F.desc("entity_id")), pairs)).collect()]
-    assert sorted(one) == sorted(two) == [["!"], ["a", "b", "c"], ["x", "y", "z"]]
-    large = community.detect(nodes, pairs, max_part=2)
-    assert {r.method for r in large.collect()} == {"greedy_modularity", "label_propagation"}
+    nodes = [f"n{i}" for i in range(8)]
+    pairs = sorted({tuple(sorted(r.sample(nodes, 2))) for _ in range(12)})
+    got = detected(spark, nodes, pairs)
+    assert sorted(n for g in got[0].values() for n in g) == nodes
+    assert modularity(list(got[0].values()), pairs) >= by_force(nodes, pairs) - 0.06
+    cliques = [("a", "b"), ("b", "c"), ("a", "c"), ("x", "y"), ("y", "z"), ("x", "z"), ("c", "x")]
+    one = detected(spark, [*"abcxyz!"], cliques)
+    assert sorted(map(sorted, one[0].values())) == [["!"], ["a", "b", "c"], ["x", "y", "z"]]
+    assert detected(spark, [*"ba"], [])[0] == {"a": ["a"], "b": ["b"]}
+
+
+def test_detection_of_a_large_part_nests(spark):
+    """One connected part of thousands of nodes, by the same method; levels lie within one another."""
+    r = random.Random(5)
+    n, own = 5200, 26
+    pairs = {tuple(sorted((f"n{i:05}", f"n{(i // own) * own + r.randrange(own) if r.random() < 0.9 else r.randrange(n):05}"))) for i in range(n) for _ in range(3)}
+    pairs = sorted(p for p in pairs if p[0] != p[1])
+    e = spark.createDataFrame(pd.DataFrame({"root_id": ROOT, "entity_id": [f"n{i:05}" for i in range(n)]}))
+    p = spark.createDataFrame(pd.DataFrame(pairs, columns=["a", "b"]))
+    groups = community.cut(community.detect(e, p))
+    planted = e.select("root_id", "entity_id", F.expr("cast(substring(entity_id, 2) as int) div 26").cast("string").alias("group"))
+    assert community.modularity(groups.where("level = 0"), p) >= community.modularity(planted, p) - 0.02
+    c = community.communities(groups).collect()
+    assert max(x.level for x in c) >= 1
+    members = {(x.level, x.community_id): set(x.entity_ids) for x in c}
+    assert all(x.level == 0 or set(x.entity_ids) <= members[x.level - 1, x.parent_id] for x in c if len(x.entity_ids) > 1)
+    assert graph.hierarchy([spark.createDataFrame([("p", "a")], "community_id string, entity_id string"), spark.createDataFrame([("q", "b")], "community_id string, entity_id string")]) is None
 
 
 def test_records(spark):
     text = '("entity"<|>Alice<|>person<|>A software engineer<|>1)##("entity"<|>Python<|>technology<|>A programming language<|>1)##("relationship"<|>Alice<|>Python<|>Alice uses Python<|>8)##("relationship"<|>a<|>b<|>c<|>many)##broken##<|COMPLETE|>'
     a = spark.createDataFrame([(1, text)], "id long, answer string")
     assert [(r.name, r.type) for r in extract.entity_records(a).collect()] == [("Alice", "person"), ("Python", "technology")]
-    assert [(r.source, r.target, r.weight) for r in extract.relationship_records(a).collect()] == [("Alice", "Python", 8.0)]
+    got = extract.relationship_records(a).collect()
+    assert [(r.source, r.target, r.weight, r.source_type, r.target_type) for r in got] == [("Alice", "Python", 8.0, "person", "technology")]
+
+
+class Talker:
+    """Names the words it has been asked about with a capital; says once that more is missing; fails on FAIL."""
+
+    def __init__(self):
+        self.seen = 0
+
+    def chat(self, messages):
+        text = messages[1]["content"]
+        if "FAIL" in text:
+            raise RuntimeError("no answer")
+        if messages[-1]["content"] == extract.MORE:
+            return "Y" if len(messages) < 7 else "N"
+        turn = sum(m["role"] == "assistant" for m in messages)
+        names = sorted(set(re.findall(r"\b[A-Z][a-z]+\b", text.split("\n\n", 1)[1])))
+        return "##".join(f'("entity"<|>{n}<|>name<|>seen {turn}<|>1)' for n in names[turn : turn + 1]) + f'##("relationship"<|>{names[0]}<|>Other<|>r<|>2)##<|COMPLETE|>'
+
+
+class Shorten:
+    def summarize(self, name, descriptions):
+        if name == "Bad":
+            raise ValueError
+        return f"{name}: {len(descriptions)}"
+
+
+def test_model_extraction(spark):
+    rows = [("/r", "/a.py", 0, "Alpha and Beta"), ("/r", "/a.py", 1, "more of Alpha"), ("/r", "/b.py", 0, "FAIL"), ("/r", "/c.py", 0, "x"), ("/r", "/c.py", 150, "Late beyond the bound")]
+    chunks = spark.createDataFrame(rows[:3], "root_id string, file_path string, chunk_id int, chunk_text string")
+    code = extract.code_entities(spark.createDataFrame([("/a.py", "class Alpha(Base):\n    pass\n")], "path string, text string")).withColumn("root_id", F.lit("/r"))
+    entities, facts, failures = extract.extracted_files(chunks, Talker(), code, Shorten(), gleanings=2)
+    got = {(r.file_path, r.name, r.type): r for r in entities.collect()}
+    assert {k[1:] for k in got} == {("Alpha", "name"), ("Beta", "name"), ("Alpha", "class"), ("Base", "class")}
+    assert got["/a.py", "Alpha", "name"].chunk_ids == [0] and got["/a.py", "Alpha", "class"].chunk_ids == []
+    assert {(r.source, r.target, r.edge_type, r.source_type) for r in facts.collect()} == {("Alpha", "Other", "related", "name"), ("Alpha", "Other", "related", ""), ("Alpha", "Base", "inherits", "class")}
+    assert [(r.file_path, r.error) for r in failures.collect()] == [("/b.py", "RuntimeError")]
+    late = extract.batches(spark.createDataFrame(rows[3:], chunks.schema)).collect()
+    assert [r.chunk_ids for r in late] == [[0]]
+    many = spark.createDataFrame([("A", ["x", "y"], "x; y"), ("Bad", ["x", "y"], "x; y"), ("One", ["x"], "x")], "name string, descriptions array<string>, description string")
+    assert {r["name"]: r.description for r in extract.summarized(many, Shorten()).collect()} == {"A": "A: 2", "Bad": "x", "One": "x"}
+
+
+def test_registered_functions(spark):
+    from tessera.functions.registered import register
+
+    register(spark)
+    assert [(r.chunk_id, r.chunk_text) for r in spark.sql("select inline(chunks('aaa bbb', 'text'))").collect()] == [(0, "aaa bbb")]
+    assert spark.sql("select mail_text('<p>a</p>b') as t").first().t == "a\nb"
+    assert [r["name"] for r in spark.sql("select inline(python_structure('class A: pass'))").collect()] == ["A"]
+    answer = '("entity"<|>parse(x)<|>t<|>(d))##entity<|>"y"<|>t<|>d<|>1'
+    d = spark.createDataFrame([(answer,)], "answer string")
+    d.createOrReplaceTempView("answers")
+    assert spark.sql("select inline(entity_records(answer)) from answers").collect() == d.select(F.inline(extract.entity_array("answer"))).collect()
 
 
 @pytest.mark.parametrize("text,want", [("1", [10]), ("1,3", [10, 30]), (None, [10, 20, 30]), ("9", [10, 20, 30]), ("x", [10, 20, 30])])
@@ -235,13 +330,13 @@ def test_reconcile(spark):
 
 def test_hunks_and_findings(spark):
     diff = ["diff --git a/x b/x", "+++ b/src/x.py", "@@ -1,2 +10,3 @@ def f", "+a", "@@ -9 +30 @@", "+++ b/y.py", "@@ -1,1 +5,0 @@"]
-    h = sync.hunk_lines(spark.createDataFrame(list(enumerate(diff)), "n long, line string"))
+    h = sync.hunk_lines(spark.createDataFrame([(1, *x) for x in enumerate(diff)] + [(2, 0, "@@ -1 +7 @@")], "diff_id int, n long, line string")).where("diff_id = 1")
     assert {(r.path, r["first"], r["last"]) for r in h.collect()} == {("src/x.py", 10, 12), ("src/x.py", 30, 30)}
     f = spark.createDataFrame([(1, "src/x.py", 8, "a"), (2, "src/x.py", 15, "a"), (3, "y.py", 5, "a")], "finding_id long, path string, line int, text string")
     assert {r.finding_id for r in sync.near_lines(f, h).collect()} == {1}
 
 
-def test_store_generations_and_swap(spark, tmp_path):
+def test_store_generations_and_commits(spark, tmp_path):
     s = store.Store(spark, str(tmp_path / "store"))
     one = spark.createDataFrame([(1, "a"), (2, "b")], "id long, t string")
     v = s.publish(points=one)["version"]
@@ -251,20 +346,22 @@ def test_store_generations_and_swap(spark, tmp_path):
     assert pinned.count() == 2
     with pytest.raises(store.Conflict):
         s.publish(v, points=one)
-    assert json.loads((tmp_path / "store" / "_CURRENT.json").read_text())["version"] == v + 1
+    # Another writer commits the same version at once: one of the two is taken, by all readers alike.
+    late = s.state() | {"version": v + 2, "commit": "0", "tables": {}}
+    spark.createDataFrame([(v + 2, store.json.dumps(late, sort_keys=True))], store.COMMIT).write.mode("append").parquet(f"{s.folder}/_commits")
+    assert s.state()["commit"] == "0"
 
 
-def test_store_claims(spark, tmp_path):
+def test_store_builds(spark, tmp_path):
     s = store.Store(spark, str(tmp_path / "store"))
-    t = s.claim("detect", at=0)
-    assert t and s.claim("detect", at=1) is None and s.claim("detect", at=1000)
-    assert not s.complete("detect", t)
-    for k in range(store.MAX_ATTEMPTS):
-        assert s.fail("detect", s.claim("detect", at=2000 + 400 * k), at=2000 + 400 * k)
-    assert s.claim("detect", at=5000) is None and s.claim("detect", at=5000 + store.PARK_S)
-    v = s.mark_dirty()["graph_version"]
-    assert s.is_dirty() and not s.commit_communities("b", v - 1)
+    v = s.publish(dirty=True, points=spark.range(1))["graph_version"]
+    assert v == 1 and s.is_dirty() and not s.commit_communities("b", v - 1)
     assert s.commit_communities("b", v, communities=spark.range(2)) and not s.is_dirty() and not s.commit_communities("c", v)
+    assert s.read("communities").count() == 2 and s.state()["committed_build_id"] == "b"
+    s.publish(dirty=True)
+    assert s.is_dirty()
+    s.reset("communities")
+    assert not s.has("communities") and s.has("points")
 
 
 @pytest.mark.parametrize("times,want", [([0, 1, 2], [0, 0, 0]), ([0, 1, 5], [0, 0, 1]), ([float(x) for x in range(13)], [0] * 10 + [1] * 3), ([], [])])
@@ -279,6 +376,43 @@ def test_debounced_table_parts_lasting_bursts(spark):
     assert got == [(0.0, 2), (5.0, 1), (100.0, 10), (110.0, 3)]
 
 
+def test_debounced_table_equals_a_plain_loop(spark):
+    r = random.Random(6)
+    rows = [(f"/r{r.randrange(3)}", f"/r/f{i}", float(r.randrange(120)) + r.random()) for i in range(300)]
+    e = spark.createDataFrame(rows, "root_id string, path string, s double").withColumn("ts", F.timestamp_seconds("s"))
+    want = []
+    for root in sorted({x[0] for x in rows}):
+        own = sorted((round(t, 6), p) for k, p, t in rows if k == root)
+        for b in set(cuts := events.split_batches([t for t, _ in own])):
+            mine = [x for x, c in zip(own, cuts) if c == b]
+            want.append((root, len(mine), sorted(p for _, p in mine)))
+    assert sorted((g.root_id, g.n_events, list(g.paths)) for g in events.debounced_table(e).collect()) == sorted(want)
+
+
+def test_event_source_and_touched_folders(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.json").write_text('{"root_id": "/r", "path": "/r/a/x", "kind": "moved", "moved_to": "/r/b/x", "ts": "2024-01-01T00:00:00Z"}\n{"root_id": "/r", "path": "/r/c", "kind": "opened", "ts": "2024-01-01T00:00:00Z"}\n')
+    got = []
+    q = events.event_source(spark, str(tmp_path / "in")).writeStream.foreachBatch(lambda d, i: got.extend(d.collect())).option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+    q.awaitTermination(60)
+    assert {(g.path, g.kind) for g in got} == {("/r/a/x", "deleted"), ("/r/b/x", "created")}
+    b = spark.createDataFrame([("/r", ["/r/a/x", "/r/a/y", "/r/b/x"])], "root_id string, paths array<string>")
+    assert {(t.root_id, t.folder) for t in events.touched_folders(b).collect()} == {("/r", "/r/a"), ("/r", "/r/b")}
+
+
+def test_metrics_table_and_command(spark, tmp_path, capsys, monkeypatch):
+    from tessera import metrics
+
+    rows = [("2024-02-01 00:00:00", "t", "s", "/r", o) for o in ("success", "success", "error", "unknown")]
+    c = spark.createDataFrame(rows, "timestamp string, tool_name string, session_id string, root_path string, outcome string").withColumn("timestamp", F.to_timestamp("timestamp"))
+    sync.record_calls(c, str(tmp_path / "calls"))
+    sync.record_calls(c.limit(1), str(tmp_path / "calls"))
+    monkeypatch.setattr(metrics, "build", lambda app: spark)
+    assert metrics.main(["query", str(tmp_path / "calls"), "--json"]) == 0
+    assert '"total": 4' in capsys.readouterr().out
+    assert metrics.main(["query", str(tmp_path / "calls"), "--since", "1d", "--tool", "t"]) == 0 and capsys.readouterr().out == ""
+
+
 def test_moves_and_apply(spark):
     e = spark.createDataFrame([("/r", "/r/tmp", "created", None), ("/r", "/r/tmp", "moved", "/r/x"), ("/r", "/r/tmp", "deleted", None)], "root_id string, path string, kind string, moved_to string").withColumn("ts", F.lit("2024-01-01").cast("timestamp"))
     f = events.file_events(e)

@@ -7,6 +7,8 @@ import pytest
 from tessera.plans import registry
 from tests.conftest import SF
 
+#: The smallest tables hold no secret; u3_reasons tests the same operator.
+NONE_HERE = {"a5_audit"}
 Q, O = registry.queries(), registry.oracle_sql()
 
 
@@ -22,8 +24,8 @@ def norm(v):
 def test_query(spark, duck, name):
     df = Q[name](spark, SF)
     rows = df.collect()
+    assert rows or name in NONE_HERE, "an empty result compares nothing"
     if name not in O:
-        assert rows
         return
     r = duck.sql(O[name])
     assert sorted(r.columns) == sorted(df.columns)
