@@ -120,7 +120,7 @@ class Engine:
         touched = disk.select("path_key", F.col("mtime").alias("new_time")).join(changes.where("state = 'touched'").select("path_key"), "path_key", "left_semi")
         if opened is None and gone.isEmpty():
             return counts
-        files = (opened if opened is not None else plan.withColumn("path_key", F.col("full"))).join(anew.select("path_key"), "path_key", "left_semi")
+        files = (opened if opened is not None else plan.where("false").withColumn("path_key", F.col("full"))).join(anew.select("path_key"), "path_key", "left_semi")
         texts = cut(scan.texts(files.select(F.col("full").alias("path"), "content", "size", "modified")))
         points = cut(self._points(texts, root))
         contribs, mentions, vectors = self._graph(texts, points, root)
