@@ -3,9 +3,6 @@
 from __future__ import annotations
 
 import gc
-import re
-import tempfile
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -16,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from tessera.session import ship
+from tessera.session import shared_path, ship
 
 #: Rows and bytes in an Arrow batch, whichever is reached first: whole texts travel in them.
 ARROW_ROWS, ARROW_BYTES = 500, 16 << 20
@@ -27,6 +24,7 @@ SHINGLE_WORDS = 5
 JACCARD_NUM, JACCARD_DEN = 75, 100
 #: Pairs with one set that a task takes; a set in more is dealt to several tasks.
 HOT_PAIRS, MOST_SALTS = 256, 4096
+FETCHES = 8  # parts in which what is gathered in the driver arrives
 FEW_HUBS = 200_000  # so many rows of two numbers may be broadcast
 #: Places in a bitmap of ids: so many for each id, within these bounds (128 MB at most).
 NEED_PLACES, LEAST_NEED_BITS, MOST_NEED_BITS = 16, 1 << 16, 1 << 30
@@ -57,35 +55,20 @@ def fresh(names: Iterable[str], base: str) -> str:
     return base
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as the cluster names it; a local one only where none is set and all runs in one process."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        if not re.match(r"local(\[|$)", spark.sparkContext.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and the executors share")
-        where = tempfile.mkdtemp(prefix="tessera-")
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write once in the shared folder and read back: cuts lineage, survives lost executors."""
-    path = new_path(df.sparkSession, name)
+    path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.written_at = path
     return out
 
 
-def forget(*tables: DataFrame, clean: bool = True) -> None:
+def forget(*tables: DataFrame, clean: bool = False) -> None:
     """Delete tables of materialize() from which everything has been made that will be.
 
     Shuffle files and broadcasts of finished steps stay on the executors' disks until the driver collects its garbage, so that
-    is asked for too: long operators would else hold all of their shuffles at once, and the driver's heap only grows.
+    is asked for too with clean: long operators would else hold all of their shuffles at once, and the driver's heap only grows.
     """
     for t in tables:
         sc = t.sparkSession.sparkContext
@@ -103,17 +86,18 @@ def derive(df: DataFrame, keep: list[str], new: str, make: Callable[[list], dict
     """
     added = T.StructType.fromDDL(new)
     names = [f.name for f in added.fields]
-    schema = T.StructType([f for f in df.select(*map(quoted, keep)).schema.fields if f.name not in names] + added.fields)
     own = [c for c in keep if c not in names]
+    # Numbered on their way through Python, as names may hold anything.
+    source = df.select(*(quoted(c).alias(f"c{k}") for k, c in enumerate(own)), F.col("text").alias("given"))
+    schema = T.StructType(source.schema.fields[:-1] + [T.StructField(f"n{k}", f.dataType, f.nullable) for k, f in enumerate(added.fields)])
     types = pa.schema(to_arrow_schema(added))
-    source = df.select(*map(quoted, own), F.col("text").alias(fresh(own, "given_text")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
             got = make(x.column(len(own)).to_pylist())
-            yield pa.RecordBatch.from_arrays([*x.columns[: len(own)], *(pa.array(got[f.name], f.type) for f in types)], [*own, *names])
+            yield pa.RecordBatch.from_arrays([*x.columns[: len(own)], *(pa.array(got[f.name], f.type) for f in types)], [f.name for f in schema.fields])
 
-    return arrow_map(source, run, schema)
+    return arrow_map(source, run, schema).toDF(*own, *names)
 
 
 def quoted(name: str) -> Column:
@@ -248,12 +232,13 @@ def need_bits(n: int) -> int:
     return min(MOST_NEED_BITS, max(LEAST_NEED_BITS, 1 << (NEED_PLACES * n).bit_length()))
 
 
-def marked(ids: DataFrame, bits: int) -> np.ndarray:
-    """A bitmap with the places of hashed ids (a column doc_id) set."""
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(bits))
-    rows = ids.select(F.bitmap_bucket_number(place).alias("k"), F.bitmap_bit_position(place).alias("p")).groupBy("k").agg(F.bitmap_construct_agg("p").alias("bits"))
+def marked(ids: DataFrame, bits: int, place: Column | None = None) -> np.ndarray:
+    """A bitmap with the places of hashed ids (a column doc_id) set, or with the places given."""
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(bits)) if place is None else place
+    at = ids.select(F.bitmap_bucket_number(place).alias("k"), F.bitmap_bit_position(place).alias("p"))
+    rows = at.groupBy("k").agg(F.bitmap_construct_agg("p").alias("bits"))
     flags = np.zeros((bits // 32768 + 2, 4096), np.uint8)
-    for r in rows.toLocalIterator():
+    for r in rows.coalesce(FETCHES).toLocalIterator():  # a job for each partition, a part of the bitmap in the driver at a time
         flags[r["k"]] = np.frombuffer(r["bits"], np.uint8)
     return flags
 
@@ -331,7 +316,6 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     """
     e = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v").distinct()
     first = e = materialize(e, "links")
-    state = None
     while True:
         # Large star: the larger neighbours of a node go to the smallest node of its neighbourhood.
         both = e.union(e.select("v", "u"))
@@ -343,11 +327,11 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         small = down.join(least, "u").select(F.explode(F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x")).select("x.*").where("u <> v").distinct()
         before, e = e, materialize(small, "links")
         if before is not first:
-            forget(before, clean=False)
-        now = tuple(e.agg(F.count("*"), F.sum(F.hash("u", "v").cast("long")), F.bit_xor(F.xxhash64("u", "v"))).first())
-        if now == state:
+            forget(before)
+        # Done when every node has one smaller neighbour and that one has none.
+        up = e.groupBy("u").agg(F.count("*").alias("n"))
+        if up.join(e.select(F.col("v").alias("u"), F.lit(1).alias("higher")), "u", "left").where("n > 1 or higher = 1").isEmpty():
             break
-        state = now
     nodes = first.select(F.col("u").alias("node")).union(first.select("v")).distinct()
     out = nodes.join(e.select(F.col("u").alias("node"), "v"), "node", "left").groupBy("node").agg(F.min(F.coalesce("v", "node")).alias("component"))
     out = materialize(out, "components")

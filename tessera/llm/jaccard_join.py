@@ -101,7 +101,7 @@ def count_order(docs: DataFrame) -> Order:
         for k, v in total.items():
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([np.minimum(v, 0xFFFFFFFF).astype(np.uint32).tobytes()], pa.binary())], ["block", "counts"])
 
-    parts = arrow_map(docs.select("text"), count, "block int, counts binary").repartition(16, "block").mapInArrow(add, "block int, counts binary")
+    parts = arrow_map(docs.select("text"), count, "block int, counts binary").repartition(16, "block").mapInArrow(add, "block int, counts binary").coalesce(common.FETCHES)
     counts = np.zeros(ORDER_BUCKETS, np.uint32)
     for r in parts.toLocalIterator():
         counts[r["block"] * SKETCH_BLOCK : (r["block"] + 1) * SKETCH_BLOCK] = np.frombuffer(r["counts"], np.uint32)
@@ -143,7 +143,7 @@ def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, order, name: st
     parts, asked = sieve(docs, need, cut, "fp long, f int, part array<long>")
     out = materialize(linked(pairs, parts, FRAGMENTS), name)
     asked.destroy()
-    forget(need)
+    forget(need, clean=True)
     return out
 
 
@@ -179,7 +179,7 @@ def shared_places(prefixes: DataFrame, reps_map, need_bits: int) -> np.ndarray:
         for k, count in seen.items():
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([np.packbits(count > 1, bitorder="little").tobytes()], pa.binary())], ["block", "bits"])
 
-    got = arrow_map(placed(prefixes.select("doc_id", "prefix"), need_bits), places, "block int, places binary").repartition(16, "block").mapInArrow(twice, "block int, bits binary").toLocalIterator()
+    got = arrow_map(placed(prefixes.select("doc_id", "prefix"), need_bits), places, "block int, places binary").repartition(16, "block").mapInArrow(twice, "block int, bits binary").coalesce(common.FETCHES).toLocalIterator()
     out = np.zeros((TWICE_BLOCKS, size // 8), np.uint8)
     for r in got:
         out[r["block"]] = np.frombuffer(r["bits"], np.uint8)

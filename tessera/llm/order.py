@@ -37,7 +37,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_map, mix, new_path
+from tessera.session import shared_path
+
+from .common import arrow_map, mix
 from .tokens import encoder, word_bpe_path
 
 LENGTH, PAD, END_ID = 256, 0xFFFF, 0
@@ -226,7 +228,7 @@ def read_from(spark: SparkSession, path: str, slot: int, length: int = LENGTH) -
 def training_order(docs: DataFrame, key: int = 20_240_601) -> DataFrame:
     """Writes docs in training order in the shared folder and returns what is read back, without the ids."""
     spark = docs.sparkSession
-    to = new_path(spark, "shards")
+    to = shared_path(spark, "shards")
     write_shards(docs, to, key)
     if docs.isEmpty():
         return spark.createDataFrame([], "slot long, shard int, byte_offset long, doc_id long, seq long, n_tokens long, ids_crc32 long")

@@ -4,11 +4,11 @@ Paragraphs of a document, in words: its lines of MIN_WORDS words or more; runs o
 many; and, of lines longer than MAX_WORDS, the parts between such sentence ends as a hash of their last word picks, one in
 PART_ENDS, so that equal passages are cut alike. A paragraph's set holds its distinct five-word shingles. Paragraphs with
 equal sets are one class, found by a print of the set. The others are banded: BANDS bands of BAND_ROWS minimum hashes find
-pairs of similarity 0.75 with probability 1 - (1 - 0.75^2)^6 = 0.993. Every class of a band is first paired with the band's
-hub; the pairs are verified by their exact Jaccard similarity, and what links gives components. Then the pairs of a band
-that still lie in different components are compared too, so that no pair that shares a band is missed: first by sketches of
-SKETCH_BITS parities, which differ in no more bits than the sets in shingles and so drop no pair that links, and what
-passes by exact similarity.
+pairs of similarity 0.75 with probability 1 - (1 - 0.75^2)^6 = 0.993. A sketch of SKETCH_BITS parities for each set says
+which pairs may link: sketches differ in no more bits than the sets in shingles, so no pair that links is dropped. Every class
+is first paired with the nearest hub of its bands; pairs are verified by their exact Jaccard similarity, and what links gives
+components. Then the pairs of a band that still lie in different components and may link are verified too, so that none
+that shares a band is missed: each paragraph's nearest pair first, then those that lie in different components even so.
 
 As shared passages begin and end anywhere, there are windows of WINDOW words as well, which count as equal or not. Of every
 REACH successive starts the one with the smallest hash has a window, so a passage of WINDOW + REACH - 1 = 51 words or more
@@ -27,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common
@@ -39,6 +39,7 @@ BANDS, BAND_ROWS = 6, 2
 _TURNS = (mix(np.arange(1, BANDS * BAND_ROWS + 1, dtype=np.uint64)) | np.uint64(1)).tolist()
 #: Classes of a band that one task pairs with all others of it; a band of more is dealt to several, SALTS at most.
 SALTED, SALTS = 128, 256
+TURN = 0x2545F4914F6CDD1D  # turns prints so that another of them is the smallest
 SKETCH_BITS = 256
 SKETCH = [f"s{k}" for k in range(SKETCH_BITS // 64)]
 UNITS = "doc_id long, is_paragraph boolean, first_word int, n_words int, n int, fp long, bands array<long>, sketch array<long>"
@@ -86,139 +87,211 @@ def windows(every: np.ndarray, n: int) -> np.ndarray:
     return np.unique(starts - 1 - best)
 
 
-def set_of(every: np.ndarray, a: int, b: int) -> np.ndarray:
-    """The distinct shingles of words a to b."""
-    return common.distinct(every[a : b - common.SHINGLE_WORDS + 1])
+class Sets:
+    """The distinct shingles of runs of shingles, all together: of run i, values[edges[i] : edges[i + 1]], in order."""
 
+    def __init__(self, every: np.ndarray, s: np.ndarray, e: np.ndarray):
+        n = e - s
+        of = np.repeat(np.arange(len(s)), n)
+        at = np.arange(len(of)) + np.repeat(s - (np.cumsum(n) - n), n)
+        v = every[at]
+        turn = np.lexsort((v, of))
+        v, of = v[turn], of[turn]
+        new = np.ones(len(v), bool)
+        new[1:] = (v[1:] != v[:-1]) | (of[1:] != of[:-1])
+        self.values, self.of = v[new], of[new]
+        self.edges = np.searchsorted(self.of, np.arange(len(s) + 1))
+        self.n = np.diff(self.edges)
 
-def mixed(every: np.ndarray) -> np.ndarray:
-    return mix(every ^ np.uint64(0x2545F4914F6CDD1D))
+    def prints(self) -> np.ndarray:
+        """A print of each set; that of a run without repeats is the same sum."""
+        total = np.concatenate([[np.uint64(0)], np.cumsum(mixed(self.values))])
+        return mix((total[self.edges[1:]] - total[self.edges[:-1]]) ^ self.n.astype(np.uint64))
+
+    def bands(self) -> np.ndarray:
+        low = np.stack([np.minimum.reduceat(self.values * np.uint64(t), self.edges[:-1]) for t in _TURNS], 1)
+        return mix(low[:, 0::BAND_ROWS] + mix(low[:, 1::BAND_ROWS]) + np.arange(BANDS, dtype=np.uint64))
 
+    def sketches(self) -> np.ndarray:
+        """For each set and each of SKETCH_BITS places, whether an odd number of the shingles falls there."""
+        at = self.of * SKETCH_BITS + (self.values % np.uint64(SKETCH_BITS)).astype(np.int64)
+        odd = np.bincount(at, minlength=len(self.n) * SKETCH_BITS) & 1
+        return np.packbits(odd.astype(np.uint8)).view(np.int64).reshape(len(self.n), -1)
 
-def print_of(shingles: np.ndarray) -> np.uint64:
-    """A print of distinct shingles; that of a window without repeats is the same sum."""
-    return mix(mixed(shingles).sum(dtype=np.uint64, keepdims=True) ^ np.uint64(len(shingles)))[0]
+
+def mixed(every: np.ndarray) -> np.ndarray:
+    return mix(every ^ np.uint64(0x2545F4914F6CDD1D))
 
 
-def sketch_of(shingles: np.ndarray) -> np.ndarray:
-    """For each of SKETCH_BITS places, whether an odd number of the shingles falls there."""
-    odd = np.bincount((shingles % np.uint64(SKETCH_BITS)).astype(np.int64), minlength=SKETCH_BITS) & 1
-    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+def _lists(rows: np.ndarray, empty: int) -> pa.Array:
+    """A list for each row, and as many nulls after them."""
+    lists = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * rows.shape[1]), pa.array(rows.ravel()))
+    return pa.concat_arrays([lists, pa.nulls(empty, lists.type)])
 
 
 def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    end = common.SHINGLE_WORDS - 1  # shingles s .. e - end - 1 are those of words s .. e - 1
     for x in batches:
-        ids, texts = x.column(0).to_pylist(), x.column(1).to_pylist()
-        out: list[tuple] = []
+        ids, texts = x.column(0).to_numpy(zero_copy_only=False), x.column(1).to_pylist()
         for lo, hi in common.buffers(texts):
             h, stops, at = common.word_hashes(texts[lo:hi])[:3]
             every = common.shingle_all(h)
+            found: list[tuple] = []  # of each document its number, first word, first words and ends of paragraphs, first words of windows
+            for i, p, q in zip(range(lo, hi), at[:-1], at[1:]):
+                if q - p >= MIN_WORDS:
+                    found.append((i, p, *paragraphs(h[p:q], stops[p:q]), windows(every[p:q], q - p)))
+            if not found:
+                continue
+            docs, first = np.array([f[0] for f in found]), np.array([f[1] for f in found])
+            of_p, of_w = np.repeat(np.arange(len(found)), [len(f[2]) for f in found]), np.repeat(np.arange(len(found)), [len(f[4]) for f in found])
+            a, b, w = (np.concatenate([f[k] for f in found]) for k in (2, 3, 4))
+            s, e = a + first[of_p], b + first[of_p]
+            own = Sets(every, s, e - end)
             total = np.concatenate([[np.uint64(0)], np.cumsum(mixed(every))])
-            padded = np.append(every, np.uint64(0))
-            for i, p, q in zip(ids[lo:hi], at[:-1], at[1:]):
-                if q - p < MIN_WORDS:
-                    continue
-                a, b = paragraphs(h[p:q], stops[p:q])
-                k = len(a)
-                w = windows(every[p:], q - p)
-                s, e = np.concatenate([a, w]) + p, np.concatenate([b, w + WINDOW]) + p - common.SHINGLE_WORDS + 1  # shingles s .. e - 1
-                fp = mix((total[e] - total[s]) ^ (e - s).astype(np.uint64))
-                n = (e - s).astype(np.int32)
-                bands: list = [None] * len(s)
-                sketches: list = [None] * len(s)
-                if k:
-                    own = [common.distinct(every[c:d]) for c, d in zip(s[:k], e[:k])]
-                    n[:k] = [len(x) for x in own]
-                    fp[:k] = [print_of(x) for x in own]
-                    sketches[:k] = map(sketch_of, own)
-                    # The minimum over each paragraph is every second one of a reduction by its edges.
-                    cut = np.stack([s[:k], e[:k]], 1).ravel()
-                    low = np.stack([np.minimum.reduceat(padded * np.uint64(t), cut)[::2] for t in _TURNS], 1)
-                    keys = mix(low[:, 0::BAND_ROWS] + mix(low[:, 1::BAND_ROWS]) + np.arange(BANDS, dtype=np.uint64))
-                    bands[:k] = list(signed(keys))
-                out.append((np.full(len(s), i, np.int64), np.arange(len(s)) < k, (s - p).astype(np.int32), (e - s + common.SHINGLE_WORDS - 1).astype(np.int32), n, signed(fp), bands, sketches))
-        if out:
-            c = [np.concatenate([o[j] for o in out]) for j in range(6)]
-            yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.int64()), pa.array(c[1]), pa.array(c[2], pa.int32()), pa.array(c[3], pa.int32()), pa.array(c[4], pa.int32()), pa.array(c[5], pa.int64()), pa.array([b for o in out for b in o[6]], pa.list_(pa.int64())), pa.array([b for o in out for b in o[7]], pa.list_(pa.int64()))], ["doc_id", "is_paragraph", "first_word", "n_words", "n", "fp", "bands", "sketch"])
-
-
-def _sets(ids: list[int], texts: list[str | None]) -> pa.RecordBatch:
-    """The sets of the paragraphs of texts, by their prints."""
-    rows: tuple[list, list] = ([], [])
+            start = w + first[of_w]
+            size = WINDOW - end
+            fp_w = mix((total[start + size] - total[start]) ^ np.uint64(size))
+            of = np.concatenate([of_p, of_w])
+            is_paragraph = np.arange(len(of)) < len(a)
+            n_words = np.concatenate([b - a, np.full(len(w), WINDOW)])
+            n = np.concatenate([own.n, np.full(len(w), size)])
+            none = len(a) == 0
+            lists = [pa.nulls(len(of), pa.list_(pa.int64()))] * 2 if none else [_lists(signed(own.bands()), len(w)), _lists(own.sketches(), len(w))]
+            prints = np.concatenate([own.prints() if not none else np.zeros(0, np.uint64), fp_w])
+            yield pa.RecordBatch.from_arrays([pa.array(ids[docs[of]], pa.int64()), pa.array(is_paragraph), pa.array(np.concatenate([a, w]).astype(np.int32)), pa.array(n_words.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(signed(prints)), *lists], ["doc_id", "is_paragraph", "first_word", "n_words", "n", "fp", "bands", "sketch"])
+
+
+def _sets(texts: list[str | None], flags: np.ndarray, bits: int) -> pa.RecordBatch:
+    """The sets of those paragraphs of texts whose prints a bitmap marks."""
+    fps, parts = [np.zeros(0, np.uint64)], []
     for lo, hi in common.buffers(texts):
         h, stops, at = common.word_hashes(texts[lo:hi])[:3]
-        every = common.shingle_all(h)
-        for p, q in zip(at[:-1], at[1:]):
-            if q - p >= MIN_WORDS:
-                for s, e in zip(*paragraphs(h[p:q], stops[p:q])):
-                    own = set_of(every, s + p, e + p)
-                    rows[0].append(int(print_of(own).view(np.int64)))
-                    rows[1].append(signed(own))
-    return pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.list_(pa.int64()))], ["fp", "part"])
+        spans = [np.stack(paragraphs(h[p:q], stops[p:q])) + p for p, q in zip(at[:-1], at[1:]) if q - p >= MIN_WORDS]
+        if spans and (s := np.concatenate(spans, 1)).size:
+            own = Sets(common.shingle_all(h), s[0], s[1] - common.SHINGLE_WORDS + 1)
+            prints = own.prints()
+            place = (prints & np.uint64(bits - 1)).astype(np.int64)
+            at = np.where(place > 0, place + 32767, 0)  # how Spark's bitmap functions number buckets and bits
+            keep = np.flatnonzero(flags.ravel()[at >> 3] >> (at & 7).astype(np.uint8) & 1)
+            fps.append(prints[keep])
+            parts += [signed(own.values[own.edges[k] : own.edges[k + 1]]) for k in keep]
+    return pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate(fps))), pa.array(parts, pa.list_(pa.int64()))], ["fp", "part"])
 
 
 def verified(pairs: DataFrame, lines: DataFrame, docs: DataFrame) -> DataFrame:
     """(a, b) of pairs (a, na, b, nb) of paragraphs, a written table, that link, verified on their texts; a written table."""
     ids = materialize(pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct().join(lines.select("fp", "doc_id"), "fp"), "needed")
-    rows, asked = sieve(docs, ids, _sets, "fp long, part array<long>")
+    bits = common.need_bits(ids.count())
+    place = F.col("fp").bitwiseAND(F.lit(bits - 1))
+    asked_for = docs.sparkSession.sparkContext.broadcast(common.marked(ids, bits, place))
+    rows, asked = sieve(docs, ids, lambda _, texts: _sets(texts, asked_for.value, bits), "fp long, part array<long>")
     sets = rows.join(ids.select("fp"), "fp", "left_semi").dropDuplicates(["fp"])
     sets = materialize(sets.select("fp", F.lit(0).alias("f"), "part"), "sets")
     asked.destroy()
+    asked_for.destroy()
     out = materialize(linked(pairs, sets, 1), "linked")
-    forget(ids, sets)
+    forget(ids, sets, clean=True)
     return out
 
 
+def apart() -> Column:
+    """In how many bits the sketches of x and y differ."""
+    return sum((F.bit_count(F.col(f"x.{c}").bitwiseXOR(F.col(f"y.{c}"))) for c in SKETCH), F.lit(0))
+
+
+def may_link() -> Column:
+    """Whether sizes and sketches of x and y allow a link."""
+    return sized(F.col("x.n"), F.col("y.n")) & (apart() * (JACCARD_DEN + JACCARD_NUM) <= (F.col("x.n") + F.col("y.n")) * (JACCARD_DEN - JACCARD_NUM))
+
+
+def pair() -> list[Column]:
+    return [F.col("x.fp").alias("a"), F.col("x.n").alias("na"), F.col("y.fp").alias("b"), F.col("y.n").alias("nb"), apart().alias("apart")]
+
+
+def sketched(lines: DataFrame) -> DataFrame:
+    return lines.select("fp", "n", *(F.col("sketch")[k].alias(c) for k, c in enumerate(SKETCH)))
+
+
+def stars(bands: DataFrame, lines: DataFrame) -> DataFrame:
+    """(a, na, b, nb): each class with the nearest of its bands' hubs that sizes and sketches allow. A band's hubs are three of its classes,
+    the smallest and the largest print and one between, so there are a few pairs for each class at most."""
+    turn = F.lit(TURN)
+    hubs = bands.groupBy("band").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi"), F.min(F.col("fp").bitwiseXOR(turn)).bitwiseXOR(turn).alias("mid")).where("lo < hi")
+    hubs = hubs.select("band", F.explode(F.array_distinct(F.array("lo", "mid", "hi"))).alias("hub"))
+    met = bands.join(hubs, "band").where("fp <> hub").select("fp", "hub").distinct()
+    own = sketched(lines)
+    x, y = own.alias("x"), own.alias("y")
+    near = met.join(x, met.fp == F.col("x.fp")).join(y, met.hub == F.col("y.fp")).where(may_link()).select(*pair())
+    return near.groupBy("a").agg(F.min(F.struct("apart", "b", "na", "nb")).alias("p")).select("a", "p.na", "p.b", "p.nb")
+
+
 def between(bands: DataFrame, lines: DataFrame, groups: DataFrame) -> DataFrame:
-    """(a, na, b, nb): pairs of a band (fp, n, band) in different components (node, component) whose sizes and sketches allow a link. Large bands are dealt to several tasks."""
-    own = bands.join(groups.withColumnRenamed("node", "fp"), "fp", "left").select("band", "fp", "n", F.coalesce("component", "fp").alias("g"))
-    own = materialize(own, "bands")
+    """(a, na, b, nb, apart), a written table: pairs of a band (fp, n, band) in different components (node, component) whose sizes and sketches allow a link. Large bands are dealt to several tasks."""
+    own = bands.join(groups.withColumnRenamed("node", "fp"), "fp", "left").select("band", "fp", F.coalesce("component", "fp").alias("g"))
+    first = own = materialize(own, "bands")
     mixed = own.groupBy("band").agg(F.min("g").alias("lo"), F.max("g").alias("hi"), F.count("*").alias("c")).where("lo < hi").select("band", F.least(F.lit(SALTS), F.expr(f"c div {SALTED} + 1")).cast("int").alias("salts"))
-    own = own.join(mixed, "band").join(lines.select("fp", *(F.col("sketch")[k].alias(c) for k, c in enumerate(SKETCH))), "fp")
-    own = materialize(own, "mixed")
+    own = materialize(own.join(mixed, "band").join(sketched(lines), "fp"), "mixed")
+    forget(first)
     x = own.withColumn("salt", F.pmod(F.xxhash64("fp"), F.col("salts")).cast("int")).alias("x")
     y = own.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).alias("y")
-    apart = sum((F.bit_count(F.col(f"x.{c}").bitwiseXOR(F.col(f"y.{c}"))) for c in SKETCH), F.lit(0))
-    alike = apart * (JACCARD_DEN + JACCARD_NUM) <= (F.col("x.n") + F.col("y.n")) * (JACCARD_DEN - JACCARD_NUM)
-    met = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.salt") == F.col("y.salt"))).where((F.col("x.fp") < F.col("y.fp")) & (F.col("x.g") != F.col("y.g")) & sized(F.col("x.n"), F.col("y.n")) & alike)
-    return met.select(F.col("x.fp").alias("a"), F.col("x.n").alias("na"), F.col("y.fp").alias("b"), F.col("y.n").alias("nb")).distinct()
+    met = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.salt") == F.col("y.salt"))).where((F.col("x.fp") < F.col("y.fp")) & (F.col("x.g") != F.col("y.g")) & may_link())
+    out = materialize(met.select(*pair()).distinct(), "met")
+    forget(own)
+    return out
+
+
+def nearest(pairs: DataFrame) -> DataFrame:
+    """Of pairs (a, na, b, nb, apart), each end's pair with the fewest bits apart."""
+    own = F.struct("apart", "a", "na", "b", "nb")
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("end"), own.alias("p"))
+    return ends.groupBy("end").agg(F.min("p").alias("p")).select("p.a", "p.na", "p.b", "p.nb").distinct()
+
+
+def still_apart(pairs: DataFrame, groups: DataFrame) -> DataFrame:
+    """(a, na, b, nb) of pairs whose ends lie in different components (node, component)."""
+    of = lambda end, name: groups.select(F.col("node").alias(end), F.col("component").alias(name))
+    both = pairs.join(of("a", "x"), "a", "left").join(of("b", "y"), "b", "left")
+    return both.where(F.coalesce("x", "a") != F.coalesce("y", "b")).select("a", "na", "b", "nb")
 
 
 def repeated(docs: DataFrame) -> DataFrame:
-    """(doc_id, is_paragraph, first_word, n_words, cluster_id, n_occurrences, kept): paragraphs that occur in two documents or more.
+    """(doc_id, is_paragraph, first_word, n_words, cluster_id, n_occurrences, kept): paragraphs and windows that occur in two documents or more.
 
     cluster_id is the print of one of the cluster's classes; n_occurrences counts the paragraph's own class, which is 1
     where it is linked by similarity alone.
     """
     own = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     units = materialize(arrow_map(own, _units, UNITS), "units")
-    place = F.struct("doc_id", "first_word", "is_paragraph")
-    classes = units.groupBy("fp").agg(F.min(place).alias("first"), F.max("doc_id").alias("last"), F.max("n").alias("n"), F.count("*").alias("n_occurrences"))
-    twice = classes.where("first.doc_id < last").select("fp", "first", "n_occurrences", F.lit(True).alias("shared"))
+    # Numbers alone, so that they are aggregated by hashing; where a class begins is asked of the few that are in a cluster.
+    classes = units.groupBy("fp").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("n_occurrences"))
 
-    # Paragraphs that are not equal but share a band with its hub.
-    lines = units.where("is_paragraph").groupBy("fp", "n").agg(F.min("doc_id").alias("doc_id"), F.min_by("bands", "doc_id").alias("bands"), F.min_by("sketch", "doc_id").alias("sketch"))
+    # Paragraphs that are not equal but share a band.
+    lines = units.where("is_paragraph").groupBy("fp", "n").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
     lines = materialize(lines, "lines")
     bands = lines.select("fp", "n", F.explode("bands").alias("band"))
-    hubs = bands.groupBy("band").agg(F.min(F.struct("fp", "n")).alias("hub"), F.max("fp").alias("last")).where("hub.fp < last").select("band", F.col("hub.fp").alias("b"), F.col("hub.n").alias("nb"))
-    near = bands.join(hubs, "band").where((F.col("fp") != F.col("b")) & sized(F.col("n"), F.col("nb"))).select(F.col("fp").alias("a"), F.col("n").alias("na"), "b", "nb").distinct()
-    near = materialize(near, "pairs")
-    stars = verified(near, lines, docs)
-    groups = connected_components(stars)
-    more = materialize(between(bands, lines, groups), "pairs")
+    near = materialize(stars(bands, lines), "pairs")
+    links = verified(near, lines, docs)
+    groups = connected_components(links)
+    # What the bands' pairs between components still allow: first each paragraph with the nearest one elsewhere, which joins most components
+    # with few pairs; then all pairs whose ends are in different components even so.
+    met = between(bands, lines, groups)
+    first = materialize(nearest(met), "pairs")
     forget(near, groups)
-    links = verified(more, lines, docs)
-    groups = connected_components(stars.union(links)).withColumnRenamed("node", "fp")
-    forget(stars, links, more, lines)
-
-    alone = classes.join(groups.select("fp"), "fp", "left_semi").where("first.doc_id = last").select("fp", "first", "n_occurrences", F.lit(False).alias("shared"))
-    member = twice.union(alone)
-    member = materialize(member.join(groups, "fp", "left").select("fp", "first", "n_occurrences", "shared", F.coalesce("component", "fp").alias("cluster_id")), "members")
-    clusters = member.groupBy("cluster_id").agg(F.min("first").alias("keeper"), F.max("first.doc_id").alias("last"), F.bool_or("shared").alias("shared"))
+    links = links.union(verified(first, lines, docs))
+    groups = connected_components(links)
+    rest = materialize(still_apart(met, groups), "pairs")
+    forget(first, met, groups)
+    links = links.union(verified(rest, lines, docs))
+    groups = connected_components(links).withColumnRenamed("node", "fp")
+
+    member = classes.join(groups, "fp", "left").where("lo < hi or component is not null").select("fp", "n_occurrences", (F.col("lo") < F.col("hi")).alias("shared"), F.coalesce("component", "fp").alias("cluster_id"))
+    found = materialize(units.join(member, "fp").select("doc_id", "is_paragraph", "first_word", "n_words", "cluster_id", "n_occurrences", "shared"), "found")
+    forget(rest, lines, units)
+    place = F.struct("doc_id", "first_word", "is_paragraph")
+    clusters = found.groupBy("cluster_id").agg(F.min(place).alias("keeper"), F.max("doc_id").alias("last"), F.bool_or("shared").alias("shared"))
     clusters = clusters.where("shared or keeper.doc_id < last").select("cluster_id", "keeper")
-    member = member.join(clusters, "cluster_id")
-    found = units.join(member.select("fp", "cluster_id", "n_occurrences", "keeper"), "fp")
-    return found.select("doc_id", "is_paragraph", "first_word", "n_words", "cluster_id", "n_occurrences", (place == F.col("keeper")).alias("kept"))
+    out = found.join(clusters, "cluster_id")
+    return out.select("doc_id", "is_paragraph", "first_word", "n_words", "cluster_id", "n_occurrences", (place == F.col("keeper")).alias("kept"))
 
 
 def removals(docs: DataFrame) -> DataFrame:

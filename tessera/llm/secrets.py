@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, derive, share_of
+from .common import arrow_map, derive, quoted, share_of
 
 KINDS = ("assign", "access", "hex", "crf")
 KEYWORDS = ("password", "passwd", "secret", "token", "api_key", "apikey")
@@ -348,5 +348,5 @@ def redacted(text: str, spans: list[Span]) -> str:
 def redact(docs: DataFrame, field: Field | None = None) -> DataFrame:
     """docs with every span replaced by a mark; n_chars, where there is one, is set anew. No document goes."""
     model = docs.sparkSession.sparkContext.broadcast(field or learn(docs))
-    out = derive(docs, docs.columns, "text string", lambda texts: {"text": [t if t is None else redacted(t, all_spans(t, model.value)) for t in texts]}).select(*docs.columns)
+    out = derive(docs, docs.columns, "text string", lambda texts: {"text": [t if t is None else redacted(t, all_spans(t, model.value)) for t in texts]}).select(*map(quoted, docs.columns))
     return out.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType))) if "n_chars" in docs.columns else out
