@@ -12,11 +12,12 @@ from tessera.operators import chunk, extract
 from tessera.session import ship
 
 CHUNKS = "array<struct<chunk_id:int,chunk_text:string,start_char:int,end_char:int>>"
+ENTITIES = "array<struct<name:string,type:string,description:string,ordinals:string>>"
 STRUCTURE = "array<struct<kind:string,name:string,edge_type:string,target:string,line:int>>"
 
 
 def register(spark: SparkSession) -> SparkSession:
-    """Makes them known to spark.sql(); arrays are read with inline() or explode()."""
+    """Makes them known to spark.sql(); arrays are read with inline() or explode(), that of entity_records() from a subquery."""
     ship(spark)
 
     def vectorised(one, kind: str):
@@ -34,19 +35,10 @@ def register(spark: SparkSession) -> SparkSession:
     spark.udf.register("html_text", vectorised(lambda t: None if t is None else chunk.html_text(t), "string"))
     spark.udf.register("mail_text", vectorised(lambda t: None if t is None else chunk.mail_text(t), "string"))
     spark.udf.register("python_structure", vectorised(lambda t: [dict(zip(names, r)) for r in extract.python_structure(t or "")], STRUCTURE))
-    # The record parser is made of built-in functions, so it is a SQL function of them.
-    answer = spark.range(0).select(F.lit("").alias("answer"))
-    body = answer.select(extract.entity_array("answer").alias("e"))
-    spark.udf.register("entity_records", vectorised(_entities, body.schema["e"].dataType))
+    # The record parser is made of built-in functions, so it is a SQL function of them: extract.entity_array() written as SQL.
+    spark.sql(rf"""CREATE OR REPLACE TEMPORARY FUNCTION entity_records(answer STRING) RETURNS {ENTITIES} RETURN
+        transform(filter(transform(split(answer, '{extract.RECORD}'), r -> transform(
+            split(regexp_replace(regexp_replace(regexp_replace(r, r'^\s+|\s+$', ''), r'^\(', ''), r'\)$', ''), r'<\|>'),
+            (x, i) -> regexp_replace(regexp_replace(x, r'^\s+|\s+$', ''), if(i = 0, '^"+|"+$', 'a^'), ''))),
+            f -> f[0] = 'entity' AND size(f) >= 4), f -> named_struct('name', f[1], 'type', f[2], 'description', f[3], 'ordinals', get(f, 4)))""")
     return spark
-
-
-def _entities(answer: str | None) -> list[dict]:
-    """entity_array() of one answer, for SQL."""
-    out = []
-    for r in (answer or "").split(extract.RECORD):
-        r = r.strip()
-        fields = [f.strip() for f in r.removeprefix("(").removesuffix(")").split(extract.FIELD)]
-        if fields[0].strip('"') == "entity" and len(fields) >= 4:
-            out.append({"name": fields[1], "type": fields[2], "description": fields[3], "ordinals": fields[4] if len(fields) > 4 else None})
-    return out

@@ -262,7 +262,7 @@ def test_registered_functions(spark):
     answer = '("entity"<|>parse(x)<|>t<|>(d))##entity<|>"y"<|>t<|>d<|>1'
     d = spark.createDataFrame([(answer,)], "answer string")
     d.createOrReplaceTempView("answers")
-    assert spark.sql("select inline(entity_records(answer)) from answers").collect() == d.select(F.inline(extract.entity_array("answer"))).collect()
+    assert spark.sql("select inline(e) from (select entity_records(answer) as e from answers)").collect() == d.select(F.inline(extract.entity_array("answer"))).collect()
 
 
 @pytest.mark.parametrize("text,want", [("1", [10]), ("1,3", [10, 30]), (None, [10, 20, 30]), ("9", [10, 20, 30]), ("x", [10, 20, 30])])
