@@ -238,7 +238,7 @@ def marked(ids: DataFrame, bits: int, place: Column | None = None) -> np.ndarray
     at = ids.select(F.bitmap_bucket_number(place).alias("k"), F.bitmap_bit_position(place).alias("p"))
     rows = at.groupBy("k").agg(F.bitmap_construct_agg("p").alias("bits"))
     flags = np.zeros((bits // 32768 + 2, 4096), np.uint8)
-    for r in rows.coalesce(FETCHES).toLocalIterator():  # a job for each partition, a part of the bitmap in the driver at a time
+    for r in rows.repartition(FETCHES).toLocalIterator():  # a job for each partition, a part of the bitmap in the driver at a time
         flags[r["k"]] = np.frombuffer(r["bits"], np.uint8)
     return flags
 

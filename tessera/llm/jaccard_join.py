@@ -43,6 +43,7 @@ SKETCH_BLOCK = 1 << 16
 #: Places for each prefix shingle, and the most places: a bitmap of at most 128 MB. Beyond it more postings than need be travel.
 TWICE_PLACES, MAX_TWICE_BITS, TWICE_BLOCKS = 8, 1 << 30, 64
 SENT = 1 << 20  # places sent at a time
+TASKS_A_CORE = 4  # of those that count for the order
 HOT_POSTINGS = 128  # postings of a shingle that one task pairs with all others of it
 
 
@@ -101,7 +102,9 @@ def count_order(docs: DataFrame) -> Order:
         for k, v in total.items():
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([np.minimum(v, 0xFFFFFFFF).astype(np.uint32).tobytes()], pa.binary())], ["block", "counts"])
 
-    parts = arrow_map(docs.select("text"), count, "block int, counts binary").repartition(16, "block").mapInArrow(add, "block int, counts binary").coalesce(common.FETCHES)
+    # A sketch for each task, so few tasks, each with many of the scan's partitions: sketches stay a small part of what is read.
+    texts = docs.select("text").coalesce(TASKS_A_CORE * docs.sparkSession.sparkContext.defaultParallelism)
+    parts = arrow_map(texts, count, "block int, counts binary").repartition(ORDER_BUCKETS // SKETCH_BLOCK, "block").mapInArrow(add, "block int, counts binary").repartition(common.FETCHES)
     counts = np.zeros(ORDER_BUCKETS, np.uint32)
     for r in parts.toLocalIterator():
         counts[r["block"] * SKETCH_BLOCK : (r["block"] + 1) * SKETCH_BLOCK] = np.frombuffer(r["counts"], np.uint32)
@@ -152,6 +155,8 @@ def shared_places(prefixes: DataFrame, reps_map, need_bits: int) -> np.ndarray:
     has no partner, so its posting need not travel. Places are sent as 32-bit numbers, sorted by blocks."""
     n = prefixes.agg(F.coalesce(F.sum(F.size("prefix")), F.lit(0)).alias("n")).first()["n"]
     bits = min(MAX_TWICE_BITS, max(1 << 16, 1 << (TWICE_PLACES * n).bit_length()))
+    if n > 4 * MAX_TWICE_BITS:  # nearly all places would be taken twice: every posting travels, and nothing need be counted
+        return np.full(bits // 8, 255, np.uint8)
     size = bits // TWICE_BLOCKS
 
     def sent(own: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
@@ -179,7 +184,7 @@ def shared_places(prefixes: DataFrame, reps_map, need_bits: int) -> np.ndarray:
         for k, count in seen.items():
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([np.packbits(count > 1, bitorder="little").tobytes()], pa.binary())], ["block", "bits"])
 
-    got = arrow_map(placed(prefixes.select("doc_id", "prefix"), need_bits), places, "block int, places binary").repartition(16, "block").mapInArrow(twice, "block int, bits binary").coalesce(common.FETCHES).toLocalIterator()
+    got = arrow_map(placed(prefixes.select("doc_id", "prefix"), need_bits), places, "block int, places binary").repartition(TWICE_BLOCKS, "block").mapInArrow(twice, "block int, bits binary").repartition(common.FETCHES).toLocalIterator()
     out = np.zeros((TWICE_BLOCKS, size // 8), np.uint8)
     for r in got:
         out[r["block"]] = np.frombuffer(r["bits"], np.uint8)
