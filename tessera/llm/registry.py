@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, decontaminate, jaccard_join, licenses, order, packing, paragraphs, secrets, toxicity
+from . import ann, chat, decontaminate, hard_negatives, html_text, jaccard_join, licenses, order, packing, paragraphs, prefix_trie, secrets, toxicity
 from .common import table
 
 
@@ -52,10 +52,23 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.link(table(spark, sf_dir, "documents"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(table(spark, sf_dir, "conversations"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings").withColumn("label", moved), F.col("vec_id") % 100 == 0)
+
+
+def op13_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_substring_dedup, op2_decontaminate, op3_ann_search, op4_license_scan, op5_best_fit_pack, op6_secret_scan, op7_training_order, op8_chat_format, op9_toxicity, op10_ngram_jaccard]
+    own = [op1_substring_dedup, op2_decontaminate, op3_ann_search, op4_license_scan, op5_best_fit_pack, op6_secret_scan, op7_training_order, op8_chat_format, op9_toxicity, op10_ngram_jaccard, op11_prefix_trie, op12_hard_negatives, op13_html_text]
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_license_scan": licenses.oracle(), "op8_chat_format": chat.ORACLE}
+    return {"op4_license_scan": licenses.oracle(), "op8_chat_format": chat.ORACLE, "op11_prefix_trie": prefix_trie.ORACLE, "op12_hard_negatives": hard_negatives.ORACLE, "op13_html_text": html_text.ORACLE}
