@@ -15,12 +15,13 @@ down to it, and by what marks say of it. Each page is read into blocks (the runs
 
 Paths and texts below IMPORTANCE are removed from each page; statistics count where a path has LEAST_BODIES bodies or more. A
 branch goes when all paths below it go. Headings in a header of the article stay. If nothing were left of a page, the texts
-are kept that no mark removes.
+are kept that no mark removes; and where names (not elements or roles) mark everything, they do not count within articles.
 
 White space is what str.split takes for it; a line break (br) within a block counts as white space, and elements without text,
 such as pictures, do not part it; character references are decoded as HTML does. Null html is empty, and pages without
 text give an empty text. A null or malformed url has the host ''. Rows that repeat a page are rows of the result each, and one body.
-Elements nested deeper than MAX_DEPTH share the path of that depth. Paths and texts are told apart by 64-bit hashes.
+Elements nested deeper than MAX_DEPTH share the path of that depth, and
+those within MAX_OPEN open ones count as parts of the last. Paths and texts are told apart by 64-bit hashes.
 No page's blocks are gathered from others: statistics are sums by key, and only the keys to remove go back to the pages, as a
 broadcast of at most FEW_LOW numbers, and beyond that by joins.
 """
@@ -44,14 +45,14 @@ from .scans import lookup
 
 IMPORTANCE, LEAST_BODIES, DAMPING = 0.2, 4, 0.9
 LANDMARK = 0.2
-MAX_DEPTH = 64
+MAX_DEPTH, MAX_OPEN = 64, 512
 FEW_LOW = 1 << 20
 CACHED = 1 << 16  # hashes of paths that a task keeps
 
 # Names of HTML elements, roles and the words by which pages commonly name their parts.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe noembed noframes xmp template".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+INLINE = frozenset("a abbr acronym audio b bdi bdo big br button canvas cite code data datalist del dfn em font i ins kbd label mark math meter nobr object optgroup option output progress q rp rt ruby s samp select small span strike strong sub sup svg time tt u var video".split())
 CLOSED_BY = {
     "p": frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split()),
     "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr", "tbody", "tfoot"]),
@@ -73,20 +74,23 @@ _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"?|'([^']*)'?|([^\s>]+)))?")
 _DIGITS = re.compile("[0-9]+")
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+_HIDDEN = re.compile(r"display\s*:\s*none", re.I)
 _HOST = re.compile(r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)")
 #: What a name's word means after one of these is the contrary, or of the whole page.
 _NOT = frozenset("no not without has with hide hidden is".split())
 
-KEEP, NOISE, HEADER = 0, 1, 2
+#: In rising order: an element within another is at least what that is.
+KEEP, HEADER, NAMED, NOISE = 0, 1, 2, 3
 #: What marks say of a block: nothing, that it is part of an article, that it goes, or that it stands beside an article.
 PLAIN, INSIDE, MARKED, BESIDE = 0, 1, 2, 3
 
 
 class Element:
-    __slots__ = ("tag", "path", "depth", "verdict", "articles", "named")
+    __slots__ = ("tag", "path", "depth", "verdict", "article", "block")
 
-    def __init__(self, tag: str, path: int, depth: int, verdict: int, articles: tuple, named: bool):
-        self.tag, self.path, self.depth, self.verdict, self.articles, self.named = tag, path, depth, verdict, articles, named
+    def __init__(self, tag: str, path: int, depth: int, verdict: int, article: int, block: Element | None = None):
+        self.tag, self.path, self.depth, self.verdict, self.article = tag, path, depth, verdict, article
+        self.block = block or self  # the innermost element that is a block of its own
 
 
 def host_of(url: str | None) -> str:
@@ -109,129 +113,102 @@ def _named_noise(names: str) -> bool:
     return False
 
 
-def _verdict(tag: str, a: dict[str, str], up: Element) -> tuple[int, bool]:
-    """(what the element's marks say of it, whether only its name does)."""
+def _verdict(tag: str, a: dict[str, str], up: Element) -> int:
+    """What the marks of an element, and of those around it, say of it."""
     if up.verdict == NOISE:
-        return NOISE, up.named
+        return NOISE
     role = a.get("role", "").lower().strip()
-    if tag in NOISE_TAGS or role in NOISE_ROLES or "hidden" in a or a.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none", a.get("style", ""), re.I):
-        return NOISE, False
-    if tag == "article" and up.articles:
-        return NOISE, False
+    hidden = "hidden" in a or a.get("aria-hidden", "").lower() == "true" or _HIDDEN.search(a.get("style", ""))
+    if tag in NOISE_TAGS or role in NOISE_ROLES or hidden or tag == "article" and up.article:
+        return NOISE
     names = f"{a.get('class', '')} {a.get('id', '')}"
-    if tag == "header" or "header" in (w.lower() for n in names.split() for w in _WORDS.findall(n)):
-        return (HEADER, False) if up.articles else (NOISE, tag != "header")
-    if tag not in ("html", "body", "main") and _named_noise(names):
-        return NOISE, True
-    return (HEADER if up.verdict == HEADER else KEEP), False
+    if tag == "header" or "header" in (w.lower() for w in _WORDS.findall(names)):
+        return max(up.verdict, HEADER) if up.article else NOISE if tag == "header" else NAMED
+    return NAMED if tag not in ("html", "body", "main") and _named_noise(names) else up.verdict
 
 
 def blocks(source: str) -> list[tuple[int, str, int, int]]:
-    """(path, text, verdict, article): the blocks of a page with text, in order. verdict: NOISE or KEEP; article: 0 outside of articles, otherwise
-    the number of the article. An element whose name alone marks it, and which holds an article, is not removed for its name."""
-    if "<" not in source:
-        text = " ".join(html_module.unescape(source).split())
-        return [(0, text, KEEP, 0)] if text else []
-    n_articles = 0
-    stack = [Element("", 0, 0, KEEP, (), False)]
+    """(path, text, verdict, article): the blocks of a page with text, in order. verdict: KEEP, NAMED (names alone mark it) or NOISE;
+    article: the number of the article that it is part of, or 0."""
+    n_articles, at, end = 0, 0, len(source)
+    stack = [Element("", 0, 0, KEEP, 0)]
     parts: list[str] = []
-    out: list[list] = []  # path, text, verdict, article
-    wide: set[int] = set()  # runs of named elements that hold an article
-    runs: list[int] = []  # for each block, the number of the named element around it, or -1
-    named_at: list[tuple[int, int]] = []  # (depth of stack, number) of the named elements that are open
-    n_named, at, end = 0, 0, len(source)
+    out: list[tuple] = []
+
+    def say(text: str) -> None:
+        e, block = stack[-1], stack[-1].block
+        if e is block or e.verdict in (KEEP, HEADER) or block.verdict not in (KEEP, HEADER):
+            parts.append(html_module.unescape(text))
 
     def flush() -> None:
         if parts:
             text = " ".join("".join(parts).split())
             parts.clear()
             if text:
-                e = stack[-1]
-                k = len(stack) - 1
-                while k and stack[k].tag in INLINE:
-                    k -= 1
-                e = stack[k]
+                e = stack[-1].block
                 verdict = e.verdict
                 if verdict == HEADER:
-                    verdict = KEEP if any(s.tag in HEADINGS for s in stack[1 : k + 1]) else NOISE
-                out.append([e.path, text, verdict, e.articles[0] if e.articles else 0])
-                runs.append(named_at[-1][1] if named_at and e.named else -1)
-
-    def pop(size: int) -> None:
-        del stack[size:]
-        while named_at and named_at[-1][0] >= size:
-            named_at.pop()
+                    verdict = KEEP if any(x.tag in HEADINGS for x in stack) else NOISE
+                out.append((e.path, text, verdict, e.article))
 
     while at < end:
         m = _TOKEN.search(source, at)
         if m is None:
-            parts.append(html_module.unescape(source[at:]))
+            say(source[at:])
             break
         if m.start() > at:
-            parts.append(html_module.unescape(source[at : m.start()]))
+            say(source[at : m.start()])
         at = m.end()
-        tag = m[2]
-        if tag is None:
+        if m[2] is None:
             if m[0].startswith("<![CDATA["):
-                parts.append(m[0][9:].removesuffix("]]>"))
+                say(m[0][9:].removesuffix("]]>"))
             continue
-        tag = tag.lower()
+        tag = m[2].lower()
+        inline = tag in INLINE
         if m[1]:
-            inline = tag in INLINE
             if not inline:
                 flush()
             for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == tag:
-                    pop(k)
+                other = stack[k].tag
+                if other == tag:
+                    del stack[k:]
                     break
-                if stack[k].tag in SCOPES and tag not in SCOPES or inline and stack[k].tag not in INLINE:
+                if other in SCOPES and tag not in SCOPES or inline and other not in INLINE:
                     break
             continue
+        if tag in RAW:
+            close = re.compile(rf"</{re.escape(tag)}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I).search(source, at)
+            at = close.end() if close else end
+            continue
         if tag == "br":
             parts.append(" ")
+        if tag in VOID and tag != "hr":
             continue
-        if tag not in INLINE:
+        if not inline:
             flush()
             for k in range(len(stack) - 1, 0, -1):
                 if tag in CLOSED_BY.get(stack[k].tag, ()):
-                    pop(k)
+                    del stack[k:]
                     break
                 if stack[k].tag in SCOPES:
                     break
             # Inline elements that were left open end with the block that they stand in.
             while stack[-1].tag in INLINE:
-                pop(len(stack) - 1)
+                stack.pop()
+            if tag == "hr":
+                continue
         a = _attributes(m[3]) if m[3].strip(" /\t\r\n") else {}
         up = stack[-1]
-        verdict, by_name = _verdict(tag, a, up)
-        if tag in RAW:
-            close = re.compile(rf"</{re.escape(tag)}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I).search(source, at)
-            at = close.end() if close else end
-            continue
-        if tag in VOID or m[3].endswith("/") and tag not in INLINE and tag in ("svg", "path"):
-            continue
-        articles = up.articles
-        if tag == "article" and (verdict == KEEP or by_name or up.named):
-            if not articles:
-                n_articles += 1
-                articles = (n_articles,)
-                if up.verdict == NOISE and up.named:
-                    wide.update(n for _, n in named_at)
-                    verdict, by_name = KEEP, False
-        if up.depth < MAX_DEPTH and tag not in INLINE:
-            kind = (tag, " ".join(sorted(a.get("class", "").split())), a.get("role", ""))
-            path, depth = _path(up.path, *kind), up.depth + 1
-        else:
-            path, depth = up.path, up.depth
-        stack.append(Element(tag, path, depth, verdict, articles, by_name or verdict == NOISE and up.named))
-        if by_name and verdict == NOISE and not up.named:
-            named_at.append((len(stack) - 1, n_named))
-            n_named += 1
+        verdict, article, path, depth = _verdict(tag, a, up), up.article, up.path, up.depth
+        if tag == "article" and not article and not _named_noise(f"{a.get('class', '')} {a.get('id', '')}"):
+            n_articles += 1
+            article = n_articles
+        if depth < MAX_DEPTH and not inline:
+            path, depth = _path(path, tag, " ".join(sorted(a.get("class", "").split())), a.get("role", "")), depth + 1
+        if len(stack) < MAX_OPEN:
+            stack.append(Element(tag, path, depth, verdict, article, up.block if inline else None))
     flush()
-    for b, run in zip(out, runs):
-        if run in wide:
-            b[2] = KEEP
-    return [tuple(b) for b in out]
+    return out
 
 
 def _hash(data: bytes, seed: int = 0) -> int:
@@ -254,6 +231,8 @@ def _path(*parts) -> int:
 def read(url: str | None, source: str | None) -> tuple[list[str], list[int], list[int], list[int]]:
     """Of each block its text, what marks say of it, the key of its path in the tree of the host, and the key of its text there. Digits count as equal."""
     every = blocks(source or "")
+    if every and all(b[2] != KEEP for b in every):  # a name around the whole page: articles count in spite of it
+        every = [(*b[:2], KEEP, b[3]) if b[2] == NAMED and b[3] else b for b in every]
     sizes = [len(b[1]) if b[2] == KEEP else 0 for b in every]
     inside = sum(n for n, b in zip(sizes, every) if b[3])
     settled = inside > 0 and inside >= LANDMARK * sum(sizes)

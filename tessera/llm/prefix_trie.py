@@ -36,6 +36,7 @@ FAMILY, HEAD_TURNS = 100, 6
 #: Ids of conversations in a row of digested text.
 CHUNK_IDS = 1 << 16
 NODE = ["d", "f1", "f2"]
+TRIE = "conv_id long, depth long, parent_conv_id long, n_convs long, n_children long, n_leaves long, saved_tokens long, ends_sha256 string"
 
 
 def numbered(conversations: DataFrame) -> DataFrame:
@@ -158,6 +159,10 @@ def trie(conversations: DataFrame) -> DataFrame:
     turns = numbered(conversations)
     rebuilt_rows, convs = rebuilt(turns)
     done(turns)
+    smallest = convs.agg(F.min("c")).first()[0]
+    if smallest is None:
+        forget(rebuilt_rows, convs)
+        return conversations.sparkSession.createDataFrame([], TRIE)
     keyed = rebuilt_rows.withColumns({"f1": F.xxhash64("h1", "h2", "d"), "f2": F.xxhash64("h2", "d", "h1")}).select("c", "d", "f1", "f2", "len", "is_end")
     run = running(keyed, ["c"], [F.col("d")], xors=("f1", "f2"))
     rows = run.select("c", "d", F.col("run_f1").alias("f1"), F.col("run_f2").alias("f2"), F.col("run_f1").bitwiseXOR(F.col("f1")).alias("p1"), F.col("run_f2").bitwiseXOR(F.col("f2")).alias("p2"), "len", "is_end")
@@ -167,9 +172,8 @@ def trie(conversations: DataFrame) -> DataFrame:
 
     zero = F.lit(0).cast("long")
     nodes = rows.groupBy(*NODE).agg(F.min("c").alias("conv_id"), F.count("*").alias("n_convs"), F.max("len").alias("len"), F.min("p1").alias("p1"), F.min("p2").alias("p2"))
-    root = convs.agg(F.min("c").alias("conv_id"), F.count("*").alias("n_convs")).where("n_convs > 0")
+    root = convs.agg(F.min("c").alias("conv_id"), F.count("*").alias("n_convs"))
     nodes = materialize(nodes.unionByName(root.select(zero.alias("d"), zero.alias("f1"), zero.alias("f2"), "conv_id", "n_convs", zero.alias("len"), zero.alias("p1"), zero.alias("p2"))), "nodes")
-    smallest = convs.agg(F.min("c")).first()[0]
 
     # Children by parent; the heavy one is named, so that it is found by its own key and not by its parent's, which may have many children.
     heaviest = F.max(F.struct("n_convs", (-F.col("conv_id")).alias("o"), F.col("f1").alias("h1"), F.col("f2").alias("h2"))).alias("heavy")
@@ -183,7 +187,7 @@ def trie(conversations: DataFrame) -> DataFrame:
     forget(nodes, kids)
 
     placed = paths(rows, tree)
-    sums = subtree_sums(placed, ["leaves", "tokens"]) if smallest is not None else placed.select(*NODE, F.col("leaves").alias("run_leaves"), F.col("tokens").alias("run_tokens"))
+    sums = subtree_sums(placed, ["leaves", "tokens"])
     ends = rows.where("is_end").select(*NODE, "c").union(convs.where("total = 0").select(zero, zero, zero, "c"))
     sha = materialize(digests(ends), "ends")
 
