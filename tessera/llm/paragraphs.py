@@ -7,8 +7,10 @@ equal sets are one class, found by a print of the set. The others are banded: BA
 pairs of similarity 0.75 with probability 1 - (1 - 0.75^2)^6 = 0.993. A sketch of SKETCH_BITS parities for each set says
 which pairs may link: sketches differ in no more bits than the sets in shingles, so no pair that links is dropped. Every class
 is first paired with the nearest hub of its bands; pairs are verified by their exact Jaccard similarity, and what links gives
-components. Then the pairs of a band that still lie in different components and may link are verified too, so that none
-that shares a band is missed: each paragraph's nearest pair first, then those that lie in different components even so.
+components. Rounds of neighbours follow: a band is sorted by its sketches, from another word of theirs each round, and a
+paragraph is paired with the nearest of another component among the NEXT before and after it; so components that belong together
+come together by few pairs, however many near copies there are. Then all pairs of a band that still lie in different components
+and may link are verified, so that none that shares a band is missed: each paragraph's nearest pair first, then the rest.
 
 As shared passages begin and end anywhere, there are windows of WINDOW words as well, which count as equal or not. Of every
 REACH successive starts the one with the smallest hash has a window, so a passage of WINDOW + REACH - 1 = 51 words or more
@@ -24,6 +26,7 @@ that repeat a doc_id are one document. Ties of hashes go to the later start. Emp
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -37,8 +40,9 @@ MIN_WORDS, MAX_WORDS, PART_ENDS = 30, 96, 4
 WINDOW, REACH = 34, 18
 BANDS, BAND_ROWS = 6, 2
 _TURNS = (mix(np.arange(1, BANDS * BAND_ROWS + 1, dtype=np.uint64)) | np.uint64(1)).tolist()
-#: Classes of a band that one task pairs with all others of it; a band of more is dealt to several, SALTS at most.
-SALTED, SALTS = 128, 256
+#: Classes of a band that one task pairs with all others of it; a band of more is dealt to several.
+SALTED = 128
+NEXT = 8  # paragraphs after one, in the order of sketches, that are tried as neighbours
 TURN = 0x2545F4914F6CDD1D  # turns prints so that another of them is the smallest
 SKETCH_BITS = 256
 SKETCH = [f"s{k}" for k in range(SKETCH_BITS // 64)]
@@ -178,9 +182,9 @@ def _sets(texts: list[str | None], flags: np.ndarray, bits: int) -> pa.RecordBat
     return pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate(fps))), pa.array(parts, pa.list_(pa.int64()))], ["fp", "part"])
 
 
-def verified(pairs: DataFrame, lines: DataFrame, docs: DataFrame) -> DataFrame:
-    """(a, b) of pairs (a, na, b, nb) of paragraphs, a written table, that link, verified on their texts; a written table."""
-    ids = materialize(pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct().join(lines.select("fp", "doc_id"), "fp"), "needed")
+def stored_sets(fps: DataFrame, lines: DataFrame, docs: DataFrame) -> DataFrame:
+    """(fp, f, part), a written table: the sets of the paragraphs with the prints fps, made once from their texts; f is 0."""
+    ids = materialize(fps.join(lines.select("fp", "doc_id"), "fp"), "needed")
     bits = common.need_bits(ids.count())
     place = F.col("fp").bitwiseAND(F.lit(bits - 1))
     asked_for = docs.sparkSession.sparkContext.broadcast(common.marked(ids, bits, place))
@@ -189,9 +193,14 @@ def verified(pairs: DataFrame, lines: DataFrame, docs: DataFrame) -> DataFrame:
     sets = materialize(sets.select("fp", F.lit(0).alias("f"), "part"), "sets")
     asked.destroy()
     asked_for.destroy()
-    out = materialize(linked(pairs, sets, 1), "linked")
-    forget(ids, sets, clean=True)
-    return out
+    forget(ids, clean=True)
+    return sets
+
+
+def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b) of pairs (a, na, b, nb) of paragraphs, a written table, that link by their stored sets; a written table."""
+    need = pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct()
+    return materialize(linked(pairs, sets.join(need, "fp", "left_semi"), 1), "linked")
 
 
 def apart() -> Column:
@@ -209,7 +218,7 @@ def pair() -> list[Column]:
 
 
 def sketched(lines: DataFrame) -> DataFrame:
-    return lines.select("fp", "n", *(F.col("sketch")[k].alias(c) for k, c in enumerate(SKETCH)))
+    return lines.select("fp", "n", *(F.col("sketch")[k].alias(c) for k, c in enumerate(SKETCH)), *(F.col("bands")[k].alias(f"b{k}") for k in range(BANDS)))
 
 
 def stars(bands: DataFrame, lines: DataFrame) -> DataFrame:
@@ -225,21 +234,61 @@ def stars(bands: DataFrame, lines: DataFrame) -> DataFrame:
     return near.groupBy("a").agg(F.min(F.struct("apart", "b", "na", "nb")).alias("p")).select("a", "p.na", "p.b", "p.nb")
 
 
-def between(bands: DataFrame, lines: DataFrame, groups: DataFrame) -> DataFrame:
-    """(a, na, b, nb, apart), a written table: pairs of a band (fp, n, band) in different components (node, component) whose sizes and sketches allow a link. Large bands are dealt to several tasks."""
-    own = bands.join(groups.withColumnRenamed("node", "fp"), "fp", "left").select("band", "fp", F.coalesce("component", "fp").alias("g"))
+def crossed(bands: DataFrame, lines: DataFrame, groups: DataFrame) -> DataFrame:
+    """(band, k, fp, n, g, salts, sketch..., b0...), a written table: the rows of those bands in which several components (node, component) meet.
+    k: which of the paragraph's bands it is."""
+    own = bands.join(groups.withColumnRenamed("node", "fp"), "fp", "left").select("band", "k", "fp", F.coalesce("component", "fp").alias("g"))
     first = own = materialize(own, "bands")
-    mixed = own.groupBy("band").agg(F.min("g").alias("lo"), F.max("g").alias("hi"), F.count("*").alias("c")).where("lo < hi").select("band", F.least(F.lit(SALTS), F.expr(f"c div {SALTED} + 1")).cast("int").alias("salts"))
-    own = materialize(own.join(mixed, "band").join(sketched(lines), "fp"), "mixed")
+    several = own.groupBy("band").agg(F.min("g").alias("lo"), F.max("g").alias("hi"), F.count("*").alias("c")).where("lo < hi").select("band", F.expr(f"cast(c div {SALTED} + 1 as int)").alias("salts"))
+    out = materialize(own.join(several, "band").join(sketched(lines), "fp"), "crossed")
     forget(first)
-    x = own.withColumn("salt", F.pmod(F.xxhash64("fp"), F.col("salts")).cast("int")).alias("x")
-    y = own.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).alias("y")
-    met = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.salt") == F.col("y.salt"))).where((F.col("x.fp") < F.col("y.fp")) & (F.col("x.g") != F.col("y.g")) & may_link())
-    out = materialize(met.select(*pair()).distinct(), "met")
-    forget(own)
     return out
 
 
+def neighbours(rows: DataFrame, turn: int) -> DataFrame:
+    """(a, na, b, nb), a written table: each paragraph of crossed() with the nearest one of another component among the NEXT before and after it, where
+    a band is sorted by sketch, from its word `turn` on. Bands are dealt by ranges, so that large ones lie in many tasks."""
+    words = [*SKETCH[turn:], *SKETCH[:turn]]
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.select("band", "fp", "n", "g", *SKETCH).repartitionByRange(parts, "band", *words).sortWithinPartitions("band", *words)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for x in batches:
+            now = np.stack([x.column(c).to_numpy() for c in ("band", "fp", "n", "g", *SKETCH)], 1)
+            v = now if held is None else np.concatenate([held, now])
+            held = v[-NEXT:]
+            best, mate = np.full(len(v), 1 << 20), np.zeros(len(v), np.int64)
+            for step in range(1, min(NEXT, len(v) - 1) + 1):
+                a, b = v[:-step], v[step:]
+                bits = np.bitwise_count((a[:, 4:] ^ b[:, 4:]).view(np.uint64)).sum(1, dtype=np.int64)
+                n = a[:, 2] + b[:, 2]
+                ok = (a[:, 0] == b[:, 0]) & (a[:, 3] != b[:, 3]) & (bits * (JACCARD_DEN + JACCARD_NUM) <= n * (JACCARD_DEN - JACCARD_NUM))
+                ok &= np.minimum(a[:, 2], b[:, 2]) * JACCARD_DEN >= np.maximum(a[:, 2], b[:, 2]) * JACCARD_NUM
+                bits = np.where(ok, bits, 1 << 20)
+                for mine, other in ((np.arange(len(a)), step), (np.arange(len(a)) + step, -step)):
+                    nearer = bits < best[mine]
+                    best[mine[nearer]], mate[mine[nearer]] = bits[nearer], mine[nearer] + other
+            at = np.flatnonzero(best < 1 << 20)
+            p, q = v[at], v[mate[at]]
+            swap = p[:, 1] > q[:, 1]
+            p, q = np.where(swap[:, None], q, p), np.where(swap[:, None], p, q)
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (p[:, 1], p[:, 2], q[:, 1], q[:, 2], best[at])], ["a", "na", "b", "nb", "apart"])
+
+    found = arrow_map(dealt, run, "a long, na long, b long, nb long, apart long")
+    return materialize(nearest(found), "pairs")
+
+
+def between(rows: DataFrame) -> DataFrame:
+    """(a, na, b, nb, apart), a written table: the pairs of a band of crossed() in different components whose sizes and sketches allow a link, each once,
+    in the first band that it shares. Large bands are dealt to as many tasks as their rows ask for."""
+    x = rows.withColumn("salt", F.pmod(F.xxhash64("fp"), F.col("salts")).cast("int")).alias("x")
+    y = rows.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).alias("y")
+    first = [(F.col("x.k") <= i) | (F.col(f"x.b{i}") != F.col(f"y.b{i}")) for i in range(BANDS - 1)]
+    met = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.salt") == F.col("y.salt")) & (F.col("x.fp") < F.col("y.fp")) & (F.col("x.g") != F.col("y.g")) & may_link() & reduce(Column.__and__, first))
+    return materialize(met.select(*pair()), "met")
+
+
 def nearest(pairs: DataFrame) -> DataFrame:
     """Of pairs (a, na, b, nb, apart), each end's pair with the fewest bits apart."""
     own = F.struct("apart", "a", "na", "b", "nb")
@@ -268,25 +317,36 @@ def repeated(docs: DataFrame) -> DataFrame:
     # Paragraphs that are not equal but share a band.
     lines = units.where("is_paragraph").groupBy("fp", "n").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
     lines = materialize(lines, "lines")
-    bands = lines.select("fp", "n", F.explode("bands").alias("band"))
+    bands = lines.select("fp", "n", F.posexplode("bands").alias("k", "band"))
     near = materialize(stars(bands, lines), "pairs")
-    links = verified(near, lines, docs)
+    shared = bands.groupBy("band").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("lo < hi")
+    sets = stored_sets(bands.join(shared, "band").select("fp").distinct(), lines, docs)
+    links = verified(near, sets)
     groups = connected_components(links)
-    # What the bands' pairs between components still allow: first each paragraph with the nearest one elsewhere, which joins most components
-    # with few pairs; then all pairs whose ends are in different components even so.
-    met = between(bands, lines, groups)
+    forget(near)
+    # What joins most components with few pairs comes first: near ones in the order of the sketches, from each of their words on.
+    for turn in range(len(SKETCH)):
+        rows = crossed(bands, lines, groups)
+        near = neighbours(rows, turn)
+        forget(rows, groups)
+        links = links.union(verified(near, sets))
+        groups = connected_components(links)
+        forget(near)
+    # Then all pairs that the bands still allow between components: each paragraph's nearest first, then those whose ends are apart even so.
+    rows = crossed(bands, lines, groups)
+    met = between(rows)
     first = materialize(nearest(met), "pairs")
-    forget(near, groups)
-    links = links.union(verified(first, lines, docs))
+    forget(rows, groups)
+    links = links.union(verified(first, sets))
     groups = connected_components(links)
     rest = materialize(still_apart(met, groups), "pairs")
     forget(first, met, groups)
-    links = links.union(verified(rest, lines, docs))
+    links = links.union(verified(rest, sets))
     groups = connected_components(links).withColumnRenamed("node", "fp")
 
     member = classes.join(groups, "fp", "left").where("lo < hi or component is not null").select("fp", "n_occurrences", (F.col("lo") < F.col("hi")).alias("shared"), F.coalesce("component", "fp").alias("cluster_id"))
     found = materialize(units.join(member, "fp").select("doc_id", "is_paragraph", "first_word", "n_words", "cluster_id", "n_occurrences", "shared"), "found")
-    forget(rest, lines, units)
+    forget(rest, lines, units, sets)
     place = F.struct("doc_id", "first_word", "is_paragraph")
     clusters = found.groupBy("cluster_id").agg(F.min(place).alias("keeper"), F.max("doc_id").alias("last"), F.bool_or("shared").alias("shared"))
     clusters = clusters.where("shared or keeper.doc_id < last").select("cluster_id", "keeper")
