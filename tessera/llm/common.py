@@ -28,6 +28,9 @@ FETCHES = 8  # parts in which what is gathered in the driver arrives
 FEW_HUBS = 200_000  # so many rows of two numbers may be broadcast
 #: Places in a bitmap of ids: so many for each id, within these bounds (128 MB at most).
 NEED_PLACES, LEAST_NEED_BITS, MOST_NEED_BITS = 16, 1 << 16, 1 << 30
+#: Places for each number, and the most places: a bitmap of at most 128 MB. Beyond it more numbers than need be travel.
+TWICE_PLACES, MAX_TWICE_BITS, TWICE_BLOCKS = 8, 1 << 30, 64
+SENT = 1 << 20  # places sent at a time
 
 
 def tuned(spark: SparkSession) -> SparkSession:
@@ -255,6 +258,62 @@ def chosen(x: pa.RecordBatch, flags: np.ndarray) -> pa.RecordBatch:
     return x.take(pa.array(np.flatnonzero(flags[k, p >> 3] >> (p & 7).astype(np.uint8) & 1)))
 
 
+def place_of(numbers: np.ndarray, bits: int) -> np.ndarray:
+    return (mix(numbers) & np.uint64(bits - 1)).astype(np.int64)
+
+
+def _blocks(at: np.ndarray, size: int) -> Iterator[tuple[int, np.ndarray]]:
+    edges = np.searchsorted(at, np.arange(TWICE_BLOCKS + 1, dtype=np.int64) * size)
+    for k in np.flatnonzero(np.diff(edges)):
+        yield int(k), at[edges[k] : edges[k + 1]]
+
+
+def taken_twice(df: DataFrame, numbers: Callable[[pa.RecordBatch], np.ndarray], n: int) -> np.ndarray:
+    """A bitmap of bounded size: where the place of one of some n numbers (64 bits) is taken twice or more. A number alone in its place has no equal.
+    Places are sent as 32-bit numbers, sorted by blocks."""
+    bits = min(MAX_TWICE_BITS, max(1 << 16, 1 << (TWICE_PLACES * n).bit_length()))
+    if n > 4 * MAX_TWICE_BITS:  # nearly all places would be taken twice, so nothing need be counted
+        return np.full(bits // 8, 255, np.uint8)
+    size = bits // TWICE_BLOCKS
+
+    def sent(own: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        for k, part in _blocks(np.sort(place_of(np.concatenate(own), bits)), size):
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([part.astype("<u4").tobytes()], pa.binary())], ["block", "places"])
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, held = [np.zeros(0, np.uint64)], 0
+        for x in batches:
+            own.append(numbers(x))
+            held += len(own[-1])
+            if held > SENT:
+                yield from sent(own)
+                own, held = own[:1], 0
+        yield from sent(own)
+
+    def twice(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[int, np.ndarray] = {}
+        for x in batches:
+            for k, b in zip(x.column(0).to_pylist(), x.column(1)):
+                at = np.frombuffer(b.as_buffer(), "<u4") - np.uint32(k * size)
+                count = seen.setdefault(k, np.zeros(size, np.uint8))
+                u, times = np.unique(at, return_counts=True)
+                count[u] = np.minimum(2, count[u] + np.minimum(times, 2))
+        for k, count in seen.items():
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([np.packbits(count > 1, bitorder="little").tobytes()], pa.binary())], ["block", "bits"])
+
+    got = arrow_map(df, places, "block int, places binary").repartition(TWICE_BLOCKS, "block").mapInArrow(twice, "block int, bits binary").repartition(FETCHES).toLocalIterator()
+    out = np.zeros((TWICE_BLOCKS, size // 8), np.uint8)
+    for r in got:
+        out[r["block"]] = np.frombuffer(r["bits"], np.uint8)
+    return out.ravel()
+
+
+def twice_among(numbers: np.ndarray, flags: np.ndarray) -> np.ndarray:
+    """For each number whether such a bitmap marks its place."""
+    at = place_of(numbers, 8 * len(flags))
+    return (flags[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+
+
 def sieve(docs: DataFrame, ids: DataFrame, make: Callable[[list, list], pa.RecordBatch], schema: str) -> tuple[DataFrame, Broadcast]:
     """make(doc_ids, texts) for the rows of docs whose doc_id may be one of ids (a written table): all that are, and few others.
 

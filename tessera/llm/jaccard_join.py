@@ -40,9 +40,6 @@ ORDER_BITS = 22
 ORDER_BUCKETS = 1 << ORDER_BITS
 FRAGMENTS = 8
 SKETCH_BLOCK = 1 << 16
-#: Places for each prefix shingle, and the most places: a bitmap of at most 128 MB. Beyond it more postings than need be travel.
-TWICE_PLACES, MAX_TWICE_BITS, TWICE_BLOCKS = 8, 1 << 30, 64
-SENT = 1 << 20  # places sent at a time
 TASKS_A_CORE = 4  # of those that count for the order
 HOT_POSTINGS = 128  # postings of a shingle that one task pairs with all others of it
 
@@ -151,54 +148,10 @@ def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, order, name: st
 
 
 def shared_places(prefixes: DataFrame, reps_map, need_bits: int) -> np.ndarray:
-    """A bitmap of bounded size: where a prefix shingle's hashed place is taken twice or more. A shingle alone in its place
-    has no partner, so its posting need not travel. Places are sent as 32-bit numbers, sorted by blocks."""
+    """A bitmap: where a prefix shingle's hashed place is taken twice or more. A shingle alone in its place has no partner, so its posting need not travel."""
     n = prefixes.agg(F.coalesce(F.sum(F.size("prefix")), F.lit(0)).alias("n")).first()["n"]
-    bits = min(MAX_TWICE_BITS, max(1 << 16, 1 << (TWICE_PLACES * n).bit_length()))
-    if n > 4 * MAX_TWICE_BITS:  # nearly all places would be taken twice: every posting travels, and nothing need be counted
-        return np.full(bits // 8, 255, np.uint8)
-    size = bits // TWICE_BLOCKS
-
-    def sent(own: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        for k, part in _blocks(np.sort(place_of(np.concatenate(own), bits)), size):
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([part.astype("<u4").tobytes()], pa.binary())], ["block", "places"])
-
-    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, n = [np.zeros(0, np.uint64)], 0
-        for x in batches:
-            own.append(chosen(x, reps_map.value).column("prefix").flatten().to_numpy().view(np.uint64))
-            n += len(own[-1])
-            if n > SENT:
-                yield from sent(own)
-                own, n = own[:1], 0
-        yield from sent(own)
-
-    def twice(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[int, np.ndarray] = {}
-        for x in batches:
-            for k, b in zip(x.column(0).to_pylist(), x.column(1)):
-                at = np.frombuffer(b.as_buffer(), "<u4") - np.uint32(k * size)
-                count = seen.setdefault(k, np.zeros(size, np.uint8))
-                u, n = np.unique(at, return_counts=True)
-                count[u] = np.minimum(2, count[u] + np.minimum(n, 2))
-        for k, count in seen.items():
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([np.packbits(count > 1, bitorder="little").tobytes()], pa.binary())], ["block", "bits"])
-
-    got = arrow_map(placed(prefixes.select("doc_id", "prefix"), need_bits), places, "block int, places binary").repartition(TWICE_BLOCKS, "block").mapInArrow(twice, "block int, bits binary").repartition(common.FETCHES).toLocalIterator()
-    out = np.zeros((TWICE_BLOCKS, size // 8), np.uint8)
-    for r in got:
-        out[r["block"]] = np.frombuffer(r["bits"], np.uint8)
-    return out.ravel()
-
-
-def _blocks(at: np.ndarray, size: int) -> Iterator[tuple[int, np.ndarray]]:
-    edges = np.searchsorted(at, np.arange(TWICE_BLOCKS + 1, dtype=np.int64) * size)
-    for k in np.flatnonzero(np.diff(edges)):
-        yield int(k), at[edges[k] : edges[k + 1]]
-
-
-def place_of(tokens: np.ndarray, bits: int) -> np.ndarray:
-    return (mix(tokens) & np.uint64(bits - 1)).astype(np.int64)
+    own = placed(prefixes.select("doc_id", "prefix"), need_bits)
+    return common.taken_twice(own, lambda x: chosen(x, reps_map.value).column("prefix").flatten().to_numpy().view(np.uint64), n)
 
 
 def link(docs: DataFrame) -> DataFrame:
@@ -235,8 +188,7 @@ def link(docs: DataFrame) -> DataFrame:
             of = np.repeat(np.arange(len(size)), size)
             # How rare a class's prefix is: the shingle at a quarter of it. Of near copies, the one with the fewest words of its own ranks highest.
             common_ = (tokens[edges[:-1] + size // 4] >> np.uint64(1)).view(np.int64) if len(size) else np.zeros(0, np.int64)
-            at = place_of(tokens, 8 * len(twice.value))
-            keep = np.flatnonzero(twice.value[at >> 3] >> (at & 7).astype(np.uint8) & 1)
+            keep = np.flatnonzero(common.twice_among(tokens, twice.value))
             of = of[keep]
             take = pa.array(of)
             yield pa.RecordBatch.from_arrays([pa.array(signed(tokens[keep])), x.column("fp").take(take), x.column("n").take(take), pa.array((keep - edges[of]).astype(np.int32)), pa.array(common_[of])], ["token", "fp", "n", "pos", "q"])

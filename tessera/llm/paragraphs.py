@@ -12,7 +12,8 @@ paragraph is paired with the nearest of another component among the NEXT before
 come together by few pairs, however many near copies there are. Then all pairs of a band that still lie in different components
 and may link are verified, so that none that shares a band is missed: each paragraph's nearest pair first, then the rest.
 
-As shared passages begin and end anywhere, there are windows of WINDOW words as well, which count as equal or not. Of every
+As shared passages begin and end anywhere, there are windows of WINDOW words as well, which count as equal or not; a bitmap of
+prints seen twice, of bounded size, keeps nearly all others out of what is written and shuffled. Of every
 REACH successive starts the one with the smallest hash has a window, so a passage of WINDOW + REACH - 1 = 51 words or more
 that stands in two documents has a window in common at least, wherever it begins.
 
@@ -42,6 +43,7 @@ BANDS, BAND_ROWS = 6, 2
 _TURNS = (mix(np.arange(1, BANDS * BAND_ROWS + 1, dtype=np.uint64)) | np.uint64(1)).tolist()
 #: Classes of a band that one task pairs with all others of it; a band of more is dealt to several.
 SALTED = 128
+TURNS = 3  # rounds of neighbours
 NEXT = 8  # paragraphs after one, in the order of sketches, that are tried as neighbours
 TURN = 0x2545F4914F6CDD1D  # turns prints so that another of them is the smallest
 SKETCH_BITS = 256
@@ -133,7 +135,27 @@ def _lists(rows: np.ndarray, empty: int) -> pa.Array:
     return pa.concat_arrays([lists, pa.nulls(empty, lists.type)])
 
 
-def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _window_prints(every: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Prints of the windows that begin at shingles start; that of a set without repeats is the same sum."""
+    size = WINDOW - common.SHINGLE_WORDS + 1
+    total = np.concatenate([[np.uint64(0)], np.cumsum(mixed(every))])
+    return mix((total[start + size] - total[start]) ^ np.uint64(size))
+
+
+def _all_windows(x: pa.RecordBatch) -> np.ndarray:
+    """The prints of all windows of a batch (doc_id, text)."""
+    texts, out = x.column(1).to_pylist(), [np.zeros(0, np.uint64)]
+    for lo, hi in common.buffers(texts):
+        h, _, at = common.word_hashes(texts[lo:hi])[:3]
+        every = common.shingle_all(h)
+        starts = [windows(every[p:q], q - p) + p for p, q in zip(at[:-1], at[1:]) if q - p >= WINDOW]
+        if starts:
+            out.append(_window_prints(every, np.concatenate(starts)))
+    return np.concatenate(out)
+
+
+def _units(batches: Iterator[pa.RecordBatch], twice: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Paragraphs, and the windows that may have an equal one."""
     end = common.SHINGLE_WORDS - 1  # shingles s .. e - end - 1 are those of words s .. e - 1
     for x in batches:
         ids, texts = x.column(0).to_numpy(zero_copy_only=False), x.column(1).to_pylist()
@@ -151,10 +173,9 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             a, b, w = (np.concatenate([f[k] for f in found]) for k in (2, 3, 4))
             s, e = a + first[of_p], b + first[of_p]
             own = Sets(every, s, e - end)
-            total = np.concatenate([[np.uint64(0)], np.cumsum(mixed(every))])
-            start = w + first[of_w]
-            size = WINDOW - end
-            fp_w = mix((total[start + size] - total[start]) ^ np.uint64(size))
+            fp_w = _window_prints(every, w + first[of_w])
+            may = common.twice_among(fp_w, twice)
+            fp_w, w, of_w, size = fp_w[may], w[may], of_w[may], WINDOW - end
             of = np.concatenate([of_p, of_w])
             is_paragraph = np.arange(len(of)) < len(a)
             n_words = np.concatenate([b - a, np.full(len(w), WINDOW)])
@@ -197,10 +218,25 @@ def stored_sets(fps: DataFrame, lines: DataFrame, docs: DataFrame) -> DataFrame:
     return sets
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b) of pairs (a, na, b, nb) of paragraphs, a written table, that link by their stored sets; a written table."""
-    need = pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct()
-    return materialize(linked(pairs, sets.join(need, "fp", "left_semi"), 1), "linked")
+class Sought:
+    """The sets of paragraphs that pairs have asked for so far, each made once: written tables."""
+
+    def __init__(self, lines: DataFrame, docs: DataFrame):
+        self.lines, self.docs, self.tables = lines, docs, []
+
+    def verified(self, pairs: DataFrame) -> DataFrame:
+        """(a, b) of pairs (a, na, b, nb) of paragraphs, a written table, that link; a written table."""
+        need = pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct()
+        new = need
+        for t in self.tables:
+            new = new.join(t.select("fp"), "fp", "left_anti")
+        new = materialize(new, "sought")
+        if not new.isEmpty():
+            self.tables.append(stored_sets(new, self.lines, self.docs))
+        forget(new)
+        sets = reduce(DataFrame.union, self.tables) if self.tables else self.docs.sparkSession.createDataFrame([], "fp long, f int, part array<long>")
+        out = materialize(linked(pairs, sets.join(need, "fp", "left_semi"), 1), "linked")
+        return out
 
 
 def apart() -> Column:
@@ -234,17 +270,37 @@ def stars(bands: DataFrame, lines: DataFrame) -> DataFrame:
     return near.groupBy("a").agg(F.min(F.struct("apart", "b", "na", "nb")).alias("p")).select("a", "p.na", "p.b", "p.nb")
 
 
+def _several(rows: DataFrame) -> DataFrame:
+    """rows (band, g, ...) of those bands in which several components g meet, with the number of tasks that each is dealt to."""
+    many = rows.groupBy("band").agg(F.min("g").alias("lo"), F.max("g").alias("hi"), F.count("*").alias("c")).where("lo < hi")
+    return rows.join(many.select("band", F.expr(f"cast(c div {SALTED} + 1 as int)").alias("salts")), "band")
+
+
 def crossed(bands: DataFrame, lines: DataFrame, groups: DataFrame) -> DataFrame:
     """(band, k, fp, n, g, salts, sketch..., b0...), a written table: the rows of those bands in which several components (node, component) meet.
     k: which of the paragraph's bands it is."""
     own = bands.join(groups.withColumnRenamed("node", "fp"), "fp", "left").select("band", "k", "fp", F.coalesce("component", "fp").alias("g"))
-    first = own = materialize(own, "bands")
-    several = own.groupBy("band").agg(F.min("g").alias("lo"), F.max("g").alias("hi"), F.count("*").alias("c")).where("lo < hi").select("band", F.expr(f"cast(c div {SALTED} + 1 as int)").alias("salts"))
-    out = materialize(own.join(several, "band").join(sketched(lines), "fp"), "crossed")
-    forget(first)
+    first = materialize(own, "bands")
+    out = materialize(_several(first).join(sketched(lines), "fp"), "crossed")
+    forget(first, clean=True)
     return out
 
 
+def still_crossed(rows: DataFrame, joined: DataFrame) -> DataFrame:
+    """What is left of crossed() when components have come together as joined (node, component) says; a band without several stays without."""
+    own = rows.drop("salts").join(joined.withColumnRenamed("node", "g"), "g", "left").withColumn("g", F.coalesce("component", "g")).drop("component")
+    out = materialize(_several(own), "crossed")
+    forget(rows)
+    return out
+
+
+def between_components(links: DataFrame, rows: DataFrame) -> DataFrame:
+    """(node, component) of the components of rows that links (a, b) bring together; a written table."""
+    of = rows.select("fp", "g").distinct()
+    ends = links.join(of.select(F.col("fp").alias("a"), F.col("g").alias("ga")), "a").join(of.select(F.col("fp").alias("b"), F.col("g").alias("gb")), "b")
+    return connected_components(ends, "ga", "gb")
+
+
 def neighbours(rows: DataFrame, turn: int) -> DataFrame:
     """(a, na, b, nb), a written table: each paragraph of crossed() with the nearest one of another component among the NEXT before and after it, where
     a band is sorted by sketch, from its word `turn` on. Bands are dealt by ranges, so that large ones lie in many tasks."""
@@ -310,7 +366,11 @@ def repeated(docs: DataFrame) -> DataFrame:
     where it is linked by similarity alone.
     """
     own = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    units = materialize(arrow_map(own, _units, UNITS), "units")
+    # About a window for each half of REACH words, and a word for six characters.
+    chars = own.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
+    twice = docs.sparkSession.sparkContext.broadcast(common.taken_twice(own, _all_windows, chars // (3 * REACH)))
+    units = materialize(arrow_map(own, lambda batches: _units(batches, twice.value), UNITS), "units")
+    twice.destroy()
     # Numbers alone, so that they are aggregated by hashing; where a class begins is asked of the few that are in a cluster.
     classes = units.groupBy("fp").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("n_occurrences"))
 
@@ -319,34 +379,35 @@ def repeated(docs: DataFrame) -> DataFrame:
     lines = materialize(lines, "lines")
     bands = lines.select("fp", "n", F.posexplode("bands").alias("k", "band"))
     near = materialize(stars(bands, lines), "pairs")
-    shared = bands.groupBy("band").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("lo < hi")
-    sets = stored_sets(bands.join(shared, "band").select("fp").distinct(), lines, docs)
-    links = verified(near, sets)
+    sets = Sought(lines, docs)
+    links = sets.verified(near)
     groups = connected_components(links)
     forget(near)
     # What joins most components with few pairs comes first: near ones in the order of the sketches, from each of their words on.
-    for turn in range(len(SKETCH)):
-        rows = crossed(bands, lines, groups)
+    rows = crossed(bands, lines, groups)
+    forget(groups)
+    for turn in range(TURNS):
         near = neighbours(rows, turn)
-        forget(rows, groups)
-        links = links.union(verified(near, sets))
-        groups = connected_components(links)
-        forget(near)
+        more = sets.verified(near)
+        joined = between_components(more, rows)
+        rows = still_crossed(rows, joined)
+        links = links.union(more)
+        forget(near, joined)
     # Then all pairs that the bands still allow between components: each paragraph's nearest first, then those whose ends are apart even so.
-    rows = crossed(bands, lines, groups)
     met = between(rows)
     first = materialize(nearest(met), "pairs")
-    forget(rows, groups)
-    links = links.union(verified(first, sets))
-    groups = connected_components(links)
-    rest = materialize(still_apart(met, groups), "pairs")
-    forget(first, met, groups)
-    links = links.union(verified(rest, sets))
+    more = sets.verified(first)
+    links = links.union(more)
+    joined = between_components(more, rows)
+    of = materialize(rows.select(F.col("fp").alias("node"), "g").distinct().join(joined.withColumnRenamed("node", "g"), "g", "left").select("node", F.coalesce("component", "g").alias("component")), "groups")
+    rest = materialize(still_apart(met, of), "pairs")
+    forget(first, met, joined, of, rows)
+    links = links.union(sets.verified(rest))
     groups = connected_components(links).withColumnRenamed("node", "fp")
 
     member = classes.join(groups, "fp", "left").where("lo < hi or component is not null").select("fp", "n_occurrences", (F.col("lo") < F.col("hi")).alias("shared"), F.coalesce("component", "fp").alias("cluster_id"))
     found = materialize(units.join(member, "fp").select("doc_id", "is_paragraph", "first_word", "n_words", "cluster_id", "n_occurrences", "shared"), "found")
-    forget(rest, lines, units, sets)
+    forget(rest, lines, units, *sets.tables)
     place = F.struct("doc_id", "first_word", "is_paragraph")
     clusters = found.groupBy("cluster_id").agg(F.min(place).alias("keeper"), F.max("doc_id").alias("last"), F.bool_or("shared").alias("shared"))
     clusters = clusters.where("shared or keeper.doc_id < last").select("cluster_id", "keeper")
