@@ -95,7 +95,12 @@ def dotted(extension: str) -> str:
 
 
 def iso_utc(epoch_seconds: Column | str) -> Column:
-    return F.date_format(F.timestamp_seconds(_c(epoch_seconds)), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    """Whole seconds since the epoch as ISO 8601 in UTC, whatever the session's time zone."""
+    s = F.floor(_c(epoch_seconds)).cast("long")
+    of_day = F.pmod(s, F.lit(86400))
+    two = lambda x: F.lpad(F.floor(x).cast("string"), 2, "0")
+    day = F.date_from_unix_date(F.floor((s - of_day) / 86400).cast("int")).cast("string")
+    return F.concat(day, F.lit("T"), two(of_day / 3600), F.lit(":"), two(of_day % 3600 / 60), F.lit(":"), two(of_day % 60), F.lit("Z"))
 
 
 def iso_time(text: Column | str) -> Column:

@@ -44,6 +44,57 @@ def edges_of(facts: DataFrame) -> DataFrame:
     return _hashed(_by_keys(facts).groupBy("root_id", "source_key", "target_key", "edge_type").agg(*_summed()))
 
 
+# Stored sums, kept by signed changes: only keys that a change names are touched.
+SUMS = ["root_id", "edge_id", "source_id", "target_id", "edge_type"]
+
+
+def edge_changes(gone: DataFrame, new: DataFrame) -> DataFrame:
+    """(edge keys, weight, n): what edge sums change by when contributions `gone` are taken back and `new` ones come; edges without a change are left out."""
+    signed = lambda c, sign: c.select(*SUMS, (F.col("weight") * F.lit(sign)).alias("weight"), F.lit(int(sign)).cast("long").alias("n"))
+    d = signed(gone, -1.0).unionByName(signed(new, 1.0)).groupBy(*SUMS).agg(F.round(F.sum("weight"), 9).alias("weight"), F.sum("n").alias("n"))
+    return d.where("weight <> 0 or n <> 0")
+
+
+def edge_sums(contribs: DataFrame) -> DataFrame:
+    """(edge keys, weight, n): edges with summed weights and the number of their contributions, all anew."""
+    return contribs.groupBy(*SUMS).agg(F.round(F.sum("weight"), 9).alias("weight"), F.count("*").alias("n"))
+
+
+def changed_edges(old: DataFrame, changes: DataFrame) -> DataFrame:
+    """The sums of the edges that changes name, as they are afterwards; edges without contributions are gone. old: edge_sums() that hold those edges."""
+    c = changes.select("root_id", "edge_id", *(F.col(x).alias(f"c_{x}") for x in (*SUMS[2:], "weight", "n")))
+    both = old.join(c, ["root_id", "edge_id"], "right")
+    zero = F.lit(0)
+    out = both.select("root_id", "edge_id", *(F.coalesce(x, f"c_{x}").alias(x) for x in SUMS[2:]), F.round(F.coalesce("weight", zero) + F.col("c_weight"), 9).alias("weight"), (F.coalesce("n", zero) + F.col("c_n")).alias("n"))
+    return out.where("n > 0")
+
+
+def degree_changes(old: DataFrame, changes: DataFrame) -> DataFrame:
+    """(root_id, entity_id, n): what degrees change by, from the edges that changes let appear (+1) or vanish (-1); a loop counts once."""
+    was = old.select("root_id", "edge_id", F.col("n").alias("was"))
+    c = changes.join(was, ["root_id", "edge_id"], "left").withColumn("was", F.coalesce("was", F.lit(0)))
+    sign = F.when((F.col("was") == 0) & (F.col("n") > 0), 1).when((F.col("was") > 0) & (F.col("was") + F.col("n") <= 0), -1).otherwise(0).cast("long")
+    ends = c.select("root_id", sign.alias("sign"), F.explode(F.array_distinct(F.array("source_id", "target_id"))).alias("entity_id")).where("sign <> 0")
+    return ends.groupBy("root_id", "entity_id").agg(F.sum("sign").alias("n")).where("n <> 0")
+
+
+def use_changes(gone: tuple[DataFrame, DataFrame], new: tuple[DataFrame, DataFrame]) -> DataFrame:
+    """(root_id, entity_id, n): by how much the uses of entities change, which are mentions and ends of contributions. Both: (mentions, contributions)."""
+
+    def uses(mentions: DataFrame, contribs: DataFrame, sign: int) -> DataFrame:
+        ends = contribs.select("root_id", F.explode(F.array("source_id", "target_id")).alias("entity_id"))
+        return mentions.select("root_id", "entity_id").union(ends).withColumn("n", F.lit(sign).cast("long"))
+
+    return uses(*gone, -1).union(uses(*new, 1)).groupBy("root_id", "entity_id").agg(F.sum("n").alias("n")).where("n <> 0")
+
+
+def changed_counts(old: DataFrame, changes: DataFrame) -> DataFrame:
+    """The counts (root_id, entity_id, n) that changes name, as they are afterwards, without those that have come to nothing."""
+    c = changes.select("root_id", "entity_id", F.col("n").alias("by"))
+    out = old.join(c, ["root_id", "entity_id"], "right").select("root_id", "entity_id", (F.coalesce("n", F.lit(0)) + F.col("by")).alias("n"))
+    return out.where("n > 0")
+
+
 def degrees(entities: DataFrame, edge_table: DataFrame) -> DataFrame:
     """entities (entity_id, ...) with their degree: the edges that touch them, a loop once."""
     keyed = "source_key" in edge_table.columns

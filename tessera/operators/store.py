@@ -1,15 +1,19 @@
 """Tables kept as plain Parquet generations, and the updates of them as expressions.
 
-A publication writes each table anew in a folder of its own; then one row of a small Parquet table of commits names them all,
-so readers see all of them or none. Nothing is changed in place: an update is "what is not touched, and the new rows".
+A publication writes folders of its own; then one commit, a small file that only one writer can create, names the folders of
+all tables, so readers see all of them or none. Nothing is changed in place. Tables with a key lie in buckets by a hash of it: a
+revision writes the buckets anew in which a key has changed, and its commit keeps the folders of all others.
 """
 
 from __future__ import annotations
 
 import json
+import os
+import re
 import uuid
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -118,63 +122,142 @@ class Conflict(RuntimeError):
     """Another writer has published since the state that was read."""
 
 
-COMMIT = "version long, state string"
+@dataclass
+class Revision:
+    """A change of a keyed table: the keys whose rows go (a DataFrame with the key's column), and the rows that come, also of other keys."""
+
+    gone: DataFrame
+    new: DataFrame
 
 
 @dataclass
 class Store:
-    """Generations of named tables under a folder that driver and executors share, by any path that Spark writes.
+    """Generations of named tables under a folder that driver and executors share.
 
-    The commit with the largest version counts; of two writers that publish the same version at once, the one whose commit file comes
-    first by name. A writer reads its commit back, and learns so whether it was taken.
+    keys: the key column of the tables that lie in buckets. Commits are files numbered by version; a version is created once, so of two writers of
+    one version the second gets a Conflict. Local folders create by linking, others by the file system's create without overwriting.
     """
 
     spark: SparkSession
     folder: str
+    keys: dict[str, str] = field(default_factory=dict)
+    buckets: int = 32
+
+    def _fs(self, path: str):
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return p, p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
-    def _commits(self) -> DataFrame:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/_commits")
-        there = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
-        return self.spark.read.schema(COMMIT).parquet(f"{self.folder}/_commits") if there else self.spark.createDataFrame([], COMMIT)
+    def _names(self, folder: str) -> list[str]:
+        p, fs = self._fs(folder)
+        return sorted(f.getPath().getName() for f in fs.listStatus(p)) if fs.exists(p) else []
 
     def state(self) -> dict:
-        last = self._commits().orderBy(F.desc("version"), "state").limit(1).first()
-        return json.loads(last.state) if last else {"version": 0, "tables": {}, "graph_version": 0}
+        last = [n for n in self._names(f"{self.folder}/_commits") if n.endswith(".json") and n[0] != "."]
+        if not last:
+            return {"version": 0, "tables": {}, "graph_version": 0}
+        return self._json(f"{self.folder}/_commits/{last[-1]}")
+
+    def _json(self, path: str) -> dict:
+        p, fs = self._fs(path)
+        stream = fs.open(p)
+        try:
+            return json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        finally:
+            stream.close()
 
     def commit(self, expected: int, new: dict) -> dict:
         """Names a new state, if no other writer has since version `expected`."""
         if self.state()["version"] != expected:
             raise Conflict(f"version {self.state()['version']}, not {expected}")
         new = new | {"version": expected + 1, "commit": uuid.uuid4().hex}
-        self.spark.createDataFrame([(new["version"], json.dumps(new, sort_keys=True))], COMMIT).coalesce(1).write.mode("append").parquet(f"{self.folder}/_commits")
-        first = self._commits().where(F.col("version") == new["version"]).orderBy("state").first()
-        if json.loads(first.state)["commit"] != new["commit"]:
-            raise Conflict(f"version {new['version']} is another writer's")
+        self._create(f"{self.folder}/_commits", f"{new['version']:012d}.json", json.dumps(new, sort_keys=True))
         return new
 
+    def _create(self, folder: str, name: str, text: str) -> None:
+        p, fs = self._fs(f"{folder}/{name}")
+        local = re.sub("^file:/*", "/", folder) if folder.startswith(("/", "file:")) else None
+        if local:
+            os.makedirs(local, exist_ok=True)
+            own = f"{local}/.{uuid.uuid4().hex}"
+            with open(own, "w") as f:
+                f.write(text)
+                f.flush()
+                os.fsync(f.fileno())
+            try:
+                os.link(own, f"{local}/{name}")
+            except FileExistsError:
+                raise Conflict(f"{name} is another writer's") from None
+            finally:
+                os.unlink(own)
+            return
+        try:
+            stream = fs.create(p, False)
+        except Py4JJavaError as e:
+            if "exist" in str(e.java_exception).lower():
+                raise Conflict(f"{name} is another writer's") from None
+            raise
+        try:
+            stream.write(bytearray(text.encode()))
+        finally:
+            stream.close()
+
     def read(self, name: str) -> DataFrame:
-        own = self.state()["tables"][name]
-        return self.spark.read.schema(StructType.fromJson(own["schema"])).parquet(own["path"])
+        return self._read(self.state()["tables"][name])
+
+    def _read(self, own: dict, only: list[int] | None = None) -> DataFrame:
+        schema = StructType.fromJson(own["schema"])
+        paths = [own["path"]] if "path" in own else [p for b, p in own["buckets"].items() if only is None or int(b) in only]
+        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+
+    def rows_of(self, name: str, keys: DataFrame) -> DataFrame:
+        """The rows with these keys (a column named like the table's key), from the buckets that can hold them."""
+        key = self.keys[name]
+        buckets = [x.b for x in keys.select(self._bucket(name).alias("b")).distinct().collect()]  # at most as many as there are buckets
+        return self._read(self.state()["tables"][name], buckets).join(keys.select(key).distinct(), key, "left_semi")
 
     def has(self, name: str) -> bool:
         return name in self.state()["tables"]
 
-    def publish(self, expected: int | None = None, dirty: bool = False, committed: tuple[str, int] | None = None, **tables: DataFrame) -> dict:
-        """Writes new generations of the tables, then names them all by one commit. With dirty the graph is marked as changed by the same
-        commit; committed names a build and the version of the graph that it was made from."""
+    def _bucket(self, name: str) -> Column:
+        return F.pmod(F.xxhash64(self.keys[name]), F.lit(self.buckets)).cast("int")
+
+    def _written(self, name: str, df: DataFrame) -> dict:
+        path = f"{self.folder}/{name}/generation={uuid.uuid4().hex}"
+        schema = json.loads(df.schema.json())
+        if name not in self.keys:
+            df.write.parquet(path)
+            return {"path": path, "schema": schema}
+        # Rows of a root lie together, so filters on it skip row groups.
+        order = ["_b", *(c for c in ("root_id",) if c in df.columns)]
+        df.withColumn("_b", self._bucket(name)).repartition("_b").sortWithinPartitions(*order).write.partitionBy("_b").parquet(path)
+        found = {n.removeprefix("_b="): f"{path}/{n}" for n in self._names(path) if n.startswith("_b=")}
+        return {"buckets": found, "schema": schema, "n": self.buckets}
+
+    def publish(self, expected: int | None = None, dirty: bool = False, committed: tuple[str, int] | None = None, **tables: DataFrame | Revision) -> dict:
+        """Writes new generations of tables, or of what a Revision touches, then names them all by one commit. With dirty the graph is marked as
+        changed by the same commit; committed names a build and the version of the graph that it was made from."""
         now = self.state()
-        paths = {}
-        for name, df in tables.items():
-            path = f"{self.folder}/{name}/generation={uuid.uuid4().hex}"
-            (df.write.partitionBy("root_id") if "root_id" in df.columns and len(df.columns) > 1 else df.write).parquet(path)
-            paths[name] = {"path": path, "schema": json.loads(df.schema.json())}
-        new = now | {"tables": now["tables"] | paths}
+        made = {name: self._revised(name, now["tables"].get(name), x) if isinstance(x, Revision) else self._written(name, x) for name, x in tables.items()}
+        new = now | {"tables": now["tables"] | made}
         if dirty:
             new |= {"graph_version": now.get("graph_version", 0) + 1, "committed_build_id": None}
         if committed:
             new |= {"committed_build_id": committed[0], "communities_version": committed[1]}
         return self.commit(now["version"] if expected is None else expected, new)
 
+    def _revised(self, name: str, own: dict | None, r: Revision) -> dict:
+        if own is None:
+            return self._written(name, r.new)
+        if own.get("n") != self.buckets:
+            raise ValueError(f"{name} lies in {own.get('n')} buckets, not {self.buckets}")
+        key = self.keys[name]
+        keys = r.gone.select(key).union(r.new.select(key)).distinct()
+        touched = [x.b for x in keys.select(self._bucket(name).alias("b")).distinct().collect()]  # at most as many as there are buckets
+        old = self._read(own, touched).join(r.gone.select(key).distinct(), key, "left_anti")
+        made = self._written(name, old.unionByName(r.new).select(*old.columns))
+        kept = {b: p for b, p in own["buckets"].items() if int(b) not in touched}
+        return made | {"buckets": kept | made["buckets"], "schema": own["schema"]}
+
     def reset(self, *names: str) -> dict:
         now = self.state()
         return self.commit(now["version"], now | {"tables": {k: v for k, v in now["tables"].items() if k not in names}})
@@ -194,6 +277,28 @@ class Store:
         now = self.state()
         return now.get("graph_version", 0) != now.get("communities_version") or now.get("committed_build_id") is None
 
+    def sweep(self, keep: int = 2) -> int:
+        """Deletes commits before the last `keep`, and the folders that only they name; the number of folders. Readers of older states must have ended."""
+        names = [n for n in self._names(f"{self.folder}/_commits") if n.endswith(".json") and n[0] != "."]
+        used: set[str] = set()
+        for n in names[-keep:]:
+            for t in self._json(f"{self.folder}/_commits/{n}")["tables"].values():
+                used |= {t["path"]} if "path" in t else set(t["buckets"].values())
+        gone = 0
+        for t in self._names(self.folder):
+            for g in self._names(f"{self.folder}/{t}") if t != "_commits" else []:
+                base = f"{self.folder}/{t}/{g}"
+                mine = {u for u in used if u == base or u.startswith(base + "/")}
+                dead = [base] if not mine else [f"{base}/{b}" for b in self._names(base) if b.startswith("_b=") and f"{base}/{b}" not in used]
+                for d in dead if base not in used else []:
+                    p, fs = self._fs(d)
+                    fs.delete(p, True)
+                    gone += 1
+        for n in names[:-keep]:
+            p, fs = self._fs(f"{self.folder}/_commits/{n}")
+            fs.delete(p, False)
+        return gone
+
 
 def dirty(graph_version: Column, communities_version: Column, build: Column) -> Column:
     return ~graph_version.eqNullSafe(communities_version) | build.isNull()

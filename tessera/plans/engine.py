@@ -8,13 +8,14 @@ from __future__ import annotations
 
 import uuid
 from dataclasses import dataclass, field
+from functools import reduce
 from typing import Protocol
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.identity import chunk_id
-from tessera.functions.scalars import split_long_lines, within
+from tessera.functions.scalars import iso_utc, split_long_lines, within
 from tessera.operators import chunk, community, extract, graph, search, store, sync
 from tessera.session import cut, ship
 from tessera.sources import scan
@@ -22,6 +23,9 @@ from tessera.sources.policy import Policy
 
 TARGET_ENTITIES, TARGET_SHARE, TOP_REPORTS = 20, 0.3, 3
 POINTS, CONTRIBS, MENTIONS, VECTORS = "points", "contribs", "mentions", "entity_vectors"
+#: Kept by changes from contributions and mentions: sums of edges, degrees, and how often an entity is used.
+EDGES, DEGREES, USES = "edge_sums", "degrees", "uses"
+KEYS = {POINTS: "path_key", CONTRIBS: "file_path", MENTIONS: "file_path", VECTORS: "entity_id", EDGES: "edge_id", DEGREES: "entity_id", USES: "entity_id"}
 
 
 class Answerer(Protocol):
@@ -47,7 +51,7 @@ class Engine:
     active_roots: list[str] | None = None  # if given, only these are searched
 
     def __post_init__(self) -> None:
-        self.store = store.Store(ship(self.spark), self.folder)
+        self.store = store.Store(ship(self.spark), self.folder, KEYS)
 
     def _vector(self, text: str) -> list[float]:
         return self.embedder.embed([text[:1800]])[0]
@@ -61,18 +65,30 @@ class Engine:
         """(action, reason_codes, files) of what indexing would do. Policies see paths relative to the root."""
         return self._plan(root, recursive, use_ignore_files).groupBy("action", "reason_codes").agg(F.count("*").alias("files"))
 
-    def _plan(self, root: str, recursive: bool, use_ignore_files: bool, changed_from: str | None = None, only: str | None = None, max_files: int | None = None, max_dirs: int | None = None) -> DataFrame:
-        base = len(root.rstrip("/")) + 1
-        ignore = scan.ignore_files(root, scan.files(self.spark, root, recursive)) if use_ignore_files else {}
-        found = scan.files(self.spark, only or root, recursive, changed_from).withColumn("full", F.col("path"))
-        found = found.withColumn("path", F.expr(f"substring(full, {base})"))
-        return scan.scan_plan(found, self.policy, {k[base - 1 :] or "/": v for k, v in ignore.items()}, max_files, max_dirs)
+    def _plan(self, root: str, recursive: bool, use_ignore_files: bool, only: list[str] | None = None, max_files: int | None = None, max_dirs: int | None = None, max_seconds: float | None = None) -> DataFrame:
+        """scan_plan() of root, or of the parts `only` of it, with the whole path in full."""
+        base, top = len(root.rstrip("/")) + 1, root.rstrip("/")
+        pruned = tuple(d.strip("/") for d in self.policy.excluded_directories if "/" not in d.strip("/"))
+        found = [scan.listing(self.spark, p, recursive, pruned, max_seconds) for p in only or [root]]
+        found = reduce(DataFrame.union, found)
+        ignore = None
+        if use_ignore_files:
+            ignore = scan.ignore_files(root, found)
+            # Of parts, the ignore files above them too.
+            steps = {f"{top}/{'/'.join(rest[:k])}".rstrip("/") for p in only or [] for rest in [p.removeprefix(top).strip("/").split("/")] for k in range(len(rest))}
+            if steps:
+                above = scan.contents(self.spark.createDataFrame([(f"{f}/.gitignore",) for f in sorted(steps)], "path string")).where("content is not null")
+                ignore = ignore.union(above.select(F.regexp_replace("path", "/[^/]*$", ""), F.decode("content", "UTF-8"))).distinct()
+            below = F.expr(f"substring(folder, {base})")
+            ignore = ignore.select(F.when(below == "", "/").otherwise(below).alias("folder"), "text")
+        found = found.withColumn("full", F.col("path")).withColumn("path", F.expr(f"substring(full, {base})"))
+        return scan.scan_plan(found, self.policy, ignore, max_files, max_dirs)
 
     def _points(self, texts: DataFrame, root: str) -> DataFrame:
         formatted = F.when(F.col("file_type") == "json", split_long_lines("text", ",{[")).when(F.col("file_type") == "html", split_long_lines("text", ">")).otherwise(F.col("text"))
-        c = chunk.chunked(texts.withColumn("text", formatted), ["path", "file_type", "extension", "file_hash", "modified_time"], self.size, self.overlap)
-        p = c.select(F.col("path").alias("path_key"), F.lit(root).alias("root_id"), "file_type", "extension", "file_hash", "modified_time", "chunk_id", "chunk_text", "start_char", "end_char")
-        more = p.select("path_key", "chunk_id", "file_hash", "modified_time", chunk_id("path_key", "chunk_id").alias("point_id"))
+        c = chunk.chunked(texts.withColumn("text", formatted), ["path", "file_type", "extension", "file_hash", "modified_time", "mtime_ns"], self.size, self.overlap)
+        p = c.select(F.col("path").alias("path_key"), F.lit(root).alias("root_id"), "file_type", "extension", "file_hash", "modified_time", "mtime_ns", "chunk_id", "chunk_text", "start_char", "end_char")
+        more = p.select("path_key", "chunk_id", "file_hash", "modified_time", "mtime_ns", chunk_id("path_key", "chunk_id").alias("point_id"))
         return extract.embedded(store.payload(p), self.embedder, "chunk_text").join(more, ["path_key", "chunk_id"])
 
     def _graph(self, texts: DataFrame, points: DataFrame, root: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -89,69 +105,87 @@ class Engine:
         every = mentions.groupBy("root_id", "entity_id").agg(F.min(F.struct("name", "type", "description")).alias("e")).select("root_id", "entity_id", "e.*").unionByName(stubs)
         return graph.contributions(facts), mentions, extract.entity_vectors(every, self.embedder).where("embedding is not null")
 
-    def index(self, root: str, recursive: bool = True, force: bool = False, dry_run: bool = False, use_ignore_files: bool = True, only: str | None = None, max_files: int | None = None, max_dirs: int | None = None) -> dict:
-        """Indexes what is new or changed under root (everything, if forced), or in its part `only`, which may be one file; removes what is gone,
-        which is known only of a whole and recursive scan; and marks the graph dirty.
+    def index(self, root: str, recursive: bool = True, force: bool = False, dry_run: bool = False, use_ignore_files: bool = True, only: str | list[str] | None = None, max_files: int | None = None, max_dirs: int | None = None, max_seconds: float | None = None) -> dict:
+        """Indexes what is new or changed under root (everything, if forced), or in its parts `only`, folders or files; removes what is gone, which is
+        known only of a whole and recursive scan that no bound has cut short; and marks the graph dirty.
 
-        Files whose time has not moved are not opened. Of the others those with the hash that they had are given their new time, and are
-        neither cut nor embedded again.
+        Files whose time, in nanoseconds, has not moved are not opened. Of the others those with the hash that they had are given their new time, and
+        are neither cut nor embedded again.
         """
-        plan = self._plan(root, recursive, use_ignore_files, None, only, max_files, max_dirs)
-        listed = plan.select(F.col("full").alias("path_key"), "modified", F.date_format("modified", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("mtime"), "action", "limit_hit")
-        listed = cut(listed)
+        plan = self._plan(root, recursive, use_ignore_files, [only] if isinstance(only, str) else only, max_files, max_dirs, max_seconds)
+        listed = cut(plan.select(F.col("full").alias("path_key"), "size", "modified", F.col("mtime_ns").alias("mtime"), "action", "limit_hit"))
         complete = only is None and listed.where("limit_hit").isEmpty()
-        disk = listed.where("action = 'index'").select("path_key", "modified", "mtime")
-        known = self.spark.createDataFrame([], "path_key string, mtime string, file_hash string")
+        disk = listed.where("action = 'index'").drop("action", "limit_hit")
+        known = self.spark.createDataFrame([], "path_key string, mtime long, file_hash string")
         if self.store.has(POINTS):
-            known = self.store.read(POINTS).where(F.col("root_id") == root).groupBy("path_key").agg(F.max("modified_time").alias("mtime"), F.max("file_hash").alias("file_hash"))
+            known = self.store.read(POINTS).where(F.col("root_id") == root).groupBy("path_key").agg(F.max("mtime_ns").alias("mtime"), F.max("file_hash").alias("file_hash"))
         moved = disk if force else disk.join(known.select("path_key", "mtime"), ["path_key", "mtime"], "left_anti")
-        since = moved.agg(F.date_format(F.min("modified"), "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("t")).first().t
-        hashes = self.spark.createDataFrame([], "path_key string, file_hash string")
-        opened = None
-        if since is not None:
-            opened = self._plan(root, recursive, use_ignore_files, since, only).withColumn("path_key", F.col("full")).join(moved.select("path_key"), "path_key", "left_semi")
-            hashes = opened.select("path_key", F.md5("content").alias("file_hash"))
+        hashes = scan.hashed(moved.select(F.col("path_key").alias("path"))).withColumnRenamed("path", "path_key")
         changes = cut(sync.diff(disk.select("path_key", "mtime").join(hashes, "path_key", "left"), known, recursive, complete))
         counts = sync.sync_counts(changes).first().asDict()
-        if dry_run:
+        if dry_run or not force and not counts["new"] + counts["changed"] + counts["touched"] + counts["removed"]:
             return counts
         anew = changes.where("state <> 'removed'") if force else changes.where("state in ('new', 'changed')")
         gone = anew.select("path_key").union(changes.where("state = 'removed'").select("path_key")).distinct()
-        touched = disk.select("path_key", F.col("mtime").alias("new_time")).join(changes.where("state = 'touched'").select("path_key"), "path_key", "left_semi")
-        if opened is None and gone.isEmpty():
-            return counts
-        files = (opened if opened is not None else plan.where("false").withColumn("path_key", F.col("full"))).join(anew.select("path_key"), "path_key", "left_semi")
-        texts = cut(scan.texts(files.select(F.col("full").alias("path"), "content", "size", "modified")))
+        touched = disk.select("path_key", F.col("mtime").alias("new_ns")).join(changes.where("state = 'touched'").select("path_key"), "path_key", "left_semi")
+        opened = disk.join(anew.select("path_key"), "path_key", "left_semi")
+        texts = cut(scan.texts(opened.select(F.col("path_key").alias("path"), "size", "modified", F.col("mtime").alias("mtime_ns"))))
         points = cut(self._points(texts, root))
         contribs, mentions, vectors = self._graph(texts, points, root)
         self._replace(gone, points, contribs, mentions, vectors, touched)
         return counts
 
     def _replace(self, gone: DataFrame, points: DataFrame | None = None, contribs: DataFrame | None = None, mentions: DataFrame | None = None, vectors: DataFrame | None = None, touched: DataFrame | None = None) -> None:
-        """Publishes all tables without the rows of the files gone (path_key) and with the new rows, in one commit, the graph marked dirty by it.
-        Vectors of entities that no file mentions any more go."""
-        if self.store.has(POINTS):
-            old = self.store.read(POINTS).join(gone, "path_key", "left_anti")
-            if touched is not None:
-                old = old.join(touched, "path_key", "left").withColumn("modified_time", F.coalesce("new_time", "modified_time")).drop("new_time")
-            points = old if points is None else old.unionByName(points)
-            files = gone.withColumnRenamed("path_key", "file_path")
-            more = lambda name, new: self.store.read(name).join(files, "file_path", "left_anti") if new is None else self.store.read(name).join(files, "file_path", "left_anti").unionByName(new)
-            contribs, mentions = more(CONTRIBS, contribs), more(MENTIONS, mentions)
-            vectors = self.store.read(VECTORS) if vectors is None else store.upserted(self.store.read(VECTORS), vectors, ["root_id", "entity_id"])
-        used = mentions.select("root_id", "entity_id").union(contribs.select("root_id", F.explode(F.array("source_id", "target_id")).alias("entity_id"))).distinct()
-        self.store.publish(dirty=True, **{POINTS: points, CONTRIBS: contribs, MENTIONS: mentions, VECTORS: vectors.join(used, ["root_id", "entity_id"], "left_semi")})
+        """Publishes, in one commit that marks the graph dirty, the tables without the rows of the files gone (path_key) and with the new rows.
+
+        Only buckets that hold those files, or edges and entities that they change, are written. Sums of edges, degrees and uses are moved by what
+        the files took away and brought; vectors of entities that nothing uses any more go."""
+        if not self.store.has(POINTS):
+            self._publish(points, contribs, mentions, vectors)
+            return
+        gone = cut(gone)
+        files = gone.withColumnRenamed("path_key", "file_path")
+        was = {name: cut(self.store.rows_of(name, files)) for name in (CONTRIBS, MENTIONS)}
+        none = {name: t.limit(0) for name, t in was.items()}
+        new = {CONTRIBS: none[CONTRIBS] if contribs is None else cut(contribs), MENTIONS: none[MENTIONS] if mentions is None else mentions}
+        out = {name: store.Revision(files, new[name].select(*was[name].columns)) for name in (CONTRIBS, MENTIONS)}
+        empty = self.store.read(POINTS).limit(0)
+        rows, left = (empty if points is None else points), gone
+        if touched is not None:
+            again = self.store.rows_of(POINTS, touched).join(touched, "path_key").withColumn("mtime_ns", F.col("new_ns"))
+            again = again.withColumn("modified_time", iso_utc(F.expr("mtime_ns div 1000000000"))).drop("new_ns")
+            rows, left = rows.unionByName(again), gone.union(touched.select("path_key"))
+        out[POINTS] = store.Revision(left, rows.select(*empty.columns))
+        edges = cut(graph.edge_changes(was[CONTRIBS], new[CONTRIBS]))
+        old_edges = cut(self.store.rows_of(EDGES, edges))
+        out[EDGES] = store.Revision(edges.select("edge_id"), graph.changed_edges(old_edges, edges).select(*old_edges.columns))
+        by = cut(graph.degree_changes(old_edges, edges))
+        out[DEGREES] = store.Revision(by.select("entity_id"), graph.changed_counts(self.store.rows_of(DEGREES, by), by))
+        uses = cut(graph.use_changes((was[MENTIONS], was[CONTRIBS]), (new[MENTIONS], new[CONTRIBS])))
+        after = cut(graph.changed_counts(self.store.rows_of(USES, uses), uses))
+        out[USES] = store.Revision(uses.select("entity_id"), after)
+        # A stored vector goes when nothing uses its entity, or when a new one comes for it.
+        unused = uses.select("entity_id").join(after.select("entity_id"), "entity_id", "left_anti")
+        fresh = self.store.read(VECTORS).limit(0) if vectors is None else cut(vectors)
+        out[VECTORS] = store.Revision(unused.union(fresh.select("entity_id")), fresh.select(*self.store.read(VECTORS).columns))
+        self.store.publish(dirty=True, **out)
+
+    def _publish(self, points: DataFrame, contribs: DataFrame, mentions: DataFrame, vectors: DataFrame) -> None:
+        """Publishes whole tables, and the sums that are made from them."""
+        contribs, mentions = cut(contribs), cut(mentions)
+        edges = cut(graph.edge_sums(contribs))
+        none = (mentions.limit(0), contribs.limit(0))
+        uses = cut(graph.use_changes(none, (mentions, contribs)))
+        vectors = vectors.join(uses.select("root_id", "entity_id"), ["root_id", "entity_id"], "left_semi")
+        by = graph.degree_changes(edges.limit(0), edges)
+        self.store.publish(dirty=True, **{POINTS: points, CONTRIBS: contribs, MENTIONS: mentions, VECTORS: vectors, EDGES: edges, DEGREES: by, USES: uses})
 
     def index_file(self, root: str, path: str, force: bool = False) -> dict:
         return self.index(root, force=force, only=path)
 
     def touched_folders(self, root: str, folders: list[str]) -> dict:
-        """Indexes what appeared or changed directly in folders, as a safety net for lost events; nothing is removed."""
-        total: dict[str, int] = {}
-        for f in sorted(set(folders)):
-            for k, n in self.index(root, recursive=False, only=f).items():
-                total[k] = total.get(k, 0) + n
-        return total
+        """Indexes what appeared or changed directly in folders, all at once, as a safety net for lost events; nothing is removed."""
+        return self.index(root, recursive=False, only=sorted(set(folders)))
 
     def remove_document(self, path: str) -> int:
         """Takes out one file, in all tables; the number of its chunks."""
@@ -289,7 +323,7 @@ class Engine:
         """(the registry after decisions, counts by state), and the stored tables after them: remapped roots at their destinations, purged ones gone."""
         left, points, contribs, counts = sync.reconcile(registry, decisions, self.store.read(POINTS), self.store.read(CONTRIBS))
         _, mentions, vectors, _ = sync.reconcile(registry, decisions, self.store.read(MENTIONS), self.store.read(VECTORS))
-        self.store.publish(dirty=True, **{POINTS: points, CONTRIBS: contribs, MENTIONS: mentions, VECTORS: vectors})
+        self._publish(points, contribs, mentions, vectors)
         return left, counts.first().asDict()
 
     def stats(self) -> dict:

@@ -8,7 +8,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.scalars import file_name, path_parts, suffix
@@ -115,48 +115,113 @@ class Policy:
         return F.struct(F.when(F.size(codes) > 0, F.lit("skip")).otherwise(F.lit("index")).alias("action"), codes.alias("reason_codes"), (F.size(secret) > 0).alias("secret_risk"), (F.size(secret) == 0).alias("safe_to_auto_delete"))
 
 
+def _unescaped_end(rule: str) -> str:
+    """rule without the spaces at its end, but for one after a backslash."""
+    bare = rule.rstrip(" \t")
+    slashes = len(bare) - len(bare.rstrip("\\"))
+    return bare + rule[len(bare) : len(bare) + 1] if slashes % 2 else bare
+
+
+_POSIX = {"alpha": "\\p{Alpha}", "digit": "0-9", "alnum": "\\p{Alnum}", "upper": "A-Z", "lower": "a-z", "space": "\\s", "punct": "\\p{Punct}", "xdigit": "0-9A-Fa-f"}
+
+
+def _class(rule: str, i: int) -> tuple[str, int] | None:
+    """(expression, where it ends) of the class that begins with the bracket at i; None if no bracket closes it."""
+    j, out = i + 1, ""
+    negated = j < len(rule) and rule[j] in "!^"
+    j += negated
+    first = True
+    while j < len(rule) and (rule[j] != "]" or first):
+        first = False
+        if rule.startswith("[:", j) and (k := rule.find(":]", j)) > 0 and rule[j + 2 : k] in _POSIX:
+            out, j = out + _POSIX[rule[j + 2 : k]], k + 2
+            continue
+        c = rule[j]
+        if c == "\\" and j + 1 < len(rule):
+            j, c = j + 1, rule[j + 1]
+            out += "\\" + c if not c.isalnum() else c
+        elif c == "-":
+            out += "-" if out and j + 1 < len(rule) and rule[j + 1] != "]" else "\\-"
+        else:
+            out += "\\" + c if c in "[]^&\\" else c
+        j += 1
+    if j >= len(rule) or not out:
+        return None
+    return ("[^/" + out + "]" if negated else "(?!/)[" + out + "]"), j + 1
+
+
 def ignore_regex(line: str) -> tuple[str, bool] | None:
-    """A line of an ignore file as (regular expression over the path below its folder, negated); None for blanks and comments."""
-    rule = line.rstrip("\n").rstrip()
+    """A line of an ignore file as (Java regular expression over the path below its folder, negated); None for blanks, comments and rules that match nothing.
+
+    Classes with ranges, negation and POSIX names; a backslash takes the sign after it as it is, a leading # or ! and a space at the end too."""
+    rule = _unescaped_end(line.rstrip("\r\n"))
     if not rule or rule.startswith("#"):
         return None
     negated = rule.startswith("!")
     rule = rule[1:] if negated else rule
     folder_only = rule.endswith("/")
     rule = rule.rstrip("/")
+    if not rule:
+        return None
     anchored = "/" in rule
     rule, out, i = rule.lstrip("/"), "", 0
     while i < len(rule):
-        if rule.startswith("**/", i):
+        own = _class(rule, i) if rule[i] == "[" else None
+        if own:
+            out, i = out + own[0], own[1]
+        elif rule[i] == "[" or rule[i] == "\\" and i + 1 == len(rule):
+            return None  # an open bracket or a backslash that escapes nothing
+        elif rule.startswith("**/", i) and (i == 0 or rule[i - 1] == "/"):
             out, i = out + "(?:.*/)?", i + 3
         elif rule.startswith("/**", i) and i + 3 == len(rule):
-            out, i = out + "/.*", i + 3
+            out, i = out + "/.+", i + 3
         elif rule[i] == "*":
             out, i = out + "[^/]*", i + 1
         elif rule[i] == "?":
             out, i = out + "[^/]", i + 1
         else:
+            i += rule[i] == "\\"
             out, i = out + re.escape(rule[i]), i + 1
     return ("^" if anchored else "^(?:.*/)?") + out + ("/.*$" if folder_only else "(?:/.*)?$"), negated
 
 
-def ignored(path: Column, files: dict[str, str]) -> Column:
-    """Whether any folder's ignore file leaves path out. files: text of the ignore file by its folder.
+def ignore_rules(texts: DataFrame) -> DataFrame:
+    """(folder, rules, any_rule) of texts (folder, text) of ignore files: rules in their order, as (pattern, negated), and an expression for all that ignore.
+    A folder's texts are taken one after the other."""
+
+    def parse(text: str) -> list[tuple[str, bool]]:
+        return [r for r in map(ignore_regex, text.splitlines()) if r]
+
+    rules = F.udf(parse, "array<struct<pattern:string,negated:boolean>>")
+    one = texts.groupBy("folder").agg(F.array_join(F.sort_array(F.collect_list("text")), "\n").alias("text")).select("folder", rules("text").alias("rules"))
+    some = F.array_join(F.transform(F.filter("rules", lambda r: ~r["negated"]), lambda r: r["pattern"]), "|")
+    return one.withColumn("any_rule", some).where("any_rule <> ''")
 
-    Within a file the last matching line decides; any file that ignores the path wins.
-    """
+
+def left_out(below: Column, rules: Column) -> Column:
+    """Whether rules (pattern, negated), in order, leave out a path below their folder: of the path and of each folder on the way to it, the last rule
+    that matches decides, and what lies in a folder that is left out cannot be taken back."""
+    parts = F.split(below, "/")
+    folders = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda k: F.concat(F.array_join(F.slice(parts, 1, k), "/"), F.lit("/")))
+    ways = F.concat(F.when(F.size(parts) > 1, folders).otherwise(F.array().cast("array<string>")), F.array(below))
+    last = lambda way: F.try_element_at(F.filter(rules, lambda r: F.rlike(way, r["pattern"])), F.lit(-1))
+    return F.exists(ways, lambda way: ~F.coalesce(last(way)["negated"], F.lit(True)))
+
+
+def ignored(path: Column, files: dict[str, str]) -> Column:
+    """Whether any of a few folders' ignore files leaves path out, as one expression; any file that ignores the path wins. files: text of the ignore file
+    by its folder. For rules of many folders there is scan.gitignored()."""
     out = F.lit(False)
     for folder, text in files.items():
         base = folder.rstrip("/") + "/"
-        below = F.substring(path, len(base) + 1, 1_000_000)
-        own = F.lit(False)
-        for rule in filter(None, map(ignore_regex, text.splitlines())):
-            own = F.when(below.rlike(rule[0]), F.lit(not rule[1])).otherwise(own)
-        out = out | (F.startswith(path, F.lit(base)) & own)
+        rules = [r for r in map(ignore_regex, text.splitlines()) if r]
+        if rules:
+            own = F.array(*(F.struct(F.lit(p).alias("pattern"), F.lit(n).alias("negated")) for p, n in rules))
+            out = out | (F.startswith(path, F.lit(base)) & left_out(F.substring(path, len(base) + 1, 1_000_000), own))
     return out
 
 
-# File types by extension; everything else is text.
+# File types by extension, in groups of one type each; everything else is text.
 TYPE_OF = {
     ".md": "markdown",
     ".markdown": "markdown",

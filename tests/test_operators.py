@@ -72,13 +72,13 @@ def test_scan_and_decode(spark, tmp_path):
     (tmp_path / "z").mkdir()
     (tmp_path / "z" / "c.py").write_text("x = 1\n")
     (tmp_path / "z" / ".gitignore").write_text("c.*\n")
-    found = scan.files(spark, str(tmp_path))
+    found = scan.files(spark, str(tmp_path)).where("path not like '%.gitignore'")
     one = scan.scan_plan(found, policy.Policy(excluded_directories=[]), max_dirs=1)
     assert {r.path.rsplit("/", 1)[1] for r in one.where("limit_hit").collect()} == {"c.py"}
     (tmp_path / ".git" / "info").mkdir(parents=True)
     (tmp_path / ".git" / "info" / "exclude").write_text("nothing\n")
-    ignore = scan.ignore_files(str(tmp_path), found)
-    assert ignore == {str(tmp_path / "z"): "c.*\n", str(tmp_path): "\nnothing\n"}
+    ignore = scan.ignore_files(str(tmp_path), scan.files(spark, str(tmp_path)))
+    assert {tuple(r) for r in ignore.collect()} == {(str(tmp_path / "z"), "c.*\n"), (str(tmp_path), "nothing\n")}
     assert {r.path.rsplit("/", 1)[1] for r in scan.scan_plan(found, policy.Policy(excluded_directories=[]), ignore).where("array_contains(reason_codes, 'gitignored')").collect()} == {"c.py"}
 
 
@@ -346,10 +346,20 @@ def test_store_generations_and_commits(spark, tmp_path):
     assert pinned.count() == 2
     with pytest.raises(store.Conflict):
         s.publish(v, points=one)
-    # Another writer commits the same version at once: one of the two is taken, by all readers alike.
-    late = s.state() | {"version": v + 2, "commit": "0", "tables": {}}
-    spark.createDataFrame([(v + 2, store.json.dumps(late, sort_keys=True))], store.COMMIT).write.mode("append").parquet(f"{s.folder}/_commits")
-    assert s.state()["commit"] == "0"
+    # Of two writers that have both checked, the first to create the version wins, whichever wrote its tables first.
+    for other in ("published late", "published early"):
+        now, mine = s.state(), []
+        theirs = store.Store(spark, s.folder)
+        first, second = (theirs, s) if other == "published early" else (s, theirs)
+        check = second.state
+        second.state = lambda: now  # noqa: B023  # it has checked before the other commits
+        mine.append(first.commit(now["version"], now | {"by": other}))
+        with pytest.raises(store.Conflict):
+            second.commit(now["version"], now | {"by": "nobody"})
+        second.state = check
+        assert s.state() == theirs.state() == mine[0]
+    with pytest.raises(store.Conflict):
+        s._create(f"{s.folder}/_commits", f"{s.state()['version']:012d}.json", "{}")
 
 
 def test_store_builds(spark, tmp_path):
