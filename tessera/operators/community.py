@@ -1,9 +1,12 @@
 """Communities: detection, ids, reports.
 
-Detection raises modularity by moves in rounds (Blondel and others, 2008), all of it joins and aggregations: every node moves to
-the neighbouring community that gains most, until none does; then communities become the nodes of a smaller graph, and so
-on. Each round of contraction is a level, and levels are nested. One method serves graphs of any size, and no graph, part or
-neighbourhood is gathered in one task. It runs for each root by itself, on all roots at once.
+detect() raises modularity by moves and refinement in rounds (Traag, Waltman and van Eck, 2019), all of it joins and aggregations:
+every node moves to the neighbouring community that gains most, until none does. Then, within each community, nodes start
+again as singletons, and those that are well connected to the rest of it join neighbours; what comes together are the nodes of
+the next level's smaller graph, which begins in the communities found. A part is joined along edges alone, so communities of
+all levels are connected, and levels are nested. greedy() merges communities pairwise instead (Clauset, Newman and Moore, 2004), in
+rounds of many merges. One method serves graphs of any size, and no graph, part or neighbourhood is gathered in one task.
+Both run for each root by itself, on all roots at once.
 """
 
 from __future__ import annotations
@@ -11,7 +14,7 @@ from __future__ import annotations
 from typing import Protocol
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.identity import community_id, singleton_community_id
@@ -30,10 +33,10 @@ class Reporter(Protocol):
 def _moved(nodes: DataFrame, links: DataFrame) -> tuple[DataFrame, int]:
     """(node, group, k, total) after rounds of moves, and how many moves there were.
 
-    nodes: (node, k, total), k the sum of a node's weights, total that of its root; links: (a, b, w), each in both directions, no loops.
+    nodes: (node, group, k, total), k the sum of a node's weights, total that of its root; links: (a, b, w), each in both directions, no loops.
     In a round only the nodes of one half, dealt anew by a hash, may move, so neighbours rarely swap places for ever.
     """
-    now = cut(nodes.withColumn("group", F.col("node")))
+    now = cut(nodes.select("node", "group", "k", "total"))
     moves, quiet = 0, 0
     for r in range(ROUNDS):
         size = now.groupBy("group").agg(F.sum("k").alias("size"))
@@ -54,34 +57,96 @@ def _moved(nodes: DataFrame, links: DataFrame) -> tuple[DataFrame, int]:
     return now, moves
 
 
-def detect(entities: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(root_id, entity_id, level, group). entities: (root_id, entity_id); pairs: (a, b), undirected, each once, without loops.
-
-    Level 0 is the coarsest; a group of a level lies within one of the level before. An entity without pairs is a group by itself, at level 0
-    alone, as are all where there are no pairs.
-    """
+def _refined(nodes: DataFrame, links: DataFrame) -> tuple[DataFrame, int]:
+    """(node, part, group, k, total), parts of the groups of nodes (node, group, k, total), and how many nodes joined one.
+
+    A node that is alone and well connected to its group (its links to the group are no fewer than chance gives) joins the part of the group with
+    the largest gain above zero. In a round the alone of one half, by a hash, may join parts that do not move in it: nodes of the other half, and
+    parts of several. Nobody leaves a part, so parts grow along links and stay connected."""
+    own = nodes.select("node", "group", "k", "total")
+    near = links.join(own.select(F.col("node").alias("a"), F.col("group").alias("ga")), "a").join(own.select(F.col("node").alias("b"), F.col("group").alias("gb")), "b").where("ga = gb").select("a", "b", "w")
+    near = cut(near)
+    size = own.groupBy("group").agg(F.sum("k").alias("size"))
+    inside = near.groupBy(F.col("a").alias("node")).agg(F.sum("w").alias("inside"))
+    well = own.join(inside, "node").join(size, "group").where(F.col("inside") >= F.col("k") * (F.col("size") - F.col("k")) / F.col("total") - 1e-9).select("node")
+    well = cut(well)
+    now = cut(own.withColumn("part", F.col("node")))
+    joined, quiet = 0, 0
+    for r in range(ROUNDS):
+        parts = now.groupBy("part").agg(F.sum("k").alias("size"), F.count("*").alias("members"))
+        half = F.pmod(F.xxhash64("node", F.lit(r // 2), F.lit(9)), F.lit(2)) == r % 2
+        alone = now.join(parts.where("members = 1").select("part"), "part", "left_semi").join(well, "node", "left_semi").where(half).select("node", "k", "total")
+        still = now.select(F.col("node").alias("b"), "part").join(alone.select(F.col("node").alias("b")), "b", "left_anti")
+        seen = near.join(alone, near.a == alone.node).join(still, "b").groupBy("node", "k", "total", "part").agg(F.sum("w").alias("w"))
+        worth = seen.join(parts, "part").withColumn("worth", F.round(F.col("w") - F.col("k") * F.col("size") / F.col("total"), 9)).where("worth > 0")
+        best = worth.groupBy("node").agg(F.min(F.struct((-F.col("worth")).alias("minus"), "part")).alias("best")).select("node", F.col("best.part").alias("to"))
+        best = cut(best)
+        n = best.count()
+        if n:
+            now = cut(now.join(best, "node", "left").withColumn("part", F.coalesce("to", "part")).drop("to"))
+        joined, quiet = joined + n, 0 if n else quiet + 1
+        if quiet == 2:
+            break
+    return now, joined
+
+
+def _connected(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, part): the connected parts of the groups of nodes (node, group), by smallest names, pointers doubled in each round."""
+    g = nodes.select("node", "group")
+    near = links.join(g.select(F.col("node").alias("a"), F.col("group").alias("ga")), "a").join(g.select(F.col("node").alias("b"), F.col("group").alias("gb")), "b").where("ga = gb").select("a", "b")
+    near, now = cut(near), cut(g.select("node", F.col("node").alias("part")))
+    while True:
+        least = near.join(now.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("part").alias("least"))
+        step = now.join(least, "node", "left").select("node", F.col("part").alias("old"), F.least("part", "least").alias("part"))
+        far = now.select(F.col("node").alias("part"), F.col("part").alias("further"))
+        step = cut(step.join(far, "part").select("node", "old", F.least("part", "further").alias("part")))
+        now = step.select("node", "part")
+        if step.where("old <> part").isEmpty():
+            return now
+
+
+def _graph(entities: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(nodes (node, k, total), links (a, b, w)) of entities with pairs, links in both directions, each of weight 1."""
     both = pairs.select("a", "b").union(pairs.select("b", "a")).withColumn("w", F.lit(1.0))
     degree = both.groupBy(F.col("a").alias("node")).agg(F.sum("w").alias("k"))
     linked = entities.select("root_id", F.col("entity_id").alias("node")).join(degree, "node")
     totals = linked.groupBy("root_id").agg(F.sum("k").alias("total"))
-    nodes = cut(linked.join(totals, "root_id").select("node", "k", "total"))
-    links = cut(both)
+    return cut(linked.join(totals, "root_id").select("node", "k", "total")), cut(both)
+
+
+def _contracted(links: DataFrame, to: DataFrame) -> DataFrame:
+    """links between the parts (node, part) that their ends are in, without loops."""
+    between = links.join(to.select(F.col("node").alias("a"), F.col("part").alias("x")), "a").join(to.select(F.col("node").alias("b"), F.col("part").alias("y")), "b")
+    return cut(between.where("x <> y").groupBy(F.col("x").alias("a"), F.col("y").alias("b")).agg(F.sum("w").alias("w")))
+
+
+def detect(entities: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(root_id, entity_id, level, group). entities: (root_id, entity_id); pairs: (a, b), undirected, each once, without loops.
+
+    Level 0 is the coarsest; a group of a level lies within one of the level before, and every group is connected. An entity without pairs is a group by
+    itself, at level 0 alone, as are all where there are no pairs.
+    """
+    nodes, links = _graph(entities, pairs)
+    nodes = nodes.withColumn("group", F.col("node"))
     every: list[DataFrame] = []
-    left = nodes.count()
     member = nodes.select("node", F.col("node").alias("at"))
+    left = nodes.count()
     for _ in range(LEVELS):
-        now, moves = _moved(nodes, links)
-        if not moves:
-            break
-        before, left = left, now.select("group").distinct().count()
-        if left == before:  # names were exchanged, nothing was joined
-            break
-        member = cut(member.join(now.select(F.col("node").alias("at"), "group"), "at").select("node", F.col("group").alias("at")))
+        moved, _moves = _moved(nodes, links)
+        parts, joined = _refined(moved, links)
+        if not joined:
+            # No part grows any more: what the last moves brought together, as far as it is connected, is the coarsest level.
+            parts = moved.join(_connected(moved, links), "node")
+            if parts.select("part").distinct().count() == left:
+                break
+        parts = cut(parts.select("node", "part", "group", "k", "total"))
+        member = cut(member.join(parts.select(F.col("node").alias("at"), "part"), "at").select("node", F.col("part").alias("at")))
         every.append(member)
-        to = now.select("node", "group")
-        between = links.join(to.select(F.col("node").alias("a"), F.col("group").alias("x")), "a").join(to.select(F.col("node").alias("b"), F.col("group").alias("y")), "b")
-        links = cut(between.where("x <> y").groupBy(F.col("x").alias("a"), F.col("y").alias("b")).agg(F.sum("w").alias("w")))
-        nodes = cut(now.groupBy(F.col("group").alias("node")).agg(F.sum("k").alias("k"), F.max("total").alias("total")))
+        if not joined:
+            break
+        links = _contracted(links, parts)
+        nodes = cut(parts.groupBy(F.col("part").alias("node")).agg(F.min("group").alias("group"), F.sum("k").alias("k"), F.max("total").alias("total")))
+        left = nodes.count()
     alone = entities if not every else entities.join(member.select(F.col("node").alias("entity_id")), "entity_id", "left_anti")
     out = alone.select("root_id", "entity_id", F.lit(0).alias("level"), F.col("entity_id").alias("group"))
     for level, m in enumerate(reversed(every)):
@@ -89,6 +154,43 @@ def detect(entities: DataFrame, pairs: DataFrame) -> DataFrame:
     return out
 
 
+def greedy(entities: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(root_id, entity_id, level, group), of level 0: communities by greedy merging; arguments as for detect(), pairs unweighted.
+
+    In a round every community names the one with which a merge gains most. Those that name each other merge, and a community that is named takes as
+    many of those that name it, the largest gain first, as still gain with all before them taken; who takes is told by a hash, so that a chain
+    does not collapse into one. Rounds end when no merge gains."""
+    nodes, links = _graph(entities, pairs)
+    now = cut(nodes.select("node", F.col("node").alias("part")))
+    r = 0
+    while True:
+        size = nodes.select("node", "k", "total")
+        gain = links.join(size.select(F.col("node").alias("a"), "k", "total"), "a").join(size.select(F.col("node").alias("b"), F.col("k").alias("kb")), "b")
+        gain = gain.withColumn("gain", F.round(F.col("w") - F.col("k") * F.col("kb") / F.col("total"), 9)).where("gain > 0")
+        best = cut(gain.groupBy("a", "k", "total").agg(F.min(F.struct((-F.col("gain")).alias("minus"), "b", "kb", "w")).alias("x")).select("a", "k", "total", "x.*"))
+        if best.isEmpty():
+            break
+        # A pair that names each other is led by its smaller name; of the others, a community takes or goes by a hash of the round.
+        named = best.select(F.col("a").alias("b"), F.col("b").alias("back"))
+        both = best.join(named, "b", "left").withColumn("mutual", F.coalesce(F.col("back") == F.col("a"), F.lit(False)))
+        goes = lambda c: F.pmod(F.xxhash64(c, F.lit(r)), F.lit(2)) == 0  # noqa: E731, B023
+        leads = both.where("mutual").select(F.least("a", "b").alias("n")).distinct()
+        bound = both.where("mutual and a > b").select(F.col("a").alias("n")).distinct()
+        asks = both.where("not mutual or a > b").join(bound.withColumnRenamed("n", "b"), "b", "left_anti").join(leads.withColumnRenamed("n", "a"), "a", "left_anti")
+        takes = F.col("mutual") | F.col("lead") | ~goes("b")
+        asks = asks.join(leads.select(F.col("n").alias("b"), F.lit(True).alias("is_lead")), "b", "left").withColumn("lead", F.coalesce("is_lead", F.lit(False))).where(takes & (F.col("mutual") | goes("a")))
+        w = Window.partitionBy("b").orderBy(F.desc("mutual"), "minus", "a").rowsBetween(Window.unboundedPreceding, -1)
+        asks = asks.withColumn("before", F.coalesce(F.sum("k").over(w), F.lit(0.0))).where(F.col("mutual") | (F.round(F.col("w") - F.col("k") * (F.col("kb") + F.col("before")) / F.col("total"), 9) > 0))
+        to = cut(asks.select(F.col("a").alias("node"), F.col("b").alias("to")))
+        parts = cut(nodes.join(to, "node", "left").select("node", F.coalesce("to", "node").alias("part"), "k", "total"))
+        now = cut(now.join(parts.select(F.col("node").alias("part"), F.col("part").alias("to")), "part").select("node", F.col("to").alias("part")))
+        links = _contracted(links, parts)
+        nodes = cut(parts.groupBy(F.col("part").alias("node")).agg(F.sum("k").alias("k"), F.max("total").alias("total")))
+        r += 1
+    every = entities.join(now.select(F.col("node").alias("entity_id"), "part"), "entity_id", "left")
+    return every.select("root_id", "entity_id", F.lit(0).alias("level"), F.coalesce("part", "entity_id").alias("group"))
+
+
 def modularity(groups: DataFrame, pairs: DataFrame) -> float:
     """The modularity of one level of detect() over pairs."""
     n = pairs.count()

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.scalars import blended, collapsed, cosine, dotted, within
@@ -107,6 +108,49 @@ def entities_like(entities: DataFrame, text: str, limit: int) -> DataFrame:
     return entities.where(F.contains(F.col("name_lower"), F.lit(text.lower()))).orderBy("name_lower", "entity_id").limit(limit)
 
 
+# An index of names by trigrams.
+def trigrams(text: Column) -> Column:
+    """The distinct runs of three characters of a text in small letters; none of a shorter one."""
+    t = F.lower(text)
+    return F.when(F.length(t) >= 3, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(t) - 2), lambda k: F.substr(t, k, F.lit(3))))).otherwise(F.array().cast("array<string>"))
+
+
+@dataclass(frozen=True)
+class NameIndex:
+    """Postings (hash, entity_id) of names' trigrams, stored in folders by hash, so that a search reads only those of its own trigrams.
+
+    The names themselves lie beside them, in folders by a hash of the id, and are read only where candidates are."""
+
+    spark: SparkSession
+    path: str
+    folders: int = 64
+
+    def _folder(self, c: Column) -> Column:
+        return F.pmod(F.xxhash64(c), F.lit(self.folders)).cast("int")
+
+    def build(self, entities: DataFrame) -> NameIndex:
+        """entities: (entity_id, name_lower, ...)."""
+        post = entities.select("entity_id", F.explode(trigrams(F.col("name_lower"))).alias("gram")).withColumn("folder", self._folder(F.col("gram")))
+        post.repartition("folder").sortWithinPartitions("folder", "gram").write.partitionBy("folder").parquet(f"{self.path}/postings")
+        own = entities.withColumn("folder", self._folder(F.col("entity_id")))
+        own.repartition("folder").write.partitionBy("folder").parquet(f"{self.path}/names")
+        return self
+
+    def like(self, text: str, limit: int) -> DataFrame:
+        """entities_like() by the index: trigrams that all of the text's are found in are candidates, whose names are then compared. A text of fewer than three
+        characters is looked for in all names."""
+        small = text.lower()
+        grams = sorted({small[k : k + 3] for k in range(len(small) - 2)})
+        names = self.spark.read.parquet(f"{self.path}/names")
+        if not grams:
+            return entities_like(names.drop("folder"), text, limit)
+        # The folders are asked of Spark's own hash; their numbers prune the read.
+        at = self.spark.createDataFrame([(g,) for g in grams], "gram string").select(self._folder(F.col("gram")).alias("f")).distinct().collect()
+        post = self.spark.read.parquet(f"{self.path}/postings").where(F.col("folder").isin([r.f for r in at]) & F.col("gram").isin(grams))
+        whole = post.groupBy("entity_id").agg(F.count("*").alias("n")).where(F.col("n") == len(grams)).select("entity_id")
+        return entities_like(names.join(whole, "entity_id", "left_semi").drop("folder"), text, limit)
+
+
 def reranked(hits: DataFrame, query_entities: list[str], alpha: float) -> DataFrame:
     """Scores blended with the share of the query's entities that a hit names. Without alpha or entities nothing is joined or changed."""
     if alpha <= 0 or not query_entities:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import identity
 from tessera.operators import chunk, community, extract, graph, search, store
+from tessera.session import cut
 from tessera.sources import catalog
 from tessera.sources.catalog import SHOP, sql
 
@@ -362,3 +363,70 @@ def ids_edge(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ids_uuid(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = catalog.table(spark, sf_dir, "nation")
     return n.select("n_nationkey", identity.community_point(F.lit("/r"), F.lit(1), F.lit("b"), "n_name").alias("point"), identity.entity_point("n_name", F.lit("/r")).alias("entity_point"))
+
+
+def _orders_as_files(spark: SparkSession, sf_dir: str):
+    """Lines of orders as contributions: an order is a file, and an edge leads from a supplier to a part."""
+    x = catalog.table(spark, sf_dir, "lineitem")
+    name = lambda c: F.col(c).cast("string")
+    return x.select("l_linenumber", F.lit(SHOP).alias("root_id"), name("l_orderkey").alias("file_path"), F.concat(name("l_suppkey"), F.lit(">"), name("l_partkey")).alias("edge_id"), name("l_suppkey").alias("source_id"), F.concat(F.lit("p"), name("l_partkey")).alias("target_id"), F.lit("holds").alias("edge_type"), F.col("l_quantity").alias("weight"), (F.col("l_orderkey") % 5 == 0).alias("edited"))
+
+
+_LEFT = "with x as (select * from lineitem where case when l_orderkey % 5 = 0 then l_linenumber >= 3 else l_linenumber <= 4 end)"
+
+
+def _edited_orders(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(sums before, changes, sums of the changed edges before) when every fifth order is replaced by other lines of it."""
+    x = _orders_as_files(spark, sf_dir)
+    was = x.where("l_linenumber <= 4")
+    old = graph.edge_sums(was)
+    changes = cut(graph.edge_changes(was.where("edited"), x.where("edited and l_linenumber >= 3")))
+    return old, changes, old.join(changes.select("edge_id"), "edge_id", "left_semi")
+
+
+@query(_LEFT + " select l_suppkey || '>' || l_partkey as edge_id, sum(l_quantity) as weight, count(*) as n from x group by 1")
+def s26_edge_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sums of edges after a change of files, from the sums before it and what the change takes and brings."""
+    old, changes, touched = _edited_orders(spark, sf_dir)
+    kept = old.join(changes.select("edge_id"), "edge_id", "left_anti")
+    return kept.unionByName(graph.changed_edges(touched, changes)).select("edge_id", "weight", "n")
+
+
+@query(_LEFT + ", e as (select distinct l_suppkey, l_partkey from x) select entity_id, count(*) as n from (select l_suppkey::varchar as entity_id from e union all select 'p' || l_partkey from e) group by 1")
+def s27_degree_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Degrees after the same change, from those before it and the edges that it lets appear or vanish."""
+    old, changes, touched = _edited_orders(spark, sf_dir)
+    before = graph.degree_changes(old.limit(0), old)
+    by = cut(graph.degree_changes(touched, changes))
+    return before.join(by.select("entity_id"), "entity_id", "left_anti").unionByName(graph.changed_counts(before, by)).select("entity_id", "n")
+
+
+def _customers_of(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Each customer linked to one supplier and to nobody else: the best communities are the suppliers with their customers."""
+    suppliers = catalog.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k"))
+    of = catalog.table(spark, sf_dir, "customer").crossJoin(suppliers.agg(F.count("*").alias("n"))).select("c_custkey", (F.pmod(F.col("c_custkey") * 7, F.col("n")) + 1).alias("k"))
+    name = lambda kind, c: F.concat(F.lit(kind), F.col(c).cast("string"))
+    pairs = of.join(suppliers, "k").select(name("c", "c_custkey").alias("a"), name("s", "k").alias("b"))
+    nodes = of.select(name("c", "c_custkey").alias("entity_id")).union(suppliers.select(name("s", "k"))).withColumn("root_id", F.lit(SHOP))
+    return nodes, pairs
+
+
+_STARS = """with n as (select count(*) as n from supplier), p as (select 'c' || c_custkey as a, s_suppkey as k from customer, n, supplier where s_suppkey = (c_custkey * 7) % n.n + 1),
+g as (select k, count(*) as m from p group by k)
+select entity_id, coalesce(m, 0) + 1 as members from (select a as entity_id, k from p union all select 's' || s_suppkey, s_suppkey from supplier union all
+select 'c' || c_custkey, null from customer where 'c' || c_custkey not in (select a from p)) left join g using (k)"""
+
+
+@query(_STARS)
+def g6_leiden(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each entity with the size of its coarsest community."""
+    nodes, pairs = _customers_of(spark, sf_dir)
+    g = cut(community.detect(nodes, pairs).where("level = 0"))
+    return g.join(g.groupBy("group").agg(F.count("*").alias("members")), "group").select("entity_id", "members")
+
+
+@query(_STARS)
+def g7_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes, pairs = _customers_of(spark, sf_dir)
+    g = cut(community.greedy(nodes, pairs))
+    return g.join(g.groupBy("group").agg(F.count("*").alias("members")), "group").select("entity_id", "members")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import scalars
 from tessera.operators import search, sync
+from tessera.session import shared_path
 from tessera.sources import catalog
 from tessera.sources.catalog import sql
 
@@ -125,6 +126,12 @@ def f6_like(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.entities_like(catalog.entities(spark, sf_dir), "ER 1", 25).select("name", "type")
 
 
+@query(sql("facts", "entities") + "select name, type from entities where contains(name_lower, 'er 1') order by name_lower, entity_id limit 25")
+def f6_trigram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """f6_like by stored postings of trigrams."""
+    return search.NameIndex(spark, shared_path(spark, "names")).build(catalog.entities(spark, sf_dir).select("entity_id", "name", "name_lower", "type")).like("ER 1", 25).select("name", "type")
+
+
 @query(sql("points") + "select doc_id from points where root_id in (select '/corpus/src' || n_nationkey from nation where n_regionkey = 1)")
 def f7_active_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
     active = catalog.table(spark, sf_dir, "nation").where("n_regionkey = 1").select(F.concat(F.lit("/corpus/src"), F.col("n_nationkey").cast("string")).alias("root_id"))

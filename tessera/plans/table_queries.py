@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import scalars
 from tessera.operators import chunk, graph, store, sync
-from tessera.sources import catalog, policy
+from tessera.session import shared_path
+from tessera.sources import catalog, policy, scan
 from tessera.sources.catalog import sql
 from tessera.streaming import events as stream
 
@@ -63,6 +66,52 @@ def s6_gitignore(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.table(spark, sf_dir, "pages").select("page_id", policy.ignored(path, {"/w": "build/\n*.log\n!keep.log\n# note\n", "/w/sub": "foo\n"}).alias("ignored"))
 
 
+@query("""select page_id, case page_id % 6 when 0 then page_id % 4 <> 3 when 1 then page_id % 4 in (0, 1) when 2 then true when 3 then page_id % 4 = 2 when 4 then true else false end as ignored from pages""")
+def s6_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes, escapes, negation and rules of nested folders, by a join of paths with the folders above them."""
+    i, k = F.col("page_id"), F.col("page_id") % 4
+    name = F.when(i % 6 == 0, F.concat(F.lit("x.py"), F.element_at(F.array(*map(F.lit, ("c", "o", "d", "x"))), k.cast("int") + 1)))
+    name = name.when(i % 6 == 1, F.element_at(F.array(*map(F.lit, ("#note", "!keep", "note", "keep"))), k.cast("int") + 1)).when(i % 6 == 2, "sub/deep/foo")
+    name = name.when(i % 6 == 3, F.element_at(F.array(*map(F.lit, ("run1.log", "runa.log", "run-.log", "run.log"))), k.cast("int") + 1)).when(i % 6 == 4, "build/keep/a").otherwise("other/foo")
+    paths = catalog.table(spark, sf_dir, "pages").select("page_id", F.concat(F.lit("/w/p"), i.cast("string"), F.lit("/"), name).alias("path"))
+    rules = paths.select(F.regexp_extract("path", "^(/w/p[0-9]+)/", 1).alias("folder"), F.lit("# rules\n*.py[cod]\n\\#note\n\\!keep\nrun[!0-9a-z].log\nbuild/\n!build/keep/a\n").alias("text"))
+    rules = rules.union(paths.select(F.concat(F.regexp_extract("path", "^(/w/p[0-9]+)/", 1), F.lit("/sub")), F.lit("foo\n")))
+    out = scan.gitignored(paths.select("path"), rules).withColumn("hit", F.lit(True))
+    return paths.join(out, "path", "left").select("page_id", F.coalesce("hit", F.lit(False)).alias("ignored"))
+
+
+@query("""select doc_id, strlen(coalesce(text, '')) as size, case doc_id % 6 when 3 then 'skip' else 'index' end as action, doc_id % 6 = 3 as secret_risk from documents where doc_id % 6 <> 5""")
+def s1_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents written as files with names that begin with dots and underscores, in folders of any name, and found again; one folder is not entered."""
+    root = shared_path(spark, "scanned")
+    docs = catalog.table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+
+    def write(batches):
+        for x in batches:
+            for i, text in zip(x.doc_id, x.text):
+                folder = os.path.join(root, ["_a", ".b", "c", "__d__", "e", "node_modules"][i % 6], str(i // 500))
+                os.makedirs(folder, exist_ok=True)
+                with open(os.path.join(folder, f"{['__init__', '.github', '_x', '', '.eslintrc', 'y'][i % 6]}.{i}.{['py', 'yml', 'md', 'pem', 'json', 'js'][i % 6]}"), "wb") as f:
+                    f.write(text.encode())
+            yield x[["doc_id"]]
+
+    docs.mapInPandas(write, "doc_id long").write.format("noop").mode("overwrite").save()
+    own = policy.Policy(excluded_directories=[])
+    plan = scan.scan_plan(scan.listing(spark, root, pruned=("node_modules",)).where("kind = 'file'"), own)
+    return plan.select(F.regexp_extract("path", "([0-9]+)[.][a-z]+$", 1).cast("long").alias("doc_id"), "size", "action", "secret_risk")
+
+
+@query("select doc_id, case when doc_id % 10 = 0 then 'new' else text end as text from documents where doc_id % 11 <> 0 or doc_id % 10 = 0 union all select max(doc_id) + 1, 'new' from documents")
+def s13_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stored table after a revision: rows of some keys replaced, of some taken out, one added; other buckets stay as they were written."""
+    d = catalog.table(spark, sf_dir, "documents").select("doc_id", "text")
+    s = store.Store(spark, shared_path(spark, "store"), {"docs": "doc_id"})
+    s.publish(docs=d)
+    new = d.where("doc_id % 10 = 0").select("doc_id").union(d.agg((F.max("doc_id") + 1).alias("doc_id"))).withColumn("text", F.lit("new"))
+    s.publish(docs=store.Revision(d.where("doc_id % 10 = 0 or doc_id % 11 = 0").select("doc_id"), new))
+    return s.read("docs")
+
+
 @query(_P + "select doc_id, file_type from points")
 def s10_filetype(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.points(spark, sf_dir).select("doc_id", policy.file_type("path_key").alias("file_type"))

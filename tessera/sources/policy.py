@@ -189,7 +189,7 @@ def ignore_rules(texts: DataFrame) -> DataFrame:
     """(folder, rules, any_rule) of texts (folder, text) of ignore files: rules in their order, as (pattern, negated), and an expression for all that ignore.
     A folder's texts are taken one after the other."""
 
-    def parse(text: str) -> list[tuple[str, bool]]:
+    def parse(text):
         return [r for r in map(ignore_regex, text.splitlines()) if r]
 
     rules = F.udf(parse, "array<struct<pattern:string,negated:boolean>>")
