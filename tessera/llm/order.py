@@ -11,9 +11,10 @@ its place among those taken. Record i of shard k is at byte i * stride, and its
 before, which their sizes tell. Training reads shards from front to back, and read_from() resumes at any slot: the sizes
 name the shard, and one multiplication the byte; shards before it are not opened.
 
-Shards hold about SHARD_BYTES, so 100 TB of texts give some 45,000; smaller inputs give FEWEST shards for each core, but
-none of less than LEAST_BYTES. Writing holds one block of a shard at a time; read_shards() and read_from() hold a whole
-shard in a task, as Spark's reader of binary files does.
+Shards hold about SHARD_BYTES; smaller inputs give FEWEST shards for each core, but none of less than LEAST_BYTES. How many
+records there will be is reckoned from those that a sample of SAMPLE_TEXTS texts gives for its room, as texts of digits or of
+Chinese have many more ids a byte than prose. Writing holds one block of a shard at a time, and reading RANGE_BYTES: read_shards()
+and read_from() open shards at the records that are asked for, so shards of any size can be read.
 
 A record: doc_id (8 bytes, signed), sequence within the document (4), tokens (2), ids (2 each, PAD beyond the end), a line
 feed; numbers are little-endian. The ids of the vocabulary named must be below PAD.
@@ -27,19 +28,22 @@ Rows that repeat are written each for itself. Empty tables write no shard.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
+from urllib.parse import unquote
 
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.session import shared_path
 
-from .common import arrow_map, mix
+from .common import arrow_map, mix, share_of
 from .tokens import encoder, word_bpe_path
 
 LENGTH, PAD, END_ID = 256, 0xFFFF, 0
@@ -48,6 +52,8 @@ BLOCK = 8192  # records that are put in order at a time, about
 GROWTH = 3  # a byte of a text gives at most so many ids: normal forms have up to three times the bytes
 DEALT = 16 << 20  # bytes of records that are dealt to shards at a time
 ROUNDS = 6
+SAMPLE_TEXTS = 2000
+RANGE_BYTES = 32 << 20  # of a shard that a task reads at a time
 NO_ID = -(1 << 63)
 
 
@@ -76,6 +82,23 @@ def _sequences(n_ids: int, length: int) -> int:
     return -(-(n_ids + 1) // length)
 
 
+def reckoned(rows: DataFrame, path: str, length: int, room: int) -> int:
+    """About how many records rows (doc_id, text) give that have room for so many: by the share that a sample, of bounded size, takes of its room."""
+    n = rows.count()
+    sample = rows.where(share_of(F.xxhash64("doc_id", "text"), SAMPLE_TEXTS / max(1, n))).select("text")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in batches:
+            texts = x.column(0).to_pylist()
+            if texts:
+                taken = sum(_sequences(len(i), length) for i in encoder(path, 2).encode(texts))
+                places = sum(_sequences(GROWTH * len((t or "").encode("utf-8", "surrogatepass")), length) for t in texts)
+                yield pa.RecordBatch.from_arrays([pa.array([taken], pa.int64()), pa.array([places], pa.int64())], ["taken", "places"])
+
+    r = arrow_map(sample, count, "taken long, places long").agg(F.sum("taken").alias("taken"), F.sum("places").alias("places")).first()
+    return max(1, round(room * r.taken / r.places)) if r.places else room // 8
+
+
 def write_shards(docs: DataFrame, to: str, key: int, path: str | None = None, length: int = LENGTH, shard_bytes: int | None = None) -> None:
     """Writes all sequences of docs under `to`."""
     spark = docs.sparkSession
@@ -88,7 +111,7 @@ def write_shards(docs: DataFrame, to: str, key: int, path: str | None = None, le
         return
     most, total = one.most, one.most * one.parts
     kind = record(length)
-    about = one.taken // 8  # records: about an eighth of the room is taken
+    about = reckoned(rows, path, length, one.taken)
     if shard_bytes is None:
         fewest = FEWEST * spark.sparkContext.defaultParallelism
         shard_bytes = max(LEAST_BYTES, min(SHARD_BYTES, about * kind.itemsize // fewest))
@@ -169,16 +192,33 @@ def write_shards(docs: DataFrame, to: str, key: int, path: str | None = None, le
     arrow_map(dealt, put, "record binary").select(F.col("record").cast("string").alias("value")).write.option("compression", "none").text(to)
 
 
-def shard_bases(spark: SparkSession, path: str, length: int = LENGTH) -> dict[int, tuple[int, int]]:
-    """The global slot of each shard's first record and its number of records, from the files' sizes alone: a row a shard."""
+def shard_files(spark: SparkSession, path: str, length: int = LENGTH) -> list[tuple[int, str, int, int]]:
+    """(number, path, slot of its first record, records) of each shard, from the files' sizes alone: a row a shard."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
-    out, at = {}, 0
-    for r in sorted(files.select(F.regexp_extract("path", r"part-(\d+)", 1).cast("int").alias("shard"), "length").collect()):
-        out[r["shard"]] = at, r["length"] // record(length).itemsize
-        at += out[r["shard"]][1]
+    out, at = [], 0
+    for r in sorted(files.select(F.regexp_extract("path", r"part-(\d+)", 1).cast("int").alias("shard"), "path", "length").collect()):
+        if r["length"] % record(length).itemsize:
+            raise RuntimeError(f"shard {r['shard']} is cut short")
+        out.append((r["shard"], r["path"], at, r["length"] // record(length).itemsize))
+        at += out[-1][3]
     return out
 
 
+def _bytes_of(path: str, start: int, size: int) -> bytes:
+    """A range of a file: of a local or mounted path, or by pyarrow's file system for its scheme."""
+    if path.startswith(("/", "file:")):
+        with open(unquote(re.sub("^file:/*", "/", path)), "rb") as f:
+            f.seek(start)
+            raw = f.read(size)
+    else:
+        system, base = fs.FileSystem.from_uri(path)
+        with system.open_input_file(base) as f:
+            raw = f.read_at(size, start)
+    if len(raw) != size:
+        raise RuntimeError(f"{path} is cut short")
+    return raw
+
+
 READ = "slot long, shard int, byte_offset long, doc_id long, seq long, n_tokens long, ids_crc32 long, ids binary"
 
 
@@ -203,26 +243,23 @@ def read_shards(spark: SparkSession, path: str, length: int = LENGTH) -> DataFra
 
 
 def read_from(spark: SparkSession, path: str, slot: int, length: int = LENGTH) -> DataFrame:
-    """read_shards() from a slot on, as training does that goes on after a stop: shards before it are not read."""
-    bases = shard_bases(spark, path, length)
-    later = {k: v for k, v in bases.items() if v[0] + v[1] > slot}
+    """read_shards() from a slot on, as training does that goes on after a stop: what is before it is not read. Shards are read by ranges of records."""
+    step = max(1, RANGE_BYTES // record(length).itemsize)
+    later = [(k, p, base, max(0, slot - base), n) for k, p, base, n in shard_files(spark, path, length) if base + n > slot]
     if not later:
         return spark.createDataFrame([], READ)
-    given = spark.sparkContext.broadcast(later)
+    shards = spark.createDataFrame(later, "k int, path string, base long, first long, n long")
+    ranges = shards.select("k", "path", "base", "n", F.explode(F.sequence("first", F.col("n") - 1, F.lit(step))).alias("a"))
+    ranges = ranges.repartitionByRange(max(1, min(10_000, sum(-(-(n - first) // step) for *_, first, n in later))), "k", "a")
     size = record(length).itemsize
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
-            for name, content in zip(x.column(0), x.column(1)):
-                k = int(name.as_py())
-                base = given.value[k][0]
-                skip = max(0, slot - base)
-                yield from rows_of(memoryview(content.as_buffer())[skip * size :], base, k, skip, length)
-
-    # Shards are numbered in order, so a range of names is a range of slots.
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).where(F.regexp_extract("path", r"part-(\d+)", 1).cast("int") >= min(later))
-    files = files.where(F.col("length") > 0)
-    return arrow_map(files.select(F.regexp_extract("path", r"part-(\d+)", 1).alias("k"), "content"), run, READ)
+            for r in x.to_pylist():
+                m = min(step, r["n"] - r["a"])
+                yield from rows_of(_bytes_of(r["path"], r["a"] * size, m * size), r["base"], r["k"], r["a"], length)
+
+    return arrow_map(ranges, run, READ)
 
 
 def training_order(docs: DataFrame, key: int = 20_240_601) -> DataFrame:

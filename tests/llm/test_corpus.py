@@ -370,7 +370,7 @@ def test_fullest_is_optimal():
         assert sum(k * n for k, n in got) == max(sums) and all(n <= dict(left)[k] for k, n in got)
 
 
-def test_training_order(spark, whole, tmp_path):
+def test_training_order(spark, whole, tmp_path, monkeypatch):
     for n in (1, 2, 3, 17, 1000):
         assert sorted(order.permuted(np.arange(n), n, 5)) == list(range(n))
     assert list(order.permuted(np.arange(100), 100, 1)) != list(order.permuted(np.arange(100), 100, 2))
@@ -379,7 +379,7 @@ def test_training_order(spark, whole, tmp_path):
     back = order.read_shards(spark, str(tmp_path / "shards"), length=64).collect()
     assert sorted(b.slot for b in back) == list(range(len(back)))
     assert len({b.shard for b in back}) > 1
-    bases = order.shard_bases(spark, str(tmp_path / "shards"), 64)
+    bases = {k: (base, n) for k, _, base, n in order.shard_files(spark, str(tmp_path / "shards"), 64)}
     assert all(b.byte_offset == (b.slot - bases[b.shard][0]) * (15 + 2 * 64) for b in back)
     for slot in (0, 1, bases[2][0] - 1, bases[2][0], bases[2][0] + 3, len(back) - 1, len(back)):
         rest = order.read_from(spark, str(tmp_path / "shards"), slot, length=64).collect()
@@ -393,6 +393,20 @@ def test_training_order(spark, whole, tmp_path):
         docs[b.doc_id].append((b.seq, np.frombuffer(b.ids, "<u2").tolist()))
     for r in d.collect():
         assert [i for _, p in sorted(docs[r.doc_id]) for i in p] == whole.encode(r.text, add_special_tokens=False).ids + [0]
+    # Texts with very many ids a byte: shards are as large as asked for, and ranges of them are read.
+    r = random.Random(70)
+    dense = ["".join(r.choice("0123456789abcdef") for _ in range(6000)) for _ in range(60)] + ["".join(chr(r.randrange(0x4E00, 0x9FA5)) for _ in range(2000)) for _ in range(60)] + [",".join(str(r.random()) for _ in range(300)) for _ in range(60)]
+    monkeypatch.setattr(order, "RANGE_BYTES", 3000)
+    order.write_shards(docs_of(spark, dense), str(tmp_path / "dense"), 4, length=64, shard_bytes=60_000)
+    shards = order.shard_files(spark, str(tmp_path / "dense"), 64)
+    assert max(n for *_, n in shards) * (15 + 128) < 1.3 * 60_000 and len(shards) > 8
+    again = collections.defaultdict(list)
+    for b in order.read_shards(spark, str(tmp_path / "dense"), length=64).collect():
+        again[b.doc_id].append((b.seq, np.frombuffer(b.ids, "<u2").tolist()))
+    for i, t in enumerate(dense):
+        assert [x for _, p in sorted(again[i]) for x in p] == whole.encode(t, add_special_tokens=False).ids + [0]
+    last = sum(n for *_, n in shards) - 3
+    assert sorted(b.slot for b in order.read_from(spark, str(tmp_path / "dense"), last, length=64).collect()) == [last, last + 1, last + 2]
     assert order.training_order(empty(spark)).isEmpty()
     odd = order.training_order(odd_docs(spark)).collect()
     assert sum(b.doc_id is None for b in odd) == 1 and {b.doc_id for b in odd} == {None, *range(len(ODD))}
