@@ -40,7 +40,7 @@ ORDER_BITS = 22
 ORDER_BUCKETS = 1 << ORDER_BITS
 FRAGMENTS = 8
 SKETCH_BLOCK = 1 << 16
-TASKS_A_CORE = 4  # of those that count for the order
+TASKS_A_CORE, PARTS = 4, 2  # fewest tasks that count for the order, and partitions of the scan that one takes
 HOT_POSTINGS = 128  # postings of a shingle that one task pairs with all others of it
 
 
@@ -99,8 +99,9 @@ def count_order(docs: DataFrame) -> Order:
         for k, v in total.items():
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([np.minimum(v, 0xFFFFFFFF).astype(np.uint32).tobytes()], pa.binary())], ["block", "counts"])
 
-    # A sketch for each task, so few tasks, each with many of the scan's partitions: sketches stay a small part of what is read.
-    texts = docs.select("text").coalesce(TASKS_A_CORE * docs.sparkSession.sparkContext.defaultParallelism)
+    # A sketch for each task, so a task takes PARTS of the scan's partitions, of a bounded size each: sketches stay a small part of what is read.
+    scanned = docs.select(F.spark_partition_id().alias("p")).agg(F.max("p")).first()[0] or 0
+    texts = docs.select("text").coalesce(max(TASKS_A_CORE * docs.sparkSession.sparkContext.defaultParallelism, scanned // PARTS))
     parts = arrow_map(texts, count, "block int, counts binary").repartition(ORDER_BUCKETS // SKETCH_BLOCK, "block").mapInArrow(add, "block int, counts binary").repartition(common.FETCHES)
     counts = np.zeros(ORDER_BUCKETS, np.uint32)
     for r in parts.toLocalIterator():
