@@ -127,6 +127,25 @@ def test_the_field_finds_what_the_rules_miss(spark):
     field = secrets.fit(around(texts[::2]))
     precision, recall = secrets.measured(field, around(texts[1::2]))
     assert precision > 0.95 and recall > 0.95
+    # Kinds and sentences that the fit makes none of: names that hold capitals and digits are no secrets, words after a cue are.
+    r = random.Random(42)
+    pick = lambda chars, n: "".join(r.choice(chars) for _ in range(n))
+    word = lambda: r.choice("alpha bridge customer delta engine forest garden harbor island jacket kernel ladder mirror number".split())
+    none = {
+        "place": lambda: r.choice(["McDonaldsRestaurant", "MacArthurBuilding", "LaGuardiaAirport", "VanDykeParking"]), "acronym": lambda: r.choice(["XMLHttpRequest2Level", "HTMLParser3Error", "JSONWebKeys"]),
+        "method": lambda: f"{word()}{word().capitalize()}From{word().capitalize()}{r.randrange(99)}", "release": lambda: f"{word()}-v{r.randrange(9)}-{r.randrange(9999)}-amd64", "hash": lambda: pick("0123456789ABCDEF", 40),
+        "uuid": lambda: "-".join(pick("0123456789abcdef", k) for k in (8, 4, 4, 4, 12)), "snake": lambda: f"{word()}_{word()}_{r.randrange(999)}",
+    }
+    letters = lambda: pick("abcdefghijklmnopqrstuvwxyz", 10)
+    some = {"phrase": lambda: f"{word().capitalize()}-{word()}-{r.randrange(100, 999)}", "mixed": lambda: pick("abcdefghXYZ0123456789", 12)}
+    found = lambda made, contexts: sum(any(s[2] == 3 for s in secrets.all_spans(r.choice(contexts).format(made()), field)) for _ in range(40))
+    plain = ["Yesterday we saw {} near the lake.", "The reviewers mentioned {} in the meeting", "It was built by {} last year", "Please look at {} and tell us"]
+    cued = ["the password is {} now", "His passphrase, as I recall, was {}", "new credential {} was issued", "their api key happens to be {}"]
+    assert {k: n for k, g in none.items() if (n := found(g, plain)) > 3} == {}
+    assert {k: n for k, g in some.items() if (n := found(g, cued)) < 24} == {}
+    assert found(letters, ["the password is {} now", "my token was {} until today", "passphrase: {} and more"]) >= 24
+    # Capitals that become two characters in small letters move nothing.
+    assert secrets.candidates("\u0130 the password is hunterxyzabc now")[-1] == (18, 30)
     d = docs_of(spark, [f"{t[:300]} the passphrase is Xk92{k}qLmZ7p today {t[300:600]}" for k, t in enumerate(texts[:30])])
     got = secrets.scan(d, field).collect()
     assert sum(g.n_crf for g in got) >= 27 and all("Xk92" not in r.text for r in secrets.redact(d, field).collect() if got[r.doc_id].n_crf)
