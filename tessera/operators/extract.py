@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from tessera.functions.identity import entity_id, extraction_key
 from tessera.functions.scalars import embed_input, entity_text
-from tessera.session import ship
+from tessera.operators.cache import Kept, content_key
+from tessera.session import cut, ship
 
 FIELD, RECORD, DONE = "<|>", "##", "<|COMPLETE|>"
 #: Chunks of a file that are extracted from, and chunks and characters of one question. Fixed values.
@@ -136,9 +137,9 @@ def conversation(model: Extractor, text: str, gleanings: int) -> list[str]:
     return answers
 
 
-def answered(asked: DataFrame, model: Extractor, gleanings: int = 0) -> DataFrame:
-    """batches() with (answers, error). Equal batches are asked once: by a key of their texts, under which the answers are joined back. A
-    batch whose question fails has no answers and the error's name; the others go on."""
+def answered(asked: DataFrame, model: Extractor, gleanings: int = 0, kept: Kept | None = None) -> DataFrame:
+    """batches() with (answers, error). Equal batches are asked once: by a key of their texts, under which the answers are joined back; with kept,
+    once for all runs. A batch whose question fails has no answers and the error's name; the others go on."""
     keyed = asked.withColumn("key", extraction_key("texts"))
 
     def run(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -152,7 +153,25 @@ def answered(asked: DataFrame, model: Extractor, gleanings: int = 0) -> DataFram
             yield pd.DataFrame({"key": x.key, "answers": [o[0] for o in out], "error": [o[1] for o in out]})
 
     ship(asked.sparkSession)
-    once = keyed.select("key", question(F.col("texts")).alias("q")).dropDuplicates(["key"]).mapInPandas(run, "key string, answers array<string>, error string")
+    q = keyed.select("key", question(F.col("texts")).alias("q")).dropDuplicates(["key"])
+    if kept is None:
+        return keyed.join(q.mapInPandas(run, "key string, answers array<string>, error string"), "key").drop("key")
+    # Kept under the model's name, how often it is asked for more, and the question; failures are not kept.
+    both = cut(q.withColumn("asked_key", F.col("key")).withColumn("key", content_key(model, F.concat(F.lit(f"{gleanings}\x1f"), "q"))))
+
+    def ask(missing: DataFrame) -> DataFrame:
+        said = missing.mapInPandas(run, "key string, answers array<string>, error string")
+        return said.select("key", F.when(F.col("error").isNull(), F.struct("answers", "error")).alias("value"), F.col("error").alias("failed"))
+
+    failed: list[DataFrame] = []
+
+    def noted(missing: DataFrame) -> DataFrame:
+        out = cut(ask(missing))
+        failed[:] = [out.where("value is null").select("key", "failed")]
+        return out.select("key", "value")
+
+    got = kept.through("answers", both.select("key", "q"), noted).join(failed[0], "key", "left")
+    once = both.join(got, "key").select(F.col("asked_key").alias("key"), F.coalesce("value.answers", F.array().cast("array<string>")).alias("answers"), F.col("failed").alias("error"))
     return keyed.join(once, "key").drop("key")
 
 
@@ -201,10 +220,10 @@ def summarized(entities: DataFrame, model: Summarizer) -> DataFrame:
     return entities.join(said, ["name", "descriptions"], "left").withColumn("description", F.coalesce("summary", "description")).select(*entities.columns)
 
 
-def extracted_files(chunks: DataFrame, model: Extractor, code: DataFrame | None = None, summarizer: Summarizer | None = None, gleanings: int = 0) -> tuple[DataFrame, DataFrame, DataFrame]:
+def extracted_files(chunks: DataFrame, model: Extractor, code: DataFrame | None = None, summarizer: Summarizer | None = None, gleanings: int = 0, kept: Kept | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(entities by file, facts, failures) of chunks (root_id, file_path, chunk_id, chunk_text): what the model names and what the code's
     structure shows (code: code_facts()), merged for each file. failures: (file_path, batch, error)."""
-    answers = answered(batches(chunks), model, gleanings)
+    answers = answered(batches(chunks), model, gleanings, kept)
     named = extracted_entities(answers)
     if code is not None:
         named = named.unionByName(code_names(code))
@@ -303,10 +322,10 @@ def batched(chunks: Column, most_items: int, most_chars: int) -> Column:
     return F.aggregate(chunks, start, step, lambda acc: acc["out"])
 
 
-def embedded(rows: DataFrame, embedder: Embedder, text: str, batch: int = 100) -> DataFrame:
-    """rows with an embedding of text: each distinct text is embedded once, in batches, and joined back by its hash. A text that the
-    model fails on, by itself too, has no embedding."""
-    keyed = rows.withColumn("embed_key", F.sha2(embed_input(text), 256))
+def embedded(rows: DataFrame, embedder: Embedder, text: str, batch: int = 100, kept: Kept | None = None) -> DataFrame:
+    """rows with an embedding of text: each distinct text is embedded once, in batches, and joined back by its hash; with kept, once for all runs.
+    A text that the model fails on, by itself too, has no embedding."""
+    keyed = rows.withColumn("embed_key", content_key(embedder, embed_input(text)))
     todo = keyed.select("embed_key", embed_input(text).alias("t")).where("t is not null").dropDuplicates(["embed_key"])
 
     def one(t: str) -> list[float] | None:
@@ -327,14 +346,20 @@ def embedded(rows: DataFrame, embedder: Embedder, text: str, batch: int = 100) -
             yield pd.DataFrame({"embed_key": x.embed_key, "embedding": v})
 
     ship(rows.sparkSession)
-    return keyed.join(todo.mapInPandas(run, "embed_key string, embedding array<float>"), "embed_key", "left").drop("embed_key")
+    ask = lambda t: t.mapInPandas(run, "embed_key string, embedding array<float>")
+    if kept is None:
+        said = ask(todo)
+    else:
+        anew = lambda missing: ask(missing.withColumnRenamed("key", "embed_key")).toDF("key", "value")
+        said = kept.through("embeddings", todo.withColumnRenamed("embed_key", "key"), anew).toDF("embed_key", "embedding")
+    return keyed.join(said, "embed_key", "left").drop("embed_key")
 
 
-def entity_vectors(entities: DataFrame, embedder: Embedder) -> DataFrame:
+def entity_vectors(entities: DataFrame, embedder: Embedder, kept: Kept | None = None) -> DataFrame:
     """(root_id, entity_id, name, type, embedding) of entities (root_id, entity_id, name, type, description); null where the model failed.
     Ends of edges without an entity of their own are embedded by their names."""
     texts = entities.select("root_id", "entity_id", "name", "type", entity_text("name", "description").alias("text"))
-    return embedded(texts, embedder, "text").drop("text")
+    return embedded(texts, embedder, "text", kept=kept).drop("text")
 
 
 def embedding_counts(vectors: DataFrame) -> DataFrame:

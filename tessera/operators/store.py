@@ -233,12 +233,12 @@ class Store:
         found = {n.removeprefix("_b="): f"{path}/{n}" for n in self._names(path) if n.startswith("_b=")}
         return {"buckets": found, "schema": schema, "n": self.buckets}
 
-    def publish(self, expected: int | None = None, dirty: bool = False, committed: tuple[str, int] | None = None, **tables: DataFrame | Revision) -> dict:
+    def publish(self, expected: int | None = None, dirty: bool = False, committed: tuple[str, int] | None = None, extra: dict | None = None, **tables: DataFrame | Revision) -> dict:
         """Writes new generations of tables, or of what a Revision touches, then names them all by one commit. With dirty the graph is marked as
-        changed by the same commit; committed names a build and the version of the graph that it was made from."""
+        changed by the same commit; committed names a build and the version of the graph that it was made from; extra is told with the state."""
         now = self.state()
         made = {name: self._revised(name, now["tables"].get(name), x) if isinstance(x, Revision) else self._written(name, x) for name, x in tables.items()}
-        new = now | {"tables": now["tables"] | made}
+        new = now | (extra or {}) | {"tables": now["tables"] | made}
         if dirty:
             new |= {"graph_version": now.get("graph_version", 0) + 1, "committed_build_id": None}
         if committed:

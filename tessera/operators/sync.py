@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.scalars import keywords, secret_rules, within
 from tessera.operators.store import remapped
+from tessera.session import cut
 from tessera.sources.policy import Policy
 
 
@@ -85,6 +86,21 @@ def valid_calls(calls: DataFrame) -> DataFrame:
     return calls.where(F.col("outcome").isin(*OUTCOMES))
 
 
+def calls_sink(path: str):
+    """What a stream of calls is given to, foreachBatch(calls_sink(path)): each batch is written under its own number, by day, and a batch that comes again
+    replaces itself, so that every call is recorded once. recorded_calls() reads them."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        valid_calls(batch).withColumn("day", F.to_date("timestamp")).write.mode("overwrite").partitionBy("day").parquet(f"{path.rstrip('/')}/batch={number}")
+
+    return write
+
+
+def recorded_calls(spark: SparkSession, path: str) -> DataFrame:
+    """The calls of record_calls() or calls_sink(); a batch whose writing has not ended is left out."""
+    return spark.read.parquet(path).drop("batch")
+
+
 def record_calls(calls: DataFrame, path: str) -> None:
     """Appends the valid ones of calls (timestamp, tool_name, session_id, root_path, outcome) to a Parquet table, by day."""
     valid_calls(calls).withColumn("day", F.to_date("timestamp")).write.mode("append").partitionBy("day").parquet(path)
@@ -112,6 +128,42 @@ def longest_root(paths: DataFrame, roots: DataFrame) -> DataFrame:
     return paths.select("path").distinct().join(best, "path", "left")
 
 
+def decided(resolutions: DataFrame, purge: bool = True) -> DataFrame:
+    """Decisions (root_id, serving_state, destination) from resolutions (root_id, status, root), as roots.resolve() gives them: a root that is its own is
+    active, one within another is remapped to it, linked work trees and bare repositories are quarantined, a folder without a repository is purged
+    (or retained), and what is unknown is left as it is."""
+    own = F.col("status").isin("supported", "allowlisted")
+    state = (
+        F.when(own & (F.col("root") == F.col("root_id")), "active")
+        .when(own & F.col("root").isNotNull(), "remapped")
+        .when(F.col("status").isin("linked_worktree", "bare"), "quarantined")
+        .when(F.col("status") == "no_repository", "purged" if purge else "retained")
+        .otherwise("transient")
+    )
+    out = resolutions.select("root_id", state.alias("serving_state"), F.when(state == "remapped", F.col("root")).alias("destination"))
+    return followed(out)
+
+
+def followed(decisions: DataFrame) -> DataFrame:
+    """decisions with the destinations that chains of remaps lead to in the end; steps double in each round. A chain that runs in a circle leads to the
+    smallest root of the circle, which stays active."""
+    d = cut(decisions)
+    moves = d.where("serving_state = 'remapped'").select("root_id", F.col("destination").alias("to"), F.col("destination").alias("low"))
+    n = moves.count()
+    for _ in range(max(1, n.bit_length() + 1)):
+        far = moves.select(F.col("root_id").alias("to"), F.col("to").alias("further"), F.col("low").alias("far_low"))
+        step = cut(moves.join(far, "to", "left").select("root_id", F.coalesce("further", "to").alias("to"), F.least("low", F.coalesce("far_low", "low")).alias("low"), F.col("further").isNotNull().alias("went")))
+        moves = step.select("root_id", "to", "low")
+        if step.where("went").isEmpty():
+            break
+    # After more steps than there are moves, what still leads to a remapped root leads round in a circle.
+    circle = moves.join(moves.select(F.col("root_id").alias("to"), F.col("low").alias("least")), "to", "left")
+    end = circle.select("root_id", F.coalesce("least", "to").alias("end"))
+    out = d.join(end, "root_id", "left")
+    stays = F.col("end") == F.col("root_id")
+    return out.select("root_id", F.when(stays, "active").otherwise(F.col("serving_state")).alias("serving_state"), F.when(~F.coalesce(stays, F.lit(False)), F.coalesce("end", "destination")).alias("destination"))
+
+
 def reconciled(registry: DataFrame, decisions: DataFrame) -> DataFrame:
     """Registered roots after decisions (root_id, serving_state, destination): remapped ones replaced, purged ones gone, repeats merged."""
     out = registry.select("root_id").join(decisions, "root_id", "left")

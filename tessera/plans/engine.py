@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.identity import chunk_id
 from tessera.functions.scalars import iso_utc, split_long_lines, within
-from tessera.operators import chunk, community, extract, graph, search, store, sync
+from tessera.operators import cache, chunk, community, extract, graph, search, store, sync
 from tessera.session import cut, ship
 from tessera.sources import scan
 from tessera.sources.policy import Policy
@@ -49,6 +49,7 @@ class Engine:
     alpha: float = 0.0
     gleanings: int = 0
     active_roots: list[str] | None = None  # if given, only these are searched
+    kept: cache.Kept | None = None  # answers of models, kept between runs
 
     def __post_init__(self) -> None:
         self.store = store.Store(ship(self.spark), self.folder, KEYS)
@@ -89,21 +90,21 @@ class Engine:
         c = chunk.chunked(texts.withColumn("text", formatted), ["path", "file_type", "extension", "file_hash", "modified_time", "mtime_ns"], self.size, self.overlap)
         p = c.select(F.col("path").alias("path_key"), F.lit(root).alias("root_id"), "file_type", "extension", "file_hash", "modified_time", "mtime_ns", "chunk_id", "chunk_text", "start_char", "end_char")
         more = p.select("path_key", "chunk_id", "file_hash", "modified_time", "mtime_ns", chunk_id("path_key", "chunk_id").alias("point_id"))
-        return extract.embedded(store.payload(p), self.embedder, "chunk_text").join(more, ["path_key", "chunk_id"])
+        return extract.embedded(store.payload(p), self.embedder, "chunk_text", kept=self.kept).join(more, ["path_key", "chunk_id"])
 
     def _graph(self, texts: DataFrame, points: DataFrame, root: str) -> tuple[DataFrame, DataFrame, DataFrame]:
         """(contributions, mentions, entity vectors) of files: of their code's structure, and of what a model names, if there is one."""
         code = extract.code_entities(texts).withColumn("root_id", F.lit(root))
         if self.extractor:
             own = points.select("root_id", F.col("path_key").alias("file_path"), "chunk_id", "chunk_text")
-            entities, facts, _ = extract.extracted_files(own, self.extractor, code, self.summarizer, self.gleanings)
+            entities, facts, _ = extract.extracted_files(own, self.extractor, code, self.summarizer, self.gleanings, self.kept)
         else:
             entities, facts = extract.merged(extract.code_names(code), "file_path"), extract.code_facts(code)
         mentions = cut(entities.drop("descriptions").withColumn("chunk_ids", F.col("chunk_ids").cast("array<int>")))
         facts = cut(facts)
         stubs = graph.stub_endpoints(mentions, facts).withColumn("description", F.lit(""))
         every = mentions.groupBy("root_id", "entity_id").agg(F.min(F.struct("name", "type", "description")).alias("e")).select("root_id", "entity_id", "e.*").unionByName(stubs)
-        return graph.contributions(facts), mentions, extract.entity_vectors(every, self.embedder).where("embedding is not null")
+        return graph.contributions(facts), mentions, extract.entity_vectors(every, self.embedder, self.kept).where("embedding is not null")
 
     def index(self, root: str, recursive: bool = True, force: bool = False, dry_run: bool = False, use_ignore_files: bool = True, only: str | list[str] | None = None, max_files: int | None = None, max_dirs: int | None = None, max_seconds: float | None = None) -> dict:
         """Indexes what is new or changed under root (everything, if forced), or in its parts `only`, folders or files; removes what is gone, which is
@@ -233,7 +234,7 @@ class Engine:
         facts = graph.community_facts(e, g, members.where("level = 0").select("community_id", "entity_id"))
         r = community.reports(facts, self.reporter) if self.reporter else community.extractive_reports(facts).select("community_id", "title", "summary", "findings")
         r = r.join(top.select("community_id", "root_id"), "community_id")
-        r = extract.embedded(r.withColumn("text", F.concat_ws("\n", "title", "summary", F.array_join("findings", "\n"))), self.embedder, "text")
+        r = extract.embedded(r.withColumn("text", F.concat_ws("\n", "title", "summary", F.array_join("findings", "\n"))), self.embedder, "text", kept=self.kept)
         return self.store.commit_communities(uuid.uuid4().hex, version, communities=c, members=members, reports=r)
 
     def readiness(self) -> str:

@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.functions import scalars
+from tessera.functions import registered, scalars
 from tessera.operators import chunk, graph, store, sync
 from tessera.session import shared_path
 from tessera.sources import catalog, policy, scan
@@ -481,3 +481,47 @@ def x3_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
     batches = stream.quiet_batches(c)
     disk = c.select("path").distinct().where(F.contains("path", F.lit("1")))
     return stream.apply_batch(batches, disk)
+
+
+@query("""with d as (select doc_id, text, ['text', 'markdown', 'python'][doc_id % 3 + 1] as kind from documents where doc_id % 2 = 0) select doc_id, kind, true as offsets_point_at_text, true as whole, true as in_order from d where trim(text, ' ' || chr(10) || chr(9) || chr(13)) <> ''""")
+def t2_chunk_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks as rows of a table function; what can be said of them in SQL: offsets point at the text, nothing but white space is left out, and they are in order."""
+    registered.register(spark)
+    kind = F.element_at(F.array(*map(F.lit, ("text", "markdown", "python"))), (F.col("doc_id") % 3 + 1).cast("int"))
+    d = catalog.table(spark, sf_dir, "documents").where("doc_id % 2 = 0").select("doc_id", "text", kind.alias("kind"))
+    d.createOrReplaceTempView("chunk_rows_in")
+    c = spark.sql("select cast(key as bigint) as doc_id, chunk_id, chunk_text, start_char, end_char from chunk_rows(TABLE(select doc_id, text, kind from chunk_rows_in))")
+    w = Window.partitionBy("doc_id").orderBy("chunk_id")
+    c = c.withColumn("reached", F.coalesce(F.max("end_char").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("before", F.coalesce(F.lag("start_char").over(w), F.lit(-1)))
+    x = c.join(d, "doc_id")
+    gap = lambda a, b: F.regexp_replace(F.substr("text", a + 1, b - a), r"\s", "") == ""
+    x = x.withColumns({"points": F.substr("text", F.col("start_char") + 1, F.col("end_char") - F.col("start_char")) == F.col("chunk_text"), "joins": (F.col("start_char") <= F.col("reached")) | gap(F.col("reached"), F.col("start_char")), "follows": (F.col("start_char") >= F.col("before")) & (F.col("end_char") > F.col("reached"))})
+    done = x.groupBy("doc_id", "kind", "text").agg(F.every("points").alias("offsets_point_at_text"), F.every("joins").alias("whole"), F.every("follows").alias("in_order"), F.max("end_char").alias("end"))
+    return done.select("doc_id", "kind", "offsets_point_at_text", (F.col("whole") & gap(F.col("end"), F.length("text"))).alias("whole"), "in_order")
+
+
+@query("""with c as (select event_id, ts, event_type, user_id, case event_type when 'error' then 'error' when 'view' then 'zero_result' when 'click' then 'other' else 'success' end as outcome from events)
+select event_type as tool_name, count(*) filter (where outcome = 'success') as success, count(*) filter (where outcome = 'zero_result') as zero_result, count(*) filter (where outcome = 'error') as error, count(*) as total,
+round(100 * count(*) filter (where outcome = 'success') / count(*), 1) as success_rate from c where outcome <> 'other' group by 1""")
+def s30_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calls written in numbered batches, of which two come again, and counted."""
+    e, path = catalog.table(spark, sf_dir, "events"), shared_path(spark, "calls")
+    outcome = F.when(F.col("event_type") == "error", "error").when(F.col("event_type") == "view", "zero_result").when(F.col("event_type") == "click", "other").otherwise("success")
+    calls = e.select(F.col("ts").cast("timestamp").alias("timestamp"), F.col("event_type").alias("tool_name"), F.col("user_id").cast("string").alias("session_id"), F.lit("/r").alias("root_path"), outcome.alias("outcome"), (F.col("event_id") % 3).alias("b"))
+    sink = sync.calls_sink(path)
+    for number in (0, 1, 2, 1, 2):
+        sink(calls.where(F.col("b") == number).drop("b"), number)
+    return sync.outcome_metrics(sync.recorded_calls(spark, path))
+
+
+@query("""with r as (select n_nationkey as k, case n_nationkey % 5 when 0 then 'active' when 1 then 'remapped' when 2 then 'quarantined' when 3 then 'purged' else 'transient' end as s from nation)
+select '/r' || k as root_id, s as serving_state, case when s = 'remapped' then '/r' || (k - 1) end as destination from r""")
+def q17_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """States from resolutions, and a chain of remaps followed to its end."""
+    k = F.col("n_nationkey")
+    root = lambda x: F.concat(F.lit("/r"), x.cast("string"))
+    status = F.element_at(F.array(*map(F.lit, ("supported", "supported", "bare", "no_repository", "unknown"))), (k % 5).cast("int") + 1)
+    n = catalog.table(spark, sf_dir, "nation").select(root(k).alias("root_id"), status.alias("status"), F.when(k % 5 == 0, root(k)).when(k % 5 == 1, F.concat(root(k), F.lit("x"))).alias("root"))
+    # Each remapped root leads to one that is not registered by itself, and that one to the active root.
+    more = n.where(F.col("root").endswith("x")).select(F.col("root").alias("root_id"), F.lit("supported").alias("status"), F.concat(F.lit("/r"), (F.regexp_extract("root", "[0-9]+", 0).cast("int") - 1).cast("string")).alias("root"))
+    return sync.decided(n.union(more)).where("root_id not like '%x'")
