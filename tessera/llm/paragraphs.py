@@ -36,6 +36,7 @@ from pyspark.sql import functions as F
 
 from . import common
 from .common import JACCARD_DEN, JACCARD_NUM, arrow_map, connected_components, forget, linked, materialize, mix, sieve, signed, sized
+from .scans import lookup
 
 MIN_WORDS, MAX_WORDS, PART_ENDS = 30, 96, 4
 WINDOW, REACH = 34, 18
@@ -387,6 +388,8 @@ def repeated(docs: DataFrame) -> DataFrame:
     rows = crossed(bands, lines, groups)
     forget(groups)
     for turn in range(TURNS):
+        if rows.isEmpty():  # every band lies in one component
+            break
         near = neighbours(rows, turn)
         more = sets.verified(near)
         joined = between_components(more, rows)
@@ -394,24 +397,28 @@ def repeated(docs: DataFrame) -> DataFrame:
         links = links.union(more)
         forget(near, joined)
     # Then all pairs that the bands still allow between components: each paragraph's nearest first, then those whose ends are apart even so.
-    met = between(rows)
-    first = materialize(nearest(met), "pairs")
-    more = sets.verified(first)
-    links = links.union(more)
-    joined = between_components(more, rows)
-    of = materialize(rows.select(F.col("fp").alias("node"), "g").distinct().join(joined.withColumnRenamed("node", "g"), "g", "left").select("node", F.coalesce("component", "g").alias("component")), "groups")
-    rest = materialize(still_apart(met, of), "pairs")
-    forget(first, met, joined, of, rows)
-    links = links.union(sets.verified(rest))
+    if not rows.isEmpty():
+        met = between(rows)
+        first = materialize(nearest(met), "pairs")
+        more = sets.verified(first)
+        links = links.union(more)
+        joined = between_components(more, rows)
+        of = materialize(rows.select(F.col("fp").alias("node"), "g").distinct().join(joined.withColumnRenamed("node", "g"), "g", "left").select("node", F.coalesce("component", "g").alias("component")), "groups")
+        rest = materialize(still_apart(met, of), "pairs")
+        links = links.union(sets.verified(rest))
+        forget(first, met, joined, of, rest)
+    forget(rows)
     groups = connected_components(links).withColumnRenamed("node", "fp")
 
     member = classes.join(groups, "fp", "left").where("lo < hi or component is not null").select("fp", "n_occurrences", (F.col("lo") < F.col("hi")).alias("shared"), F.coalesce("component", "fp").alias("cluster_id"))
-    found = materialize(units.join(member, "fp").select("doc_id", "is_paragraph", "first_word", "n_words", "cluster_id", "n_occurrences", "shared"), "found")
-    forget(rest, lines, units, *sets.tables)
+    member = materialize(member, "members")
+    # A print that very many documents share would bring all of its places to one task, so such prints are broadcast.
+    found = materialize(lookup(units, member, ["fp"], "n_occurrences").select("doc_id", "is_paragraph", "first_word", "n_words", "cluster_id", "n_occurrences", "shared"), "found")
+    forget(member, lines, units, *sets.tables)
     place = F.struct("doc_id", "first_word", "is_paragraph")
-    clusters = found.groupBy("cluster_id").agg(F.min(place).alias("keeper"), F.max("doc_id").alias("last"), F.bool_or("shared").alias("shared"))
-    clusters = clusters.where("shared or keeper.doc_id < last").select("cluster_id", "keeper")
-    out = found.join(clusters, "cluster_id")
+    clusters = found.groupBy("cluster_id").agg(F.min(place).alias("keeper"), F.max("doc_id").alias("last"), F.bool_or("shared").alias("shared"), F.count("*").alias("n"))
+    clusters = materialize(clusters.where("shared or keeper.doc_id < last").select("cluster_id", "keeper", "n"), "clusters")
+    out = lookup(found, clusters, ["cluster_id"], "n")
     return out.select("doc_id", "is_paragraph", "first_word", "n_words", "cluster_id", "n_occurrences", (place == F.col("keeper")).alias("kept"))
 
 
