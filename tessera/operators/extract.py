@@ -299,6 +299,22 @@ def code_facts(code: DataFrame) -> DataFrame:
     return _code_ends(code).where("edge_type <> ''").select("root_id", F.col("path").alias("file_path"), F.col("line").cast("long").alias("ordinal"), "source", "source_type", "target", "target_type", "edge_type", F.lit(1.0).alias("weight"), F.lit("").alias("description"))
 
 
+def linked_chunks(chunks: DataFrame, code: DataFrame) -> DataFrame:
+    """chunks (path, chunk_id, line_start, line_end, ...) with what code_entities() finds on their lines: imported_modules, called_symbols, symbol_type (of the
+    first definition in it) and parent_symbol (the last definition that begins before it)."""
+    met = chunks.select("path", "chunk_id", "line_start", "line_end").join(code.where("line is not null"), "path")
+    inside = F.col("line").between(F.col("line_start"), F.col("line_end"))
+    defined = (F.col("edge_type") == "") & F.col("kind").isin("class", "function")
+    names = lambda edge: F.array_sort(F.collect_set(F.when(inside & (F.col("edge_type") == edge), F.col("target"))))
+    own = met.groupBy("path", "chunk_id").agg(
+        names("imports").alias("imported_modules"), names("calls").alias("called_symbols"),
+        F.min(F.when(inside & defined, F.struct("line", "kind")))["kind"].alias("symbol_type"), F.max(F.when((F.col("line") < F.col("line_start")) & defined, F.struct("line", "name")))["name"].alias("parent_symbol"),
+    )
+    none = F.array().cast("array<string>")
+    out = chunks.join(own, ["path", "chunk_id"], "left")
+    return out.withColumns({c: F.coalesce(c, none) for c in ("imported_modules", "called_symbols")})
+
+
 def batches_of(lengths: list[int], most_items: int, most_chars: int) -> list[int]:
     """The batch number of each item: a new batch where one more item or its characters would not fit."""
     out, batch, items, chars = [], 0, 0, 0

@@ -87,8 +87,10 @@ class Engine:
 
     def _points(self, texts: DataFrame, root: str) -> DataFrame:
         formatted = F.when(F.col("file_type") == "json", split_long_lines("text", ",{[")).when(F.col("file_type") == "html", split_long_lines("text", ">")).otherwise(F.col("text"))
-        c = chunk.chunked(texts.withColumn("text", formatted), ["path", "file_type", "extension", "file_hash", "modified_time", "mtime_ns"], self.size, self.overlap)
-        p = c.select(F.col("path").alias("path_key"), F.lit(root).alias("root_id"), "file_type", "extension", "file_hash", "modified_time", "mtime_ns", "chunk_id", "chunk_text", "start_char", "end_char")
+        c = chunk.chunked(texts.withColumn("text", formatted), ["path", "file_type", "extension", "file_hash", "modified_time", "mtime_ns"], self.size, self.overlap, lines=True)
+        c = extract.linked_chunks(cut(c), extract.code_entities(texts.where("file_type = 'python'")))
+        links = ("imported_modules", "called_symbols", "parent_symbol", "symbol_type", "line_start", "line_end")
+        p = c.select(*links, F.col("path").alias("path_key"), F.lit(root).alias("root_id"), "file_type", "extension", "file_hash", "modified_time", "mtime_ns", "chunk_id", "chunk_text", "start_char", "end_char")
         more = p.select("path_key", "chunk_id", "file_hash", "modified_time", "mtime_ns", chunk_id("path_key", "chunk_id").alias("point_id"))
         return extract.embedded(store.payload(p), self.embedder, "chunk_text", kept=self.kept).join(more, ["path_key", "chunk_id"])
 

@@ -9,7 +9,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import community, graph, search, store
+from tessera.operators import chunk, community, graph, search, store
 from tessera.plans.engine import Engine
 from tessera.sources import listing, policy, scan
 
@@ -106,10 +106,20 @@ def test_a_changed_file_writes_its_buckets_alone(spark, tmp_path):
     again.index(str(root))
     for t, cols in (("edge_sums", ["edge_id", "source_id", "target_id", "weight", "n"]), ("degrees", ["entity_id", "n"]), ("uses", ["entity_id", "n"]), ("entity_vectors", ["entity_id", "name"]), ("points", ["path_key", "chunk_id", "chunk_text", "mtime_ns"])):
         assert sorted(map(tuple, e.store.read(t).select(*cols).collect())) == sorted(map(tuple, again.store.read(t).select(*cols).collect())), t
+    five = e.store.read("points").where("path_key like '%m5.py'").first()
+    assert (five.imported_modules, five.called_symbols, five.symbol_type, five.parent_symbol, five.line_start, five.line_end) == (["other"], ["h5"], "class", None, 1, 4)
     assert e.store.sweep(1) > 0
     assert e.store.read("points").select("path_key").distinct().count() == 12
 
 
+def test_chunks_keep_columns_of_any_name_and_know_their_lines(spark):
+    text = "a\n" * 400
+    d = spark.createDataFrame([(1, 2, 3, text, "text")], "`__text` int, `a.b` int, c0 int, text string, file_type string")
+    got = chunk.chunked(d, ["__text", "a.b", "c0"], 100, 10, lines=True).collect()
+    assert got[0].__fields__[:3] == ["__text", "a.b", "c0"] and all(tuple(g)[:3] == (1, 2, 3) for g in got) and len(got) > 3
+    assert all(g.line_start == text.count("\n", 0, g.start_char) + 1 and g.line_end == text.count("\n", 0, g.end_char - 1) + 1 for g in got)
+
+
 def test_sums_by_changes_equal_sums_anew(spark):
     r = random.Random(11)
     schema = "root_id string, file_path string, edge_id string, source_id string, target_id string, edge_type string, weight double"
