@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tessera.session import ship
+from tessera.streaming.watch import FolderChanges
 
 QUIET_S, MAX_AGE_S = 2.0, 10.0
 
@@ -102,6 +103,13 @@ def event_source(spark: SparkSession, folder: str) -> DataFrame:
     return file_events(raw.where(F.col("kind").isin("created", "modified", "deleted", "moved")))
 
 
+def folder_source(spark: SparkSession, folder: str, state: str, existing: bool = False) -> DataFrame:
+    """A stream of file events (root_id, path, kind, ts) of a folder, by watch.FolderChanges; state: a shared folder for its snapshots."""
+    ship(spark).dataSource.register(FolderChanges)
+    raw = spark.readStream.format("tessera_changes").option("path", folder).option("state", state).option("existing", str(existing).lower()).load()
+    return file_events(raw.withColumn("root_id", F.lit(folder)))
+
+
 def start_watch(events: DataFrame, checkpoint: str, flush, **trigger):
     """Starts the stream: flush(batch, id) for each micro-batch of debounced changes. One query owns a checkpoint folder, so a
     second one on it fails until the first has ended."""

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tessera.functions import registered
 from tessera.operators import cache, extract, store, sync
 from tessera.plans.engine import Engine
-from tessera.streaming import watch
+from tessera.streaming import events, watch
 
 
 class Noted(extract.HashEmbedder):
@@ -137,6 +137,23 @@ def test_changes_of_a_folder_are_told_once(spark, tmp_path):
     assert changes(spark, root, tmp_path, "") == []
 
 
+def test_a_folder_as_file_events(spark, tmp_path):
+    (tmp_path / "code").mkdir()
+    (tmp_path / "code" / "a").write_text("1")
+    told = []
+
+    def once():
+        q = events.folder_source(spark, str(tmp_path / "code"), str(tmp_path / "state")).writeStream
+        q = q.foreachBatch(lambda b, n: told.extend((r.path.rsplit("/", 1)[1], r.kind) for r in b.collect())).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+        q.awaitTermination()
+
+    once()
+    assert told == []  # what is there at first is not told
+    (tmp_path / "code" / "a").rename(tmp_path / "code" / "b")
+    once()
+    assert sorted(told) == [("a", "deleted"), ("b", "created")]
+
+
 def test_differences_against_replay():
     r = random.Random(4)
     old = {f"/f{k}": (k, k, k) for k in range(20)}
