@@ -2,8 +2,11 @@
 
 Vectors are scaled to length one. Coarse centroids and, for the residuals, a codebook for each part of the vector are
 fitted by k-means on at most SAMPLE rows (those with the smallest hashes of their ids). Every row is indexed: its cell
-and a byte for each part. A query probes its nearest cells; asymmetric distance tables (its products with all codewords)
-rank the rows of a cell, and the best RERANK of a block are ranked again by the exact cosine of the original vectors.
+and a byte for each part. A query probes its nearest cells, so many as hold TARGET of the neighbours that brute force finds among all
+rows for at most TRIALS of the queries. Asymmetric distance tables (its products with all codewords) rank the rows of a cell, and
+the best RERANK of a block are ranked again by the exact cosine of the original vectors. So are all others of which the table's
+value, with the length of what their code leaves out added, could still come among the k best: a block loses no neighbour to
+codes that are too coarse for it.
 
 Cells are dealt in blocks of at most BLOCK rows and their queries in blocks of about QUERY_BLOCK, each pair of blocks a
 group of its own, so a cell or a vector with a third of all rows spreads over many tasks.
@@ -30,8 +33,8 @@ from .common import arrow_map, materialize, mix
 
 SAMPLE = 20_000
 ROWS_PER_CELL, MIN_CELLS, MAX_CELLS = 400, 8, 4096
-#: So many cells are probed as hold TARGET of the neighbours of TRIALS sampled rows within the sample, MIN_PROBES at least.
-TARGET, TRIALS, MIN_PROBES = 0.95, 300, 4
+#: So many cells are probed as hold TARGET of the true neighbours of TRIALS queries (those with the smallest hashes), MIN_PROBES at least.
+TARGET, TRIALS, MIN_PROBES = 0.98, 300, 4
 PART_DIMS, CODEWORDS = 4, 256
 RERANK = 96
 BLOCK, QUERY_BLOCK = 4096, 1024
@@ -63,14 +66,7 @@ class Index:
         rest = sample - self.centroids[nearest(sample, self.centroids)]
         self.parts = np.array_split(np.arange(sample.shape[1]), max(1, sample.shape[1] // PART_DIMS))
         self.books = [kmeans(rest[:, p], CODEWORDS, 8, 2 + i) for i, p in enumerate(self.parts)]
-        trial = sample[:TRIALS]
-        alike = trial @ sample.T
-        alike[np.arange(len(trial)), np.arange(len(trial))] = -np.inf
-        k = min(5, len(sample) - 1)
-        near = np.argpartition(-alike, k - 1, axis=1)[:, :k] if k > 0 else np.zeros((len(trial), 0), np.int64)
-        place = np.argsort(np.argsort(-(trial @ self.centroids.T), axis=1), axis=1)
-        needed = np.take_along_axis(place, nearest(sample, self.centroids)[near], 1).ravel()
-        self.n_probes = max(MIN_PROBES, int(np.quantile(needed, TARGET)) + 1 if len(needed) else 0)
+        self.n_probes = MIN_PROBES
         self.rows = np.zeros(len(self.centroids), np.int64)
         self.queries = np.zeros(len(self.centroids), np.int64)
 
@@ -79,6 +75,20 @@ class Index:
         rest = x - self.centroids[cell]
         return cell, np.stack([nearest(rest[:, p], b) for p, b in zip(self.parts, self.books)], 1).astype(np.uint8)
 
+    def calibrate(self, q: np.ndarray, cells: np.ndarray) -> None:
+        """Sets n_probes from queries and the cell of a neighbour of each; a query with several neighbours comes several times."""
+        place = np.argsort(np.argsort(-(q @ self.centroids.T), axis=1, kind="stable"), axis=1)
+        needed = np.sort(place[np.arange(len(q)), cells])
+        if len(needed):
+            self.n_probes = max(MIN_PROBES, int(needed[int(np.ceil(TARGET * len(needed))) - 1]) + 1)
+
+    def rebuilt(self, cell: int, codes: np.ndarray) -> np.ndarray:
+        """The vectors that codes stand for."""
+        out = np.repeat(self.centroids[cell][None, :], len(codes), 0)
+        for m, (p, book) in enumerate(zip(self.parts, self.books)):
+            out[:, p] += book[codes[:, m]]
+        return out
+
     def probes(self, q: np.ndarray, k: int) -> list[np.ndarray]:
         """For each query its nearest cells; more of them where those hold fewer than k rows besides the query."""
         near = np.argsort(-(q @ self.centroids.T), axis=1, kind="stable")
@@ -147,6 +157,7 @@ def _search(own: DataFrame, n_rows: int, is_query, k: int) -> DataFrame:
     # A row for each cell, so at most MAX_CELLS.
     for r in indexed.groupBy("cell").count().collect():
         index.rows[r["cell"]] = r["count"]
+    _calibrate(index, own.where(is_query), indexed, k)
     second = spark.sparkContext.broadcast(index)
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,6 +203,8 @@ def _search(own: DataFrame, n_rows: int, is_query, k: int) -> DataFrame:
         ids, codes = xs.vec_id.to_numpy(), np.frombuffer(b"".join(xs.code), np.uint8).reshape(len(xs), -1)
         x = np.frombuffer(b"".join(xs.v), np.float64).reshape(len(xs), -1)
         length = np.linalg.norm(x, axis=1)
+        one = x / length[:, None]
+        missed = np.linalg.norm(one - ix.rebuilt(int(xs.cell.iloc[0]), codes), axis=1) + 1e-9
         q = np.frombuffer(b"".join(qs.q), np.float64).reshape(len(qs), -1)
         centroid = ix.centroids[int(xs.cell.iloc[0])]
         out = []
@@ -207,6 +220,7 @@ def _search(own: DataFrame, n_rows: int, is_query, k: int) -> DataFrame:
             if keep < len(xs):
                 # Rows are in order of their ids and the sort is stable: ties go to smaller ids.
                 bar = -np.partition(-near, keep - 1, axis=1)[:, keep - 1]
+            alike = None
             for i, row in enumerate(near):
                 if keep < len(xs):
                     over = np.flatnonzero(row > bar[i])
@@ -214,7 +228,17 @@ def _search(own: DataFrame, n_rows: int, is_query, k: int) -> DataFrame:
                 else:
                     best = np.arange(len(xs))
                 best = best[row[best] > -np.inf]
-                exact = (x[best] * qq[i]).sum(1) / (length[best] * np.linalg.norm(qq[i]))
+                score = lambda at: (x[at] * qq[i]).sum(1) / (length[at] * np.linalg.norm(qq[i]))  # noqa: E731, B023
+                exact = score(best)
+                if keep < len(xs) and len(best):
+                    last = np.sort(exact)[-min(k, len(best))]
+                    may = row + missed >= last
+                    may[best] = False
+                    if may.any():
+                        # A product for all of the block's queries, off by no more than rounding, leaves few rows to the exact measure.
+                        alike = u @ one.T if alike is None else alike
+                        more = np.flatnonzero(may & (alike[i] >= last - 1e-9))
+                        best, exact = np.concatenate([best, more]), np.concatenate([exact, score(more)])
                 top = np.lexsort((ids[best], -exact))[:k]
                 out.append((np.full(len(top), own[i]), ids[best[top]], exact[top]))
         return pd.DataFrame({n: np.concatenate([o[j] for o in out]) for j, n in enumerate(("query_id", "vec_id", "score"))})
@@ -224,6 +248,40 @@ def _search(own: DataFrame, n_rows: int, is_query, k: int) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
+def _calibrate(index: Index, asked: DataFrame, indexed: DataFrame, k: int) -> None:
+    """Finds the k nearest of at most TRIALS queries among all rows, by one pass in which each task keeps k rows for each, and has index probe as many cells as those need."""
+    spark = indexed.sparkSession
+    trials = asked.orderBy(F.pmod(F.xxhash64("vec_id", F.lit(3)), F.lit(1 << 40)), "vec_id").limit(TRIALS).toArrow()
+    if not trials.num_rows:
+        return
+    ids, q = trials.column("vec_id").to_numpy(), unit(trials.column("v").to_pylist())
+    given = spark.sparkContext.broadcast((ids, q))
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own_ids, own = given.value
+        # Scores, ids and cells of the best so far.
+        kept = [np.zeros((len(own), 0)), np.zeros((len(own), 0), np.int64), np.zeros((len(own), 0), np.int32)]
+        for b in batches:
+            for at in range(0, b.num_rows, 4096):
+                part = b.slice(at, 4096)
+                other = part.column("vec_id").to_numpy()
+                score = own @ unit(part.column("v").to_pylist()).T
+                score[own_ids[:, None] == other[None, :]] = -np.inf
+                new = (score, np.broadcast_to(other, score.shape), np.broadcast_to(part.column("cell").to_numpy(), score.shape))
+                every = [np.concatenate(x, 1) for x in zip(kept, new)]
+                top = np.argpartition(-every[0], k - 1, axis=1)[:, :k] if every[0].shape[1] > k else np.arange(every[0].shape[1])[None, :].repeat(len(own), 0)
+                kept = [np.take_along_axis(x, top, 1) for x in every]
+        n = kept[0].shape[1]
+        real = kept[0].ravel() > -np.inf
+        cols = [np.repeat(np.arange(len(own), dtype=np.int32), n), kept[1].ravel(), kept[0].ravel(), kept[2].ravel()]
+        yield pa.RecordBatch.from_arrays([pa.array(c[real]) for c in cols], ["trial", "vec_id", "score", "cell"])
+
+    found = arrow_map(indexed, best, "trial int, vec_id long, score double, cell int")
+    w = Window.partitionBy("trial").orderBy(F.desc("score"), "vec_id")
+    near = found.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k).select("trial", "cell").toArrow()
+    index.calibrate(q[near.column("trial").to_numpy()], near.column("cell").to_numpy())
+
+
 def brute_force(vectors: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding") -> pd.DataFrame:
     """What search() approximates, in one process: for tests and for measuring recall on small tables."""
     every = usable(vectors, id_col, vector_col).toArrow().to_pandas().sort_values("vec_id")

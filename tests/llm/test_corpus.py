@@ -267,6 +267,23 @@ def test_ann_recall_and_ties(spark):
     assert ann.search(same.limit(0), F.col("vec_id") == 0).isEmpty()
 
 
+@pytest.mark.parametrize("kind", ["one tight group", "tight groups", "queries unlike the rows"])
+def test_ann_recall_whatever_the_rows(spark, kind):
+    rng = np.random.default_rng(5)
+    n, d = 6000, 32
+    if kind == "one tight group":
+        x = 3 * rng.normal(size=d) + 0.01 * rng.normal(size=(n, d))
+    elif kind == "tight groups":
+        x = 5 * rng.normal(size=(20, d))[rng.integers(0, 20, n)] + 0.05 * rng.normal(size=(n, d))
+    else:
+        x = rng.normal(size=d) + 0.02 * rng.normal(size=(n, d))
+        x[::50] = rng.normal(size=(n // 50, d))
+    v = spark.createDataFrame([(i, y.tolist()) for i, y in enumerate(x)], "vec_id long, embedding array<double>")
+    got, want = ann.search(v, F.col("vec_id") % 50 == 0).toPandas(), ann.brute_force(v, F.col("vec_id") % 50 == 0)
+    both = set(zip(got.query_id, got.vec_id)) & set(zip(want.query_id, want.vec_id))
+    assert len(both) / len(want) >= 0.95
+
+
 def test_ann_blocks(spark, monkeypatch):
     monkeypatch.setattr(ann, "BLOCK", 64)
     monkeypatch.setattr(ann, "QUERY_BLOCK", 8)
