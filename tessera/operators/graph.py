@@ -12,7 +12,7 @@ from tessera.session import cut
 def _by_keys(facts: DataFrame) -> DataFrame:
     """The last fact of each file and edge, edges by the keys of their ends: nothing is hashed before rows are fewer."""
     f = facts.withColumns({"source_key": entity_key("source", "source_type", "root_id"), "target_key": entity_key("target", "target_type", "root_id")})
-    last = F.max_by(F.struct("weight", "description"), F.struct("ordinal", "weight"))
+    last = F.max_by(F.struct("weight", "description"), F.struct("ordinal", "weight", "description"))
     return f.groupBy("root_id", "file_path", "source_key", "target_key", "edge_type").agg(last.alias("x")).select("root_id", "file_path", "source_key", "target_key", "edge_type", "x.weight", "x.description")
 
 
@@ -24,7 +24,7 @@ def _hashed(keyed: DataFrame) -> DataFrame:
 
 def contributions(facts: DataFrame) -> DataFrame:
     """facts (root_id, file_path, ordinal, source, source_type, target, target_type, edge_type, weight, description) as edge
-    contributions: one for each edge and file, the last of the file by ordinal."""
+    contributions: one for each edge and file, the last of the file by ordinal, then by weight and description."""
     return _hashed(_by_keys(facts)).select("root_id", "file_path", "edge_id", "source_id", "target_id", "edge_type", "weight", "description")
 
 

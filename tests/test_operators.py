@@ -128,6 +128,12 @@ def edges_of(spark, rows):
     return c, graph.edges(c), e
 
 
+@pytest.mark.parametrize("texts", ["AR", "RA"])
+def test_facts_that_tie_but_for_their_description(spark, texts):
+    f = spark.createDataFrame([(ROOT, "/a.py", 1, "A", "x", "B", "x", "k", 2.0, t) for t in texts], "root_id string, file_path string, ordinal long, source string, source_type string, target string, target_type string, edge_type string, weight double, description string").coalesce(1)
+    assert [c.description for c in graph.contributions(f).collect()] == ["R"] and [e.description for e in graph.edges_of(f).collect()] == ["R"]
+
+
 def test_graph_scenarios(spark):
     c, g, e = edges_of(spark, [("/a.py", "A", "B", "calls", 1.0), ("/b.py", "A", "B", "calls", 2.5), ("/a.py", "B", "C", "calls", 1), ("/a.py", "C", "C", "calls", 1), ("/a.py", "main", "helper", "calls", 1), ("/a.py", "setup", "helper", "calls", 1)])
     by = {r.name: r.entity_id for r in e.collect()}
