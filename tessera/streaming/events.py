@@ -22,11 +22,13 @@ def file_events(events: DataFrame) -> DataFrame:
 
 
 def quiet_batches(events: DataFrame, quiet: str = "2 seconds", late: str = "1 minute") -> DataFrame:
-    """(root_id, start, end, paths): events with no pause as long as quiet, by session windows. Works on streams and on tables."""
+    """(root_id, start, end, paths): events with no pause as long as quiet, by session windows. Works on streams and on tables.
+
+    Spark joins windows that touch, so theirs are a microsecond shorter: a pause of just quiet parts, as in split_batches()."""
     ts = F.col("ts").cast("timestamp")
     e = events.select("root_id", "path", ts.alias("ts"))
     e = e.withWatermark("ts", late) if events.isStreaming else e
-    return e.groupBy("root_id", F.session_window("ts", quiet).alias("w")).agg(F.array_sort(F.collect_set("path")).alias("paths")).select("root_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "paths")
+    return e.groupBy("root_id", F.session_window("ts", f"{quiet} -1 microseconds").alias("w")).agg(F.array_sort(F.collect_set("path")).alias("paths")).select("root_id", F.col("w.start").alias("start"), (F.col("w.end") + F.expr("interval 1 microsecond")).alias("end"), "paths")
 
 
 def split_batches(times: list[float], quiet: float = QUIET_S, max_age: float = MAX_AGE_S) -> list[int]:

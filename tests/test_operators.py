@@ -465,3 +465,15 @@ def test_targets_cap(spark):
     assert search.targets(few, m, m).count() == 2 and search.targets(m.where("entity_id < 'e5'"), m, m).count() == 0
     tiny = m.where("community_id < 'c2'")
     assert search.targets(tiny.limit(1), tiny, tiny).count() == 0 and search.targets(tiny.limit(1), tiny, tiny, rounding="ceil").count() == 1
+
+
+def test_a_pause_of_just_the_quiet_time_parts(spark):
+    base = 1_704_067_200_000_000
+    # Steps of 2 s, of just less, of just more.
+    steps = [0, 2_000_000, 1_999_999, 2_000_000, 2_000_001, 1, 2_000_000]
+    us = [base + 172_425 + sum(steps[: k + 1]) for k in range(len(steps))]
+    f = spark.createDataFrame([("/r", f"p{k}", t) for k, t in enumerate(us)], "root_id string, path string, t long").select("root_id", "path", F.lit("modified").alias("kind"), F.timestamp_micros("t").alias("ts"))
+    want = [["p0"], ["p1", "p2"], ["p3"], ["p4", "p5"], ["p6"]]
+    q = events.quiet_batches(f).orderBy("start").select("paths", F.unix_micros("start").alias("a"), F.unix_micros("end").alias("b")).collect()
+    assert [r.paths for r in q] == want and (q[1].a, q[1].b) == (us[1], us[2] + 2_000_000)
+    assert [r.paths for r in events.debounced_table(f).orderBy("first_ts").collect()] == want
