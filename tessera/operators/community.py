@@ -22,6 +22,8 @@ from tessera.session import cut, ship
 
 #: Rounds of moves of a level, and levels. Moves that are left when rounds end are made in the next level's graph or not at all.
 ROUNDS, LEVELS = 12, 8
+#: Rounds of the last level go on, dealt anew, until no move is left, or so many times with those of the levels before.
+DEALS = 24
 
 
 class Reporter(Protocol):
@@ -30,15 +32,16 @@ class Reporter(Protocol):
     def report(self, names: list[str], files: list[str], edge_count: int) -> tuple[str, str, list[str]]: ...
 
 
-def _moved(nodes: DataFrame, links: DataFrame) -> tuple[DataFrame, int]:
-    """(node, group, k, total) after rounds of moves, and how many moves there were.
+def _moved(nodes: DataFrame, links: DataFrame, deal: int = 0) -> tuple[DataFrame, bool]:
+    """(node, group, k, total) after rounds of moves, and whether no move was left.
 
     nodes: (node, group, k, total), k the sum of a node's weights, total that of its root; links: (a, b, w), each in both directions, no loops.
-    In a round only the nodes of one half, dealt anew by a hash, may move, so neighbours rarely swap places for ever.
+    In a round only the nodes of one half, dealt anew by a hash, may move, so neighbours rarely swap places for ever. Calls with other deals
+    deal other halves: those that have swapped all along in one part in the next.
     """
     now = cut(nodes.select("node", "group", "k", "total"))
-    moves, quiet = 0, 0
-    for r in range(ROUNDS):
+    quiet = 0
+    for r in range(deal * ROUNDS, (deal + 1) * ROUNDS):
         size = now.groupBy("group").agg(F.sum("k").alias("size"))
         seen = links.join(now.select(F.col("node").alias("b"), "group"), "b").select(F.col("a").alias("node"), "group", "w")
         seen = seen.union(now.select("node", "group", F.lit(0.0))).groupBy("node", "group").agg(F.sum("w").alias("w"))
@@ -51,13 +54,13 @@ def _moved(nodes: DataFrame, links: DataFrame) -> tuple[DataFrame, int]:
         goes = may & (-F.col("best.minus") > F.col("stay"))
         now = cut(best.select("node", F.when(goes, F.col("best.group")).otherwise(F.col("own")).alias("group"), "k", "total", goes.alias("moved")))
         n = now.where("moved").count()
-        now, moves, quiet = now.drop("moved"), moves + n, 0 if n else quiet + 1
+        now, quiet = now.drop("moved"), 0 if n else quiet + 1
         if quiet == 2:  # neither half has a move left
             break
-    return now, moves
+    return now, quiet == 2
 
 
-def _refined(nodes: DataFrame, links: DataFrame) -> tuple[DataFrame, int]:
+def _refined(nodes: DataFrame, links: DataFrame, deal: int = 0) -> tuple[DataFrame, int]:
     """(node, part, group, k, total), parts of the groups of nodes (node, group, k, total), and how many nodes joined one.
 
     A node that is alone and well connected to its group (its links to the group are no fewer than chance gives) joins the part of the group with
@@ -72,7 +75,7 @@ def _refined(nodes: DataFrame, links: DataFrame) -> tuple[DataFrame, int]:
     well = cut(well)
     now = cut(own.withColumn("part", F.col("node")))
     joined, quiet = 0, 0
-    for r in range(ROUNDS):
+    for r in range(deal * ROUNDS, (deal + 1) * ROUNDS):
         parts = now.groupBy("part").agg(F.sum("k").alias("size"), F.count("*").alias("members"))
         half = F.pmod(F.xxhash64("node", F.lit(r // 2), F.lit(9)), F.lit(2)) == r % 2
         alone = now.join(parts.where("members = 1").select("part"), "part", "left_semi").join(well, "node", "left_semi").where(half).select("node", "k", "total")
@@ -131,9 +134,15 @@ def detect(entities: DataFrame, pairs: DataFrame) -> DataFrame:
     every: list[DataFrame] = []
     member = nodes.select("node", F.col("node").alias("at"))
     left = nodes.count()
+    deal = 0
     for _ in range(LEVELS):
-        moved, _moves = _moved(nodes, links)
-        parts, joined = _refined(moved, links)
+        moved, settled = _moved(nodes, links, deal)
+        parts, joined = _refined(moved, links, deal)
+        deal += 1
+        while not joined and not settled and deal < DEALS:
+            moved, settled = _moved(moved, links, deal)
+            parts, joined = _refined(moved, links, deal)
+            deal += 1
         if not joined:
             # No part grows any more: what the last moves brought together, as far as it is connected, is the coarsest level.
             parts = moved.join(_connected(moved, links), "node")

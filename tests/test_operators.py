@@ -477,3 +477,11 @@ def test_a_pause_of_just_the_quiet_time_parts(spark):
     q = events.quiet_batches(f).orderBy("start").select("paths", F.unix_micros("start").alias("a"), F.unix_micros("end").alias("b")).collect()
     assert [r.paths for r in q] == want and (q[1].a, q[1].b) == (us[1], us[2] + 2_000_000)
     assert [r.paths for r in events.debounced_table(f).orderBy("first_ts").collect()] == want
+
+
+def test_neighbours_do_not_swap_places_for_ever(spark):
+    """Of 1500 pairs linked to nobody else each is a community, however the halves are dealt."""
+    nodes = spark.range(3000).select(F.lit(ROOT).alias("root_id"), F.concat(F.lit("n"), F.col("id").cast("string")).alias("entity_id"))
+    pairs = spark.range(1500).select(F.concat(F.lit("n"), (F.col("id") * 2).cast("string")).alias("a"), F.concat(F.lit("n"), (F.col("id") * 2 + 1).cast("string")).alias("b"))
+    g = community.detect(nodes, pairs).where("level = 0").groupBy("group").count()
+    assert {(r["count"], r.n) for r in g.groupBy("count").agg(F.count("*").alias("n")).collect()} == {(2, 1500)}
