@@ -10,9 +10,12 @@ from tessera.session import cut
 
 
 def _by_keys(facts: DataFrame) -> DataFrame:
-    """The last fact of each file and edge, edges by the keys of their ends: nothing is hashed before rows are fewer."""
-    f = facts.withColumns({"source_key": entity_key("source", "source_type", "root_id"), "target_key": entity_key("target", "target_type", "root_id")})
-    last = F.max_by(F.struct("weight", "description"), F.struct("ordinal", "weight", "description"))
+    """The last fact of each file and edge, edges by the keys of their ends: nothing is hashed before rows are fewer.
+
+    Rows lie by edge, which serves the groups by file and edge and the sums by edge that follow: one shuffle for both."""
+    f = facts.select("root_id", "file_path", entity_key("source", "source_type", "root_id").alias("source_key"), entity_key("target", "target_type", "root_id").alias("target_key"), "edge_type", "ordinal", "weight", "description")
+    f = f.repartition("root_id", "source_key", "target_key", "edge_type")
+    last = F.max(F.struct("ordinal", "weight", "description"))
     return f.groupBy("root_id", "file_path", "source_key", "target_key", "edge_type").agg(last.alias("x")).select("root_id", "file_path", "source_key", "target_key", "edge_type", "x.weight", "x.description")
 
 
@@ -22,9 +25,12 @@ def _hashed(keyed: DataFrame) -> DataFrame:
     return out.withColumn("edge_id", edge_id("source_id", "target_id", "edge_type", "root_id"))
 
 
-def contributions(facts: DataFrame) -> DataFrame:
+def contributions(facts: DataFrame, keyed: bool = False) -> DataFrame:
     """facts (root_id, file_path, ordinal, source, source_type, target, target_type, edge_type, weight, description) as edge
-    contributions: one for each edge and file, the last of the file by ordinal, then by weight and description."""
+    contributions: one for each edge and file, the last of the file by ordinal, then by weight and description.
+    Keyed, they have source_key and target_key in place of ids, for sums that hash what is left."""
+    if keyed:
+        return _by_keys(facts)
     return _hashed(_by_keys(facts)).select("root_id", "file_path", "edge_id", "source_id", "target_id", "edge_type", "weight", "description")
 
 
@@ -35,13 +41,15 @@ def _summed() -> tuple[Column, Column]:
 
 
 def edges(contribs: DataFrame) -> DataFrame:
-    """Edges as sums of their stored contributions."""
+    """Edges as sums of their stored contributions, or of keyed ones: then ids are made once for each edge."""
+    if "source_key" in contribs.columns:
+        return _hashed(contribs.groupBy("root_id", "source_key", "target_key", "edge_type").agg(*_summed()))
     return contribs.groupBy("root_id", "edge_id", "source_id", "target_id", "edge_type").agg(*_summed())
 
 
 def edges_of(facts: DataFrame) -> DataFrame:
     """edges(contributions(facts)), with the keys of the ends: ids are made once for each edge."""
-    return _hashed(_by_keys(facts).groupBy("root_id", "source_key", "target_key", "edge_type").agg(*_summed()))
+    return edges(contributions(facts, keyed=True))
 
 
 # Stored sums, kept by signed changes: only keys that a change names are touched.
@@ -114,14 +122,19 @@ def callers(entities: DataFrame, edge_table: DataFrame, name: str) -> DataFrame:
 def neighbours(edge_table: DataFrame, seeds: DataFrame, depth: int, edge_types: list[str] | None = None) -> DataFrame:
     """(entity_id, hops): what is within depth undirected steps of the seeds, each once with its fewest steps, without the seeds.
 
-    Only the frontier is expanded; what was seen is taken out by an anti-join, and lineage is cut at each step.
+    Only the frontier is expanded; what was seen is taken out by an anti-join, and lineage is cut at each step. Edges with keys are kept by
+    them, which are shorter than ids.
     """
     e = edge_table if edge_types is None else edge_table.where(F.col("edge_type").isin(edge_types))
-    both = e.select(F.col("source_id").alias("a"), F.col("target_id").alias("b")).union(e.select("target_id", "source_id")).where("a <> b")
+    keyed = "source_key" in e.columns
+    source, target = ("source_key", "target_key") if keyed else ("source_id", "target_id")
+    id_of = (lambda c: F.sha2(c, 256)) if keyed else F.col
+    way = lambda a, b: F.struct(F.col(a).alias("a"), F.col(b).alias("b"))
+    both = e.where(F.col(source) != F.col(target)).select(F.explode(F.array(way(source, target), way(target, source))).alias("x")).select("x.a", "x.b")
     seen = frontier = seeds.select("entity_id").distinct().withColumn("hops", F.lit(0))
     both = cut(both) if depth > 1 else both  # read at every step, so made once
     for k in range(1, depth + 1):
-        step = frontier.join(both, frontier.entity_id == both.a).select(F.col("b").alias("entity_id")).distinct()
+        step = frontier.join(both, frontier.entity_id == id_of("a")).select("b").distinct().select(id_of("b").alias("entity_id"))
         frontier = cut(step.join(seen, "entity_id", "left_anti").withColumn("hops", F.lit(k)))
         seen = seen.union(frontier)
     return seen.where("hops > 0")
@@ -141,7 +154,12 @@ def undirected(edge_table: DataFrame) -> DataFrame:
 
 
 def internal_edges(edge_table: DataFrame, members: DataFrame) -> DataFrame:
-    """(community_id, edge columns): edges with both ends in one community. members: (community_id, entity_id)."""
+    """(community_id, edge columns): edges with both ends in one community. members: (community_id, entity_id). Edges (root_id, source_key,
+    target_key, edge_type, ...) get their ids when those between communities are gone."""
+    if "source_key" in edge_table.columns:
+        s, t = (members.select(F.col("community_id").alias(c), F.col("entity_id").alias(i)) for c, i in (("community_id", "_s"), ("_c", "_t")))
+        own = edge_table.join(s, F.sha2("source_key", 256) == s["_s"]).drop("_s")
+        return _hashed(own.join(t, (F.sha2("target_key", 256) == t["_t"]) & (own["community_id"] == t["_c"])).drop("_t", "_c"))
     s = members.select("community_id", F.col("entity_id").alias("source_id"))
     t = members.select("community_id", F.col("entity_id").alias("target_id"))
     return edge_table.join(s, "source_id").join(t, ["community_id", "target_id"])
@@ -195,7 +213,8 @@ def member_files(entities: DataFrame, members: DataFrame) -> DataFrame:
 def stub_endpoints(entities: DataFrame, facts: DataFrame) -> DataFrame:
     """(root_id, entity_id, name, type) of the ends of facts that no entity stands for; the first name in order where they differ in letters' case."""
     ends = F.array(F.struct(F.col("source").alias("name"), F.col("source_type").alias("type")), F.struct(F.col("target").alias("name"), F.col("target_type").alias("type")))
-    each = facts.select("root_id", F.explode(ends).alias("e")).select("root_id", "e.name", "e.type", entity_id("e.name", "e.type", "root_id").alias("entity_id"))
+    # Names are few beside facts, so they are hashed once they are distinct.
+    each = facts.select("root_id", F.explode(ends).alias("e")).select("root_id", "e.name", "e.type").distinct().withColumn("entity_id", entity_id("name", "type", "root_id"))
     once = each.groupBy("root_id", "entity_id").agg(F.min(F.struct("name", "type")).alias("e")).select("root_id", "entity_id", "e.name", "e.type")
     return once.join(entities.select("entity_id"), "entity_id", "left_anti").select("root_id", "entity_id", "name", "type")
 

@@ -36,12 +36,11 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def people_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Edges among customers and suppliers of one order, for community queries: customer to supplier, by lineitem."""
+    """Edges among customers and suppliers of one order, for community queries: customer to supplier, by lineitem, with the keys of their ends."""
     o = catalog.table(spark, sf_dir, "lineitem").join(catalog.table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
-    name = lambda kind, key: F.concat(F.lit(f"{kind} "), F.col(key).cast("string"))
-    e = o.select(identity.entity_id(name("customer", "o_custkey"), F.lit("customer"), F.lit(SHOP)).alias("source_id"), identity.entity_id(name("supplier", "l_suppkey"), F.lit("supplier"), F.lit(SHOP)).alias("target_id"), F.col("l_quantity").alias("weight"))
-    g = e.groupBy("source_id", "target_id").agg(F.sum("weight").alias("weight"))
-    return g.select(identity.edge_id("source_id", "target_id", F.lit("buys"), F.lit(SHOP)).alias("edge_id"), "source_id", "target_id", F.lit("buys").alias("edge_type"), "weight", F.lit("").alias("description"))
+    g = o.groupBy("o_custkey", "l_suppkey").agg(F.sum("l_quantity").alias("weight"))
+    key = lambda kind, c: identity.entity_key(F.concat(F.lit(f"{kind} "), F.col(c).cast("string")), F.lit(kind), F.lit(SHOP))
+    return g.select(F.lit(SHOP).alias("root_id"), key("customer", "o_custkey").alias("source_key"), key("supplier", "l_suppkey").alias("target_key"), F.lit("buys").alias("edge_type"), "weight", F.lit("").alias("description"))
 
 
 _PE = f"""pe as (select sha256('customer ' || o_custkey || '|customer|{SHOP}') as source_id, sha256('supplier ' || l_suppkey || '|supplier|{SHOP}') as target_id, sum(l_quantity) as weight from lineitem join orders on l_orderkey = o_orderkey group by 1, 2),
@@ -111,7 +110,7 @@ def j10_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_PM + ", hit as (select distinct entity_id from members where entity_id in (select target_id from pe2 where weight > 150)) select distinct community_id from members where entity_id in (select entity_id from hit)")
 def j7_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = people_edges(spark, sf_dir).where("weight > 150").select(F.col("target_id").alias("entity_id")).distinct()
+    hits = people_edges(spark, sf_dir).where("weight > 150").select("target_key").distinct().select(F.sha2("target_key", 256).alias("entity_id"))
     return catalog.members(spark, sf_dir).join(hits, "entity_id", "left_semi").select("community_id").distinct()
 
 

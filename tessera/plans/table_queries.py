@@ -171,7 +171,7 @@ _REPLACED = sql("facts", "contribs") + ", c2 as (select * from contribs where fi
 
 @query(_REPLACED)
 def s26_replace_file(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = catalog.contribs(spark, sf_dir)
+    c = catalog.contribs(spark, sf_dir, keyed=True)
     new = c.where("file_path = '/o/1-URGENT' and weight > 25").withColumn("weight", F.col("weight") * 2)
     e = graph.edges(store.replaced_file(c, new))
     return e.groupBy("edge_type").agg(F.count("*").alias("n"), F.sum("weight").alias("weight"))
@@ -179,7 +179,7 @@ def s26_replace_file(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(sql("facts", "contribs") + "select edge_type, count(distinct edge_id) as n from contribs where file_path <> '/o/2-HIGH' group by edge_type")
 def s27_delete_file(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.edges(store.without_file(catalog.contribs(spark, sf_dir), catalog.SHOP, "/o/2-HIGH")).groupBy("edge_type").agg(F.count("*").alias("n"))
+    return graph.edges(store.without_file(catalog.contribs(spark, sf_dir, keyed=True), catalog.SHOP, "/o/2-HIGH")).groupBy("edge_type").agg(F.count("*").alias("n"))
 
 
 @query("select o_orderkey, o_orderpriority as build_id from orders where o_orderpriority = '1-URGENT'")

@@ -42,8 +42,8 @@ def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return buys.union(calls)
 
 
-def contribs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return contributions(facts(spark, sf_dir))
+def contribs(spark: SparkSession, sf_dir: str, keyed: bool = False) -> DataFrame:
+    return contributions(facts(spark, sf_dir), keyed)
 
 
 def entities(spark: SparkSession, sf_dir: str) -> DataFrame:

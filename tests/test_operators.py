@@ -485,3 +485,20 @@ def test_neighbours_do_not_swap_places_for_ever(spark):
     pairs = spark.range(1500).select(F.concat(F.lit("n"), (F.col("id") * 2).cast("string")).alias("a"), F.concat(F.lit("n"), (F.col("id") * 2 + 1).cast("string")).alias("b"))
     g = community.detect(nodes, pairs).where("level = 0").groupBy("group").count()
     assert {(r["count"], r.n) for r in g.groupBy("count").agg(F.count("*").alias("n")).collect()} == {(2, 1500)}
+
+
+def test_edges_by_keys_give_what_ids_give(spark):
+    rows = [("/a.py", "A", "B", 1.0, "r"), ("/b.py", "A", "B", 2.0, "s"), ("/a.py", "B", "C", 1.0, ""), ("/a.py", "C", "C", 1.0, ""), ("/b.py", "C", "D", 4.0, "")]
+    f = spark.createDataFrame([(ROOT, p, k, a, "x", b, "x", "k", w, t) for k, (p, a, b, w, t) in enumerate(rows)], "root_id string, file_path string, ordinal long, source string, source_type string, target string, target_type string, edge_type string, weight double, description string")
+    keyed, plain = graph.edges_of(f), graph.edges(graph.contributions(f))
+    columns = ["edge_id", "source_id", "target_id", "edge_type", "weight", "description"]
+    rows_of = lambda d, *c: sorted(map(tuple, d.select(*c).collect()))
+    assert rows_of(keyed, *columns) == rows_of(plain, *columns) and len(rows_of(plain, *columns)) == 4
+    e = f.select(F.explode(F.array("source", "target")).alias("name")).distinct().select("name", identity.entity_id("name", F.lit("x"), F.lit(ROOT)).alias("entity_id"))
+    members = e.select(F.when(F.col("name") < "C", "one").otherwise("two").alias("community_id"), "entity_id")
+    inner = ["community_id", *columns]
+    assert rows_of(graph.internal_edges(keyed, members), *inner) == rows_of(graph.internal_edges(plain, members), *inner)
+    assert rows_of(graph.neighbours(keyed, e.where("name = 'A'"), 2), "entity_id", "hops") == rows_of(graph.neighbours(plain, e.where("name = 'A'"), 2), "entity_id", "hops")
+    # One shuffle serves the groups by file and edge and the sums by edge.
+    assert keyed._jdf.queryExecution().sparkPlan().toString().count("Exchange") <= 1
+    assert keyed._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1].count("Exchange ") == 1
