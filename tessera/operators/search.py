@@ -16,6 +16,8 @@ from tessera.session import ship
 
 #: Queries whose vectors fit this many bytes are broadcast; larger sets go in blocks.
 MAX_QUERY_BYTES = 64 << 20
+#: Scores that a task holds at once, queries by points.
+BLOCK_CELLS = 1 << 20
 
 
 def where_metadata(points: DataFrame, file_path: str | None = None, root_id: str | None = None, extensions: list[str] | None = None, file_types: list[str] | None = None, exclude: str | None = None, base_dirs: list[str] | None = None, min_score: float | None = None) -> DataFrame:
@@ -86,18 +88,30 @@ def unit_blocks(vectors: list[tuple[int, list[float | None]]]) -> dict[int, tupl
     return out
 
 
+def _better(best: tuple[np.ndarray, np.ndarray], queries: np.ndarray, ids: np.ndarray, unit: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """best (ids, scores) of each query with points taken in, by blocks of at most BLOCK_CELLS scores."""
+    points = min(1024, BLOCK_CELLS)
+    step = max(1, BLOCK_CELLS // points)
+    out = []
+    for a in range(0, len(queries), step):
+        own, score = best[0][a : a + step], best[1][a : a + step]
+        for b in range(0, len(ids), points):
+            # Products of single rows, summed alike whatever else is in the block, so equal vectors tie.
+            new = np.einsum("qd,pd->qp", queries[a : a + step], unit[b : b + points])
+            own, score = np.concatenate([own, np.broadcast_to(ids[b : b + points], new.shape)], 1), np.concatenate([score, new], 1)
+            turn = np.lexsort((own, -score), axis=1)[:, :k]
+            own, score = np.take_along_axis(own, turn, 1), np.take_along_axis(score, turn, 1)
+        out.append((own, score))
+    return tuple(np.concatenate(x) for x in zip(*out)) if out else best
+
+
 def best_of(batches: Iterator[pa.RecordBatch], queries: dict[int, tuple[np.ndarray, np.ndarray]], k: int) -> Iterator[pa.RecordBatch]:
-    """The k best of a task's points (id, v) for each query: a matrix product for each batch, beside the best so far."""
+    """The k best of a task's points (id, v) for each query: matrix products of blocks, beside the best so far."""
     best = {d: (np.zeros((len(q[0]), 0), np.int64), np.zeros((len(q[0]), 0))) for d, q in queries.items()}
     for x in batches:
         for d, (ids, unit) in unit_blocks(list(zip(x.column(0).to_pylist(), x.column(1).to_pylist()))).items():
             if d in queries:
-                # Products of single rows, summed alike whatever else is in the batch, so equal vectors tie.
-                scores = np.einsum("qd,pd->qp", queries[d][1], unit)
-                old_ids, old = best[d]
-                every, score = np.concatenate([old_ids, np.broadcast_to(ids, scores.shape)], 1), np.concatenate([old, scores], 1)
-                turn = np.lexsort((every, -score), axis=1)[:, :k]
-                best[d] = np.take_along_axis(every, turn, 1), np.take_along_axis(score, turn, 1)
+                best[d] = _better(best[d], queries[d][1], ids, unit, k)
     for d, (ids, score) in best.items():
         if ids.size:
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(queries[d][0], ids.shape[1])), pa.array(ids.ravel()), pa.array(score.ravel())], ["query_id", "id", "score"])

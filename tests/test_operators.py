@@ -502,3 +502,17 @@ def test_edges_by_keys_give_what_ids_give(spark):
     # One shuffle serves the groups by file and edge and the sums by edge.
     assert keyed._jdf.queryExecution().sparkPlan().toString().count("Exchange") <= 1
     assert keyed._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1].count("Exchange ") == 1
+
+
+def test_best_of_many_queries_in_bounded_blocks(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    monkeypatch.setattr(search, "BLOCK_CELLS", 64)
+    rng = np.random.default_rng(3)
+    q, x = rng.normal(size=(50, 4)), rng.normal(size=(90, 4)).repeat(2, 0)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(x))), pa.array(x.tolist())], ["id", "v"])
+    got = pa.Table.from_batches(search.best_of(iter([batch]), search.unit_blocks(list(enumerate(q.tolist()))), 5)).to_pandas()
+    score = np.einsum("qd,pd->qp", q / np.linalg.norm(q, axis=1)[:, None], x / np.linalg.norm(x, axis=1)[:, None])
+    for i in range(50):
+        assert got[got.query_id == i].id.tolist() == np.lexsort((np.arange(len(x)), -score[i]))[:5].tolist()
