@@ -516,3 +516,9 @@ def test_best_of_many_queries_in_bounded_blocks(monkeypatch):
     score = np.einsum("qd,pd->qp", q / np.linalg.norm(q, axis=1)[:, None], x / np.linalg.norm(x, axis=1)[:, None])
     for i in range(50):
         assert got[got.query_id == i].id.tolist() == np.lexsort((np.arange(len(x)), -score[i]))[:5].tolist()
+
+
+def test_chunks_come_in_small_batches(spark):
+    d = spark.range(400, numPartitions=1).select("id", F.lit("a text of some words").alias("text"), F.lit("text").alias("file_type"))
+    sizes = chunk.chunked(d, ["id"]).mapInArrow(lambda bs: (b.select(["chunk_id"]) for b in bs), "chunk_id int").count()
+    assert sizes == 400 and chunk.ROWS <= 256
