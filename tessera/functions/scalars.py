@@ -129,8 +129,13 @@ def unfenced_json(text: Column | str) -> Column:
 def report_fields(text: Column | str) -> Column:
     """(title, summary, findings) of a report in JSON: at most 200 and 500 characters, and 5 findings of 200."""
     j = F.from_json(unfenced_json(text), "title string, summary string, findings array<string>")
-    cut = F.transform(F.slice(F.coalesce(j["findings"], F.array().cast("array<string>")), 1, 5), lambda f: F.substring(f, 1, 200))
-    return F.struct(F.substring(F.coalesce(j["title"], F.lit("")), 1, 200).alias("title"), F.substring(F.coalesce(j["summary"], F.lit("")), 1, 500).alias("summary"), cut.alias("findings"))
+
+    def fields(j: Column) -> Column:
+        cut = F.transform(F.slice(F.coalesce(j["findings"], F.array().cast("array<string>")), 1, 5), lambda f: F.substring(f, 1, 200))
+        return F.struct(F.substring(F.coalesce(j["title"], F.lit("")), 1, 200).alias("title"), F.substring(F.coalesce(j["summary"], F.lit("")), 1, 500).alias("summary"), cut.alias("findings"))
+
+    # As an array's one element: else each field would be taken by a parse of its own.
+    return F.transform(F.array(j), fields)[0]
 
 
 def joined_parts(parts: Column | str) -> Column:

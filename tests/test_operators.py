@@ -522,3 +522,9 @@ def test_chunks_come_in_small_batches(spark):
     d = spark.range(400, numPartitions=1).select("id", F.lit("a text of some words").alias("text"), F.lit("text").alias("file_type"))
     sizes = chunk.chunked(d, ["id"]).mapInArrow(lambda bs: (b.select(["chunk_id"]) for b in bs), "chunk_id int").count()
     assert sizes == 400 and chunk.ROWS <= 256
+
+
+def test_reports_are_parsed_once_a_row(spark):
+    d = spark.createDataFrame([('```json\n{"title": "t", "summary": "s", "findings": ["a", "b"]}\n```',), ("none",), (None,)], "t string").select(scalars.report_fields("t").alias("r")).select("r.title", "r.summary", "r.findings")
+    assert [tuple(r) for r in d.collect()] == [("t", "s", ["a", "b"]), ("", "", []), ("", "", [])]
+    assert d._jdf.queryExecution().optimizedPlan().toString().count("from_json") == 1
