@@ -7,7 +7,7 @@ equal sets are one class, found by a print of the set. The others are banded: BA
 pairs of similarity 0.75 with probability 1 - (1 - 0.75^2)^6 = 0.993. A sketch of SKETCH_BITS parities for each set says
 which pairs may link: sketches differ in no more bits than the sets in shingles, so no pair that links is dropped. Every class
 is first paired with the nearest hub of its bands; pairs are verified by their exact Jaccard similarity, and what links gives
-components. Rounds of neighbours follow: a band is sorted by its sketches, from another word of theirs each round, and a
+components. Rounds of neighbours follow in bands of more than DENSE paragraphs: a band is sorted by its sketches, from another word of theirs each round, and a
 paragraph is paired with the nearest of another component among the NEXT before and after it; so components that belong together
 come together by few pairs, however many near copies there are. Then all pairs of a band that still lie in different components
 and may link are verified, so that none that shares a band is missed: each paragraph's nearest pair first, then the rest.
@@ -31,7 +31,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -43,6 +43,8 @@ BANDS, BAND_ROWS = 6, 2
 _TURNS = (mix(np.arange(1, BANDS * BAND_ROWS + 1, dtype=np.uint64)) | np.uint64(1)).tolist()
 #: Classes of a band that one task pairs with all others of it; a band of more is dealt to several.
 SALTED = 128
+#: Bands of so many classes or fewer have no rounds of neighbours: all of their pairs are DENSE / 2 for each of their rows at most.
+DENSE = 32
 TURNS = 3  # rounds of neighbours
 NEXT = 8  # paragraphs after one, in the order of sketches, that are tried as neighbours
 TURN = 0x2545F4914F6CDD1D  # turns prints so that another of them is the smallest
@@ -257,6 +259,14 @@ def sketched(lines: DataFrame) -> DataFrame:
     return lines.select("fp", "n", *(F.col("sketch")[k].alias(c) for k, c in enumerate(SKETCH)), *(F.col("bands")[k].alias(f"b{k}") for k in range(BANDS)))
 
 
+def shared_bands(lines: DataFrame) -> DataFrame:
+    """(band, k, fp), a written table: the bands of lines in which two classes or more meet; k: which of the class's bands it is. Most bands have
+    one class, so they are all shuffled here once and what follows handles few."""
+    own = lines.select("fp", F.posexplode("bands").alias("k", "band"))
+    many = own.withColumn("c", F.count("*").over(Window.partitionBy("band"))).where("c > 1")
+    return materialize(many.select("band", "k", "fp"), "bands")
+
+
 def stars(bands: DataFrame, lines: DataFrame) -> DataFrame:
     """(a, na, b, nb): each class with the nearest of its bands' hubs that sizes and sketches allow. A band's hubs are three of its classes,
     the smallest and the largest print and one between, so there are a few pairs for each class at most."""
@@ -271,14 +281,14 @@ def stars(bands: DataFrame, lines: DataFrame) -> DataFrame:
 
 
 def _several(rows: DataFrame) -> DataFrame:
-    """rows (band, g, ...) of those bands in which several components g meet, with the number of tasks that each is dealt to."""
+    """rows (band, g, ...) of those bands in which several components g meet, with the number c of a band's rows."""
     many = rows.groupBy("band").agg(F.min("g").alias("lo"), F.max("g").alias("hi"), F.count("*").alias("c")).where("lo < hi")
-    return rows.join(many.select("band", F.expr(f"cast(c div {SALTED} + 1 as int)").alias("salts")), "band")
+    return rows.join(many.select("band", "c"), "band")
 
 
 def crossed(bands: DataFrame, lines: DataFrame, groups: DataFrame) -> DataFrame:
-    """(band, k, fp, n, g, salts, sketch..., b0...), a written table: the rows of those bands in which several components (node, component) meet.
-    k: which of the paragraph's bands it is."""
+    """(band, k, fp, n, g, c, sketch..., b0...), a written table: the rows of those bands (shared_bands()) in which several components (node, component)
+    meet."""
     own = bands.join(groups.withColumnRenamed("node", "fp"), "fp", "left").select("band", "k", "fp", F.coalesce("component", "fp").alias("g"))
     first = materialize(own, "bands")
     out = materialize(_several(first).join(sketched(lines), "fp"), "crossed")
@@ -288,7 +298,7 @@ def crossed(bands: DataFrame, lines: DataFrame, groups: DataFrame) -> DataFrame:
 
 def still_crossed(rows: DataFrame, joined: DataFrame) -> DataFrame:
     """What is left of crossed() when components have come together as joined (node, component) says; a band without several stays without."""
-    own = rows.drop("salts").join(joined.withColumnRenamed("node", "g"), "g", "left").withColumn("g", F.coalesce("component", "g")).drop("component")
+    own = rows.drop("c").join(joined.withColumnRenamed("node", "g"), "g", "left").withColumn("g", F.coalesce("component", "g")).drop("component")
     out = materialize(_several(own), "crossed")
     forget(rows)
     return out
@@ -305,8 +315,7 @@ def neighbours(rows: DataFrame, turn: int) -> DataFrame:
     """(a, na, b, nb), a written table: each paragraph of crossed() with the nearest one of another component among the NEXT before and after it, where
     a band is sorted by sketch, from its word `turn` on. Bands are dealt by ranges, so that large ones lie in many tasks."""
     words = [*SKETCH[turn:], *SKETCH[:turn]]
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.select("band", "fp", "n", "g", *SKETCH).repartitionByRange(parts, "band", *words).sortWithinPartitions("band", *words)
+    dealt = rows.select("band", "fp", "n", "g", *SKETCH).repartitionByRange("band", *words).sortWithinPartitions("band", *words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
@@ -335,9 +344,27 @@ def neighbours(rows: DataFrame, turn: int) -> DataFrame:
     return materialize(nearest(found), "pairs")
 
 
+def rounds(rows: DataFrame, sets: Sought) -> list[DataFrame]:
+    """The links (a, b) that rounds of neighbours find in those bands of crossed() that have more than DENSE rows; written tables. What other bands
+    link is left to between()."""
+    found = []
+    dense = materialize(rows.where(F.col("c") > DENSE), "dense")
+    for turn in range(TURNS):
+        if dense.isEmpty():
+            break
+        near = neighbours(dense, turn)
+        found.append(sets.verified(near))
+        joined = between_components(found[-1], dense)
+        dense = still_crossed(dense, joined)
+        forget(near, joined)
+    forget(dense)
+    return found
+
+
 def between(rows: DataFrame) -> DataFrame:
     """(a, na, b, nb, apart), a written table: the pairs of a band of crossed() in different components whose sizes and sketches allow a link, each once,
     in the first band that it shares. Large bands are dealt to as many tasks as their rows ask for."""
+    rows = rows.withColumn("salts", F.expr(f"cast(c div {SALTED} + 1 as int)"))
     x = rows.withColumn("salt", F.pmod(F.xxhash64("fp"), F.col("salts")).cast("int")).alias("x")
     y = rows.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).alias("y")
     first = [(F.col("x.k") <= i) | (F.col(f"x.b{i}") != F.col(f"y.b{i}")) for i in range(BANDS - 1)]
@@ -377,22 +404,22 @@ def repeated(docs: DataFrame) -> DataFrame:
     # Paragraphs that are not equal but share a band.
     lines = units.where("is_paragraph").groupBy("fp", "n").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
     lines = materialize(lines, "lines")
-    bands = lines.select("fp", "n", F.posexplode("bands").alias("k", "band"))
+    bands = shared_bands(lines)
     near = materialize(stars(bands, lines), "pairs")
     sets = Sought(lines, docs)
     links = sets.verified(near)
     groups = connected_components(links)
     forget(near)
-    # What joins most components with few pairs comes first: near ones in the order of the sketches, from each of their words on.
     rows = crossed(bands, lines, groups)
-    forget(groups)
-    for turn in range(TURNS):
-        near = neighbours(rows, turn)
-        more = sets.verified(near)
+    forget(bands, groups)
+    # Where bands are large, what joins most components with few pairs comes first: near ones in the order of the sketches, from each of their words on.
+    found = rounds(rows, sets)
+    if found:
+        more = reduce(DataFrame.union, found)
         joined = between_components(more, rows)
         rows = still_crossed(rows, joined)
         links = links.union(more)
-        forget(near, joined)
+        forget(joined)
     # Then all pairs that the bands still allow between components: each paragraph's nearest first, then those whose ends are apart even so.
     met = between(rows)
     first = materialize(nearest(met), "pairs")

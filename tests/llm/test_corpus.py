@@ -173,6 +173,22 @@ def test_paragraph_recall_against_brute_force(spark):
     assert len(found) >= 0.99 * len(pairs) and (402, 401) in found
 
 
+def test_rounds_of_neighbours_only_in_large_bands(spark, monkeypatch):
+    """Small bands cost no rounds, and the result is the same with and without them."""
+    r = random.Random(14)
+    template, texts = prose(r, 70), []
+    for _ in range(12):
+        line = f"{template} {prose(r, 30)}"
+        texts += [line, edited(r, line, 1)]
+    turns, own = [], paragraphs.neighbours
+    monkeypatch.setattr(paragraphs, "neighbours", lambda rows, turn: turns.append(rows.agg(F.min("c")).first()[0]) or own(rows, turn))
+    without = sorted(paragraphs.repeated(docs_of(spark, texts)).collect())
+    assert not turns and len({g.doc_id for g in without}) == len(texts)
+    monkeypatch.setattr(paragraphs, "DENSE", 4)
+    assert sorted(paragraphs.repeated(docs_of(spark, texts)).collect()) == without
+    assert turns and min(turns) > 4
+
+
 def test_every_passage_of_51_words_is_found(spark):
     """Wherever it begins, without stops or line ends to cut at, in the middle of other words."""
     r = random.Random(12)
