@@ -32,6 +32,12 @@ class Reporter(Protocol):
     def report(self, names: list[str], files: list[str], edge_count: int) -> tuple[str, str, list[str]]: ...
 
 
+def _by_key(df: DataFrame) -> DataFrame:
+    """df as a side of a join that is shuffled by its key: what grows with the graph would, while it is small enough to be broadcast, pass through the
+    driver in every round."""
+    return df.hint("merge")
+
+
 def _moved(nodes: DataFrame, links: DataFrame, deal: int = 0) -> tuple[DataFrame, bool]:
     """(node, group, k, total) after rounds of moves, and whether no move was left.
 
@@ -43,12 +49,12 @@ def _moved(nodes: DataFrame, links: DataFrame, deal: int = 0) -> tuple[DataFrame
     quiet = 0
     for r in range(deal * ROUNDS, (deal + 1) * ROUNDS):
         size = now.groupBy("group").agg(F.sum("k").alias("size"))
-        seen = links.join(now.select(F.col("node").alias("b"), "group"), "b").select(F.col("a").alias("node"), "group", "w")
+        seen = links.join(_by_key(now.select(F.col("node").alias("b"), "group")), "b").select(F.col("a").alias("node"), "group", "w")
         seen = seen.union(now.select("node", "group", F.lit(0.0))).groupBy("node", "group").agg(F.sum("w").alias("w"))
         own = now.select("node", F.col("group").alias("own"), "k", "total")
         # What a node's links to a community are worth beyond what they would be by chance.
         rest = F.col("size") - F.when(F.col("group") == F.col("own"), F.col("k")).otherwise(0.0)
-        worth = seen.join(size, "group").join(own, "node").withColumn("worth", F.round(F.col("w") - F.col("k") * rest / F.col("total"), 9))
+        worth = seen.join(_by_key(size), "group").join(_by_key(own), "node").withColumn("worth", F.round(F.col("w") - F.col("k") * rest / F.col("total"), 9))
         best = worth.groupBy("node", "own", "k", "total").agg(F.min(F.struct((-F.col("worth")).alias("minus"), "group")).alias("best"), F.max(F.when(F.col("group") == F.col("own"), F.col("worth"))).alias("stay"))
         may = F.pmod(F.xxhash64("node", F.lit(r // 2)), F.lit(2)) == r % 2
         goes = may & (-F.col("best.minus") > F.col("stay"))
@@ -67,26 +73,26 @@ def _refined(nodes: DataFrame, links: DataFrame, deal: int = 0) -> tuple[DataFra
     the largest gain above zero. In a round the alone of one half, by a hash, may join parts that do not move in it: nodes of the other half, and
     parts of several. Nobody leaves a part, so parts grow along links and stay connected."""
     own = nodes.select("node", "group", "k", "total")
-    near = links.join(own.select(F.col("node").alias("a"), F.col("group").alias("ga")), "a").join(own.select(F.col("node").alias("b"), F.col("group").alias("gb")), "b").where("ga = gb").select("a", "b", "w")
+    near = links.join(_by_key(own.select(F.col("node").alias("a"), F.col("group").alias("ga"))), "a").join(_by_key(own.select(F.col("node").alias("b"), F.col("group").alias("gb"))), "b").where("ga = gb").select("a", "b", "w")
     near = cut(near)
     size = own.groupBy("group").agg(F.sum("k").alias("size"))
     inside = near.groupBy(F.col("a").alias("node")).agg(F.sum("w").alias("inside"))
-    well = own.join(inside, "node").join(size, "group").where(F.col("inside") >= F.col("k") * (F.col("size") - F.col("k")) / F.col("total") - 1e-9).select("node")
+    well = own.join(_by_key(inside), "node").join(_by_key(size), "group").where(F.col("inside") >= F.col("k") * (F.col("size") - F.col("k")) / F.col("total") - 1e-9).select("node")
     well = cut(well)
     now = cut(own.withColumn("part", F.col("node")))
     joined, quiet = 0, 0
     for r in range(deal * ROUNDS, (deal + 1) * ROUNDS):
         parts = now.groupBy("part").agg(F.sum("k").alias("size"), F.count("*").alias("members"))
         half = F.pmod(F.xxhash64("node", F.lit(r // 2), F.lit(9)), F.lit(2)) == r % 2
-        alone = now.join(parts.where("members = 1").select("part"), "part", "left_semi").join(well, "node", "left_semi").where(half).select("node", "k", "total")
-        still = now.select(F.col("node").alias("b"), "part").join(alone.select(F.col("node").alias("b")), "b", "left_anti")
-        seen = near.join(alone, near.a == alone.node).join(still, "b").groupBy("node", "k", "total", "part").agg(F.sum("w").alias("w"))
-        worth = seen.join(parts, "part").withColumn("worth", F.round(F.col("w") - F.col("k") * F.col("size") / F.col("total"), 9)).where("worth > 0")
+        alone = now.join(_by_key(parts.where("members = 1").select("part")), "part", "left_semi").join(_by_key(well), "node", "left_semi").where(half).select("node", "k", "total")
+        still = now.select(F.col("node").alias("b"), "part").join(_by_key(alone.select(F.col("node").alias("b"))), "b", "left_anti")
+        seen = near.join(_by_key(alone.withColumn("a", F.col("node"))), "a").join(_by_key(still), "b").groupBy("node", "k", "total", "part").agg(F.sum("w").alias("w"))
+        worth = seen.join(_by_key(parts), "part").withColumn("worth", F.round(F.col("w") - F.col("k") * F.col("size") / F.col("total"), 9)).where("worth > 0")
         best = worth.groupBy("node").agg(F.min(F.struct((-F.col("worth")).alias("minus"), "part")).alias("best")).select("node", F.col("best.part").alias("to"))
         best = cut(best)
         n = best.count()
         if n:
-            now = cut(now.join(best, "node", "left").withColumn("part", F.coalesce("to", "part")).drop("to"))
+            now = cut(now.join(_by_key(best), "node", "left").withColumn("part", F.coalesce("to", "part")).drop("to"))
         joined, quiet = joined + n, 0 if n else quiet + 1
         if quiet == 2:
             break
@@ -96,13 +102,13 @@ def _refined(nodes: DataFrame, links: DataFrame, deal: int = 0) -> tuple[DataFra
 def _connected(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """(node, part): the connected parts of the groups of nodes (node, group), by smallest names, pointers doubled in each round."""
     g = nodes.select("node", "group")
-    near = links.join(g.select(F.col("node").alias("a"), F.col("group").alias("ga")), "a").join(g.select(F.col("node").alias("b"), F.col("group").alias("gb")), "b").where("ga = gb").select("a", "b")
+    near = links.join(_by_key(g.select(F.col("node").alias("a"), F.col("group").alias("ga"))), "a").join(_by_key(g.select(F.col("node").alias("b"), F.col("group").alias("gb"))), "b").where("ga = gb").select("a", "b")
     near, now = cut(near), cut(g.select("node", F.col("node").alias("part")))
     while True:
-        least = near.join(now.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("part").alias("least"))
-        step = now.join(least, "node", "left").select("node", F.col("part").alias("old"), F.least("part", "least").alias("part"))
+        least = near.join(_by_key(now.withColumnRenamed("node", "b")), "b").groupBy(F.col("a").alias("node")).agg(F.min("part").alias("least"))
+        step = now.join(_by_key(least), "node", "left").select("node", F.col("part").alias("old"), F.least("part", "least").alias("part"))
         far = now.select(F.col("node").alias("part"), F.col("part").alias("further"))
-        step = cut(step.join(far, "part").select("node", "old", F.least("part", "further").alias("part")))
+        step = cut(step.join(_by_key(far), "part").select("node", "old", F.least("part", "further").alias("part")))
         now = step.select("node", "part")
         if step.where("old <> part").isEmpty():
             return now
@@ -110,16 +116,16 @@ def _connected(nodes: DataFrame, links: DataFrame) -> DataFrame:
 
 def _graph(entities: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(nodes (node, k, total), links (a, b, w)) of entities with pairs, links in both directions, each of weight 1."""
-    both = pairs.select("a", "b").union(pairs.select("b", "a")).withColumn("w", F.lit(1.0))
+    both = cut(pairs.select(F.explode(F.array(F.struct(F.col("a"), F.col("b")), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("x")).select("x.*").withColumn("w", F.lit(1.0)))
     degree = both.groupBy(F.col("a").alias("node")).agg(F.sum("w").alias("k"))
-    linked = entities.select("root_id", F.col("entity_id").alias("node")).join(degree, "node")
+    linked = cut(entities.select("root_id", F.col("entity_id").alias("node")).join(_by_key(degree), "node"))
     totals = linked.groupBy("root_id").agg(F.sum("k").alias("total"))
-    return cut(linked.join(totals, "root_id").select("node", "k", "total")), cut(both)
+    return cut(linked.join(totals, "root_id").select("node", "k", "total")), both
 
 
 def _contracted(links: DataFrame, to: DataFrame) -> DataFrame:
     """links between the parts (node, part) that their ends are in, without loops."""
-    between = links.join(to.select(F.col("node").alias("a"), F.col("part").alias("x")), "a").join(to.select(F.col("node").alias("b"), F.col("part").alias("y")), "b")
+    between = links.join(_by_key(to.select(F.col("node").alias("a"), F.col("part").alias("x"))), "a").join(_by_key(to.select(F.col("node").alias("b"), F.col("part").alias("y"))), "b")
     return cut(between.where("x <> y").groupBy(F.col("x").alias("a"), F.col("y").alias("b")).agg(F.sum("w").alias("w")))
 
 
@@ -145,21 +151,21 @@ def detect(entities: DataFrame, pairs: DataFrame) -> DataFrame:
             deal += 1
         if not joined:
             # No part grows any more: what the last moves brought together, as far as it is connected, is the coarsest level.
-            parts = moved.join(_connected(moved, links), "node")
+            parts = moved.join(_by_key(_connected(moved, links)), "node")
             if parts.select("part").distinct().count() == left:
                 break
         parts = cut(parts.select("node", "part", "group", "k", "total"))
-        member = cut(member.join(parts.select(F.col("node").alias("at"), "part"), "at").select("node", F.col("part").alias("at")))
+        member = cut(member.join(_by_key(parts.select(F.col("node").alias("at"), "part")), "at").select("node", F.col("part").alias("at")))
         every.append(member)
         if not joined:
             break
         links = _contracted(links, parts)
         nodes = cut(parts.groupBy(F.col("part").alias("node")).agg(F.min("group").alias("group"), F.sum("k").alias("k"), F.max("total").alias("total")))
         left = nodes.count()
-    alone = entities if not every else entities.join(member.select(F.col("node").alias("entity_id")), "entity_id", "left_anti")
+    alone = entities if not every else entities.join(_by_key(member.select(F.col("node").alias("entity_id"))), "entity_id", "left_anti")
     out = alone.select("root_id", "entity_id", F.lit(0).alias("level"), F.col("entity_id").alias("group"))
     for level, m in enumerate(reversed(every)):
-        out = out.union(m.join(entities.select("root_id", F.col("entity_id").alias("node")), "node").select("root_id", F.col("node"), F.lit(level), "at"))
+        out = out.union(m.join(_by_key(entities.select("root_id", F.col("entity_id").alias("node"))), "node").select("root_id", F.col("node"), F.lit(level), "at"))
     return out
 
 
@@ -174,29 +180,29 @@ def greedy(entities: DataFrame, pairs: DataFrame) -> DataFrame:
     r = 0
     while True:
         size = nodes.select("node", "k", "total")
-        gain = links.join(size.select(F.col("node").alias("a"), "k", "total"), "a").join(size.select(F.col("node").alias("b"), F.col("k").alias("kb")), "b")
+        gain = links.join(_by_key(size.select(F.col("node").alias("a"), "k", "total")), "a").join(_by_key(size.select(F.col("node").alias("b"), F.col("k").alias("kb"))), "b")
         gain = gain.withColumn("gain", F.round(F.col("w") - F.col("k") * F.col("kb") / F.col("total"), 9)).where("gain > 0")
         best = cut(gain.groupBy("a", "k", "total").agg(F.min(F.struct((-F.col("gain")).alias("minus"), "b", "kb", "w")).alias("x")).select("a", "k", "total", "x.*"))
         if best.isEmpty():
             break
         # A pair that names each other is led by its smaller name; of the others, a community takes or goes by a hash of the round.
         named = best.select(F.col("a").alias("b"), F.col("b").alias("back"))
-        both = best.join(named, "b", "left").withColumn("mutual", F.coalesce(F.col("back") == F.col("a"), F.lit(False)))
+        both = best.join(_by_key(named), "b", "left").withColumn("mutual", F.coalesce(F.col("back") == F.col("a"), F.lit(False)))
         goes = lambda c: F.pmod(F.xxhash64(c, F.lit(r)), F.lit(2)) == 0  # noqa: E731, B023
         leads = both.where("mutual").select(F.least("a", "b").alias("n")).distinct()
         bound = both.where("mutual and a > b").select(F.col("a").alias("n")).distinct()
-        asks = both.where("not mutual or a > b").join(bound.withColumnRenamed("n", "b"), "b", "left_anti").join(leads.withColumnRenamed("n", "a"), "a", "left_anti")
+        asks = both.where("not mutual or a > b").join(_by_key(bound.withColumnRenamed("n", "b")), "b", "left_anti").join(_by_key(leads.withColumnRenamed("n", "a")), "a", "left_anti")
         takes = F.col("mutual") | F.col("lead") | ~goes("b")
-        asks = asks.join(leads.select(F.col("n").alias("b"), F.lit(True).alias("is_lead")), "b", "left").withColumn("lead", F.coalesce("is_lead", F.lit(False))).where(takes & (F.col("mutual") | goes("a")))
+        asks = asks.join(_by_key(leads.select(F.col("n").alias("b"), F.lit(True).alias("is_lead"))), "b", "left").withColumn("lead", F.coalesce("is_lead", F.lit(False))).where(takes & (F.col("mutual") | goes("a")))
         w = Window.partitionBy("b").orderBy(F.desc("mutual"), "minus", "a").rowsBetween(Window.unboundedPreceding, -1)
         asks = asks.withColumn("before", F.coalesce(F.sum("k").over(w), F.lit(0.0))).where(F.col("mutual") | (F.round(F.col("w") - F.col("k") * (F.col("kb") + F.col("before")) / F.col("total"), 9) > 0))
         to = cut(asks.select(F.col("a").alias("node"), F.col("b").alias("to")))
-        parts = cut(nodes.join(to, "node", "left").select("node", F.coalesce("to", "node").alias("part"), "k", "total"))
-        now = cut(now.join(parts.select(F.col("node").alias("part"), F.col("part").alias("to")), "part").select("node", F.col("to").alias("part")))
+        parts = cut(nodes.join(_by_key(to), "node", "left").select("node", F.coalesce("to", "node").alias("part"), "k", "total"))
+        now = cut(now.join(_by_key(parts.select(F.col("node").alias("part"), F.col("part").alias("to"))), "part").select("node", F.col("to").alias("part")))
         links = _contracted(links, parts)
         nodes = cut(parts.groupBy(F.col("part").alias("node")).agg(F.sum("k").alias("k"), F.max("total").alias("total")))
         r += 1
-    every = entities.join(now.select(F.col("node").alias("entity_id"), "part"), "entity_id", "left")
+    every = entities.join(_by_key(now.select(F.col("node").alias("entity_id"), "part")), "entity_id", "left")
     return every.select("root_id", "entity_id", F.lit(0).alias("level"), F.coalesce("part", "entity_id").alias("group"))
 
 
@@ -215,8 +221,8 @@ def communities(groups: DataFrame) -> DataFrame:
     the level before in which its members lie."""
     c = groups.groupBy("root_id", "level", "group").agg(F.array_sort(F.collect_list("entity_id")).alias("entity_ids"))
     c = c.select("root_id", community_id("root_id", "entity_ids").alias("community_id"), "level", "group", "entity_ids")
-    above = groups.join(c.select("level", "group", F.col("community_id").alias("parent_id")), ["level", "group"]).select("entity_id", (F.col("level") + 1).alias("level"), "parent_id")
-    one = c.select("root_id", "community_id", "level", "entity_ids", F.col("entity_ids")[0].alias("entity_id")).join(above, ["entity_id", "level"], "left")
+    above = groups.join(_by_key(c.select("level", "group", F.col("community_id").alias("parent_id"))), ["level", "group"]).select("entity_id", (F.col("level") + 1).alias("level"), "parent_id")
+    one = c.select("root_id", "community_id", "level", "entity_ids", F.col("entity_ids")[0].alias("entity_id")).join(_by_key(above), ["entity_id", "level"], "left")
     return one.select("root_id", "community_id", "level", "parent_id", "entity_ids")
 
 

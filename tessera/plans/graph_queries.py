@@ -405,7 +405,7 @@ def _customers_of(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFram
     suppliers = catalog.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k"))
     of = catalog.table(spark, sf_dir, "customer").crossJoin(suppliers.agg(F.count("*").alias("n"))).select("c_custkey", (F.pmod(F.col("c_custkey") * 7, F.col("n")) + 1).alias("k"))
     name = lambda kind, c: F.concat(F.lit(kind), F.col(c).cast("string"))
-    pairs = of.join(suppliers, "k").select(name("c", "c_custkey").alias("a"), name("s", "k").alias("b"))
+    pairs = of.join(suppliers.hint("merge"), "k").select(name("c", "c_custkey").alias("a"), name("s", "k").alias("b"))
     nodes = of.select(name("c", "c_custkey").alias("entity_id")).union(suppliers.select(name("s", "k"))).withColumn("root_id", F.lit(SHOP))
     return nodes, pairs
 
@@ -421,11 +421,11 @@ def g6_leiden(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each entity with the size of its coarsest community."""
     nodes, pairs = _customers_of(spark, sf_dir)
     g = cut(community.detect(nodes, pairs).where("level = 0"))
-    return g.join(g.groupBy("group").agg(F.count("*").alias("members")), "group").select("entity_id", "members")
+    return g.join(g.groupBy("group").agg(F.count("*").alias("members")).hint("merge"), "group").select("entity_id", "members")
 
 
 @query(_STARS)
 def g7_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes, pairs = _customers_of(spark, sf_dir)
     g = cut(community.greedy(nodes, pairs))
-    return g.join(g.groupBy("group").agg(F.count("*").alias("members")), "group").select("entity_id", "members")
+    return g.join(g.groupBy("group").agg(F.count("*").alias("members")).hint("merge"), "group").select("entity_id", "members")

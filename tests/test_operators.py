@@ -528,3 +528,14 @@ def test_reports_are_parsed_once_a_row(spark):
     d = spark.createDataFrame([('```json\n{"title": "t", "summary": "s", "findings": ["a", "b"]}\n```',), ("none",), (None,)], "t string").select(scalars.report_fields("t").alias("r")).select("r.title", "r.summary", "r.findings")
     assert [tuple(r) for r in d.collect()] == [("t", "s", ["a", "b"]), ("", "", []), ("", "", [])]
     assert d._jdf.queryExecution().optimizedPlan().toString().count("from_json") == 1
+
+
+def test_greedy_sends_no_graph_through_the_driver(spark, monkeypatch):
+    """Joins of rounds are shuffled by key; only the sums by root may be broadcast."""
+    plans, own = [], community.cut
+    monkeypatch.setattr(community, "cut", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or own(df))
+    e = own(spark.createDataFrame([("/r", x) for x in "abcd"], "root_id string, entity_id string"))
+    p = own(spark.createDataFrame([("a", "b"), ("c", "d")], "a string, b string"))
+    got = {(g.entity_id, g.group) for g in community.greedy(e, p).collect()}
+    assert {x for x, g in got if g == dict(got)["a"]} == {"a", "b"} and {x for x, g in got if g == dict(got)["c"]} == {"c", "d"}
+    assert sum("BroadcastHashJoin" in x for x in plans) <= 1
