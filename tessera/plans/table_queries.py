@@ -400,20 +400,45 @@ def t1_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.drop("start_char", "end_char")
 
 
-_PACKED = """with recursive p as (select conv_id, list(t order by turn, role, t) as ps from (select conv_id, turn, role, trim(text, ' \t\n\r\x0b\x0c') as t from conversations) where t <> '' group by conv_id),
-l as (select conv_id, ps, list_transform(ps, lambda s: length(s)) as n from p),
-c(conv_id, chunk_id, i, j) as (
-  select conv_id, 0, 1, coalesce(list_max(list_filter(range(1, len(n) + 1), lambda x: list_sum(n[1:x]) + 2 * x <= 2048)), 1) from l
+def _piece_end(at: str) -> str:
+    """The end of the piece of a long paragraph that begins at a place, in SQL: after the last sentence, clause or space that is far enough on."""
+    before = lambda mark: f"length(regexp_extract(t[{at} + 1 : {at} + 2048], '(?s)^(.*)(?:{mark})', 1))"
+    sentence, clause, space = before(r"\.[ \n]|[!?] "), before("[,;:] "), before(" ")
+    return f"case when length(t) <= {at} + 2048 then length(t) when {sentence} > 682 then {at} + {sentence} + 1 when {clause} > 682 then {at} + {clause} + 1 when {space} > 681 then {at} + {space} + 1 else {at} + 2048 end"
+
+
+_W = chunk.WHITE
+_BLANK = rf"\n[{_W}]*\n"
+_FIT = "coalesce(list_max(list_filter(range({i}, len(n) + 1), lambda x: sums[x] - sums[{i}] + n[{i}] + 2 <= 2048)), {i})"
+#: The paragraphs of a conversation (l), chunks of those from i to j (c), and pieces of those over 2048 (r).
+_PACKED = f"""with recursive d as (select conv_id, array_to_string(list(t order by turn nulls first, role nulls first, t), chr(10) || chr(10)) as text from (select conv_id, turn, role, trim(text, '{_W}') as t from conversations) where t <> '' group by conv_id),
+b as (select conv_id, unnest(string_split_regex(text, '{_BLANK}')) as x, unnest(regexp_extract_all(text, '{_BLANK}')) as gap, generate_subscripts(string_split_regex(text, '{_BLANK}'), 1) as k from d),
+w as (select conv_id, k, trim(x, '{_W}') as p, coalesce(sum(length(x) + length(gap)) over (partition by conv_id order by k rows between unbounded preceding and 1 preceding), 0) + length(x) - length(ltrim(x, '{_W}')) as a from b),
+l as (select conv_id, list(p order by k) as ps, list(a order by k) as a, list(length(p) order by k) as n, list(upto order by k) as sums from (select *, sum(length(p) + 2) over (partition by conv_id order by k) as upto from w where p <> '') group by conv_id),
+c(conv_id, i, j) as (
+  select conv_id, 1, {_FIT.format(i="1")} from l
   union all
-  select s.conv_id, s.chunk_id, s.i, coalesce(list_max(list_filter(range(s.i, len(n) + 1), lambda x: list_sum(n[s.i:x]) + 2 * (x - s.i + 1) <= 2048)), s.i) from
-    (select c.conv_id, c.chunk_id + 1 as chunk_id, case when j > c.i and n[j] <= 600 and n[j] + n[j + 1] + 4 <= 2048 then j else j + 1 end as i, n from c join l using (conv_id) where j < len(n)) s)
+  select conv_id, i, {_FIT.format(i="i")} from
+    (select c.conv_id, case when j > c.i and n[j] <= 600 and n[j] + n[j + 1] + 4 <= 2048 then j else j + 1 end as i, n, sums from c join l on c.conv_id is not distinct from l.conv_id where j < len(n))),
+g as (select c.conv_id, i, j, n[i] as n, a[i] as a, ps[i] as t, array_to_string(ps[i:j], chr(10) || chr(10)) as packed from c join l on c.conv_id is not distinct from l.conv_id),
+r(conv_id, i, pos, stop) as (
+  select conv_id, i, 0, {_piece_end("0")} from g where n > 2048
+  union all
+  select conv_id, i, pos, {_piece_end("pos")} from
+    (select g.conv_id, g.i, t, greatest(r.pos + 1, greatest(0, stop - 600) + case when position(' ' in t[greatest(0, stop - 600) + 1 : stop]) > 1 then position(' ' in t[greatest(0, stop - 600) + 1 : stop]) else 0 end) as pos from r join g on r.conv_id is not distinct from g.conv_id and r.i = g.i where stop < length(t))),
+o as (select conv_id, i, 0 as pos, packed as chunk_text, a as start_char from g where n <= 2048
+  union all
+  select conv_id, i, pos, trim(x, '{_W}'), a + pos + length(x) - length(ltrim(x, '{_W}')) from (select g.conv_id, g.i, pos, a, t[pos + 1 : stop] as x from r join g on r.conv_id is not distinct from g.conv_id and r.i = g.i))
 """
 
 
-@query(_PACKED + "select conv_id, chunk_id::int as chunk_id, array_to_string(ps[i:j], chr(10) || chr(10)) as chunk_text, (case when i = 1 then 0 else list_sum(n[1:i - 1]) + 2 * (i - 1) end)::int as start_char from c join l using (conv_id)")
+@query(_PACKED + "select conv_id, (row_number() over (partition by conv_id order by i, pos) - 1)::int as chunk_id, chunk_text, start_char::int as start_char from o where chunk_text <> ''")
 def t2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Turns of a conversation as paragraphs, packed into chunks of 2048 characters with the last one repeated where it is within 600."""
-    c = catalog.table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.regexp_replace("text", r"^[\\s\x0b]+|[\\s\x0b]+$", "").alias("t")).where("t <> ''")
+    """Turns of a conversation as paragraphs, packed into chunks of 2048 characters with the last one repeated where it is within 600.
+
+    Blank lines within a turn part paragraphs too; a paragraph over 2048 is cut at sentences, clauses and words.
+    """
+    c = catalog.table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.trim("text", F.lit(chunk.WHITE)).alias("t")).where("t <> ''")
     text = c.groupBy("conv_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("turn", "role", "t"))), lambda x: x["t"]), "\n\n").alias("text")).withColumn("file_type", F.lit("text"))
     return chunk.chunked(text, ["conv_id"], 2048, 600).drop("end_char")
 
